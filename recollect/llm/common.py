@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,8 +45,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts fit a Python worker."""
+_shipped: set[str] = set()
+
+
+def for_python(spark: SparkSession, rows: int = 500) -> None:
+    """Readies a session for Python tasks of this package.
+
+    Bounds the rows of an Arrow batch, so that long texts fit a Python worker, and sends the
+    package to the executors, once an application, so that they need no install of it.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="recollect-")) / "recollect.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)

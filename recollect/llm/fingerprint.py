@@ -158,7 +158,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     columns are ignored. The whole text is shuffled once by doc_id; the next document is
     joined by id and only the part that its predecessor needs is sent on.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    none = -(2**63)
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))  # one shuffle serves both joins
     needs = saved(base.groupBy("k").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("need")), "fingerprint-needs")
     after = needs.join(successors(needs), "k").select(F.col("next_key").alias("k"), F.col("k").alias("before"), "need")
     given = base.join(after.hint("shuffle_hash"), "k")
@@ -168,7 +169,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("patch", F.lit(1), cut))
-    rows = base.join(given.hint("shuffle_hash"), "k").select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_lanes")
+    rows = base.join(given.hint("shuffle_hash"), "k").select(F.nullif("k", F.lit(none)).alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_lanes")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), lanes(F.col("text")).alias("a"), lanes(F.col("edited")).alias("b"), "next_lanes")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", to_hex(F.col("a")).alias("fingerprint"), to_hex(F.col("b")).alias("edited_fingerprint"),

@@ -86,7 +86,9 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, weights: tuple[int
         )
 
     copies = placed.select("*", F.explode(F.array(*map(copy, range(epochs)))).alias("c")).select("*", "c.finish", "c.words", "c.epoch").drop("c")
-    copies = copies.withColumn("moment", F.least(F.lit(PARTS - 1), F.floor(F.col("finish") * PARTS)).cast("int"))
+    #: What adds no words can stand at any moment; it is spread, as all unread rows would end at time 1.
+    moment = F.when(F.col("words") > 0, F.least(F.lit(PARTS - 1), F.floor(F.col("finish") * PARTS))).otherwise(F.col("part")).cast("int")
+    copies = copies.withColumn("moment", moment)
     copies = saved(copies.filter((F.col("words") > 0) | (F.col("epoch") == 0)).drop("before", "within"), "mix-copies")
     moments = copies.groupBy("moment").agg(F.sum("words").alias("w"))
     moments = moments.select("moment", F.coalesce(F.sum("w").over(Window.partitionBy(F.lit(0)).orderBy("moment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("gone"))

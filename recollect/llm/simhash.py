@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import saved, small_batches
+from recollect.llm.common import saved, for_python
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -48,7 +48,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp, the SimHash as a signed bigint, of each row's whole text."""
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

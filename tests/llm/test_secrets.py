@@ -1,0 +1,54 @@
+import re
+
+from pyspark.sql import functions as F
+
+from recollect.llm import secrets
+
+
+def test_candidates_are_whole_and_placed(spark, hard):
+    found = secrets.candidates(hard).collect()
+    texts = {r.doc_id: r.text for r in hard.collect()}
+    for r in found:
+        assert texts[r.doc_id][r.begin : r.begin + len(r.value)] == r.value
+    want = sorted((str(d), m.start()) for d, t in texts.items() for m in re.finditer(secrets.CANDIDATE.replace("\\-", "-").replace("@:-]", "@:\\-]"), t or ""))
+    assert sorted((str(r.doc_id), r.begin) for r in found) == want
+
+
+def planted(n):
+    out = []
+    for i in range(n):
+        h = f"{i * 2654435761 % 2**32:08x}{i * 40503 % 2**32:08x}{i * 97 + 11:06x}{i * 7919 % 65536:04x}ab12"
+        out.append((i, {
+            0: f'he said token = "{h}" and went', 1: f"key AKIA{h[:16].upper()} was there", 2: f"call {4000000000000000 + i * 977} now", 3: f"write to some.body{i}@mail{i % 9}.example.com please", 4: f"at 10.{i % 200}.33.{i % 250} and 192.168.{i % 99}.120 it ran",
+        }[i % 5], "en", f"src{i % 3}"))
+    return out
+
+
+def test_forest_removes_false_positives(spark):
+    docs = spark.createDataFrame(planted(400), "doc_id long, text string, lang string, source string")
+    rows = secrets.scan(docs).collect()
+    assert {r.doc_id for r in rows if r.is_secret} == {i for i in range(400) if i % 5 < 2}
+    assert {r.doc_id for r in rows} >= {i for i in range(400) if i % 5 in (2, 3)}
+
+
+def test_judges_rows_it_did_not_learn_from(spark):
+    docs = spark.createDataFrame(planted(400), "doc_id long, text string, lang string, source string")
+    rows = secrets.scan(docs, sample=20).collect()
+    wrong = [r for r in rows if r.known is not None and r.is_secret != bool(r.known)]
+    assert len(wrong) / len(rows) < 0.02
+
+
+def test_redact_and_hard_cases(spark, hard, nothing):
+    out = secrets.redact(hard)
+    assert out.columns == hard.columns and out.count() == hard.count()
+    by = {r.doc_id: r for r in out.collect()}
+    assert by[7].text == 'Le chat est sur la table. token = "[SECRET]" et voilà' and by[7].n_chars == len(by[7].text)
+    assert "[SECRET]" in by[None].text and "4785380592391141" in by[None].text
+    assert by[3].text is None and by[4].text == ""
+    assert secrets.scan(nothing).collect() == [] and secrets.redact(nothing).collect() == []
+
+
+def test_no_python_in_the_plan(spark, hard):
+    plan = secrets.scan(hard)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+    assert secrets.features().keys() and F.col("x") is not None
