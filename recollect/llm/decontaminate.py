@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recollect.llm.common import for_python
 
 #: Edits allowed, as a share of an item's characters.
-RATE = 0.06
+RATE = 0.08
 #: Characters of items that one pass over the documents looks for: what a broadcast holds.
 BLOCK = 2_000_000
 

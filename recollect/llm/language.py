@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,46 +52,71 @@ def words(text: str | None) -> list[str]:
     return [START + w for w in found]
 
 
-def forward(word: str, model: dict[str, tuple[float, ...]], longest: int, n: int) -> list[list[float]]:
-    """For each language, the total probability of each prefix over all its segmentations."""
-    size = len(word)
-    at = [[1.0] + [0.0] * size for _ in range(n)]
-    for end in range(1, size + 1):
-        for begin in range(max(0, end - longest), end):
-            probs = model.get(word[begin:end])
-            if probs is None:
-                if end - begin > 1:
-                    continue
-                probs = (UNKNOWN,) * n
-            for k in range(n):
-                at[k][end] += at[k][begin] * probs[k]
+def lattice(pieces: dict[str, tuple[float, ...]], n: int) -> tuple[dict[str, int], np.ndarray]:
+    """Pieces to rows of their probabilities in ``n`` languages, and all other ends of pieces to -1.
+
+    Read backwards from a position, a string that is no piece's end ends the search. Row 0 is
+    that of a character that is no piece.
+    """
+    table = {p[i:]: -1 for p in pieces for i in range(1, len(p))}
+    table |= {c: 0 for p in pieces for c in p}
+    table |= {p: i for i, p in enumerate(pieces, 1)}
+    return table, np.array([(UNKNOWN,) * n, *pieces.values()])
+
+
+def forward(found: list[str], table: dict[str, int], probs: np.ndarray) -> np.ndarray:
+    """[word, end, language]: the total probability of word[:end] over all its segmentations.
+
+    Words side by side: the pieces that end at each place are looked up, then one place after
+    the other is summed from the places before it.
+    """
+    longest = max(map(len, found), default=0)
+    at = np.zeros((len(found), longest + 1, probs.shape[1]))
+    at[:, 0] = 1.0
+    ending: list[list[int]] = [[] for _ in range(longest + 1)]  # word, begin and piece in one number
+    get = table.get
+    for row, word in enumerate(found):
+        row <<= 32
+        for end in range(1, len(word) + 1):
+            add = ending[end].append
+            add(row | (end - 1) << 24 | get(word[end - 1], 0))
+            for begin in range(end - 2, -1, -1):
+                piece = get(word[begin:end])
+                if piece is None:
+                    break
+                if piece > 0:
+                    add(row | begin << 24 | piece)
+    for end in range(1, longest + 1):
+        x = np.array(ending[end], np.int64)
+        rows = x >> 32
+        part = at[rows, x >> 24 & 0xFF] * probs[x & 0xFFFFFF]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        at[rows[first], end] = np.add.reduceat(part, first)
     return at
 
 
-def expected(word: str, probs: dict[str, float], longest: int) -> list[tuple[str, float]]:
-    """Expected number of times each piece is used in a word, over all its segmentations."""
+def expected(word: str, alpha: np.ndarray, table: dict[str, int], probs: np.ndarray) -> list[tuple[str, float]]:
+    """Expected number of times each piece is used in a word, over all its segmentations, in one language.
+
+    ``alpha`` is the word's part of ``forward``, ``probs`` the language's column.
+    """
     size = len(word)
-    alpha = forward(word, {p: (x,) for p, x in _pieces_of(word, probs, longest)}, longest, 1)[0]
-    beta = [0.0] * size + [1.0]
-    for begin in range(size - 1, -1, -1):
-        for end in range(begin + 1, min(size, begin + longest) + 1):
-            p = probs.get(word[begin:end], UNKNOWN if end - begin == 1 else 0.0)
-            beta[begin] += p * beta[end]
+    before, beta = alpha.tolist(), [0.0] * size + [1.0]
     out = []
-    for begin in range(size):
-        for end in range(begin + 1, min(size, begin + longest) + 1):
-            piece = word[begin:end]
-            if p := probs.get(piece):
-                out.append((piece, alpha[begin] * p * beta[end] / alpha[size]))
+    for end in range(size, 0, -1):
+        for begin in range(end - 1, -1, -1):
+            piece = table.get(word[begin:end], 0 if begin == end - 1 else None)
+            if piece is None:
+                break
+            if piece < 0:
+                continue
+            p = probs[piece]
+            beta[begin] += p * beta[end]
+            out.append((word[begin:end], before[begin] * p * beta[end] / before[size]))
     return out
 
 
-def _pieces_of(word: str, probs: dict[str, float], longest: int) -> list[tuple[str, float]]:
-    found = {word[i:j] for i in range(len(word)) for j in range(i + 1, min(len(word), i + longest) + 1)}
-    return [(p, probs[p]) for p in found if p in probs]
-
-
-def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 3000, rounds: int = 2) -> dict:
+def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, rounds: int = 2) -> dict:
     """Piece probabilities by language, from rows with a lang and text.
 
     Fits on at most ``per_language`` documents of each language, those of least
@@ -105,7 +131,6 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 3000, round
     chosen = labelled.withColumn("_n", rank).filter(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
     known = vocabulary(path)
-    longest = max(map(len, known), default=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,61 +140,78 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 3000, round
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     counted = texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = saved(counted, "language-words")
+    counted = saved(counted.repartition(32, "word"), "language-words")
     langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
     model = {lang: {p: 0.02 ** min(4, len(p)) for p in known} for lang in langs}
     for _ in range(rounds):
         now = model
 
         def uses(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
+            tables: dict = {}
             for b in batches:
                 total: Counter = Counter()
+                words_of: dict[str, dict[str, int]] = {}
                 for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    for piece, x in expected(word, now[lang], longest):
-                        total[lang, piece] += n * x
+                    words_of.setdefault(lang, {})[word] = n
+                for lang, ns in words_of.items():
+                    if lang not in tables:
+                        tables[lang] = lattice({p: (x,) for p, x in now[lang].items()}, 1)
+                    table, probs = tables[lang]
+                    own = probs[:, 0].tolist()
+                    for word, alpha in zip(ns, forward(list(ns), table, probs), strict=True):
+                        for piece, x in expected(word, alpha[: len(word) + 1, 0], table, own):
+                            total[lang, piece] += ns[word] * x
                 yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in total], "piece": [k[1] for k in total], "x": list(total.values())}, pa.schema([("lang", pa.string()), ("piece", pa.string()), ("x", pa.float64())]))
 
         found = counted.mapInArrow(uses, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
         got: dict[str, dict[str, float]] = {lang: {} for lang in langs}
-        for r in found.collect():  # languages x vocabulary at most
-            got[r.lang][r.piece] = r.x
+        for r in found.collect():  # languages x vocabulary at most, and characters that are no piece
+            if r.piece in known:
+                got[r.lang][r.piece] = r.x
         model = {}
         for lang in langs:
             total = sum(got[lang].values()) + 0.01 * len(known)
             model[lang] = {p: (got[lang].get(p, 0.0) + 0.01) / total for p in known}
-    return {"langs": langs, "longest": longest, "pieces": {p: tuple(model[lang][p] for lang in langs) for p in known}}
+    return {"langs": langs, "pieces": {p: tuple(model[lang][p] for lang in langs) for p in known}}
 
 
-class _Scores(dict):
-    """Word to its log probability in each language; forgets all when it is full."""
+class Scores:
+    """Log probabilities of words in each language; forgets all when it holds CACHE words."""
 
     def __init__(self, model: dict):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> tuple[float, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        n = len(self.model["langs"])
-        at = forward(word, self.model["pieces"], self.model["longest"], n)
-        self[word] = out = tuple(math.log(max(at[k][-1], 1e-300)) for k in range(n))
-        return out
-
-
-def classify(found: list[str], scores: _Scores, langs: list[str]) -> tuple[str, float]:
+        self.table, self.probs = lattice(model["pieces"], len(model["langs"]))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.place: dict[str, int] = {}
+        self.logs = np.empty((0, self.probs.shape[1]))
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The log probability of each text in each language."""
+        wanted = set().union(*texts)
+        if len(self.place) + len(wanted) > CACHE:
+            self._reset()
+        new = sorted(wanted - self.place.keys())
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        found = [self.logs]
+        for i in range(0, len(new), 4096):
+            some = new[i : i + 4096]
+            at = forward(some, self.table, self.probs)
+            found.append(np.log(np.maximum(at[np.arange(len(some)), [len(w) for w in some]], 1e-300)))
+        self.logs = np.concatenate(found)
+        get = self.place.__getitem__
+        return [self.logs[np.fromiter(map(get, t), np.int64, len(t))].sum(0) for t in texts]
+
+
+def verdict(logs: np.ndarray, n_words: int, langs: list[str]) -> tuple[str, float]:
     """The likeliest language, and its share of the likelihood were the text of 10 words at most.
 
     Ties go to the language that sorts first.
     """
-    if not found or not langs:
+    if not n_words or not langs:
         return UNDETERMINED, 0.0
-    total = [0.0] * len(langs)
-    for word, n in Counter(found).items():
-        for k, x in enumerate(scores[word]):
-            total[k] += n * x
-    best = max(range(len(langs)), key=lambda k: (total[k], -k))
-    scale = min(1.0, 10 / len(found))
-    return langs[best], 1.0 / sum(math.exp(max(-700.0, (x - total[best]) * scale)) for x in total)
+    best = int(np.argmax(logs))
+    return langs[best], float(1 / np.exp(np.maximum(-700.0, (logs - logs[best]) * min(1.0, 10 / n_words))).sum())
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -186,9 +228,11 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        scores = _Scores(m)
+        scores = Scores(m)
         for b in batches:
-            got = [classify(words(t.as_py()), scores, m["langs"]) for t in b.column(b.num_columns - 1)]
+            texts = [words(t.as_py()) for t in b.column(b.num_columns - 1)]
+            logs = scores.of(texts) if m["langs"] else texts
+            got = [verdict(x, len(t), m["langs"]) for x, t in zip(logs, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
     source = docs.select(*kept.columns, F.col(text).cast("string").alias("_whole_text"))

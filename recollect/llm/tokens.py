@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ START = "▁"
 #: Log probability of each byte of a character that is no piece: one byte token each.
 BYTE = -20.0
 #: Characters of pre-tokens that a task's trie holds before it starts anew; counts don't depend on it.
-NODES = 400_000
+NODES = 800_000
 #: A pre-token's characters from here on aren't put in the trie; the same sums run over arrays.
 DEEP = 64
 
@@ -31,56 +32,67 @@ def pieces(path: str = VOCABULARY) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(r + 1) - total for r, i in enumerate(own)}
 
 
+def ends(scores: dict[str, float]) -> dict[str, float | None]:
+    """Pieces to their scores, and all other ends of pieces to None: where a search backwards may go on."""
+    return {p[i:]: None for p in scores for i in range(1, len(p))} | scores
+
+
 class Trie(dict):
     """Pre-token to token count: the terminals of the trie, filled as they are asked for.
 
-    A node is (score, count, children) of a prefix: the best score over its segmentations
-    into pieces, and the tokens of the best one (of equal scores, the fewer tokens). A node is
-    computed from the nodes above it, once, whatever the number of pre-tokens that share it.
+    A node is a prefix: the best score over its segmentations into pieces, and the tokens of
+    the best one (of equal scores, the fewer tokens). It is computed from the nodes above it,
+    once, whatever the number of pre-tokens that share it. Nodes are numbered; ``below`` leads
+    from a node and a character to the next.
     """
 
     def __init__(self, scores: dict[str, float], nodes: int = NODES):
         super().__init__()
-        self.scores, self.longest, self.most = scores, max(map(len, scores), default=1), nodes
-        self.computed = 0
+        self.table, self.most, self.computed = ends(scores), nodes, 0
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self.root: tuple[float, int, dict] = (0.0, 0, {})
-        self.held = 0
+        self.below: dict[int, int] = {}
+        self.score, self.count = array("d", [0.0]), array("l", [0])
 
-    def _step(self, word: str, end: int, above: list) -> tuple[float, int]:
+    def _step(self, word: str, end: int, above: list[tuple[float, int]]) -> tuple[float, int]:
         """Forward score and tokens of word[:end] from those of its shorter prefixes."""
-        best, count = -math.inf, 0
-        get = self.scores.get
-        for begin in range(max(0, end - self.longest), end):
-            p = get(word[begin:end])
+        get = self.table.get
+        p = get(word[end - 1])
+        used = 1
+        if p is None:
+            used = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            p = BYTE * used
+        best, count = above[end - 1][0] + p, above[end - 1][1] + used
+        for begin in range(end - 2, -1, -1):
+            p = get(word[begin:end], 1.0)
             if p is None:
-                if end - begin > 1:
-                    continue
-                used = len(word[begin].encode("utf-8", "surrogatepass"))
-                p = BYTE * used
-            else:
-                used = 1
-            score, n = above[begin][0] + p, above[begin][1] + used
-            if score > best or (score == best and n < count):
-                best, count = score, n
+                continue
+            if p > 0:  # no piece ends so
+                break
+            score = above[begin][0] + p
+            if score > best or (score == best and above[begin][1] < count - 1):
+                best, count = score, above[begin][1] + 1
         self.computed += 1
         return best, count
 
     def __missing__(self, word: str) -> int:
-        if self.held > self.most or len(self) > self.most:
+        if len(self.score) > self.most or len(self) > self.most:
             self._reset()
         marked = START + word
-        node, above = self.root, [self.root]
+        node, above, below = 0, [(0.0, 0)], self.below
         for end in range(1, min(len(marked), DEEP) + 1):
-            child = node[2].get(marked[end - 1])
-            if child is None:
-                child = node[2][marked[end - 1]] = (*self._step(marked, end, above), {})
-                self.held += 1
-            node = child
-            above.append(node)
+            way = node << 21 | ord(marked[end - 1])
+            node = below.get(way, 0)
+            if not node:
+                score, count = self._step(marked, end, above)
+                node = below[way] = len(self.score)
+                self.score.append(score)
+                self.count.append(count)
+                above.append((score, count))
+            else:
+                above.append((self.score[node], self.count[node]))
         for end in range(DEEP + 1, len(marked) + 1):
             above.append(self._step(marked, end, above))
         count = above[-1][1]

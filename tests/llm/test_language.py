@@ -28,14 +28,18 @@ def all_segmentations(word, probs):
 def test_forward_sums_all_segmentations():
     rng = random.Random(1)
     probs = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 3))): rng.random() for _ in range(20)}
-    for word in ("abcabc", "a", "ccbax", "zzz"):
-        at = lid.forward(word, {p: (x,) for p, x in probs.items()}, 3, 1)
-        assert math.isclose(at[0][-1], all_segmentations(word, probs), rel_tol=1e-9)
+    table, both = lid.lattice({p: (x, x / 2) for p, x in probs.items()}, 2)
+    words = ["a", "abcabc", "abcb", "ccbax", "zzz"]
+    at = lid.forward(words, table, both)
+    for i, word in enumerate(words):
+        assert math.isclose(at[i, len(word), 0], all_segmentations(word, probs), rel_tol=1e-9)
+        assert math.isclose(at[i, len(word), 1], all_segmentations(word, {p: x / 2 for p, x in probs.items()}), rel_tol=1e-9)
 
 
 def test_expected_uses_cover_the_word():
     probs = {"a": 0.3, "b": 0.2, "ab": 0.4, "ba": 0.1}
-    uses = lid.expected("abab", probs, 2)
+    table, own = lid.lattice({p: (x,) for p, x in probs.items()}, 1)
+    uses = lid.expected("abab", lid.forward(["abab"], table, own)[0, :, 0], table, own[:, 0].tolist())
     assert math.isclose(sum(len(p) * x for p, x in uses), 4.0)
 
 
