@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(rows: DataFrame, kind: str, n: int, hash_of: list[str], order: list[str]) -> DataFrame:
+    """Of each value of ``kind`` the ``n`` rows of least xxhash64 of ``hash_of``, then by ``order``.
+
+    Kinds are counted first, and rows whose hash is far above what ``n`` of them reach are
+    dropped where they are read, so that the sort holds little more than the sample whatever
+    the table's size.
+    """
+    spread = F.pmod(F.xxhash64(*hash_of), F.lit(1 << 30))
+    counts = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("_count"))
+    near = rows.withColumn("_h", spread).join(F.broadcast(counts), kind)  # a row a kind
+    near = near.filter(F.col("_h") * F.col("_count") <= F.lit(float(1 << 30)) * (1.5 * n + 100))
+    rank = F.row_number().over(Window.partitionBy(kind).orderBy("_h", *order))
+    return near.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n", "_count", "_h")
+
+
 _shipped: set[str] = set()
 
 

@@ -19,6 +19,7 @@ isn't saturated is used, so that a long text is told as well as a short one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ WIDTH = 1 + DENSE + LEVELS * LANES
 CUT = r"(?<=\n)(?!\n)|(?<=[.!?|] )"
 #: Modulus of each lane, as a mask.
 MASKS = [(1 << 32) - 1] * (1 + DENSE) + [(1 << 16) - 1] * (LEVELS * LANES)
+#: Stands for a null doc_id, which sorts first.
+NONE = -(2**63)
 #: Rows of ids that one window of the successor search takes on average.
 BLOCK = 50_000
 
@@ -126,12 +129,14 @@ def successors(ids: DataFrame, key: str = "k") -> DataFrame:
     Windows see blocks of about BLOCK ids, then one id a block.
     """
     ids = saved(ids.select(key).distinct(), "fingerprint-ids")
-    low, high, n = ids.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    real = ids.filter(F.col(key) > NONE)
+    low, high, n = real.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if n == 0:
         return ids.withColumn("next_key", F.col(key))
-    blocks = n // BLOCK + 1
-    width = (int(high) - int(low)) // blocks + 1
-    block = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(int(low)).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("long")
+    width = (high - low) // (n // BLOCK + 1) + 1
+    exact = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")  # noqa: E731  ids may span all of a bigint
+    block = F.when(F.col(key) == NONE, -1).otherwise(F.floor((F.col(key).cast("decimal(20,0)") - exact(low)) / exact(width))).cast("long")
+    low = ids.agg(F.min(key)).first()[0]
     ids = ids.withColumn("block", block)
     firsts = ids.groupBy("block").agg(F.min(key).alias("first"))
     firsts = firsts.select("block", F.coalesce(F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("block")), F.lit(low)).alias("next_first"))
@@ -158,8 +163,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     columns are ignored. The whole text is shuffled once by doc_id; the next document is
     joined by id and only the part that its predecessor needs is sent on.
     """
-    none = -(2**63)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))  # one shuffle serves both joins
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))  # one shuffle serves both joins
     needs = saved(base.groupBy("k").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("need")), "fingerprint-needs")
     after = needs.join(successors(needs), "k").select(F.col("next_key").alias("k"), F.col("k").alias("before"), "need")
     given = base.join(after.hint("shuffle_hash"), "k")
@@ -169,7 +173,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("patch", F.lit(1), cut))
-    rows = base.join(given.hint("shuffle_hash"), "k").select(F.nullif("k", F.lit(none)).alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_lanes")
+    rows = base.join(given.hint("shuffle_hash"), "k").select(F.nullif("k", F.lit(NONE)).alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_lanes")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), lanes(F.col("text")).alias("a"), lanes(F.col("edited")).alias("b"), "next_lanes")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", to_hex(F.col("a")).alias("fingerprint"), to_hex(F.col("b")).alias("edited_fingerprint"),

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import saved, for_python
+from recollect.llm.common import for_python, least_by_hash, saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,9 +126,8 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, round
     """
     spark = docs.sparkSession
     for_python(spark)
-    labelled = docs.filter("text is not null and lang is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    chosen = labelled.withColumn("_n", rank).filter(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
+    labelled = docs.filter("text is not null and lang is not null").select("doc_id", "lang")
+    chosen = least_by_hash(labelled, "lang", per_language, ["doc_id"], ["doc_id"]).distinct()
     texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
     known = vocabulary(path)
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import saved
+from recollect.llm.common import least_by_hash, saved
 
 #: A candidate: an unbroken run of the characters that keys, tokens, hashes, numbers,
 #: addresses and paths are made of, of 12 or more, with a digit.
@@ -94,16 +94,16 @@ def scan(docs: DataFrame, sample: int = SAMPLE, trees: int = 20, depth: int = 6,
     found = saved(candidates(docs), "secrets-candidates")
     named = features()
     rows = found.withColumn("known", known_label()).withColumns({f"f_{k}": c for k, c in named.items()})
-    order = F.xxhash64("value", "left", "doc_id")
-    kinds = [rows.filter(F.col("known") == kind).select("known", *(f"f_{k}" for k in named), order.alias("o")).orderBy("o", *(f"f_{k}" for k in named)).limit(sample) for kind in (0.0, 1.0)]
-    labelled = saved(kinds[0].union(kinds[1]), "secrets-labelled")
+    inputs = [f"f_{k}" for k in named]
+    labelled = least_by_hash(rows.filter("known is not null"), "known", sample, ["value", "left", "doc_id", "n"], inputs)
+    labelled = saved(labelled.select("known", *inputs), "secrets-labelled")
     out = ["doc_id", "text_key", "n", "begin", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "known"]
     if labelled.select("known").distinct().count() < 2:
         verdict = F.coalesce(F.col("known"), F.lit(1.0))
         return rows.select(*out, verdict.alias("probability"), (verdict > 0.5).alias("is_secret"))
-    assembler = VectorAssembler(inputCols=[f"f_{k}" for k in named], outputCol="features")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     forest = RandomForestClassifier(labelCol="known", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, rawPredictionCol="raw", probabilityCol="p", predictionCol="verdict", featureSubsetStrategy="sqrt")
-    model = forest.fit(assembler.transform(labelled.repartition(1).sortWithinPartitions("o")))
+    model = forest.fit(assembler.transform(labelled.repartition(1).sortWithinPartitions("known", *inputs)))
     judged = model.transform(assembler.transform(rows))
     p = vector_to_array(F.col("p"))[1]
     return judged.select(*out, p.alias("probability"), (p > 0.5).alias("is_secret"))
