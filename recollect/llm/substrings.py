@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python
+from recollect.llm.common import for_python, saved
 
 #: Bytes of a repeated string; of an anchor; places of an anchor in a string.
 LENGTH, ANCHOR = 200, 32
@@ -148,7 +148,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         texts, squeeze = _texts(b.column(1)), zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag_of(t) for t in texts], pa.int32()), b.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], names=["k", "tag", "doc_id", "n_bytes", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag_of(t) for t in texts], pa.int32()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], names=["k", "tag", "z"])
 
 
 def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out = []
-        for z, found in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+        for z, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
             text = zstandard.ZstdDecompressor().decompress(z.as_py())
             kept, at, removed, n = [], 0, 0, 0
             end = -1
@@ -241,8 +241,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = end = stop
             kept.append(text[at:])
             rest = b"".join(kept)
-            out.append((removed, n, rest.decode("utf-8", "ignore") if n else None, hashlib.sha256(rest).hexdigest()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if n else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 #: Runs of one anchor, on average, in a part that one task refines at once.
@@ -264,22 +265,23 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     can split, and refined in parts of about PART runs. Texts are shuffled once, compressed.
     """
     for_python(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = source.select("k", "text").mapInArrow(_find_runs, "k long, pos long, anchor long, name long")
-    packed = source.mapInArrow(_compress, "k long, tag int, doc_id long, n_bytes long, z binary")
+    none = -(2**63)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.col("text").cast("string").alias("text"))
+    found = source.mapInArrow(_find_runs, "k long, pos long, anchor long, name long")
+    packed = source.mapInArrow(_compress, "k long, tag int, z binary")
 
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).filter("n > 1")
     anchors = anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    near = found.join(anchors, "anchor")
-    equal = Window.partitionBy("anchor", "name")
-    near = near.withColumn("weight", F.count(F.lit(1)).over(equal)).withColumn("nth", F.row_number().over(equal.orderBy("k", "pos")))
-    whole = near.filter("weight > 1").select("k", "pos")
-    one = F.struct("anchor", "pos", "weight", "parts")
+    near = saved(found.join(anchors, "anchor"), "substrings-near")
+    # Any run of a class can stand for it: what it says of its class is the same.
+    classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"), F.first("parts").alias("parts"))
+    classes = saved(classes, "substrings-classes")
+    whole = near.filter("not mixed").select("k", "pos").union(near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select("k", "pos"))
     tag = F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")
-    todo = near.filter("mixed and nth = 1").groupBy("k", tag).agg(F.collect_list(one).alias("runs"))  # one document's
+    todo = classes.groupBy("k", tag).agg(F.collect_list(F.struct("anchor", "pos", "weight", "parts")).alias("runs"))  # one document's
     named = packed.join(todo.hint("shuffle_hash"), ["k", "tag"]).select("k", "z", "runs")
     named = named.mapInArrow(_find_strings, "anchor long, part int, k long, pos long, weight long, names binary, at binary")
     single = named.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_refine, "k long, pos long")
     spans = whole.union(single).groupBy("k", tag).agg(F.collect_list("pos").alias("spans"))  # one document's
-    rows = packed.join(spans.hint("shuffle_hash"), ["k", "tag"], "left").select("doc_id", "n_bytes", "z", "spans")
+    rows = packed.join(spans.hint("shuffle_hash"), ["k", "tag"], "left").select(F.nullif("k", F.lit(none)).alias("doc_id"), "z", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
