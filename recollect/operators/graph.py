@@ -110,6 +110,21 @@ def comention(members: DataFrame, seeds: DataFrame) -> DataFrame:
     return pairs.groupBy("entity_id", "other").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes reached from ``start`` (column node) along the edges, at any depth, itself included.
+
+    Each round expands only what the last one reached anew; rounds are written out.
+    """
+    step = edges.select(F.col("source_id").alias("node"), "target_id")
+    seen = frontier = saved(start.select("node").distinct(), "graph-reached")
+    while True:
+        reached = frontier.join(step, "node").select(F.col("target_id").alias("node")).distinct()
+        frontier = saved(reached.join(seen, "node", "left_anti"), "graph-frontier")
+        if frontier.isEmpty():
+            return seen
+        seen = saved(seen.union(frontier), "graph-reached")
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, root: the least node reachable; minima spread and short-cut until nothing changes."""
     e = saved(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), "graph-edges")

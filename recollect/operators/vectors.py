@@ -156,7 +156,7 @@ class InvertedLists:
 
         return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(place, "id long, embedding array<float>, list int")
 
-    def search(self, queries: DataFrame, k: int, probes: int = 6, digits: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int = 12, digits: int = 6) -> DataFrame:
         """query_id, id, similarity, rank among the rows of each query's ``probes`` nearest lists."""
         asked = self.assign(queries, probes).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), "list")
         pairs = self.rows.join(asked, "list").filter("id <> query_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollect.operators import sessions as op
 from recollect.operators import versions
+from recollect.operators.graph import descendants
 from recollect.plans.registry import query
 from recollect.sources.tables import operations, table
 
@@ -136,17 +137,11 @@ def m7_touch_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id NOT IN (SELECT id FROM d)""")
 def m8_recursive_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads that stay when those with a system turn, and all below them, are deleted."""
-    from recollect.operators.graph import k_hop
-
     rows = table(spark, sf_dir, "conversations")
     ids = rows.select(F.col("conv_id").alias("id")).distinct()
     parents = ids.filter("id > 0").select(F.floor(F.col("id") / 2).alias("source_id"), F.col("id").alias("target_id"))
-    gone = rows.filter("role = 'system'").select(F.col("conv_id").alias("node")).distinct()
-    while True:
-        more = k_hop(parents, gone.select("node"), 6, "outgoing").select("node").distinct()
-        if more.count() == gone.count():
-            return ids.join(more.withColumnRenamed("node", "id"), "id", "left_anti")
-        gone = more
+    gone = descendants(parents, rows.filter("role = 'system'").select(F.col("conv_id").alias("node")))
+    return ids.join(gone.withColumnRenamed("node", "id"), "id", "left_anti")
 
 
 @query("SELECT user_id AS id, count(*) AS reads, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_read FROM events WHERE event_type = 'view' GROUP BY user_id")
