@@ -32,4 +32,45 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-SQL: dict[str, str] = {"op3_mixing": OP3}
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(0, greatest(0, len(x) // 2 - 199))) AS i FROM d)
+), m AS (
+  SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), s AS (
+  SELECT r, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS g
+  FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) AS p FROM m)
+), sp AS (
+  SELECT r, min(i) AS b, max(i) + 200 AS e FROM s GROUP BY r, g
+), k AS (
+  SELECT r, e AS b, coalesce(lead(b) OVER (PARTITION BY r ORDER BY b), 1000000000) AS e, b AS first_b, row_number() OVER (PARTITION BY r ORDER BY b) AS n FROM sp
+), piece AS (
+  SELECT k.r, 0 AS n, substr(x, 1, 2 * first_b) AS p FROM k JOIN d ON d.r = k.r WHERE k.n = 1
+  UNION ALL SELECT k.r, k.n, substr(x, 2 * k.b + 1, 2 * (k.e - k.b)) FROM k JOIN d ON d.r = k.r
+), kept AS (
+  SELECT r, string_agg(p, '' ORDER BY n) AS x FROM piece GROUP BY r
+), st AS (
+  SELECT r, sum(e - b)::BIGINT AS removed, count(*) AS spans FROM sp GROUP BY r
+)
+SELECT doc_id, (len(d.x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN st ON st.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+OP6 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), e AS (
+  SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS shown FROM c
+)
+SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(shown) + count(*) * length('<|turn|><|text|><|end|>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op3_mixing": OP3, "op4_substrings": OP4, "op6_chat": OP6}

@@ -1,0 +1,25 @@
+"""Queries that SQL can express give the rows that DuckDB gives for them."""
+
+import duckdb
+import pytest
+
+from recollect.llm.queries import QUERIES
+from recollect.llm.sql import SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, small, name):
+    db = duckdb.connect()
+    for t in ("documents", "conversations"):
+        db.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = QUERIES[name](spark, small)
+    columns = sorted(df.columns)
+    found = db.sql(SQL[name])
+    place = {c: i for i, c in enumerate(found.columns)}
+    assert sorted(place) == columns
+    got = sorted(str([r[c] for c in columns]) for r in df.collect())
+    assert got == sorted(str([r[place[c]] for c in columns]) for r in found.fetchall())
+
+
+def test_every_dealt_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
