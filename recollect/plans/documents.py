@@ -121,7 +121,7 @@ def p16_quote_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(quotes, F.contains("text", "quote")).select("item_id", "doc_id", (F.position("quote", "text") - 1).cast("long").alias("begin_at"))
 
 
-@query("SELECT source, count(*) AS objects, sum(n_chars)::BIGINT AS apparent, sum(n_chars / c)::DOUBLE AS deduped_raw, round(sum(n_chars) / sum(n_chars / c), 4) AS ratio FROM (SELECT *, count(*) OVER (PARTITION BY source, sha256(text)) AS c FROM documents) GROUP BY source".replace("sum(n_chars / c)::DOUBLE AS deduped_raw, ", "").replace("sum(n_chars / c)", "sum(n_chars::DOUBLE / c)"))
+@query("SELECT source, count(*) AS objects, sum(n_chars)::BIGINT AS apparent, round(sum(n_chars) / sum(n_chars::DOUBLE / c), 4) AS ratio FROM (SELECT *, count(*) OVER (PARTITION BY source, sha256(text)) AS c FROM documents) GROUP BY source")
 def p18_storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("c"), F.sum("n_chars").alias("all"), F.first("n_chars").alias("one"))
     return texts.groupBy("source").agg(F.sum("c").alias("objects"), F.sum("all").alias("apparent"), F.round(F.try_divide(F.sum("all"), F.sum("one")), 4).alias("ratio"))

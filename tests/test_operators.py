@@ -149,3 +149,17 @@ def test_superseded_and_crossings(spark):
 def test_tags_and_json(spark):
     df = spark.createDataFrame([(["a", "b"], '{"k": 7}')], "tags array<string>, j string")
     assert df.select(predicates.tags_all(F.col("tags"), ["a", "b"]), predicates.tags_any(F.col("tags"), ["z"]), predicates.json_contains(F.col("j"), {"k": "7"})).first() == (True, False, True)
+
+
+def test_formats(spark, tmp_path):
+    from recollect.sources import formats
+
+    with pytest.raises(ValueError):
+        formats.format_of("x.exe")
+    df = spark.createDataFrame([(1, 'a "quoted", one'), (2, None)], "k long, v string")
+    for end in ("csv", "tsv", "ndjson", "parquet"):
+        formats.write(df, f"{tmp_path}/t.{end}")
+        assert sorted(formats.read(spark, f"{tmp_path}/t.{end}", "k long, v string").collect()) == sorted(df.collect())
+    polled = formats.poll_files(spark, str(tmp_path), "*.parquet")
+    assert polled.count() > 0 and {r.content_type for r in polled.collect()} == {"parquet"}
+    assert formats.new_files(polled, polled).count() == 0 and formats.new_files(polled, polled, full=True).count() == polled.count()
