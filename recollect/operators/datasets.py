@@ -30,6 +30,11 @@ def slice_rows(data: DataFrame, columns: list[str] | None = None, filters: list[
     return with_total(rows, page.select(*(columns or data.columns)))
 
 
+def total_matching(data: DataFrame, filters: list[tuple[str, str, object]]) -> DataFrame:
+    """One row, total_matching: the rows that a slice's filters let through."""
+    return data.filter(reduce(lambda a, b: a & b, [condition(data, *f) for f in filters], F.lit(True))).agg(F.count(F.lit(1)).alias("total_matching"))
+
+
 def slice_sql(data: DataFrame, statement: str) -> DataFrame:
     """A SELECT over the view ``data``; it may read nothing else."""
     if not re.match(r"\s*(select|with)\b", statement, re.I):

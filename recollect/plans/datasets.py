@@ -54,7 +54,7 @@ def d2_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS total_matching FROM events WHERE value > 50 AND event_type <> 'view'")
 def d3_total_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = [("value", ">", 50), ("event_type", "!=", "view")]
-    return op.slice_rows(table(spark, sf_dir, "events"), ["event_id"], filters, "event_id", limit=1).select(F.col("total").alias("total_matching"))
+    return op.total_matching(table(spark, sf_dir, "events"), filters)
 
 
 def _each(columns: list[str], one: str) -> str:
