@@ -17,11 +17,11 @@ from recollect.sources.shared import shared_dir
 LATE = "30 days"
 
 
-def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, name: str = "events", files_per_batch: int = 1000) -> DataFrame:
     """A table's files as a stream, times as timestamps."""
     path = f"{sf_dir}/{name}.parquet"
     batch = spark.read.parquet(path)
-    source = spark.readStream.schema(batch.schema)
+    source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_batch)
     if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in batch.inputFiles()):
         stream = source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     else:
