@@ -272,6 +272,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).filter("n > 1")
     anchors = anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    anchors = saved(anchors, "substrings-anchors")  # read back, so that Spark can split the join's large keys
     near = saved(found.join(anchors, "anchor"), "substrings-near")
     # Any run of a class can stand for it: what it says of its class is the same.
     classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"), F.first("parts").alias("parts"))
