@@ -32,6 +32,8 @@ LONGEST_WORD = 40
 #: Words a task keeps scores of.
 CACHE = 400_000
 UNDETERMINED = "und"
+#: Chosen ids up to which they are broadcast to the documents; beyond, both are shuffled.
+BROADCAST_IDS = 200_000
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
@@ -127,8 +129,9 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, round
     spark = docs.sparkSession
     for_python(spark)
     labelled = docs.filter("text is not null and lang is not null").select("doc_id", "lang")
-    chosen = least_by_hash(labelled, "lang", per_language, ["doc_id"], ["doc_id"]).distinct()
-    texts = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    chosen = saved(least_by_hash(labelled, "lang", per_language, ["doc_id"], ["doc_id"]).distinct(), "language-chosen")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    texts = docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"], "left_semi").select("lang", "text")
     known = vocabulary(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
