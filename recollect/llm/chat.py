@@ -21,7 +21,8 @@ from recollect.llm.common import for_python
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Control strings of the template. All begin with "<|", which a text never shows unescaped.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-MARKS = re.compile(r"<\|turn\|>((?:[^<\\]|\\.|<(?!\|))*)<\|text\|>((?:[^<\\]|\\.|<(?!\|))*)<\|end\|>", re.S)
+BODY = r"((?:[^<\\]++|\\.|<(?!\|))*+)"
+MARKS = re.compile(rf"<\|turn\|>{BODY}<\|text\|>{BODY}<\|end\|>", re.S)
 
 
 def escape(text: str) -> str:
@@ -90,7 +91,10 @@ def encoder(path: str = TOKENIZER):
 
 
 def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "assistant") -> DataFrame:
-    """conv_id, roles, texts, formatted, n_tokens, input_ids, loss (token, begin, end) a conversation.
+    """conv_id, formatted, n_tokens, input_ids, and the loss mask of each conversation.
+
+    The mask is three lists: loss_token, the masked tokens' numbers, and loss_begin and
+    loss_end, the part of ``formatted`` that each covers.
 
     ``rows`` has conv_id, turn, role, text. Turns are ordered by turn, null first, equal turns
     by role and text; null role and text count as empty. Null conv_ids make one conversation.
@@ -102,7 +106,7 @@ def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "as
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     whole = whole.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
-    schema = pa.schema([("conv_id", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("formatted", pa.string()), ("n_tokens", pa.int64()), ("input_ids", pa.list_(pa.int32())), ("loss", pa.list_(pa.struct([("token", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())])))])
+    schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("n_tokens", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("input_ids", "loss_token", "loss_begin", "loss_end"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
@@ -111,12 +115,12 @@ def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "as
             for conv, roles, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 formatted, spans = render(list(zip(roles, texts, strict=True)))
                 got = tokenizer.encode(formatted, add_special_tokens=False)
-                loss = [{"token": k, "begin": x, "end": y} for k, x, y in mask(got.offsets, spans, role)]
-                for k, v in zip(schema.names, (conv, roles, texts, formatted, len(got.ids), got.ids, loss), strict=True):
+                loss = list(zip(*mask(got.offsets, spans, role), strict=True)) or [(), (), ()]
+                for k, v in zip(schema.names, (conv, formatted, len(got.ids), got.ids, *loss), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return whole.mapInArrow(run, "conv_id long, roles array<string>, texts array<string>, formatted string, n_tokens long, input_ids array<int>, loss array<struct<token: int, begin: int, end: int>>")
+    return whole.mapInArrow(run, "conv_id long, formatted string, n_tokens long, input_ids array<int>, loss_token array<int>, loss_begin array<int>, loss_end array<int>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -127,12 +131,12 @@ def digests(formatted: DataFrame) -> DataFrame:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
             out = []
-            for conv, text, loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for conv, text, *loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 turns = parse(text)
-                said = under(text, [(x["token"], x["begin"], x["end"]) for x in loss])
+                said = under(text, list(zip(*loss, strict=True)))
                 out.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(text)))
             names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
             types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=list(names))
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_token", "loss_begin", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
