@@ -75,7 +75,7 @@ def features() -> dict[str, Column]:
 
 def known_label() -> Column:
     """1.0: a known secret; 0.0: a known false positive; null: unlabelled."""
-    assigned = F.concat(F.col("left"), F.regexp_extract("value", r"^(?:.*[:])?", 0)).rlike(KEYWORD)
+    assigned = F.col("left").rlike(KEYWORD)
     return F.when(F.col("value").rlike(PROVIDER), 1.0).when(F.col("value").rlike(BENIGN), 0.0).when(assigned & F.col("value").rlike(OPAQUE), 1.0)
 
 
