@@ -277,7 +277,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # Any run of a class can stand for it: what it says of its class is the same.
     classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"), F.first("parts").alias("parts"))
     classes = saved(classes, "substrings-classes")
-    whole = near.filter("not mixed").select("k", "pos").union(near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select("k", "pos"))
+    again = near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select("k", "pos")
+    whole = near.filter("not mixed").select("k", "pos").union(saved(again, "substrings-again"))  # a join alone, which Spark can split
     tag = F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")
     todo = classes.groupBy("k", tag).agg(F.collect_list(F.struct("anchor", "pos", "weight", "parts")).alias("runs"))  # one document's
     named = packed.join(todo.hint("shuffle_hash"), ["k", "tag"]).select("k", "z", "runs")
