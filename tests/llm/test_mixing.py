@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from hard_rows import ROWS
+
 from recollect.llm import mixing
 
 
@@ -23,8 +25,6 @@ def by_hand(rows, share=1.5, epochs=2, weights=(3, 1, 2)):
 
 
 def test_targets_taken_and_limits(spark, hard):
-    from conftest import ROWS
-
     size, target = by_hand(ROWS)
     rows = mixing.mix(hard).collect()
     assert len(rows) == len(ROWS)
