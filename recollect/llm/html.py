@@ -4,7 +4,8 @@ Tags (with their path) and text blocks are a page's tokens. A token's occurrence
 often it occurs on each page of its host. Tokens of one vector, on enough pages, make an
 equivalence class; a class is valid on a page if its tokens come there in one order, over and
 over, and classes whose spans nest make the host's template. Text that the template doesn't
-hold fills its slots, and the slots outside menus, notices and the like are the main text.
+hold fills its slots, and the slots outside menus, notices and the like are the main text; an
+article or main element tells which of them on the pages that have one.
 
 Vectors aren't gathered: a vector's random projection onto two numbers a page is a sum, so
 equal vectors are found by aggregation, whatever the number of a host's pages.
@@ -204,14 +205,19 @@ def template(tokens: list[int], classes: list[list[int]]) -> set[int]:
 def extract(source: str | None, classes: list[list[int]]) -> str:
     """The main text: blocks in page order, two line ends between.
 
-    If the page has an article or main element: its blocks, but for those in menus, notices,
-    comments and so on. Else all blocks outside those, without text that the template holds.
+    Slots, the text that the template doesn't hold, outside menus, notices, comments and so on.
+    An article or main element is evidence of where the main text is: if the page has one, only
+    its slots count, and if the template holds all of its text (all of a host's pages are
+    alike), that text is the main text.
     """
     page = Page(source)
-    if any(main for _, _, main, _ in page.blocks):
-        return "\n\n".join(text for text, dropped, main, _ in page.blocks if main and not dropped)
     held = template(page.tokens, classes) if classes else set()
-    return "\n\n".join(text for text, dropped, _, at in page.blocks if not dropped and at not in held)
+    blocks = [b for b in page.blocks if not b[1]]
+    if any(main for _, _, main, _ in page.blocks):
+        blocks = [b for b in blocks if b[2]]
+        if all(b[3] in held for b in blocks):
+            held = set()
+    return "\n\n".join(text for text, _, _, at in blocks if at not in held)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -288,7 +294,11 @@ def main_text(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield batch(b, [extract(h.as_py(), c.as_py() or []) for h, c in zip(b.column(2), b.column(3), strict=True)])
 
-    of = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    salted = rows.withColumn("host", of).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host(u) for u in b.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
+
+    hosted = rows.mapInArrow(placed, "page_id long, url string, html string, host string")
+    salted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     dealt = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(dealt, ["host", "salt"], "left").select("page_id", "url", "html", "classes").mapInArrow(joined, schema)

@@ -67,3 +67,24 @@ def test_occurrence_classes_against_brute_force(spark, small):
             want[of, tuple(sorted(v.items()))].add(t)
     want = sorted((of, sorted(ts)) for (of, _), ts in want.items() if len(ts) >= html.TOKENS)
     assert sorted((r.host, sorted(c)) for r in html.templates(pages).collect() for c in r.classes) == want
+
+
+def article(url, i):
+    return (i, url, f"<html><body><article><h1>Title {i}</h1><p>unique words {i * 7}</p><div class=zz9><p>Read this on our host</p></div></article></body></html>")
+
+
+def test_template_decides_inside_articles_too(spark):
+    alike = [(100 + i, f"http://alike.example/{i}", "<article><h1>One</h1><p>Same text</p></article>") for i in range(5)]
+    df = spark.createDataFrame([article(f"http://a.example/{i}", i) for i in range(12)] + alike, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert out[3] == "Title 3\n\nunique words 21"
+    assert out[100] == "One\n\nSame text"
+
+
+def test_joined_equals_broadcast_for_unusual_urls(spark, monkeypatch):
+    urls = ["//a.example/{}", "http://[::1]:8080/{}", " http://b.example/{}"]
+    df = spark.createDataFrame([article(u.format(i), 100 * n + i) for n, u in enumerate(urls) for i in range(6)], "page_id long, url string, html string")
+    want = sorted(html.main_text(df).collect())
+    monkeypatch.setattr(html, "BROADCAST_TOKENS", 0)
+    assert sorted(html.main_text(df).collect()) == want
+    assert all("our host" not in r.text for r in want)
