@@ -60,3 +60,31 @@ def test_near_duplicates_hard_cases(spark, hard, nothing):
     kept = simhash.first_of_each(hard)
     assert kept.columns == hard.columns
     assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect()) == [(False, None), (True, 1), (True, 3), (True, 6), (True, 7), (True, 9)]
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*(t.lower().split()[i:] for i in range(5)), strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_first_of_each_against_all_pairs_of_jaccard(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(500)) for _ in range(150)]
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(rng.randint(1, 5)):
+                base[rng.randrange(150)] = "x" + str(rng.randrange(10**6))
+    up = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j]) >= 0.8:
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) == sorted(set(up))
+    # Rows without an id, or of one id, are told apart by their texts.
+    for id_ in (None, 7):
+        df = spark.createDataFrame([(id_, texts[0]), (id_, texts[0]), (id_, texts[6]), (id_, texts[12])], "doc_id long, text string")
+        assert sorted(r.text for r in simhash.first_of_each(df).collect()) == sorted([texts[0], texts[6], texts[12]])
