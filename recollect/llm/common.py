@@ -46,6 +46,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be none of ``df``'s columns."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def least_by_hash(rows: DataFrame, kind: str, n: int, hash_of: list[str], order: list[str]) -> DataFrame:
     """Of each value of ``kind`` the ``n`` rows of least xxhash64 of ``hash_of``, then by ``order``.
 

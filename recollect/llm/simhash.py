@@ -5,14 +5,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import saved, for_python
+from recollect.llm.common import for_python, fresh, saved
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -20,6 +22,12 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEGMENTS, BITS, MOST = 4, 16, 3
 #: Bands of least hashes, and least hashes of a band, that find candidates by Jaccard similarity.
 BANDS, ROWS = 40, 5
+#: A set of shingles' SimHash has 64 x WIDE bits. At a Jaccard of 0.8 two differ in 39 of 256 on
+#: average, spread 6; MOST_WIDE lies 7 spreads above, CHAIN is the pigeonring's chain there.
+WIDE, MOST_WIDE, CHAIN = 4, 80, 3
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+#: Shingles that a part of a band holds.
+MEMORY = 2_000_000
 #: Members of a bucket that are compared with each other at once.
 CHUNK = 1024
 
@@ -217,54 +225,157 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), i) - 2**63 for i, part in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def wide(hashes: np.ndarray) -> list[int]:
+    """The SimHash of a set of hashes in 64 x WIDE bits, as WIDE signed numbers."""
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = hashes[at : at + 16384, None] * MIXERS
+        part ^= part >> np.uint64(32)
+        counts += np.unpackbits((part * MIXERS).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def ring(x: Column, y: Column) -> Column:
+    """Whether two wide SimHashes pass the pigeonring and the full Hamming check.
+
+    2 x WIDE segments of 32 bits stand in a ring. If at most MOST_WIDE bits differ, some segment
+    begins a chain whose first 1, 2, 3 segments differ in at most as many shares of MOST_WIDE.
+    """
+    apart = F.flatten(F.zip_with(x, y, lambda a, b: F.array(F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 32)), F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(0xFFFFFFFF))))))
+
+    def passes(d: Column) -> Column:
+        n, found = 2 * WIDE, F.lit(False)
+        for begin in range(n):
+            sums = [reduce(add, (F.get(d, (begin + k) % n) for k in range(length))) * n <= length * MOST_WIDE for length in range(1, CHAIN + 1)]
+            found |= reduce(and_, sums)
+        return found & (F.aggregate(d, F.lit(0), lambda s, b: s + b) <= MOST_WIDE)
+
+    return F.element_at(F.transform(F.array(apart), passes), 1)
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, t, node, bands of each row: t is the text's hash, node its set of shingles' hash."""
+    """doc_id, t, node, fp, size, bands of each row.
+
+    t is the text's hash, node its set of shingles' hash, fp the set's wide SimHash.
+    """
     for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(2)]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "t", "node", "bands"])
+            lists = ([wide(s) for s in sets], [bands(s) if len(s) else [] for s in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["doc_id", "t", "node", "size", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, t long, node long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, t long, node long, size long, fp array<long>, bands array<long>")
 
 
-def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Of ``pairs`` of nodes (src, dst) those whose sets of shingles have a Jaccard of at least ``least``."""
-    asked = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    wanted = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+def sets_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, s: the set of shingles of each distinct node of ``asked``, computed again from one text of it."""
+    wanted = rows.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
     texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).join(wanted, "t").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
-    sets = saved(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, s array<long>"), "similar-sets")
+    return saved(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, s array<long>"), "similar-sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of ``pairs`` of nodes (src, dst) those whose sets of shingles have a Jaccard of at least ``least``."""
     both = pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("x")), "src").join(sets.select(F.col("node").alias("dst"), F.col("s").alias("y")), "dst")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("src", "dst")
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def ring_pairs(fp: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` pass ``ring`` with ``fp``."""
+    n = 2 * WIDE
+    d = np.bitwise_count((others ^ fp).view(np.uint32)).astype(np.int64)
+    ahead = np.concatenate([d, d], 1)
+    sums, chains = np.zeros_like(d), np.ones(d.shape, bool)
+    for length in range(1, CHAIN + 1):
+        sums += ahead[:, length - 1 : length - 1 + n]
+        chains &= sums * n <= length * MOST_WIDE
+    return chains.any(1) & (d.sum(1) <= MOST_WIDE)
+
+
+def tree(nodes: np.ndarray, roots: np.ndarray, probe: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a probe and a node that is none which connect what is similar: a tree's worth."""
+    ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    begins = np.cumsum(sizes) - sizes
+    own = np.unique(roots, return_inverse=True)[1].copy()  # the component of each, as links join them
+    mark, out = np.zeros(len(ids), np.uint8), []
+    for i in np.flatnonzero(probe).tolist():
+        other = np.flatnonzero(~probe & (own != own[i]))
+        other = other[ring_pairs(fps[i], fps[other])]
+        if not len(other):
+            continue
+        mine = flat[begins[i] : begins[i] + sizes[i]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[flat], begins, dtype=np.int32)[other]
+        mark[mine] = 0
+        for j in other[common >= least * (sizes[i] + sizes[other] - common)].tolist():
+            if own[i] != own[j]:
+                own[own == own[j]] = own[i]
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def rest_links(held: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """Links that connect what is similar among the nodes of each key of ``held`` (key, node, root, fp).
+
+    Nodes of a key's largest component need no comparison with each other: the rest, the
+    probes, are held against all. Both are cut into parts of about ``chunk`` nodes or MEMORY
+    shingles, and each part of probes against each part of nodes is a task's work of its own,
+    so that a large key is spread and no pair is left out. A task gives a tree, not all pairs.
+    """
+    nodes = saved(held.join(sets.withColumn("size", F.size("s")), "node"), "similar-rest")
+    sums = nodes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sums = sums.groupBy("key").agg(F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / chunk), F.ceil(size / MEMORY), F.lit(1)).cast("int")
+
+    dealt = sums.select("key", F.col("main.root").alias("most"), parts(F.col("n"), F.col("size")).alias("parts"), parts(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("turns"))
+    nodes = nodes.join(saved(dealt, "similar-parts"), "key")
+    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = nodes.select("key", "node", "root", "fp", "s", F.lit(False).alias("probe"), deal("parts", 0).alias("part"), every("turns").alias("turn"))
+    probes = nodes.filter("root <> most").select("key", "node", "root", "fp", "s", F.lit(True).alias("probe"), every("parts").alias("part"), deal("turns", 1).alias("turn"))
+
+    def run(group: pa.Table) -> pa.Table:
+        column = lambda c: group.column(c).combine_chunks()
+        fps = column("fp").flatten().to_numpy().view(np.uint64).reshape(-1, WIDE)
+        sets = [x.values.to_numpy() for x in column("s")]
+        found = tree(column("node").to_numpy(), column("root").to_numpy(), column("probe").to_numpy(zero_copy_only=False), fps, sets, least)
+        return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
+
+    return base.union(probes).groupBy("key", "part", "turn").applyInArrow(run, "src long, dst long")
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, words: int, least: float, chunk: int = CHUNK) -> DataFrame:
     """Links that connect all nodes of ``rows`` (see ``sketches``) that are similar and share a band.
 
     First each node is held against the least of its band; then, in bands that are still of
-    several components, all pairs of different components are, so that no pair is left out.
+    several components, nodes of different components are held against each other. The
+    pigeonring prunes both before the sets of shingles are compared.
     """
-    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
-    keyed = saved(nodes.select("node", F.explode("bands").alias("key")), "similar-bands")
-    centres = keyed.groupBy("key").agg(F.min("node").alias("src"), F.max("node").alias("last")).filter("src <> last").drop("last")
+    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    keyed = nodes.select("node", "fp", F.explode("bands").alias("key"))
+    keyed = saved(keyed, "similar-bands")
+    centres = keyed.groupBy("key").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.max("node").alias("last")).filter("c.node <> last").select("key", F.col("c.node").alias("src"), F.col("c.fp").alias("to"))
     held = saved(keyed.join(centres, "key"), "similar-shared")
-    first = saved(held.filter("src <> node").select("src", F.col("node").alias("dst")).distinct(), "similar-pairs")
-    linked_ = saved(similar(first, rows, docs, words, least), "similar-links")
-    placed = held.join(components(linked_), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    first = held.filter("src <> node").select("src", F.col("node").alias("dst"), "fp", "to").dropDuplicates(["src", "dst"])
+    first = saved(first.filter(ring(F.col("fp"), F.col("to"))).select("src", "dst"), "similar-pairs")
+    sets = sets_of(first.select(F.col("src").alias("node")).union(first.select("dst")), rows, docs, words)
+    linked_ = saved(similar(first, sets, least), "similar-links")
+    placed = held.join(components(linked_), "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     placed = saved(placed.join(mixed, "key", "left_semi"), "similar-mixed")
-    other = placed.select("key", F.col("node").alias("dst"), F.col("root").alias("to"))
-    second = placed.join(other, "key").filter("root <> to and node < dst").select(F.col("node").alias("src"), "dst").distinct()
-    second = saved(second.join(first, ["src", "dst"], "left_anti"), "similar-pairs")
-    return linked_.union(similar(second, rows, docs, words, least))
+    return linked_.union(rest_links(placed, sets_of(placed, rows, docs, words), least, chunk))
 
 
 def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -280,8 +391,9 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
     roots = components(similar_links(rows, docs, words, least))
     named = rows.select("doc_id", "t", "node").join(roots, "node", "left")
     best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("k"))
-    kept = best.select(F.col("k.none").alias("_o"), F.col("k.id").alias("_k"), F.col("k.t").alias("_t"))
+    none, key, text, n = fresh(docs, "none", "key", "text_key", "copy")
+    kept = best.select(F.col("k.none").alias(none), F.col("k.id").alias(key), F.col("k.t").alias(text))
     id_ = F.col("doc_id").cast("long")
-    stay = docs.withColumns({"_o": id_.isNull(), "_k": F.coalesce(id_, F.lit(0)), "_t": F.xxhash64("text")}).join(kept.hint("shuffle_hash"), ["_o", "_k", "_t"], "left_semi")
-    one = F.row_number().over(Window.partitionBy("_o", "_k", "_t").orderBy("text"))
-    return stay.withColumn("_n", one).filter("_n = 1").drop("_o", "_k", "_t", "_n").select(docs.columns)
+    stay = docs.withColumns({none: id_.isNull(), key: F.coalesce(id_, F.lit(0)), text: F.xxhash64("text")}).join(kept.hint("shuffle_hash"), [none, key, text], "left_semi")
+    one = F.row_number().over(Window.partitionBy(none, key, text).orderBy("text"))
+    return stay.withColumn(n, one).filter(F.col(n) == 1).select(docs.columns)
