@@ -20,7 +20,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "virtual_finish")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "text_key", "virtual_finish")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,23 @@ WITH s AS (
               ELSE (SELECT arg_min(level, n) FROM lv WHERE level * w < cap) * w END AS target
   FROM lv
 ), c AS (
-  SELECT s.*, source_size, target,
+  SELECT s.*, source_size, target, coalesce('=' || s.source, '') AS skey,
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source
+), e AS (
+  SELECT *, unnest([0, 1]) AS epoch FROM c
+), q AS (
+  SELECT *, unnest(range(greatest(1, ceil(size / 256))::BIGINT)) AS p FROM e
+), f AS (
+  SELECT *, least(256, size - p * 256) AS words,
+         CASE WHEN target > 0 THEN (a + epoch * source_size + least(size, (p + 1) * 256))::DOUBLE / target ELSE 1 END AS finish
+  FROM q
+), g AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY finish, skey, k, a, r, epoch, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM f
 )
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target) - a)) + greatest(0, least(size, floor(target) - a - source_size)))::BIGINT AS taken
-FROM c
+       sum(greatest(0, least(words, floor((SELECT sum(size) FROM s) * 1.5::DOUBLE) - gone)))::BIGINT AS taken
+FROM g GROUP BY r, doc_id, size, source_size, target
 """
 
 OP4 = r"""
