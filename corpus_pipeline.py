@@ -42,8 +42,8 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, and when its first copy ends."""
-    return mixing.mix(docs)
+    """The documents that the mix takes words of, their texts, and how many words it takes of each."""
+    return mixing.mix_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
