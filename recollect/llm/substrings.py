@@ -1,20 +1,22 @@
 """Exact substring deduplication by bucket-pointer refinement.
 
-A suffix's bucket names its first bytes. Initial buckets are 8-byte q-grams; a bucket of twice
-the length is named by the bucket at a position and the bucket at the offset behind it, so each
-refinement reuses the identifiers that the last one made: 8, 16, 32, 64, 128 bytes, then 200 by
-two overlapping ones. Identifiers are 64-bit hashes of the pair, so that every task names alike
-without a global sort, and suffixes need only be compared to 200 bytes.
-
-Sorting all suffixes of a corpus would move many times its size, so they are refined in groups.
-Of the 32-byte buckets in a 200-byte string the least one, leftmost of equals, is its anchor.
-Equal strings have equal anchors at equal offsets; strings that follow each other and share an
-anchor are a run, named by its length and its first and last string's buckets.
-
-1. Runs whose anchor's bucket is found once are singletons and done.
+A suffix's bucket holds the suffixes that begin alike; only the first 200 bytes count. Sorting
+all suffixes of a corpus would move many times its size, so they are first dealt to groups that
+hold all equal strings, and each group is refined for itself.
+
+Grouping. Of the 32-byte q-grams in a 200-byte string the one of least hash, leftmost of equals,
+is its anchor. Equal strings have equal anchors at equal offsets; strings that follow each other
+and share an anchor are a run, named by its length and hashes of its first and last string.
+
+1. Runs whose anchor is found once are singletons and done.
 2. Runs equal as a whole are repeated as a whole, and stand for one run from then on.
-3. What is left are different runs around equal anchors. They are refined to single strings
-   by sorting on the anchor's bucket and their own, which settles each of them exactly.
+3. What is left are different runs around equal anchors: their bytes go to the anchor's group.
+
+Refinement of a group (``refine``). Suffixes are sorted into buckets of their first 8 bytes. A
+bucket of suffixes alike in n bytes is sorted again by the identifiers of the buckets that stand
+n bytes later, which were refined in the rounds before, so each round doubles n: 8, 16, 32, 64,
+128, and 200 by two that overlap. Suffixes alone in their bucket are settled and sorted no more.
+Identifiers are ranks, so the refinement compares bytes exactly.
 """
 
 from __future__ import annotations
@@ -114,109 +116,125 @@ def runs(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in out.items()}
 
 
-def strings(text: bytes, start: int, size: int) -> np.ndarray:
-    """Identifiers of the ``size`` strings of LENGTH bytes from byte ``start`` on."""
-    return buckets(np.frombuffer(text, np.uint8, size + LENGTH - 1, start))[1]
-
+def refine(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Bucket identifiers of strings of ``length`` bytes: ``sizes`` of them from each of ``begins`` on.
 
-def pack(start: np.ndarray, tag: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """start (31 bits), tag (16), size (8) and shift (8) as one bigint."""
-    return (start.astype(np.int64) << 32) | (tag.astype(np.int64) << 16) | (size.astype(np.int64) << 8) | shift.astype(np.int64)
-
-
-def tag_of(text: bytes) -> int:
-    """16 bits that tell apart different texts of rows with one doc_id."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
+    Equal identifiers mean equal bytes. ``data`` is the stretches side by side, each followed by
+    the ``length`` - 1 bytes that its last string needs.
+    """
+    starts = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    q = data.astype(np.uint64)
+    for n in (1, 2, 4):
+        q = q[:-n] | (q[n:] << np.uint64(8 * n))
+    ids = np.zeros(len(data), np.int64)
+    ids[: len(q)] = np.unique(q, return_inverse=True)[1]
+    alike = 8
+    while alike < length:
+        later = min(alike, length - alike)
+        whole = starts if alike + later == length else np.arange(len(data) - alike)
+        count = np.bincount(ids)
+        open_ = whole[count[ids[whole]] > 1]  # the rest are alone in their buckets
+        pair_ = ids[open_] << 32 | ids[open_ + later]
+        # Ranks go on after those in use: what is settled keeps its own.
+        ids[open_] = len(count) + np.unique(pair_, return_inverse=True)[1]
+        alike += later
+    return ids[starts]
+
+
+def pack(start: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """start (47 bits), size (8) and shift (8) as one bigint."""
+    return (start.astype(np.int64) << 16) | (size.astype(np.int64) << 8) | shift.astype(np.int64)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
-    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
+    return [t.as_py().encode("utf-8", "surrogatepass") for t in column]
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts, keys = _texts(b.column(1)), b.column(0).to_numpy()
-        r = runs(texts)
-        tags = np.array([tag_of(t) for t in texts], np.int64)
-        pos = pack(r["start"], tags[r["row"]] if len(r["row"]) else r["row"], r["size"], r["shift"])
-        columns = [keys[r["row"]] if len(r["row"]) else r["row"], pos, r["anchor"].view(np.int64), r["name"].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "pos", "anchor", "name"])
+        r = runs(_texts(b.column(2)))
+        row = r["row"].astype(np.int64)
+        columns = [b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], pack(r["start"], r["size"], r["shift"]), r["anchor"].view(np.int64), r["name"].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "pos", "anchor", "name"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     for b in batches:
-        texts, squeeze = _texts(b.column(1)), zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag_of(t) for t in texts], pa.int32()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], names=["k", "tag", "z"])
+        squeeze = zstandard.ZstdCompressor(level=3)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t) for t in _texts(b.column(2))], pa.binary())], names=["k1", "k2", "z"])
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run to refine: its strings' identifiers, dealt to the parts of its anchor."""
+def _runs_to_refine(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, dict]]:
     import zstandard
 
-    schema = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("k", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64()), ("names", pa.binary()), ("at", pa.binary())])
+    for k1, k2, z, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+        text = zstandard.ZstdDecompressor().decompress(z.as_py())
+        for r in found:
+            yield k1, k2, text, r
+
+
+STRETCH = pa.schema([("anchor", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64()), ("data", pa.binary())])
+STRING = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64())])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each run to refine."""
     for b in batches:
         out: list[tuple] = []
-        for k, z, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            text = zstandard.ZstdDecompressor().decompress(z.as_py())
-            for r in found:
-                pos, parts = r["pos"], r["parts"]
-                names = strings(text, pos >> 32, pos >> 8 & 0xFF)
-                for part in range(parts):
-                    at = np.flatnonzero(names % np.uint64(parts) == part).astype(np.uint8)
-                    if len(at):
-                        out.append((r["anchor"], part, k, pos, r["weight"], names[at].tobytes(), at.tobytes()))
-            if len(out) > 4000:
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        for k1, k2, text, r in _runs_to_refine(b):
+            start, size = r["pos"] >> 16, r["pos"] >> 8 & 0xFF
+            out.append((r["anchor"], k1, k2, r["pos"], r["weight"], text[start : start + size + LENGTH - 1]))
+            if len(out) >= 4000:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(STRETCH)], schema=STRETCH)
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _repeated(group: pa.Table | pa.RecordBatch) -> tuple[list[int], list[int]]:
-    """(k, pos) of the stretches of strings that another run of the group, all of one anchor, holds too."""
-    if group.num_rows < 2:
-        return [], []
-    ks, positions, weights = (group.column(c).to_pylist() for c in ("k", "pos", "weight"))
-    names = [np.frombuffer(x, np.uint64) for x in group.column("names").to_pylist()]
-    places = [np.frombuffer(x, np.uint8) for x in group.column("at").to_pylist()]
-    sizes = [len(x) for x in names]
-    _, which = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(which, np.repeat(weights, sizes))
-    twice = np.split(total[which] > 1, np.cumsum(sizes)[:-1])
-    out_k, out_pos = [], []
-    for k, pos, weight, at, ok in zip(ks, positions, weights, places, twice, strict=True):
-        if weight > 1 or not ok.any():
-            continue
-        hit = at[ok].astype(np.int64)
-        cuts = np.flatnonzero(np.diff(hit) > 1)
-        first, last = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-        start, tag = pos >> 32, pos >> 16 & 0xFFFF
-        out_k += [k] * len(first)
-        out_pos += pack(start + first, np.full(len(first), tag), last - first + 1, np.zeros(len(first))).tolist()
-    return out_k, out_pos
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(STRETCH)], schema=STRETCH)
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of each run of a large group, with the identifier of its bucket of LENGTH bytes."""
+    for b in batches:
+        for k1, k2, text, r in _runs_to_refine(b):
+            start, size = r["pos"] >> 16, r["pos"] >> 8 & 0xFF
+            names = buckets(np.frombuffer(text, np.uint8, size + LENGTH - 1, start))[1].view(np.int64)
+            fixed = [np.full(size, x, np.int64) for x in (r["anchor"], k1, k2, r["weight"])]
+            pos = pack(start + np.arange(size), np.ones(size, np.int64), np.zeros(size, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fixed[0], names, fixed[1], fixed[2], pos, fixed[3])], schema=STRING)
+
+
+def _repeated(rows: pa.Table) -> pa.RecordBatch:
+    """(k1, k2, pos) of the parts of runs that another run of ``rows``, all of whole groups, holds too."""
+    out: list[tuple[int, int, int]] = []
+    if rows.num_rows > 1:
+        k1, k2, positions, weights = (rows.column(c).to_numpy() for c in ("k1", "k2", "pos", "weight"))
+        data = rows.column("data").to_pylist()
+        sizes = np.array([len(d) for d in data])
+        counts = sizes - LENGTH + 1
+        ids = refine(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, counts)
+        twice = np.bincount(ids, np.repeat(weights, counts))[ids] > 1
+        first = np.cumsum(counts) - counts
+        for i in np.flatnonzero((weights == 1) & (np.add.reduceat(twice, first) > 0)).tolist():
+            hit = np.flatnonzero(twice[first[i] : first[i] + counts[i]])
+            cuts = np.flatnonzero(np.diff(hit) > 1)
+            begin, end = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
+            out += [(k1[i], k2[i], p) for p in pack((positions[i] >> 16) + begin, end - begin + 1, np.zeros(len(begin))).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["k1", "k2", "pos"])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Goes through rows sorted by anchor and part, a group at a time."""
+    """Goes through rows sorted by anchor, refining the groups that are complete."""
     held: pa.Table | None = None
     for b in batches:
         rows = pa.Table.from_batches([b])
         rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-        anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
-        cuts = [0, *(np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1).tolist()]
-        ks: list[int] = []
-        ps: list[int] = []
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if e - s > 1:
-                k, p = _repeated(rows.slice(s, e - s))
-                ks += k
-                ps += p
-        held = rows.slice(cuts[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ps, pa.int64())], names=["k", "pos"])
+        anchor = rows.column("anchor").to_numpy()
+        cuts = np.flatnonzero(anchor[1:] != anchor[:-1])
+        done = int(cuts[-1]) + 1 if len(cuts) else 0
+        yield _repeated(rows.slice(0, done))
+        held = rows.slice(done)
     if held is not None:
-        ks, ps = _repeated(held)
-        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(ps, pa.int64())], names=["k", "pos"])
+        yield _repeated(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +243,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         out = []
-        for z, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+        for z, found in zip(b.column(2), b.column(3).to_pylist(), strict=True):
             text = zstandard.ZstdDecompressor().decompress(z.as_py())
             kept, at, removed, n = [], 0, 0, 0
             end = -1
-            for begin, size in sorted((p >> 32, p >> 8 & 0xFF) for p in found or ()):
+            for begin, size in sorted((p >> 16, p >> 8 & 0xFF) for p in found or ()):
                 stop = begin + size - 1 + LENGTH
                 if begin > end:  # not even touching
                     kept.append(text[at:begin])
@@ -243,10 +261,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept)
             out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if n else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-#: Runs of one anchor, on average, in a part that one task refines at once.
+#: Runs of a group up to which one task refines it; a larger one is counted by Spark.
 PART = 16_384
 
 
@@ -257,33 +275,45 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     row's text, itself included; strings are judged on the input. ``kept`` is the rest where
     anything goes, without bytes of characters that were cut in two; null where nothing goes.
 
-    Null text counts as empty; texts under LENGTH bytes keep all. Rows with one doc_id each
-    get a result, and copies of a row are repeated text. Null doc_ids are kept. An empty table
-    gives an empty result; other columns are ignored.
+    Null text counts as empty; texts under LENGTH bytes keep all, very long ones are read in
+    pieces. A text is told by 128 bits of hash, whatever its rows' doc_ids: rows of one doc_id,
+    or of none, each get a result, and copies of a row are repeated text, refined and cut once.
+    An empty table gives an empty result; other columns are ignored.
 
-    A common passage's runs are counted before they are shuffled, joined in a join that Spark
-    can split, and refined in parts of about PART runs. Texts are shuffled once, compressed.
+    A common passage's runs are counted before they are shuffled and joined in a join that Spark
+    can split. Groups of over PART different runs aren't gathered: their strings are counted by
+    the identifiers of their 200-byte buckets, made by the same doubling from hashes of 64 bits
+    (equal strings are taken for repeated if both anchor and identifier agree). Texts are
+    shuffled once, compressed, copies collapsed before.
     """
     for_python(docs.sparkSession)
-    none = -(2**63)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("k"), F.col("text").cast("string").alias("text"))
-    found = source.mapInArrow(_find_runs, "k long, pos long, anchor long, name long")
-    packed = source.mapInArrow(_compress, "k long, tag int, z binary")
+    key = ["k1", "k2"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+    found = source.select(*key, "text").mapInArrow(_find_runs, "k1 long, k2 long, pos long, anchor long, name long")
+    packed = source.select(*key, "text").mapInArrow(_compress, "k1 long, k2 long, z binary").groupBy(*key).agg(F.first("z").alias("z"))
 
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).filter("n > 1")
-    anchors = anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    anchors = saved(anchors, "substrings-anchors")  # read back, so that Spark can split the join's large keys
+    anchors = saved(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "substrings-anchors")  # read back, so that Spark can split the join's large keys
     near = saved(found.join(anchors, "anchor"), "substrings-near")
     # Any run of a class can stand for it: what it says of its class is the same.
-    classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"), F.first("parts").alias("parts"))
+    classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in (*key, "pos")))
     classes = saved(classes, "substrings-classes")
-    again = near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select("k", "pos")
-    whole = near.filter("not mixed").select("k", "pos").union(saved(again, "substrings-again"))  # a join alone, which Spark can split
-    tag = F.shiftright("pos", 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")
-    todo = classes.groupBy("k", tag).agg(F.collect_list(F.struct("anchor", "pos", "weight", "parts")).alias("runs"))  # one document's
-    named = packed.join(todo.hint("shuffle_hash"), ["k", "tag"]).select("k", "z", "runs")
-    named = named.mapInArrow(_find_strings, "anchor long, part int, k long, pos long, weight long, names binary, at binary")
-    single = named.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_refine, "k long, pos long")
-    spans = whole.union(single).groupBy("k", tag).agg(F.collect_list("pos").alias("spans"))  # one document's
-    rows = packed.join(spans.hint("shuffle_hash"), ["k", "tag"], "left").select(F.nullif("k", F.lit(none)).alias("doc_id"), "z", "spans")
-    return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    again = near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select(*key, "pos")
+    whole = near.filter("not mixed").select(*key, "pos").union(saved(again, "substrings-again"))  # a join alone, which Spark can split
+    large = saved(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("anchor"), "substrings-large")
+
+    def of_texts(runs_: DataFrame) -> DataFrame:
+        todo = runs_.groupBy(*key).agg(F.collect_list(F.struct("anchor", "pos", "weight")).alias("runs"))  # one text's
+        return packed.join(todo.hint("shuffle_hash"), key).select(*key, "z", "runs")
+
+    small = of_texts(classes.join(large, "anchor", "left_anti")).mapInArrow(_stretches, "anchor long, k1 long, k2 long, pos long, weight long, data binary")
+    parts = whole.union(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refine, "k1 long, k2 long, pos long"))
+    if not large.isEmpty():
+        strings = saved(of_texts(classes.join(large, "anchor", "left_semi")).mapInArrow(_strings, "anchor long, name long, k1 long, k2 long, pos long, weight long"), "substrings-strings")
+        twice = strings.groupBy("anchor", "name").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "name")
+        parts = parts.union(saved(strings.filter("weight = 1").join(saved(twice, "substrings-twice"), ["anchor", "name"]).select(*key, "pos"), "substrings-found"))
+    spans = parts.groupBy(*key).agg(F.collect_set("pos").alias("spans"))  # one text's: copies have equal places
+    done = packed.join(spans.hint("shuffle_hash"), key, "left").select(*key, "z", "spans")
+    done = done.mapInArrow(_cut, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return source.select("doc_id", *key).join(done, key).drop(*key)

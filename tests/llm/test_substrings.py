@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from recollect.llm import substrings
 
 
@@ -75,3 +77,22 @@ def test_repeated_rows_are_repeated_text(spark):
     text = " ".join(map(str, range(100)))
     df = spark.createDataFrame([(1, text), (1, text), (1, "other " + text[:50])], "doc_id long, text string")
     assert sorted(r.n_removed for r in substrings.deduplicate(df).collect()) == [0, len(text), len(text)]
+
+
+def test_rows_without_ids_and_copies(spark):
+    base = " ".join(str(i * i % 977) for i in range(90))
+    texts = [f"{i} {base[i % 40 :]} {i * 31 % 1009}" for i in range(600)] + [f"{base} one row many times"] * 400
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    rows = substrings.deduplicate(df).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(brute(texts))
+
+
+def test_refinement_against_bytes():
+    rng = random.Random(7)
+    for length in (8, 20, 64, 200):
+        data = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(length, 3 * length))) for _ in range(6)]
+        data.append(data[0][2 : 2 + length + 5])
+        sizes = np.array([len(d) for d in data])
+        ids = substrings.refine(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, sizes - length + 1, length).tolist()
+        strings = [d[i : i + length] for d in data for i in range(len(d) - length + 1)]
+        assert len(set(zip(strings, ids, strict=True))) == len(set(strings)) == len(set(ids))
