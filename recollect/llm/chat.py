@@ -102,7 +102,7 @@ def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "as
     work. Repeated rows are repeated turns. An empty table gives an empty result; other
     columns are ignored.
     """
-    for_python(rows.sparkSession, 64)
+    for_python(rows.sparkSession)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     whole = whole.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
@@ -125,7 +125,7 @@ def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "as
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What the output says of each conversation: turns parsed from it, text under its mask."""
-    for_python(formatted.sparkSession, 64)
+    for_python(formatted.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()

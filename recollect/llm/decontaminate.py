@@ -33,6 +33,12 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def bordered(text: str, begin: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on across either end of text[begin:end]."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not (inside(begin) or inside(end))
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to any part of ``text``, and where the first such part ends."""
     m = len(pattern)
@@ -92,7 +98,7 @@ class Matcher:
         out = []
         for n, begins in sorted(starts.items()):
             item_id, item, k = self.items[n]
-            best = self._distance(t, item, k, sorted(begins))
+            best = self._distance(t, item, k, sorted(begins)) if k else int(not any(bordered(t, at, at + len(item)) for at in begins))
             if best <= k:
                 out.append((item_id, best))
                 if first:
@@ -133,8 +139,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int
 
     Case and white space are set aside; a budget is ``rate`` x the item's characters. The
     least distance over the text's parts is given. All items are looked for in all documents,
-    a block of items at a time, so what is broadcast is bounded by ``block``. Null and blank
-    texts and items match nothing. Repeated rows give repeated results. Other columns are
+    a block of items at a time, so what is broadcast is bounded by ``block``. An item too short
+    for any error must stand between word borders. Null and blank texts and items match
+    nothing; whole texts are read, however long. Repeated rows give repeated results. Other columns are
     ignored; an empty table gives an empty result. No shuffle.
     """
     spark = docs.sparkSession
@@ -156,7 +163,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that hold no item within its error budget. No shuffle."""
+    """The rows of ``docs`` that hold no item within its error budget. No shuffle.
+
+    As ``leaks`` on nulls, repeats, short items and long texts; all columns stay as they are.
+    """
     spark = docs.sparkSession
     for_python(spark)
     at = docs.columns.index("text")

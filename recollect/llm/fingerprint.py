@@ -2,35 +2,48 @@
 
 Only DataFrame functions: no Python runs on the executors.
 
-A text is cut into paragraphs: pieces that end with a line end, or a sentence's end or a cell
-bar and a space. Each piece keeps its separator, so the pieces joined are the text. A piece is
+A text is cut into paragraphs, and those into pieces: at a line end, at a sentence's end or a cell
+bar and a space, and, where none comes for 16 characters, after the next word that ends in one of
+a few letters, so that the cuts follow the content; where no such word comes for 160 characters,
+there. Each piece keeps its separator, so the pieces joined are the text. A piece is
 hashed to a wide vector, and a text's fingerprint is the sum of its pieces' vectors, each lane
 modulo a power of two. So it doesn't depend on the pieces' order, equal multisets have equal
 fingerprints, and a piece is put in or taken out by adding or subtracting its vector
 (``insert``, ``delete``).
 
 Lanes: one counts pieces (mod 2^32); 4 dense lanes of 32 bits hold sums of hashes and tell
-different multisets apart; 3 levels of 32 sparse lanes of 16 bits serve likeness: a piece
-adds to one lane of level 0, and with 1/8 and 1/64 of the hashes to levels 1 and 2. The share
+different multisets apart; LEVELS of 32 sparse lanes of 15 bits serve likeness: a piece
+adds to one lane of level 0, and with a chance of 1/4 each to one of the next level too. Four
+sparse lanes are summed as one number modulo 2^60, so an overflow carries. The share
 of lanes in which two fingerprints differ tells how many pieces differ; the finest level that
-isn't saturated is used, so that a long text is told as well as a short one.
+isn't saturated is used; the last isn't with 10 million differing pieces, so that a text of a
+gigabyte is told as well as a short one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm.common import saved
 
-DENSE, LEVELS, LANES = 4, 3, 32
-WIDTH = 1 + DENSE + LEVELS * LANES
-CUT = r"(?<=\n)(?!\n)|(?<=[.!?|] )"
+DENSE, LEVELS, LANES = 4, 10, 32
+#: Share of differing lanes above which a level is saturated.
+FULL = 0.92
+#: Sparse lanes that are summed as one number, and the bits of each.
+PACKED, BITS = 4, 15
+SPARSE = LANES // PACKED
+WIDTH = 1 + DENSE + LEVELS * SPARSE
+#: A piece: to the next line end or sentence's end, but from 16 characters on also to the next
+#: word that ends in one of some letters, and to 160 characters at most.
+ENDS = r"(?<=\n)(?!\n)|(?<=[.!?|] )|\z"
+PIECE = rf"(?s).{{1,16}}?(?:{ENDS})|.{{16,160}}?(?:{ENDS}|(?<=[dnrsy] ))|.{{1,160}}"
 #: Modulus of each lane, as a mask.
-MASKS = [(1 << 32) - 1] * (1 + DENSE) + [(1 << 16) - 1] * (LEVELS * LANES)
+MASKS = [(1 << 32) - 1] * (1 + DENSE) + [(1 << (BITS * PACKED)) - 1] * (LEVELS * SPARSE)
 #: Stands for a null doc_id, which sorts first.
 NONE = -(2**63)
 #: Rows of ids that one window of the successor search takes on average.
@@ -38,7 +51,7 @@ BLOCK = 50_000
 
 
 def pieces(text: Column) -> Column:
-    return F.filter(F.split(text, CUT), lambda p: p != "")
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,17 +63,29 @@ def total(xs: Column, value: Callable[[Column], Column]) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + value(x))
 
 
-def in_level(level: int) -> Callable[[Column], Column]:
-    return lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit((1 << (3 * level)) - 1)) == 0
-
-
 def sparse_lanes(hashes: Column) -> Column:
-    """LANES sums: a hash adds its bits 8 to 23, made odd, to the lane that its low bits name."""
+    """SPARSE sums of PACKED lanes: a hash adds its bits 8 to 15, made odd, to the lane that its low bits name."""
+    places = F.array(*(F.lit(1 << (BITS * i)).cast("long") for i in range(PACKED)))
+    modulus = F.lit(MASKS[-1]).cast("long")
+
+    def value(h: Column) -> Column:
+        v = F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(0xFF)).bitwiseOR(F.lit(1))
+        return v * F.get(places, F.shiftrightunsigned(h, 3).bitwiseAND(F.lit(PACKED - 1)).cast("int"))
 
     def lane(i: Column) -> Column:
-        return total(F.filter(hashes, lambda h: h.bitwiseAND(F.lit(LANES - 1)) == i), lambda h: F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1)))
+        own = F.filter(hashes, lambda h: h.bitwiseAND(F.lit(SPARSE - 1)) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: (a + value(h)).bitwiseAND(modulus))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(SPARSE - 1)), lane)
+
 
-    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
+def levels(hashes: Column, level: int = 0) -> Column:
+    """The sparse lanes of ``level`` and of the levels above, each of a quarter of the hashes before."""
+    own = sparse_lanes(hashes)
+    if level == LEVELS - 1:
+        return own
+    above = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 40 + 2 * level).bitwiseAND(F.lit(3)) == 0)
+    return F.concat(own, let(above, lambda h: levels(h, level + 1)))
 
 
 def lanes(text: Column) -> Column:
@@ -75,10 +100,8 @@ def lanes(text: Column) -> Column:
     def summed(ps: Column) -> Column:
         seeded = F.transform(ps, lambda p: F.xxhash64(p, F.lit(1)))
         second = let(seeded, lambda g: F.array(total(g, low), total(g, high)))
-        return let(F.transform(ps, lambda p: F.xxhash64(p)), lambda h: F.concat(
-            F.array(F.size(ps).cast("long"), total(h, low), total(h, high)), second,
-            *(let(F.filter(h, in_level(level)), sparse_lanes) for level in range(LEVELS)),
-        ))
+        first = lambda h: F.array(F.size(ps).cast("long"), total(h, low), total(h, high))
+        return let(F.transform(ps, lambda p: F.xxhash64(p)), lambda h: F.concat(first(h), second, levels(h)))
 
     return modulo(let(pieces(text), summed))
 
@@ -98,10 +121,9 @@ def delete(vector: Column, text: Column) -> Column:
 
 
 def to_hex(vector: Column) -> Column:
-    """The fingerprint as lower-case hex: 8 digits for each of the first lanes, then 4."""
-    wide = F.transform(F.slice(vector, 1, 1 + DENSE), lambda x: F.lpad(F.lower(F.hex(x)), 8, "0"))
-    narrow = F.transform(F.slice(vector, 2 + DENSE, LEVELS * LANES), lambda x: F.lpad(F.lower(F.hex(x)), 4, "0"))
-    return F.concat(F.array_join(wide, ""), F.array_join(narrow, ""))
+    """The fingerprint as lower-case hex: 8 digits for each of the first lanes, then 15."""
+    digits = lambda first, n, size: F.transform(F.slice(vector, first, n), lambda x: F.lpad(F.lower(F.hex(x)), size, "0"))
+    return F.concat(F.array_join(digits(1, 1 + DENSE, 8), ""), F.array_join(digits(2 + DENSE, LEVELS * SPARSE, BITS * PACKED // 4), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,34 +132,43 @@ def likeness(a: Column, b: Column) -> Column:
     1 if all lanes agree. With u the share of lanes that differ, -m ln(1 - u) pieces differ.
     """
     pieces_of_both = F.element_at(a, 1) + F.element_at(b, 1)
-    differ = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
 
-    def share(level: int) -> Column:
-        return F.aggregate(F.slice(differ, 2 + DENSE + level * LANES, LANES), F.lit(0), lambda s, x: s + x) / F.lit(float(LANES))
+    def apart(x: Column, y: Column) -> Column:
+        lane = lambda v, i: F.shiftrightunsigned(v, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1))
+        return reduce(add, ((lane(x, i) != lane(y, i)).cast("int") for i in range(PACKED)))
+
+    def estimate(differ: Column) -> Column:
+        """Of the lanes' differences: the pieces that differ, by the finest level that isn't saturated."""
+
+        def share(level: int) -> Column:
+            return F.aggregate(F.slice(differ, 1 + level * SPARSE, SPARSE), F.lit(0), lambda s, x: s + x) / F.lit(float(LANES))
+
+        def count(level: int, u: Column) -> Column:
+            return F.lit(-float(LANES * 4**level)) * F.log(F.lit(1.0) - F.least(u, F.lit(1 - 0.5 / LANES)))
+
+        def by_shares(u: Column) -> Column:
+            out = count(LEVELS - 1, F.get(u, LEVELS - 1))
+            for level in reversed(range(LEVELS - 1)):
+                out = F.when(F.get(u, level) <= FULL, count(level, F.get(u, level))).otherwise(out)
+            least = F.least(count(0, F.get(u, 0)), pieces_of_both.cast("double"))
+            return F.when(F.get(u, 0) > FULL, F.greatest(out, least)).otherwise(out)
 
-    def apart(level: int) -> Column:
-        return F.lit(-float(LANES * 8**level)) * F.log(F.lit(1.0) - F.least(share(level), F.lit(1 - 0.5 / LANES)))
+        return let(F.array(*map(share, range(LEVELS))), by_shares)
 
-    estimate = F.when(share(0) <= 0.8, apart(0)).when(share(1) <= 0.8, apart(1)).otherwise(apart(2))
-    estimate = F.when((share(0) > 0.8), F.greatest(estimate, F.least(apart(0), pieces_of_both.cast("double")))).otherwise(estimate)
-    return F.when(a == b, F.lit(1.0)).when(pieces_of_both == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - estimate / pieces_of_both)))
+    sparse = lambda v: F.slice(v, 2 + DENSE, LEVELS * SPARSE)
+    found = F.lit(1.0) - let(F.zip_with(sparse(a), sparse(b), apart), estimate) / pieces_of_both
+    return F.when((a == b) | (pieces_of_both == 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
 
 
 def successors(ids: DataFrame, key: str = "k") -> DataFrame:
     """key, next_key for each distinct ``key`` (bigint): the next larger one, the least after the last.
 
-    Windows see blocks of about BLOCK ids, then one id a block.
+    Windows see ranges of about BLOCK ids, whatever their spread, then one id a range.
     """
     ids = saved(ids.select(key).distinct(), "fingerprint-ids")
-    real = ids.filter(F.col(key) > NONE)
-    low, high, n = real.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if n == 0:
-        return ids.withColumn("next_key", F.col(key))
-    width = (high - low) // (n // BLOCK + 1) + 1
-    exact = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")  # noqa: E731  ids may span all of a bigint
-    block = F.when(F.col(key) == NONE, -1).otherwise(F.floor((F.col(key).cast("decimal(20,0)") - exact(low)) / exact(width))).cast("long")
-    low = ids.agg(F.min(key)).first()[0]
-    ids = ids.withColumn("block", block)
+    n, low = ids.agg(F.count(F.lit(1)), F.min(key)).first()
+    ranges = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BLOCK)
+    ids = saved(ids.repartitionByRange(ranges, key).withColumn("block", F.spark_partition_id()), "fingerprint-ranges")
     firsts = ids.groupBy("block").agg(F.min(key).alias("first"))
     firsts = firsts.select("block", F.coalesce(F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("block")), F.lit(low)).alias("next_first"))
     inside = ids.withColumn("next_in", F.lead(key).over(Window.partitionBy("block").orderBy(key)))
@@ -161,7 +192,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     each get a result, and the next document is then the row of the next larger doc_id that
     has the least text; a null doc_id sorts first. A single document is its own next. Other
     columns are ignored. The whole text is shuffled once by doc_id; the next document is
-    joined by id and only the part that its predecessor needs is sent on.
+    joined by id and only the part that its predecessor needs is sent on. A very long text has
+    more pieces, summed in one row's task.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))  # one shuffle serves both joins
     needs = saved(base.groupBy("k").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("need")), "fingerprint-needs")

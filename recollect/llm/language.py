@@ -20,20 +20,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import for_python, least_by_hash, saved
+from recollect.llm.common import for_python, fresh, least_by_hash, saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Probability of a character that is no piece of the vocabulary.
 UNKNOWN = 1e-7
-#: Words over this length are scored in parts of it, so that work is linear in a text.
-LONGEST_WORD = 40
+#: Letters up to which words are scored side by side; longer ones are scored one by one, and
+#: learned from in parts.
+SHORT_WORD = 40
 #: Words a task keeps scores of.
 CACHE = 400_000
 UNDETERMINED = "und"
-#: Chosen ids up to which they are broadcast to the documents; beyond, both are shuffled.
-BROADCAST_IDS = 200_000
+#: Chosen texts' hashes up to which they are broadcast to the documents; beyond, both are shuffled.
+BROADCAST_TEXTS = 200_000
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
@@ -45,15 +46,22 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
 
 
 def words(text: str | None) -> list[str]:
-    """A text's words: runs of letters, lower-cased, with the start mark, in bounded parts."""
+    """A text's words: runs of letters, lower-cased, with the start mark. Other numerals are no letters."""
     if not text:
         return []
     found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+    if not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     return [START + w for w in found]
 
 
+def parts(word: str) -> list[str]:
+    """A marked word in parts of at most SHORT_WORD letters, each marked."""
+    if len(word) <= SHORT_WORD + 1:
+        return [word]
+    return [START + word[i : i + SHORT_WORD] for i in range(1, len(word), SHORT_WORD)]
+
+
 def lattice(pieces: dict[str, tuple[float, ...]], n: int) -> tuple[dict[str, int], np.ndarray]:
     """Pieces to rows of their probabilities in ``n`` languages, and all other ends of pieces to -1.
 
@@ -97,6 +105,30 @@ def forward(found: list[str], table: dict[str, int], probs: np.ndarray) -> np.nd
     return at
 
 
+def forward_long(word: str, table: dict[str, int], probs: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """[language]: log of the total probability of a word of any length over all its segmentations.
+
+    Only the places that a piece can begin at are kept, scaled so that the last one is 1;
+    ``reach`` is the longest piece's length.
+    """
+    reach = reach or max(map(len, table), default=1)
+    at = np.zeros((reach, probs.shape[1]))  # a ring: place i is row i % reach
+    at[0] = 1.0
+    logs = np.zeros(probs.shape[1])
+    for end in range(1, len(word) + 1):
+        total = at[(end - 1) % reach] * probs[table.get(word[end - 1], 0)]
+        for begin in range(end - 2, max(-1, end - reach - 1), -1):
+            piece = table.get(word[begin:end])
+            if piece is None:
+                break
+            if piece > 0:
+                total = total + at[begin % reach] * probs[piece]
+        logs += np.log(total)
+        at /= total
+        at[end % reach] = 1.0
+    return logs
+
+
 def expected(word: str, alpha: np.ndarray, table: dict[str, int], probs: np.ndarray) -> list[tuple[str, float]]:
     """Expected number of times each piece is used in a word, over all its segmentations, in one language.
 
@@ -121,24 +153,24 @@ def expected(word: str, alpha: np.ndarray, table: dict[str, int], probs: np.ndar
 def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, rounds: int = 2) -> dict:
     """Piece probabilities by language, from rows with a lang and text.
 
-    Fits on at most ``per_language`` documents of each language, those of least
-    xxhash64(doc_id): the documented bound of the sample. Their words are counted by Spark,
+    Fits on at most ``per_language`` different texts of each language, those of least hash:
+    the documented bound of the sample. Their words are counted by Spark,
     and each round adds up the expected uses of pieces by Spark. The result holds languages x
     vocabulary numbers at most. No labelled rows give no languages.
     """
     spark = docs.sparkSession
     for_python(spark)
-    labelled = docs.filter("text is not null and lang is not null").select("doc_id", "lang")
-    chosen = saved(least_by_hash(labelled, "lang", per_language, ["doc_id"], ["doc_id"]).distinct(), "language-chosen")
-    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    texts = docs.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    rows = docs.filter("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("key"), "text")
+    chosen = saved(least_by_hash(rows.select("lang", "key").distinct(), "lang", per_language, ["key"], ["key"]), "language-chosen")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_TEXTS else chosen
+    texts = rows.join(few, ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")
     known = vocabulary(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in words(text))
+                seen.update((lang, p) for w in words(text) for p in parts(w))
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": list(seen.values())}, pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     counted = texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -182,6 +214,7 @@ class Scores:
 
     def __init__(self, model: dict):
         self.table, self.probs = lattice(model["pieces"], len(model["langs"]))
+        self.reach = max(map(len, self.table), default=1)
         self._reset()
 
     def _reset(self) -> None:
@@ -194,12 +227,15 @@ class Scores:
         if len(self.place) + len(wanted) > CACHE:
             self._reset()
         new = sorted(wanted - self.place.keys())
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         found = [self.logs]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        short = [w for w in new if len(w) <= SHORT_WORD + 1]
+        long = [w for w in new if len(w) > SHORT_WORD + 1]
+        self.place.update(zip(short + long, range(len(self.place), len(self.place) + len(new)), strict=True))
+        for i in range(0, len(short), 4096):
+            some = short[i : i + 4096]
             at = forward(some, self.table, self.probs)
             found.append(np.log(np.maximum(at[np.arange(len(some)), [len(w) for w in some]], 1e-300)))
+        found += [forward_long(w, self.table, self.probs, self.reach)[None, :] for w in long]
         self.logs = np.concatenate(found)
         get = self.place.__getitem__
         return [self.logs[np.fromiter(map(get, t), np.int64, len(t))].sum(0) for t in texts]
@@ -216,17 +252,18 @@ def verdict(logs: np.ndarray, n_words: int, langs: list[str]) -> tuple[str, floa
     return langs[best], float(1 / np.exp(np.maximum(-700.0, (logs - logs[best]) * min(1.0, 10 / n_words))).sum())
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (default: doc_id) of each row, with lang_pred and score.
+def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (default: doc_id) of each row, with lang_pred and score, named by ``out``.
 
-    Reads only the whole text. lang_pred is ``und`` and score 0 if text is null or has no
-    letters, or the model has no language. No shuffle.
+    Reads only the whole text, however long. lang_pred is ``und`` and score 0 if text is null or
+    has no letters, or the model has no language. Kept columns with a name of ``out`` give way to
+    it. No shuffle.
     """
     spark = docs.sparkSession
     for_python(spark)
-    kept = docs.select(*(["doc_id"] if keep is None else keep))
+    kept = docs.select(*(c for c in (["doc_id"] if keep is None else keep) if c.lower() not in out))
     shipped = spark.sparkContext.broadcast(model)  # vocabulary x languages
-    names = [*kept.columns, "lang_pred", "score"]
+    names = [*kept.columns, *out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -237,8 +274,8 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: s
             got = [verdict(x, len(t), m["langs"]) for x, t in zip(logs, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
-    source = docs.select(*kept.columns, F.col(text).cast("string").alias("_whole_text"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    source = docs.select(*kept.columns, F.col(text).cast("string").alias(fresh(kept, "text")[0]))
+    schema = T.StructType([*kept.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
     return source.mapInArrow(run, schema)
 
 
@@ -250,7 +287,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, learned from those not held out.
 
-    A null doc_id isn't held out. Repeated rows give repeated results; an empty table an
+    A null doc_id isn't held out. Rows with one text are learned from once a language. Repeated rows give repeated results; an empty table an
     empty result; other columns are ignored.
     """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), path)

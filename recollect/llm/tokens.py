@@ -1,4 +1,8 @@
-"""Token counts by dynamic programming shared through a trie of pre-tokens."""
+"""Token counts by dynamic programming shared through a trie of pre-tokens.
+
+A unigram tokenizer's forward pass gives each prefix of a word the score of its best
+segmentation; the tokens of the best one are what the tokenizer would emit.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +23,6 @@ START = "▁"
 BYTE = -20.0
 #: Characters of pre-tokens that a task's trie holds before it starts anew; counts don't depend on it.
 NODES = 800_000
-#: A pre-token's characters from here on aren't put in the trie; the same sums run over arrays.
-DEEP = 64
 
 
 def pieces(path: str = VOCABULARY) -> dict[str, float]:
@@ -82,7 +84,7 @@ class Trie(dict):
             self._reset()
         marked = START + word
         node, above, below = 0, [(0.0, 0)], self.below
-        for end in range(1, min(len(marked), DEEP) + 1):
+        for end in range(1, len(marked) + 1):
             way = node << 21 | ord(marked[end - 1])
             node = below.get(way, 0)
             if not node:
@@ -93,12 +95,8 @@ class Trie(dict):
                 above.append((score, count))
             else:
                 above.append((self.score[node], self.count[node]))
-        for end in range(DEEP + 1, len(marked) + 1):
-            above.append(self._step(marked, end, above))
-        count = above[-1][1]
-        if len(word) <= DEEP:
-            self[word] = count
-        return count
+        self[word] = above[-1][1]
+        return self[word]
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

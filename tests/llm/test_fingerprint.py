@@ -43,6 +43,62 @@ def test_likeness(spark):
     assert 0.6 < near < 0.9
 
 
+def cut(text):
+    """Pieces of a text, by hand."""
+    out, at = [], 0
+    strong = lambda i: i == len(text) or (text[i - 1] == "\n" and text[i] != "\n") or (text[i - 1] == " " and i > 1 and text[i - 2] in ".!?|")
+    while at < len(text):
+        ends = [i for i in range(at + 1, min(len(text), at + 16) + 1) if strong(i)]
+        if not ends:
+            ends = [i for i in range(at + 16, min(len(text), at + 160) + 1) if strong(i) or (text[i - 1] == " " and text[i - 2] in "dnrsy")]
+        end = ends[0] if ends else min(len(text), at + 160)
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def by_hand(spark, text):
+    ps = cut(text)
+    rows = spark.createDataFrame([(p,) for p in ps], "p string").select(F.xxhash64("p").alias("h"), F.xxhash64("p", F.lit(1)).alias("g")).collect()
+    m = 2**64 - 1
+    out = [len(ps)] + [sum(x) % 2**32 for x in zip(*((r.h & 0xFFFFFFFF, (r.h & m) >> 32, r.g & 0xFFFFFFFF, (r.g & m) >> 32) for r in rows), strict=True)]
+    for level in range(fp.LEVELS):
+        sums = [0] * fp.SPARSE
+        for r in rows:
+            h = r.h & m
+            if (h >> 40) & (4**level - 1) == 0:
+                sums[h & 7] += (((h >> 8) & 0xFF) | 1) << (15 * ((h >> 3) & 3))
+        out += [s % 2**60 for s in sums]
+    return out
+
+
+def test_lanes_against_sums_by_hand(spark):
+    prose = " ".join(f"word{i * 7 % 97}s and" + ". " * (i % 9 == 0) + "\n" * (i % 31 == 0) for i in range(400))
+    for text in ("a", prose, "x" * 1000, prose[:333] + "y" * 500):
+        assert one(spark, text) == by_hand(spark, text)
+
+
+def test_texts_without_sentences_are_told(spark):
+    words = [f"w{i * i % 9973}{'dnrsytaeo'[i % 9]}" for i in range(3000)]
+    long, other = " ".join(words), " ".join(f"q{i * i % 9949}s" for i in range(3000))
+    rows = [(1, long), (2, other), (3, "".join(words)), (4, "".join(f"{i * i % 99991:x}" for i in range(900)))]
+    out = {r.doc_id: r for r in fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.near_edited >= 0.4 and r.near_edited > r.near_next + 0.1 for r in out.values())
+
+
+def test_very_long_unrelated_texts_are_apart(spark):
+    texts = [" ".join(f"Sentence {k}{i}." for i in range(40000)) for k in "ab"]
+    v, w = (one(spark, t) for t in texts)
+    near = spark.createDataFrame([(v, w)], "a array<long>, b array<long>").select(fp.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert near < 0.5
+
+
+def test_own_edit_is_nearer_than_the_next_document(spark, small):
+    rows = fp.edited_fingerprints(spark.read.parquet(f"{small}/documents.parquet")).filter("n_chars >= 40").collect()
+    assert sum(r.near_edited >= r.near_next for r in rows) / len(rows) > 0.97  # some are followed by a near copy
+    assert sum(r.near_edited >= 0.5 for r in rows) / len(rows) > 0.9
+
+
 def test_single_and_empty(spark, nothing):
     assert fp.edited_fingerprints(nothing).collect() == []
     r = fp.edited_fingerprints(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).first()

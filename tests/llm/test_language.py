@@ -36,6 +36,19 @@ def test_forward_sums_all_segmentations():
         assert math.isclose(at[i, len(word), 1], all_segmentations(word, {p: x / 2 for p, x in probs.items()}), rel_tol=1e-9)
 
 
+def test_words_of_any_length_are_scored_whole():
+    rng = random.Random(2)
+    probs = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 3))): rng.random() for _ in range(20)} | {"a": 0.1, "b": 0.1, "c": 0.1}
+    table, both = lid.lattice({p: (x, x / 2) for p, x in probs.items()}, 2)
+    for n in (1, 2, 7, 60):
+        word = "".join(rng.choice("abcd") for _ in range(n))
+        want = [math.log(x) for x in lid.forward([word], table, both)[0, n]]
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(lid.forward_long(word, table, both), want, strict=True))
+    assert all(math.isfinite(x) for x in lid.forward_long("abc" * 5000, table, both))
+    model = {"langs": ["x", "y"], "pieces": {p: (x, x / 2) for p, x in probs.items()}}
+    assert lid.Scores(model).of([[lid.START + "ab" * 200, lid.START + "ab"]])[0].shape == (2,)
+
+
 def test_expected_uses_cover_the_word():
     probs = {"a": 0.3, "b": 0.2, "ab": 0.4, "ba": 0.1}
     table, own = lid.lattice({p: (x,) for p, x in probs.items()}, 1)
@@ -73,6 +86,6 @@ def test_hard_cases(spark, hard, nothing):
     assert lid.identify(spark, nothing).collect() == []
 
 
-@pytest.mark.parametrize("text", [None, "", "123 456 !!", "_ _"])
+@pytest.mark.parametrize("text", [None, "", "123 456 !!", "_ _", "½ ² ①"])
 def test_no_letters(text):
     assert lid.words(text) == []

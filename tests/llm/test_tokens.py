@@ -27,6 +27,19 @@ def test_counts_against_each_word_alone():
         assert trie[w] == brute(tokens.START + w, scores)
 
 
+def test_counts_of_a_unigram_tokenizer():
+    """The same pieces and scores in a public library's unigram model give the same counts."""
+    from tokenizers import Tokenizer, models
+
+    scores = tokens.pieces()
+    vocabulary = [("<unk>", -1e4), *scores.items()]
+    tokenizer = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False))
+    trie = tokens.Trie(scores)
+    text = "the thence token tokenization internationally désolé chat étaient walking talking unbelievable antidisestablishmentarianism " + "ab" * 60
+    for w in text.split():
+        assert trie[w] == len(tokenizer.encode(tokens.START + w, add_special_tokens=False).ids), w
+
+
 def test_prefixes_are_computed_once_and_memory_is_bounded():
     trie = tokens.Trie(tokens.pieces(), nodes=50)
     trie["walk"]
