@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.predicates import condition, with_total
@@ -35,17 +36,53 @@ def total_matching(data: DataFrame, filters: list[tuple[str, str, object]]) -> D
     return data.filter(reduce(lambda a, b: a & b, [condition(data, *f) for f in filters], F.lit(True))).agg(F.count(F.lit(1)).alias("total_matching"))
 
 
+#: Nodes of a parsed statement that only read, and functions that call anything.
+READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Offset UnresolvedRelation UnresolvedWith CTE SubqueryAlias UnresolvedSubqueryColumnAliases Union Distinct Join UnresolvedHaving WithWindowDefinition Except Intersect OneRowRelation Pivot UnresolvedPivot Unpivot UnresolvedOrderBy UnresolvedInlineTable".split())
+CALLING = re.compile(r"(?i)(?<!\w)(?:reflect|java_method|try_reflect)\(")
+
+
+def guarded(data: DataFrame, statement: str) -> None:
+    """Raises unless a statement is a query of ``data`` alone; it is parsed, nothing runs.
+
+    The parsed tree may hold only nodes that read, only the relation ``data`` and the
+    statement's own common table expressions, and no call of a Java method.
+    """
+    if not re.match(r"\s*(select|with)\b", statement, re.I) or ";" in statement:
+        raise ValueError("only one SELECT is allowed")
+    parsed = data.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    tree = parsed.treeString(True, False, 2**31 - 1, False, False)
+    nodes = set(re.findall(r"(?m)^[\s:+\-]*'?([A-Za-z]+)", tree))
+    if not nodes <= READING:
+        raise ValueError(f"not allowed in a slice: {', '.join(sorted(nodes - READING))}")
+    own = {"data"} | {n.strip() for names in re.findall(r"CTE \[([^\]]*)\]", tree) for n in names.split(",")}
+    read = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree))
+    if not {n.lower() for n in read} <= {n.lower() for n in own}:
+        raise ValueError("only data may be read")
+    if CALLING.search(tree):
+        raise ValueError("no calls of Java methods")
+
+
+def identifier(name: str) -> str:
+    """A column or table name for use in SQL: letters, digits and underscores; anything else is an error."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not a name: {name!r}")
+    return f"`{name}`"
+
+
 def slice_sql(data: DataFrame, statement: str) -> DataFrame:
-    """A SELECT over the view ``data``; it may read nothing else."""
-    if not re.match(r"\s*(select|with)\b", statement, re.I):
-        raise ValueError("only SELECT is allowed")
-    spark: SparkSession = data.sparkSession
-    data.createOrReplaceTempView("data")
-    found = spark.sql(statement)
-    own = set(data.inputFiles())
-    if not set(found.inputFiles()) <= own:
-        raise ValueError("only the view data may be read")
-    return found
+    """The rows of a SELECT over ``data``; see ``guarded`` for what is refused.
+
+    The statement sees ``data`` as a common table expression over a view of a name of its own,
+    so callers in one session don't meet.
+    """
+    guarded(data, statement)
+    view = f"slice_{uuid.uuid4().hex}"
+    data.createOrReplaceTempView(view)
+    try:
+        rest = re.sub(r"(?is)^\s*with\b(?!\s+recursive\b)", ",", statement, count=1)
+        return data.sparkSession.sql(f"WITH data AS (SELECT * FROM {view}){rest if rest != statement else ' ' + statement}")
+    finally:
+        data.sparkSession.catalog.dropTempView(view)
 
 
 def _long(data: DataFrame, columns: list[str], kind: str) -> DataFrame:

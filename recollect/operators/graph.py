@@ -33,12 +33,13 @@ def k_hop(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both
     """
     if not 1 <= depth <= 6:
         raise ValueError("depth must be 1 to 6")
-    step = steps(edges, direction).distinct()
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    frontier = seen
+    step = saved(steps(edges, direction).distinct(), "graph-steps")
+    seen = frontier = saved(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "graph-frontier")
     for d in range(1, depth + 1):
         reached = frontier.join(step, frontier["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = saved(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "graph-frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.union(frontier)
     if limit is None:
         return seen
@@ -57,18 +58,25 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
     """source, target, hops, path of the shortest undirected path of each pair, up to ``most`` hops.
 
     Of equal length the least sequence of nodes. One path a node and source is kept a step:
-    the least, whose continuations are least as well.
+    the least, whose continuations are least as well. Sources whose targets are all found go on
+    no further.
     """
-    step = both_ways(edges).distinct()
+    step = saved(both_ways(edges).distinct(), "graph-steps")
     found = pairs.select("source", "target").distinct()
     reach = found.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
     seen = reach.select("source", "node")
     out = found.filter("source = target").select("source", "target", F.lit(0).alias("hops"), F.array("source").alias("path"))
+    asked = saved(found.filter("source <> target"), "graph-asked")
     for hops in range(1, most + 1):
+        reach = reach.join(asked.select("source"), "source", "left_semi")
         longer = reach.join(step, reach["node"] == step["src"]).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        reach = longer.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
+        reach = saved(longer.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path")), "graph-reached")
         seen = seen.union(reach.select("source", "node"))
-        out = out.union(found.join(reach.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.lit(hops).alias("hops"), "path"))
+        hit = saved(asked.join(reach.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.lit(hops).alias("hops"), "path"), "graph-paths")
+        out = out.union(hit)
+        asked = saved(asked.join(hit, ["source", "target"], "left_anti"), "graph-asked")
+        if reach.isEmpty() or asked.isEmpty():
+            break
     return out
 
 

@@ -1,12 +1,14 @@
 """Vector search: a stated set of queries against all rows, in blocks.
 
-Queries are sent out a block at a time, of bounded size; each task multiplies its rows with
-them and keeps the best of each query, so that what is shuffled is queries x k x tasks.
+Queries and rows are packed into blocks of bounded size, each one row of a table with a matrix
+in it. Every block of rows meets every block of queries in a join on the block's number, and a
+task multiplies the two; nothing passes through the driver. Of a block of rows only the best of
+each query goes on, and Spark cuts those down again before it shuffles them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import cosine
+from recollect.sources.shared import saved
 
-#: Queries in a block: what is broadcast is this x the dimension x 8 bytes.
-BLOCK = 4096
+#: Queries, and rows, in a block: their product in 8 byte numbers is what a task holds at once.
+QUERIES, ROWS = 2048, 4096
+#: Stands for no group.
+NONE = -(2**63)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -30,101 +35,183 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def query_blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of at most ``size`` queries at a time, in order of id."""
-    ids, rows = [], []
-    for r in queries.orderBy("id").toLocalIterator():
-        ids.append(r["id"])
-        rows.append(r["embedding"])
-        if len(ids) == size:
-            yield np.array(ids), _unit(np.array(rows, np.float64))
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), _unit(np.array(rows, np.float64))
+def _signs(m: np.ndarray) -> np.ndarray:
+    return np.where(m > 0, 1.0, -1.0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
+FIELDS = ("id", "group", "first", "matrix", "n")
+
+
+def packed(rows: DataFrame, size: int, prefix: str, prepare: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks of at most ``size`` records: id, group, first and matrix as bytes, and n, after ``prefix``.
+
+    ``rows`` has id, group (a bigint, may be null) and embeddings, the record's vectors.
+    ``first`` is where each record's vectors begin in the matrix, of n rows. Records without
+    vectors go.
+    """
+    names = [prefix + c for c in FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                counts = np.array([len(x) for x in part.column(2)])
+                matrix = prepare(_matrix(part.column(2).flatten()))
+                fields = (part.column(0).to_numpy(), part.column(1).fill_null(NONE).to_numpy(), np.cumsum(counts) - counts, matrix)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in fields), pa.array([len(matrix)], pa.int64())], names=names)
+
+    source = rows.filter(F.size("embeddings") > 0).select(F.col("id").cast("long"), F.col("group").cast("long"), "embeddings")
+    return source.mapInArrow(run, ", ".join(f"{n} binary" for n in names[:-1]) + f", {names[-1]} long")
+
+
+def meet(rows: DataFrame, queries: DataFrame, found: Callable[..., list[np.ndarray]], schema: str, prepare: Callable[[np.ndarray], np.ndarray] = _unit, block: int = QUERIES) -> DataFrame:
+    """What ``found`` gives of each block of queries and block of rows, as rows of ``schema``.
+
+    ``found`` takes id, group, first and matrix of the queries, then those of the rows.
+    """
+    asked = saved(packed(queries, block, "q_", prepare).withColumn("block", F.monotonically_increasing_id()), "vector-queries")
+    every = asked.agg(F.collect_list("block")).scalar()  # a number a block
+    pairs = packed(rows, ROWS, "r_", prepare).withColumn("block", F.explode(every)).join(asked, "block")
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                parts = []
+                for side in (0, len(FIELDS)):
+                    ids, group, first, matrix = (b.column(side + k)[i].as_buffer() for k in range(4))
+                    parts += [np.frombuffer(x, np.int64) for x in (ids, group, first)]
+                    parts.append(np.frombuffer(matrix, np.float64).reshape(b.column(side + 4)[i].as_py(), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(*parts)], names=columns)
+
+    return pairs.select(*(p + c for p in ("q_", "r_") for c in FIELDS)).mapInArrow(run, schema)
+
+
+def _single(rows: DataFrame, group: str | None) -> DataFrame:
+    own = F.col(group) if group else F.lit(None)
+    return rows.filter("embedding is not null").select("id", own.cast("long").alias("group"), F.array("embedding").alias("embeddings"))
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) places of the ``k`` greatest of each query's ``sims``, equal ones by id; those of -inf don't count."""
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+    which = np.repeat(np.arange(len(sims)), order.shape[1])
+    keep = sims[which, order.ravel()] > -np.inf
+    return which[keep], order.ravel()[keep]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, skip_self: bool = True, same: str | None = None, each: str | None = None, signs: bool = False, block: int = QUERIES) -> DataFrame:
     """query_id, id, similarity, rank of the ``k`` rows of greatest cosine to each query.
 
     Both have id and embedding. Similarities are rounded before they are ranked; equal ones
-    rank by id.
+    rank by id. With ``same``, a bigint column of both, only rows of the query's value count;
+    with ``each``, one of the rows, there are ``k`` of each of its values, in column each. With
+    ``signs`` only the signs of the elements are compared: similarity is 1 - 2 x the share that
+    differs.
     """
-    spark = vectors.sparkSession
-    source = vectors.select(F.col("id").cast("long").alias("id"), "embedding").filter("embedding is not null")
-    out = spark.createDataFrame([], "query_id long, id long, similarity double")
-    for ids, matrix in query_blocks(queries, block):
-        shipped = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            qs, m = shipped.value
-            for b in batches:
-                rows, own = b.column(0).to_numpy(), _unit(_matrix(b.column(1)))
-                if not len(rows):
-                    continue
-                sims = np.round(m @ own.T, digits) + 0.0
-                if skip_self:
-                    sims[qs[:, None] == rows[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(rows, sims.shape), -sims), axis=1)[:, :k]
-                got = np.take_along_axis(sims, order, 1)
-                keep = got > -2.0
-                which = np.nonzero(keep)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(qs[which]), pa.array(rows[order][keep]), pa.array(got[keep])], names=["query_id", "id", "similarity"])
-
-        out = out.union(source.mapInArrow(best, "query_id long, id long, similarity double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-
-def within(vectors: DataFrame, queries: DataFrame, least: float, digits: int = 6, block: int = BLOCK) -> DataFrame:
+    def found(qs: np.ndarray, mine: np.ndarray, _: np.ndarray, m: np.ndarray, ids: np.ndarray, theirs: np.ndarray, __: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        sims = m @ own.T
+        sims = (sims / m.shape[1] if signs else np.round(sims, digits)) + 0.0
+        if skip_self:
+            sims[qs[:, None] == ids[None, :]] = -np.inf
+        if same:
+            sims[mine[:, None] != theirs[None, :]] = -np.inf
+        out = []
+        for value in np.unique(theirs) if each else [NONE]:
+            rows = np.flatnonzero(theirs == value) if each else np.arange(len(ids))
+            i, j = _best(ids[rows], sims[:, rows], k)
+            out.append((qs[i], ids[rows[j]], sims[i, rows[j]], np.full(len(i), value)))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    group = same or each
+    out = meet(_single(vectors, group), _single(queries, same), found, "query_id long, id long, similarity double, each long", _signs if signs else _unit, block)
+    order = Window.partitionBy("query_id", *(["each"] if each else [])).orderBy(F.desc("similarity"), "id")
+    out = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return out if each else out.drop("each")
+
+
+def within(vectors: DataFrame, queries: DataFrame, least: float, digits: int = 6, block: int = QUERIES) -> DataFrame:
     """query_id, id, similarity of every other row whose cosine to a query is at least ``least``."""
-    spark = vectors.sparkSession
-    source = vectors.select(F.col("id").cast("long").alias("id"), "embedding").filter("embedding is not null")
-    out = spark.createDataFrame([], "query_id long, id long, similarity double")
-    for ids, matrix in query_blocks(queries, block):
-        shipped = spark.sparkContext.broadcast((ids, matrix))
-
-        def near(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            qs, m = shipped.value
-            for b in batches:
-                rows = b.column(0).to_numpy()
-                if not len(rows):
-                    continue
-                sims = np.round(m @ _unit(_matrix(b.column(1))).T, digits) + 0.0
-                i, j = np.nonzero((sims >= least) & (qs[:, None] != rows[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(qs[i]), pa.array(rows[j]), pa.array(sims[i, j])], names=["query_id", "id", "similarity"])
 
-        out = out.union(source.mapInArrow(near, "query_id long, id long, similarity double"))
-    return out
+    def found(qs, _, __, m, ids, *rest) -> list[np.ndarray]:
+        sims = np.round(m @ rest[-1].T, digits) + 0.0
+        i, j = np.nonzero((sims >= least) & (qs[:, None] != ids[None, :]))
+        return [qs[i], ids[j], sims[i, j]]
 
+    return meet(_single(vectors, None), _single(queries, None), found, "query_id long, id long, similarity double", block=block)
 
-def maxsim(tokens: DataFrame, queries: DataFrame, distinct_tokens: bool = False, digits: int = 6) -> DataFrame:
+
+def near_links(vectors: DataFrame, least: float, digits: int = 6, block: int = QUERIES) -> DataFrame:
+    """src, dst: links that connect all rows whose cosine is at least ``least``, all rows against all.
+
+    Two blocks give a tree's worth of links, not all pairs, so a large group of copies gives
+    few.
+    """
+
+    def found(qs, _, __, m, ids, *rest) -> list[np.ndarray]:
+        near = np.round(m @ rest[-1].T, digits) >= least
+        own = {int(x): int(x) for x in (*qs, *ids)}
+
+        def root(x: int) -> int:
+            while own[x] != x:
+                own[x] = own[own[x]]
+                x = own[x]
+            return x
+
+        out = []
+        for i, q in enumerate(qs.tolist()):
+            for other in ids[near[i]].tolist():
+                if q < other and (a := root(q)) != (b := root(other)):
+                    own[max(a, b)] = min(a, b)
+                    out.append((q, other))
+        return list(np.array(out, np.int64).reshape(-1, 2).T)
+
+    return meet(_single(vectors, None), _single(vectors, None), found, "src long, dst long", block=block)
+
+
+def _score(m: np.ndarray, first: np.ndarray, own: np.ndarray, begins: np.ndarray, digits: int) -> np.ndarray:
+    """[query, group]: for each token of a query the greatest cosine to the group's tokens, summed."""
+    most = np.maximum.reduceat(m @ own.T, begins, axis=1)
+    return np.round(np.add.reduceat(most, first, axis=0), digits) + 0.0
+
+
+def _tokens(rows: DataFrame, key: str, distinct_tokens: bool = False) -> DataFrame:
+    embeddings = F.array_distinct("embeddings") if distinct_tokens else F.col("embeddings")
+    return rows.select(F.col(key).alias("id"), F.lit(None).alias("group"), embeddings.alias("embeddings"))
+
+
+def maxsim(tokens: DataFrame, queries: DataFrame, distinct_tokens: bool = False, digits: int = 6, k: int | None = None, block: int = QUERIES // 8) -> DataFrame:
     """query_id, group_id, score: for each token of a query the greatest cosine to the group's tokens, summed.
 
     ``tokens`` has group_id and embeddings (array of vectors), ``queries`` id and embeddings.
-    With ``distinct_tokens`` equal query tokens count once.
+    With ``distinct_tokens`` equal query tokens count once. With ``k`` only the ``k`` best groups
+    of each query, equal scores by group_id, and their rank.
     """
-    spark = tokens.sparkSession
-    asked = [(r["id"], [list(v) for v in ({tuple(v): v for v in r["embeddings"]}.values() if distinct_tokens else r["embeddings"])]) for r in queries.orderBy("id").toLocalIterator()]
-    out = spark.createDataFrame([], "query_id long, group_id long, score double")
-    for at in range(0, len(asked), BLOCK):
-        some = asked[at : at + BLOCK]
-        ids = np.array([q for q, _ in some])
-        sizes = np.array([len(v) for _, v in some])
-        shipped = spark.sparkContext.broadcast((ids, np.cumsum(sizes) - sizes, _unit(np.array([v for _, vs in some for v in vs], np.float64))))
-
-        def score(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            qs, first, m = shipped.value
-            for b in batches:
-                groups, lists = b.column(0).to_numpy(), b.column(1)
-                counts = np.array([len(x) for x in lists.to_pylist()])
-                own = _unit(np.array([v for x in lists.to_pylist() for v in x], np.float64))
-                most = np.maximum.reduceat(m @ own.T, np.cumsum(counts) - counts, axis=1)
-                total = np.round(np.add.reduceat(most, first, axis=0), digits) + 0.0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, len(groups))), pa.array(np.tile(groups, len(qs))), pa.array(total.ravel())], names=["query_id", "group_id", "score"])
-
-        source = tokens.filter(F.size("embeddings") > 0).select(F.col("group_id").cast("long").alias("group_id"), "embeddings")
-        out = out.union(source.mapInArrow(score, "query_id long, group_id long, score double"))
-    return out
+
+    def found(qs, _, first, m, ids, __, begins, own) -> list[np.ndarray]:
+        total = _score(m, first, own, begins, digits)
+        i, j = _best(ids, total, k or len(ids))
+        return [qs[i], ids[j], total[i, j]]
+
+    out = meet(_tokens(tokens, "group_id"), _tokens(queries, "id", distinct_tokens), found, "query_id long, group_id long, score double", block=block)
+    if k is None:
+        return out
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "group_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def maxsim_of(pairs: DataFrame, tokens: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, group_id, score of the given pairs (query_id, group_id) alone; as ``maxsim``."""
+    rows = pairs.join(tokens.select("group_id", F.col("embeddings").alias("own")), "group_id").join(queries.select(F.col("id").alias("query_id"), F.col("embeddings").alias("asked")), "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [_score(_unit(_matrix(q.values)), np.zeros(1, int), _unit(_matrix(o.values)), np.zeros(1, int), digits)[0, 0] for q, o in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], names=["query_id", "group_id", "score"])
+
+    wanted = rows.filter((F.size("own") > 0) & (F.size("asked") > 0))
+    return wanted.select(F.col("query_id").cast("long"), F.col("group_id").cast("long"), "asked", "own").mapInArrow(run, "query_id long, group_id long, score double")
 
 
 class InvertedLists:

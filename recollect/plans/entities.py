@@ -9,7 +9,7 @@ from recollect.functions.predicates import collapse, entity_name
 from recollect.operators import entities as op
 from recollect.operators import graph
 from recollect.operators.listing import top_of
-from recollect.operators.vectors import within
+from recollect.operators.vectors import near_links
 from recollect.plans.registry import query
 from recollect.sources.tables import members, table
 
@@ -29,17 +29,17 @@ def e2_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.resolve(names, part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")), part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("alias")))
 
 
-CLUSTERS = """WITH RECURSIVE s AS (SELECT q.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS w FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+CLUSTERS = """WITH RECURSIVE s AS (SELECT q.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS w FROM embeddings q, embeddings v WHERE q.vec_id < v.vec_id),
   l AS (SELECT a, b FROM s WHERE w >= 0.3), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
-  c AS (SELECT node, min(root) AS root FROM r GROUP BY node), m AS (SELECT c.node, c.root, count(e.vec_id) AS members FROM c LEFT JOIN embeddings e ON e.label = c.node % 10 GROUP BY ALL)
+  k AS (SELECT node, min(root) AS root FROM r GROUP BY node), c AS (SELECT vec_id AS node, coalesce(k.root, vec_id) AS root FROM embeddings LEFT JOIN k ON k.node = vec_id), m AS (SELECT c.node, c.root, count(e.vec_id) AS members FROM c LEFT JOIN embeddings e ON e.label = c.node % 10 GROUP BY ALL)
   SELECT node, first_value(node) OVER (PARTITION BY root ORDER BY members DESC, node) AS representative FROM m"""
 
 
 @query(CLUSTERS)
 def e3_dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    near = within(v, v.filter("id % 20 = 0"), 0.3)
-    roots = graph.components(near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
+    linked = graph.components(near_links(v, 0.3))
+    roots = v.select(F.col("id").alias("node")).join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     labels = v.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     sizes = roots.select("node", (F.col("node") % 10).alias("label")).join(labels, "label", "left").select("node", "members")
     return op.representatives(roots, sizes)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions.vectors import cosine, hamming, sign_bits
+from recollect.functions.vectors import cosine
 from recollect.operators import vectors as op
-from recollect.operators.listing import top_of
 from recollect.plans.registry import query
 from recollect.sources.tables import table
 
@@ -43,13 +42,9 @@ CUES = SIM + " , c AS (SELECT query_id, label AS memory_id, max(similarity) AS s
 
 @query(CUES + "SELECT query_id, memory_id, similarity, cue FROM c")
 def v3_cue_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest cue of each memory (label): all of a query's rows are wanted, by label."""
+    """The nearest cue of each memory (label)."""
     v = _vectors(spark, sf_dir)
-    parts = [op.search(v.filter(F.col("label") == r.label), _queries(v), 1).withColumn("memory_id", F.lit(r.label)) for r in v.select("label").distinct().orderBy("label").collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select("query_id", "memory_id", "similarity", F.col("id").alias("cue"))
+    return op.search(v, _queries(v), 1, each="label").select("query_id", F.col("each").cast("int").alias("memory_id"), "similarity", F.col("id").alias("cue"))
 
 
 @query(SIM + " SELECT query_id, label AS memory_id, max(similarity) AS similarity FROM s WHERE label <> query_label AND similarity >= 0.2 GROUP BY query_id, label")
@@ -81,14 +76,16 @@ def v5_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOKENS + "SELECT query_id, group_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, group_id) AS rank FROM r QUALIFY rank <= 10")
 def v6_maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_of(v5_maxsim(spark, sf_dir), ["query_id"], [F.desc("score"), F.asc("group_id")], 10).withColumn("rank", F.col("rank").cast("long"))
+    groups = _multi(spark, sf_dir)
+    return op.maxsim(groups, groups.filter("group_id % 20 = 0").withColumnRenamed("group_id", "id"), digits=5, k=10).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(TOKENS + "SELECT query_id, group_id, score FROM r WHERE group_id % 2 = 0")
+@query(TOKENS + "SELECT query_id, group_id, score FROM r WHERE group_id IN (SELECT conv_id FROM conversations)")
 def v7_maxsim_distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated query tokens count once; only the wanted documents, the even ones, are scored."""
+    """Repeated query tokens count once; only the documents of a set of ids, another table's, are scored."""
     groups = _multi(spark, sf_dir)
-    return op.maxsim(groups.filter("group_id % 2 = 0"), groups.filter("group_id % 20 = 0").withColumnRenamed("group_id", "id"), True, 5)
+    wanted = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"))
+    return op.maxsim(groups.join(wanted, "group_id", "left_semi"), groups.filter("group_id % 20 = 0").withColumnRenamed("group_id", "id"), True, 5)
 
 
 STAGED = TOKENS.replace("WITH t AS", "WITH t AS").rstrip() + """, n AS (SELECT q.vec_id // 5 AS query_id, v.vec_id // 5 AS group_id FROM embeddings q, embeddings v WHERE (q.vec_id // 5) % 20 = 0 AND q.vec_id <> v.vec_id
@@ -102,28 +99,25 @@ def v8_two_stage_maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     near = op.search(v, v.filter("floor(id / 5) % 20 = 0"), 20)
     named = near.select(F.floor(F.col("query_id") / 5).alias("query_id"), F.floor(F.col("id") / 5).alias("group_id")).distinct()
-    return v5_maxsim(spark, sf_dir).join(named, ["query_id", "group_id"], "left_semi")
+    groups = _multi(spark, sf_dir)
+    return op.maxsim_of(named, groups, groups.withColumnRenamed("group_id", "id"), digits=5)
 
 
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings), h AS (
   SELECT q.vec_id AS query_id, v.vec_id AS id, list_sum(list_transform(list_zip(q.s, v.s), lambda z: (z[1] <> z[2])::BIGINT))::BIGINT AS distance FROM b q, b v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
   SELECT query_id, id, distance FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10""")
 def v9_binary_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = _vectors(spark, sf_dir).select("id", sign_bits(F.col("embedding")).alias("bits"))
-    asked = _queries(bits).select(F.col("id").alias("query_id"), F.col("bits").alias("q"))
-    pairs = bits.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", hamming(F.col("bits"), F.col("q")).alias("distance"))
-    return top_of(pairs, ["query_id"], [F.asc("distance"), F.asc("id")], 10).drop("rank")
+    """The Hamming distance of sign bits, by a product of signs."""
+    v = _vectors(spark, sf_dir)
+    found = op.search(v, _queries(v), 10, signs=True)
+    size = v.select(F.max(F.size("embedding"))).scalar()
+    return found.select("query_id", "id", F.round((1 - F.col("similarity")) * size / 2).cast("long").alias("distance"))
 
 
 @query(SIM + " SELECT query_id, id, similarity FROM s WHERE label = query_label QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3")
 def v11_same_type_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    out = None
-    for r in v.select("label").distinct().orderBy("label").collect():
-        own = v.filter(F.col("label") == r.label)
-        found = op.search(own, _queries(own), 3)
-        out = found if out is None else out.union(found)
-    return out.select("query_id", "id", "similarity")
+    return op.search(v, _queries(v), 3, same="label").select("query_id", "id", "similarity")
 
 
 @query("SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

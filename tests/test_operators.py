@@ -163,3 +163,41 @@ def test_formats(spark, tmp_path):
     polled = formats.poll_files(spark, str(tmp_path), "*.parquet")
     assert polled.count() > 0 and {r.content_type for r in polled.collect()} == {"parquet"}
     assert formats.new_files(polled, polled).count() == 0 and formats.new_files(polled, polled, full=True).count() == polled.count()
+
+
+@pytest.mark.parametrize("statement", [
+    "WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '/tmp/slice-out' USING parquet SELECT * FROM x", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM data",
+    "SELECT * FROM hidden", "SELECT a FROM data WHERE a IN (SELECT a FROM hidden)", "WITH x AS (SELECT * FROM hidden) SELECT * FROM x", "SELECT * FROM data; SELECT 1", "DROP VIEW data", "SELECT * FROM range(10)", "SELECT * FROM parquet.`/tmp/x`",
+])
+def test_slice_refuses_before_anything_runs(spark, statement):
+    spark.range(3).toDF("a").createOrReplaceTempView("hidden")
+    with pytest.raises(ValueError):
+        datasets.slice_sql(spark.range(5).toDF("a"), statement)
+    spark.catalog.dropTempView("hidden")
+
+
+def test_slices_of_two_callers_dont_meet(spark):
+    one, two = (spark.range(n).toDF("a") for n in (3, 5))
+    first = datasets.slice_sql(one, "SELECT count(*) AS n, max(a) AS m FROM data")
+    second = datasets.slice_sql(two, "WITH x AS (SELECT a FROM data WHERE a > (SELECT min(a) FROM data)) SELECT count(*) AS n, max(a) AS m FROM x")
+    assert tuple(first.first()) == (3, 2) and tuple(second.first()) == (4, 4)
+    assert not any(t.name.startswith("slice_") for t in spark.catalog.listTables())
+
+
+def test_identifiers():
+    assert datasets.identifier("a_1") == "`a_1`"
+    for bad in ("a b", "a`", "1a", "", "a;b"):
+        with pytest.raises(ValueError):
+            datasets.identifier(bad)
+
+
+def test_near_links_connect_what_all_pairs_do(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in centres[i % 6] + 0.1 * rng.normal(size=8)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    for block in (2048, 7):
+        links = search.near_links(v, 0.9, block=block)
+        assert links.count() < 60 * 60 // 4
+        sizes = graph.components(links).groupBy("root").count().collect()
+        assert sorted(r["count"] for r in sizes) == [10] * 6
