@@ -45,6 +45,9 @@ DROPPED = frozenset(["script", "style", "noscript", "template", "head", "title",
 DROPPED_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"])
 DROPPED_NAMES = frozenset(["ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsors", "sponsored", "promo", "promos", "promotion", "banner", "nav", "navbar", "navigation", "menu", "menus", "submenu", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "topbar", "footer", "sidebar", "aside", "widget", "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "paywall", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "recommendations", "skip", "toolbar"])
 WHOLE = frozenset(["html", "body", "main", "article"])
+SOFT = frozenset(["form", "fieldset"])
+WITHOUT = frozenset(["has", "no", "with", "without", "not", "is", "hide", "show", "toggle", "open", "closed", "enabled", "disabled"])
+PARTS_OF = frozenset(["area", "bar", "block", "body", "bottom", "box", "button", "container", "content", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "meta", "outer", "panel", "primary", "right", "row", "secondary", "section", "slot", "text", "thread", "title", "top", "unit", "widget", "wrap", "wrapper"])
 MAIN = frozenset(["article", "main"])
 
 
@@ -55,35 +58,50 @@ def host(url: str | None) -> str:
         return ""
 
 
-def names(attributes: str) -> tuple[list[str], bool]:
-    """The words of an element's class and id, and whether its attributes hide or set it apart."""
-    words, apart = [], False
+def apart_name(name: str) -> bool:
+    """Whether a class or id names a menu, notice and so on.
+
+    Its last word does, or its first with words for parts after it: "site-nav", "ad-slot", but
+    not "content-with-sidebar", "has-nav", "form-group" or "search-results".
+    """
+    parts = [w for w in re.split(r"[_\-]+", name) if w and not w.isdigit()]
+    if not parts or any(w in WITHOUT for w in parts[:-1]):
+        return False
+    return parts[-1] in DROPPED_NAMES or (parts[0] in DROPPED_NAMES and all(w in PARTS_OF for w in parts[1:]))
+
+
+def names(attributes: str) -> tuple[list[str], bool, bool]:
+    """The words of an element's class and id; whether one sets it apart; whether other attributes do."""
+    words, named, apart = [], False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             words += re.split(r"[\s_\-]+", value)
+            named |= any(map(apart_name, value.split()))
         elif key == "role":
             apart |= value in DROPPED_ROLES
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             apart = True
         elif key == "style":
             apart |= "display:none" in value.replace(" ", "")
-    return [w for w in words if w], apart
+    return [w for w in words if w], named, apart
 
 
 class Page:
     """A page's tokens in order, and its text blocks.
 
     tokens: 64-bit hashes. blocks: (text, dropped, main, token's place) of each block of text;
-    ``dropped`` if it stands in a menu, notice and so on, ``main`` if in an article.
+    ``dropped`` is 2 if it stands in a menu, notice and so on by its element or role, 1 if only
+    by a class, an id or a form around it, ``main`` if it stands in an article. An article or
+    main element inside a form or a named element isn't dropped with it.
     """
 
     def __init__(self, source: str | None):
         self.tokens: list[int] = []
-        self.blocks: list[tuple[str, bool, bool, int]] = []
+        self.blocks: list[tuple[str, int, bool, int]] = []
         self._held: list[str] = []
         #: (tag, path, dropped, main) of each open element.
-        self._open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self._open: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
         source, at = source or "", 0
         while at < len(source):
             m = MARKUP.search(source, at)
@@ -124,26 +142,28 @@ class Page:
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._held.append(" ")
+        words, named, apart = names(attributes) if attributes.strip() else ([], False, False)
         if tag in INLINE:
-            words, apart = names(attributes) if attributes.strip() else ([], False)
-            if not (apart or any(w in DROPPED_NAMES for w in words)) or tag in VOID:
+            named = any(w in DROPPED_NAMES for w in re.split(r"[\s\"'=]+", attributes.lower())) if named else False
+            if tag in VOID or not (apart or (named and not any(t in ("pre", "code") for t, *_ in self._open))):
                 if tag not in VOID:
                     self._open.append((tag, *self._open[-1][1:]))
                 return
             self._flush()
-            self._push(tag, words, True)
+            self._push(tag, words, 2 if apart else 1)
             return
         self._flush()
-        words, apart = names(attributes) if attributes.strip() else ([], False)
         self._close_implied(tag)
-        self._push(tag, words, apart)
+        self._push(tag, words, 0 if tag in WHOLE else 2 if apart else int(named))
         if tag in VOID:
             self._open.pop()
 
-    def _push(self, tag: str, words: list[str], apart: bool) -> None:
+    def _push(self, tag: str, words: list[str], apart: int) -> None:
         _, path, dropped, main = self._open[-1]
         path = f"{path}/{tag}" + "".join(f".{w}" for w in words if not w.isdigit())
-        dropped = dropped or tag in DROPPED or (tag not in WHOLE and (apart or any(w in DROPPED_NAMES for w in words)))
+        if tag in MAIN and dropped == 1:
+            dropped = 0
+        dropped = max(dropped, apart, 1 if tag in SOFT else 2 if tag in DROPPED else 0)
         self.tokens.append(self._hash(f"{path}<"))
         self._open.append((tag, path, dropped, main or tag in MAIN))
 
@@ -208,12 +228,14 @@ def extract(source: str | None, classes: list[list[int]]) -> str:
     Slots, the text that the template doesn't hold, outside menus, notices, comments and so on.
     An article or main element is evidence of where the main text is: if the page has one, only
     its slots count, and if the template holds all of its text (all of a host's pages are
-    alike), that text is the main text.
+    alike), that text is the main text. If a form or a named element holds all of a page's text
+    that no menu or the like does, it isn't set apart.
     """
     page = Page(source)
     held = template(page.tokens, classes) if classes else set()
-    blocks = [b for b in page.blocks if not b[1]]
-    if any(main for _, _, main, _ in page.blocks):
+    least = min((b[1] for b in page.blocks if b[1] < 2), default=0)  # a page all in a form or a named element has its text there
+    blocks = [b for b in page.blocks if b[1] <= least]
+    if any(b[2] for b in blocks):
         blocks = [b for b in blocks if b[2]]
         if all(b[3] in held for b in blocks):
             held = set()

@@ -1,3 +1,5 @@
+import pytest
+
 from recollect.llm import html
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T &amp; t</title><style>p{margin:0}</style><script>var t="</p>";</script></head>
@@ -12,6 +14,25 @@ def test_article_without_the_rest():
     assert html.extract(PAGE, []) == "T & t\n\nFirst para graph\n\nSecond ééx & no semicolon\n\none\n\ntwo"
 
 
+@pytest.mark.parametrize("name", ["content-with-sidebar", "page no-sidebar", "site-main has-nav", "post-comments-open", "blog-search-results", "form-group", "social-impact"])
+def test_wrappers_keep_their_text(name):
+    for inside in ("<p>Body text</p>", "<article><p>Body text</p></article>"):
+        assert html.extract(f'<body><nav>Menu</nav><div class="{name}">{inside}</div></body>', []) == "Body text"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-nav", "ad-slot", "cookie-banner", "comment-list", "newsletter-signup", "related box"])
+def test_named_parts_go(name):
+    assert html.extract(f'<body><p>Body text</p><div class="{name}"><p>Rest</p></div></body>', []) == "Body text"
+
+
+def test_text_in_forms_and_code():
+    assert html.extract("<body><form><nav>Menu</nav><p>All in a form</p></form></body>", []) == "All in a form"
+    assert html.extract("<body><form><article><p>Text</p></article></form><p>Rest</p></body>", []) == "Text"
+    assert html.extract("<main><nav>Menu</nav></main><p>Outside</p>", []) == "Outside"
+    assert html.extract('<article><pre><code>x = 1 <span class="hljs-comment"># one</span> <span class="token comment"># two</span></code></pre></article>', []) == "x = 1 # one # two"
+    assert html.extract('<article><p>Text <span class="ad">Buy</span></p></article>', []) == "Text"
+
+
 def test_broken_markup_doesnt_crash():
     for cut in range(0, len(PAGE), 7):
         html.extract(PAGE[:cut], [])
