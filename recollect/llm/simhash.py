@@ -270,9 +270,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, t long, node long, size long, fp array<long>, bands array<long>")
 
 
-def sets_of(asked: DataFrame, rows: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node, s: the set of shingles of each distinct node of ``asked``, computed again from one text of it."""
-    wanted = rows.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+def sets_of(asked: DataFrame, known: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, s: the set of shingles of each distinct node of ``asked``, computed again from one text of it.
+
+    ``known`` has node and t, the hash of one of its texts.
+    """
+    wanted = known.join(asked.select("node").distinct(), "node", "left_semi").select("node", "t")
     texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).join(wanted, "t").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,15 +327,16 @@ def tree(nodes: np.ndarray, roots: np.ndarray, probe: np.ndarray, fps: np.ndarra
     return out
 
 
-def rest_links(held: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
-    """Links that connect what is similar among the nodes of each key of ``held`` (key, node, root, fp).
+def rest_links(held: DataFrame, known: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """Links that connect what is similar among the nodes of each key of ``held`` (key, node, root).
 
-    Nodes of a key's largest component need no comparison with each other: the rest, the
-    probes, are held against all. Both are cut into parts of about ``chunk`` nodes or MEMORY
-    shingles, and each part of probes against each part of nodes is a task's work of its own,
-    so that a large key is spread and no pair is left out. A task gives a tree, not all pairs.
+    ``known`` has node, fp and size. Nodes of a key's largest component need no comparison with
+    each other: the rest, the probes, are held against all. Both are cut into parts of about
+    ``chunk`` nodes or MEMORY shingles, and each part of probes against each part of nodes is a
+    task's work of its own, so that a large key is spread and no pair is left out. A task gives
+    a tree, not all pairs.
     """
-    nodes = saved(held.join(sets.withColumn("size", F.size("s")), "node"), "similar-rest")
+    nodes = saved(held.join(known.select("node", "size"), "node"), "similar-rest")
     sums = nodes.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     sums = sums.groupBy("key").agg(F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
 
@@ -343,8 +347,9 @@ def rest_links(held: DataFrame, sets: DataFrame, least: float, chunk: int = CHUN
     nodes = nodes.join(saved(dealt, "similar-parts"), "key")
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = nodes.select("key", "node", "root", "fp", "s", F.lit(False).alias("probe"), deal("parts", 0).alias("part"), every("turns").alias("turn"))
-    probes = nodes.filter("root <> most").select("key", "node", "root", "fp", "s", F.lit(True).alias("probe"), every("parts").alias("part"), deal("turns", 1).alias("turn"))
+    base = nodes.select("key", "node", "root", F.lit(False).alias("probe"), deal("parts", 0).alias("part"), every("turns").alias("turn"))
+    probes = nodes.filter("root <> most").select("key", "node", "root", F.lit(True).alias("probe"), every("parts").alias("part"), deal("turns", 1).alias("turn"))
+    work = saved(base.union(probes), "similar-work").join(known.select("node", "fp").join(sets, "node"), "node")
 
     def run(group: pa.Table) -> pa.Table:
         column = lambda c: group.column(c).combine_chunks()
@@ -353,7 +358,7 @@ def rest_links(held: DataFrame, sets: DataFrame, least: float, chunk: int = CHUN
         found = tree(column("node").to_numpy(), column("root").to_numpy(), column("probe").to_numpy(zero_copy_only=False), fps, sets, least)
         return pa.table({"src": pa.array([a for a, _ in found], pa.int64()), "dst": pa.array([b for _, b in found], pa.int64())})
 
-    return base.union(probes).groupBy("key", "part", "turn").applyInArrow(run, "src long, dst long")
+    return work.groupBy("key", "part", "turn").applyInArrow(run, "src long, dst long")
 
 
 def similar_links(rows: DataFrame, docs: DataFrame, words: int, least: float, chunk: int = CHUNK) -> DataFrame:
@@ -363,19 +368,21 @@ def similar_links(rows: DataFrame, docs: DataFrame, words: int, least: float, ch
     several components, nodes of different components are held against each other. The
     pigeonring prunes both before the sets of shingles are compared.
     """
-    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
-    keyed = nodes.select("node", "fp", F.explode("bands").alias("key"))
-    keyed = saved(keyed, "similar-bands")
-    centres = keyed.groupBy("key").agg(F.min_by(F.struct("node", "fp"), "node").alias("c"), F.max("node").alias("last")).filter("c.node <> last").select("key", F.col("c.node").alias("src"), F.col("c.fp").alias("to"))
+    known = saved(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("t").alias("t")), "similar-nodes")
+    nodes = rows.filter(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
+    keyed = saved(nodes.select("node", F.explode("bands").alias("key")), "similar-bands")
+    centres = keyed.groupBy("key").agg(F.min("node").alias("src"), F.max("node").alias("last")).filter("src <> last").drop("last")
     held = saved(keyed.join(centres, "key"), "similar-shared")
-    first = held.filter("src <> node").select("src", F.col("node").alias("dst"), "fp", "to").dropDuplicates(["src", "dst"])
-    first = saved(first.filter(ring(F.col("fp"), F.col("to"))).select("src", "dst"), "similar-pairs")
-    sets = sets_of(first.select(F.col("src").alias("node")).union(first.select("dst")), rows, docs, words)
+    first = held.filter("src <> node").select("src", F.col("node").alias("dst")).distinct()
+    ends = [known.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}")) for end in ("src", "dst")]
+    first = first.join(ends[0], "src").join(ends[1], "dst").filter(ring(F.col("fp_src"), F.col("fp_dst")))
+    first = saved(first.select("src", "dst"), "similar-pairs")
+    sets = sets_of(first.select(F.col("src").alias("node")).union(first.select("dst")), known, docs, words)
     linked_ = saved(similar(first, sets, least), "similar-links")
-    placed = held.join(components(linked_), "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
+    placed = held.join(components(linked_), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     placed = saved(placed.join(mixed, "key", "left_semi"), "similar-mixed")
-    return linked_.union(rest_links(placed, sets_of(placed, rows, docs, words), least, chunk))
+    return linked_.union(rest_links(placed, known, sets_of(placed, known, docs, words), least, chunk))
 
 
 def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -389,8 +396,9 @@ def first_of_each(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFr
     """
     rows = saved(sketches(docs, words), "similar-rows")
     roots = components(similar_links(rows, docs, words, least))
-    named = rows.select("doc_id", "t", "node").join(roots, "node", "left")
-    best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")).alias("k"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t")
+    named = rows.groupBy("node").agg(F.min(own).alias("k")).join(roots, "node", "left")  # copies of a text collapse before the join
+    best = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     none, key, text, n = fresh(docs, "none", "key", "text_key", "copy")
     kept = best.select(F.col("k.none").alias(none), F.col("k.id").alias(key), F.col("k.t").alias(text))
     id_ = F.col("doc_id").cast("long")
