@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.predicates import collapse
+
 
 def gaps(pages: DataFrame) -> DataFrame:
     """document_id, pages, missing of each kind, is_complete, first_gap.
@@ -62,3 +64,35 @@ def arrivals(found: DataFrame, now: Column, ttl: int = 900) -> DataFrame:
     flight = F.col("status").isin("processing", "pending", "pending_fetch") & (F.col("started") > now - ttl)
     decision = F.when(F.col("status").isNull(), "fresh").when(flight, "in_flight").when(F.col("status") == "completed", "complete").otherwise(F.concat(F.lit("resume:"), F.coalesce("first_gap", F.lit("render"))))
     return found.select("id", decision.alias("decision"))
+
+
+def page_text(transcript: Column, page_no: Column, file: Column) -> Column:
+    """A page's transcript, or what stands for an empty one. Fixed value: the text of the placeholder."""
+    return F.coalesce(F.nullif(transcript, F.lit("")), F.format_string("[Visual page %d of %s]", page_no + 1, file))
+
+
+def garbage(rows: DataFrame, used: DataFrame, key: str, now: Column, grace: str) -> DataFrame:
+    """Rows (key, mtime) that nothing uses and that are older than the grace."""
+    return rows.filter(F.col("mtime") < now - F.expr(f"interval {grace}")).join(used, key, "left_anti")
+
+
+def locate(docs: DataFrame, quotes: DataFrame, most: int = 3) -> DataFrame:
+    """item_id, doc_id, begin_at, times, is_unique of each quote and document that holds it.
+
+    White space is collapsed on both sides. A quote's first and last words may be cut, the
+    ``most`` words after its first stand whole in a document that holds it: both are joined on
+    their hash, and what meets is checked. Quotes of under three words are found nowhere.
+    """
+    asked = quotes.select("item_id", collapse(F.col("quote")).alias("quote")).withColumn("words", F.split("quote", " ")).filter(F.size("words") >= 3)
+    asked = asked.withColumn("n", F.least(F.lit(most), F.size("words") - 2)).withColumn("key", F.xxhash64(F.array_join(F.slice("words", F.lit(2), F.col("n")), " "))).drop("words")
+    lengths = asked.agg(F.collect_set("n")).scalar()  # at most ``most``
+    clean = docs.select("doc_id", collapse(F.col("text")).alias("text"))
+    words = clean.select("doc_id", F.split("text", " ").alias("words"), F.explode(lengths).alias("n"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.col("n")), " "))))
+    held = words.filter(F.size("words") >= F.col("n")).select("doc_id", "n", F.explode(parts).alias("key"))
+    wanted = held.join(asked.drop("quote"), ["n", "key"]).select("doc_id", "item_id").distinct()
+    found = clean.join(wanted, "doc_id").join(asked.select("item_id", "quote"), "item_id").filter(F.contains("text", "quote"))
+    times = ((F.length("text") - F.length(F.replace("text", "quote", F.lit("")))) / F.length("quote")).cast("long")
+    found = found.select("item_id", "doc_id", (F.position("quote", "text") - 1).cast("long").alias("begin_at"), times.alias("times"))
+    totals = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return found.join(totals, "item_id").withColumn("is_unique", (F.col("documents") == 1) & (F.col("times") == 1)).drop("documents")

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.predicates import entity_name
+from recollect.operators.vectors import search
 
 
-def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """name, entity_id, tier of each name (column name): exact, then alias, else new.
+def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame, vectors: DataFrame, known: DataFrame, match: float = 0.92, near: float = 0.80) -> DataFrame:
+    """id, entity_id, candidate, tier of each name (columns id, name): the first tier that finds one.
 
-    ``entities`` has entity_id and name, ``aliases`` entity_id and alias; of several the least id.
+    exact, then alias (of several the least entity_id), then embedding: the nearest of ``known``
+    (id of an entity, embedding) to the name's own of ``vectors``, taken from ``match`` on and
+    noted as a candidate from ``near`` on; else new. Only names that no name or alias resolves
+    are searched. ``entities`` has entity_id and name, ``aliases`` entity_id and alias.
     """
     exact = entities.groupBy(entity_name(F.col("name")).alias("key")).agg(F.min("entity_id").alias("exact"))
     other = aliases.groupBy(entity_name(F.col("alias")).alias("key")).agg(F.min("entity_id").alias("by_alias"))
     found = names.withColumn("key", entity_name(F.col("name"))).join(exact, "key", "left").join(other, "key", "left")
-    tier = F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_alias").isNotNull(), "alias").otherwise("new")
-    return found.select("name", F.coalesce("exact", "by_alias").alias("entity_id"), tier.alias("tier"))
+    open_ = found.filter("exact is null and by_alias is null").select("id")
+    nearest = search(known, vectors.join(open_, "id", "left_semi"), 1).select(F.col("query_id").alias("id"), F.col("id").alias("nearest"), "similarity")
+    found = found.join(nearest, "id", "left")
+    by_vector = F.when(F.col("similarity") >= match, F.col("nearest"))
+    candidate = F.when((F.col("similarity") < match) & (F.col("similarity") >= near), F.col("nearest"))
+    tier = F.when(F.col("exact").isNotNull(), "exact").when(F.col("by_alias").isNotNull(), "alias").when(by_vector.isNotNull(), "embedding").when(candidate.isNotNull(), "candidate").otherwise("new")
+    return found.select("id", F.coalesce("exact", "by_alias", by_vector).alias("entity_id"), candidate.alias("candidate"), tier.alias("tier"))
 
 
 def representatives(roots: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -50,9 +59,20 @@ def superseded(contradictions: DataFrame) -> DataFrame:
     return sides.filter("id <> newer").select("id").distinct()
 
 
-def belief(confidence: Column, support: Column, known: Column) -> tuple[Column, Column]:
-    """The confidence within 0 and 1, and the support ids that are known, each once, in order."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), F.array_intersect(support, known)
+def belief(confidence: Column, support: Column, known: Column, unresolved: Column) -> tuple[Column, Column, Column]:
+    """The confidence within 0 and 1; the support ids that are known, each once, in order; whether any is unresolved."""
+    kept = F.array_intersect(support, known)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), kept, F.coalesce(F.arrays_overlap(kept, unresolved), F.lit(False))
+
+
+def merges(same: Column, confidence: Column, least: float = 0.85) -> Column:
+    """Whether a verdict merges two entities."""
+    return same & (confidence >= least)
+
+
+def merged(rows: DataFrame, key: str) -> DataFrame:
+    """key, id, revision, history: of rows that are alike the newest id, how many there are, and all their ids."""
+    return rows.groupBy(key).agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("revision"), F.sort_array(F.collect_list("id")).alias("history"))
 
 
 def nli(label: Column, score: Column, gate: float = 0.5, contradictions: bool = True) -> Column:
@@ -65,3 +85,16 @@ def relation_upsert(evidence: DataFrame) -> DataFrame:
     key = ["source", "target", "relationship", "span", "hash"]
     one = evidence.withColumn("span", F.coalesce("span", F.lit(-1))).withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence")))).filter("_n = 1")
     return one.groupBy("source", "target", "relationship").agg(F.count(F.lit(1)).alias("evidence"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+def reconcile(relations: DataFrame, merged: DataFrame) -> DataFrame:
+    """Relations after entities are merged (id, to): source, target, relationship, evidence, confidence, active.
+
+    Both ends are re-pointed. Relations that become equal join their evidence, each counted once;
+    one that now points to itself isn't active.
+    """
+    moved = relations
+    for end in ("source", "target"):
+        to = merged.select(F.col("id").alias(end), F.col("to").alias(f"{end}_to"))
+        moved = moved.join(to, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
+    return relation_upsert(moved).withColumn("active", F.col("source") != F.col("target"))

@@ -23,10 +23,16 @@ def rate_windows(events: DataFrame, limit: int, seconds: int = 3600) -> DataFram
     return counts.withColumn("allowed", F.least("n", F.lit(limit))).withColumn("refused", F.col("n") - F.col("allowed"))
 
 
-def probe_rollup(events: DataFrame, path: Column, seconds: int = 300) -> DataFrame:
-    """path, bucket, n: requests a path, query string off, and tumbling window."""
+def probe_rollup(events: DataFrame, path: Column, seconds: int = 300, prefixes: list[str] | None = None) -> DataFrame:
+    """path, bucket, n: requests a path, query string off, and tumbling window.
+
+    With ``prefixes`` only paths that are one of them, or go on with a "/" after one.
+    """
     bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / seconds)
-    return events.groupBy(F.regexp_replace(path, r"\?.*$", "").alias("path"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    rows = events.select(F.regexp_replace(path, r"\?.*$", "").alias("path"), bucket.alias("bucket"))
+    if prefixes is not None:
+        rows = rows.filter(F.exists(F.array(*map(F.lit, prefixes)), lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/")))))
+    return rows.groupBy("path", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def crossings(counts: DataFrame, marks: tuple[int, ...] = (1, 5, 10), every: int = 10) -> DataFrame:

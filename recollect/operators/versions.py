@@ -34,3 +34,14 @@ def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
 
 def etag(revision: Column, content: Column) -> Column:
     return F.concat(F.lit("vr-"), revision.cast("string"), F.lit("-"), F.substring(F.sha2(content, 256), 1, 16))
+
+
+def with_defaults(rows: DataFrame, kind: str = "note", importance: float = 0.5) -> DataFrame:
+    """id, content_hash, type, importance, status, revision of new memories: id, content and, if known, type."""
+    own = F.col("type") if "type" in rows.columns else F.lit(kind)
+    return rows.select("id", F.sha2("content", 256).alias("content_hash"), own.alias("type"), F.lit(importance).alias("importance"), F.lit("active").alias("status"), F.lit(1).alias("revision"))
+
+
+def append_memories(held: DataFrame, new: DataFrame) -> DataFrame:
+    """``held`` with the memories of ``new`` whose content isn't there yet."""
+    return held.unionByName(with_defaults(new).join(held.select("content_hash"), "content_hash", "left_anti"))

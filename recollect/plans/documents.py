@@ -57,13 +57,12 @@ def p6_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("job_id").agg(F.count(F.lit(1)).alias("requested"), F.count("pages").alias("known"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.bool_and(F.coalesce("is_complete", F.lit(False))).alias("all_complete"))
 
 
-@query("""SELECT l_orderkey AS document_id, l_linenumber AS page_no, CASE WHEN l_tax < 0.04 THEN 'part ' || l_partkey ELSE '[Visual page ' || l_linenumber || ' of ' || count(*) OVER (PARTITION BY l_orderkey) || ']' END AS content FROM lineitem""")
+@query("""SELECT l_orderkey AS document_id, l_linenumber - 1 AS page_no, CASE WHEN l_tax < 0.04 THEN 'part ' || l_partkey ELSE '[Visual page ' || l_linenumber || ' of order-' || l_orderkey || '.pdf]' END AS content FROM lineitem""")
 def p7_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
-    text = F.coalesce(F.when(F.col("l_tax") < 0.04, F.concat(F.lit("part "), "l_partkey")), F.format_string("[Visual page %d of %d]", "l_linenumber", n))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_no"), text.alias("content"))
+    """A page's transcript (a part), or what stands for it; pages count from 0."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_linenumber") - 1).alias("page_no"), F.when(F.col("l_tax") < 0.04, F.concat(F.lit("part "), "l_partkey")).otherwise("").alias("transcript"))
+    file = F.concat(F.lit("order-"), "document_id", F.lit(".pdf"))
+    return lines.select("document_id", "page_no", op.page_text(F.col("transcript"), F.col("page_no"), file).alias("content"))
 
 
 @query("SELECT DISTINCT o_custkey AS job_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50")
@@ -87,15 +86,21 @@ def p11_unified_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(sets).orderBy(F.desc("day"), "kind", "id").limit(100)
 
 
-@query("SELECT page_id, sha256(html) AS content_hash FROM pages ANTI JOIN documents ON doc_id = page_id AND n_chars > 1000")
+@query("""SELECT o_orderkey AS blob FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O') AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY""")
 def p12_blob_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = table(spark, sf_dir, "documents").filter("n_chars > 1000").select(F.col("doc_id").alias("page_id"))
-    return table(spark, sf_dir, "pages").join(live, "page_id", "left_anti").select("page_id", F.sha2("html", 256).alias("content_hash"))
+    """Blobs (orders) of no live document (open line), older than the grace."""
+    blobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("blob"), F.col("o_orderdate").alias("mtime"))
+    live = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("blob"))
+    return op.garbage(blobs, live, "blob", blobs.agg(F.max("mtime")).scalar(), "30 days").select("blob")
 
 
-@query("SELECT o_orderkey AS upload_id FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 50")
+@query("""SELECT o_orderkey AS upload_id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45) AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY ORDER BY o_orderdate, o_orderkey LIMIT 50""")
 def p13_abandoned_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("upload_id"))
+    """Uploads without a hash (open orders) and a document (a large line), past the cutoff: the oldest."""
+    uploads = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("upload_id"), F.col("o_orderdate").alias("mtime"))
+    used = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_orderkey").alias("upload_id"))
+    now = table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
+    return op.garbage(uploads, used, "upload_id", now, "60 days").orderBy("mtime", "upload_id").limit(50).select("upload_id")
 
 
 REGIONS = r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>[^<]*')) AS r, generate_subscripts(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>[^<]*'), 1) AS n FROM pages),
@@ -113,12 +118,13 @@ def p15_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(op.transcript(op.regions(F.col("html"))), 256).alias("transcript_hash"))
 
 
-@query("SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS begin_at FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark),
+  f AS (SELECT item_id, doc_id, strpos(d.t, q.t) - 1 AS begin_at, ((length(d.t) - length(replace(d.t, q.t, ''))) // length(q.t))::BIGINT AS times FROM q JOIN d ON contains(d.t, q.t))
+  SELECT *, count(*) OVER (PARTITION BY item_id) = 1 AND times = 1 AS is_unique FROM f""")
 def p16_quote_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where quotes stand in documents: a stated set of quotes against all documents."""
+    """Where quotes stand in documents, white space aside, how often, and whether nowhere else."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(quotes, F.contains("text", "quote")).select("item_id", "doc_id", (F.position("quote", "text") - 1).cast("long").alias("begin_at"))
+    return op.locate(table(spark, sf_dir, "documents").select("doc_id", "text"), quotes)
 
 
 @query("SELECT source, count(*) AS objects, sum(n_chars)::BIGINT AS apparent, round(sum(n_chars) / sum(n_chars::DOUBLE / c), 4) AS ratio FROM (SELECT *, count(*) OVER (PARTITION BY source, sha256(text)) AS c FROM documents) GROUP BY source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.predicates import collapse, entity_name
@@ -19,14 +19,21 @@ def e1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(entity_name(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("entity_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH n AS (SELECT DISTINCT upper(p_brand) AS name FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT p_name FROM part),
-  k AS (SELECT name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key FROM n), x AS (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key, min(p_partkey) AS id FROM part GROUP BY 1),
-  a AS (SELECT lower(trim(regexp_replace(p_brand, '\\s+', ' ', 'g'))) AS key, min(p_partkey) AS id FROM part GROUP BY 1)
-  SELECT name, coalesce(x.id, a.id) AS entity_id, CASE WHEN x.id IS NOT NULL THEN 'exact' WHEN a.id IS NOT NULL THEN 'alias' ELSE 'new' END AS tier FROM k LEFT JOIN x USING (key) LEFT JOIN a USING (key)""")
+@query("""WITH k AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey < 3 THEN (SELECT min(p_name) FROM part) WHEN s_suppkey < 5 THEN (SELECT upper(min(p_brand)) FROM part) ELSE s_name END AS name FROM supplier), n AS (SELECT id, name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key FROM k),
+  x AS (SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS key, min(p_partkey) AS e FROM part GROUP BY 1), a AS (SELECT lower(trim(regexp_replace(p_brand, '\\s+', ' ', 'g'))) AS key, min(p_partkey) AS e FROM part GROUP BY 1),
+  u AS (SELECT id FROM n WHERE key NOT IN (SELECT key FROM x) AND key NOT IN (SELECT key FROM a)),
+  v AS (SELECT q.vec_id AS id, p.vec_id AS e, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) + 0.0 AS w FROM embeddings q JOIN u ON u.id = q.vec_id JOIN embeddings p ON p.vec_id <> q.vec_id WHERE p.vec_id IN (SELECT p_partkey FROM part)),
+  b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, e) = 1)
+  SELECT n.id, coalesce(x.e, a.e, CASE WHEN b.w >= 0.4 THEN b.e END) AS entity_id, CASE WHEN b.w < 0.4 AND b.w >= 0.3 THEN b.e END AS candidate, CASE WHEN x.e IS NOT NULL THEN 'exact' WHEN a.e IS NOT NULL THEN 'alias' WHEN b.w >= 0.4 THEN 'embedding' WHEN b.w >= 0.3 THEN 'candidate' ELSE 'new' END AS tier
+  FROM n LEFT JOIN x USING (key) LEFT JOIN a USING (key) LEFT JOIN b ON b.id = n.id""")
 def e2_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    names = part.select(F.upper("p_brand").alias("name")).union(table(spark, sf_dir, "customer").select("c_mktsegment")).union(part.select("p_name")).distinct()
-    return op.resolve(names, part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")), part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("alias")))
+    """Suppliers resolved among parts: by name, by alias (brand), then by the vectors of both, at thresholds that fit these vectors."""
+    part, vectors = table(spark, sf_dir, "part"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    name, brand = part.agg(F.min("p_name")).scalar(), part.agg(F.upper(F.min("p_brand"))).scalar()
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") < 3, name).when(F.col("s_suppkey") < 5, brand).otherwise(F.col("s_name")).alias("name"))
+    entities = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    known = vectors.join(part.select(F.col("p_partkey").alias("id")), "id", "left_semi")
+    return op.resolve(names, entities, part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("alias")), vectors, known, 0.4, 0.3)
 
 
 CLUSTERS = """WITH RECURSIVE s AS (SELECT q.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS w FROM embeddings q, embeddings v WHERE q.vec_id < v.vec_id),
@@ -53,23 +60,29 @@ def e4_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reassign(members(spark, sf_dir), part.join(least, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("entity_id"), "target"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, l_returnflag AS relationship, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_linenumber END AS span, l_orderkey AS hash, l_discount AS c FROM lineitem),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, l_returnflag AS relationship, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_linenumber END AS span, l_orderkey AS hash, l_discount AS c FROM lineitem
+    WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5)),
   o AS (SELECT source, target, relationship, coalesce(span, -1) AS span, hash, max(1 - c) AS confidence FROM e GROUP BY ALL) SELECT source, target, relationship, count(*) AS evidence, round(avg(confidence), 6) AS confidence FROM o GROUP BY ALL""")
 def e6_relation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations whose ends are both active: suppliers in credit, parts over a size."""
     rows = table(spark, sf_dir, "lineitem")
     span = F.when(F.col("l_linestatus") != "O", F.col("l_linenumber"))
-    return op.relation_upsert(rows.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("relationship"), span.alias("span"), F.col("l_orderkey").alias("hash"), (1 - F.col("l_discount")).alias("confidence")))
+    evidence = rows.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("relationship"), span.alias("span"), F.col("l_orderkey").alias("hash"), (1 - F.col("l_discount")).alias("confidence"))
+    active = [table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("source")), table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("target"))]
+    return op.relation_upsert(evidence.join(active[0], "source", "left_semi").join(active[1], "target", "left_semi"))
 
 
-@query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS rep FROM part), x AS (SELECT l_suppkey AS source, rep AS target, l_returnflag AS relationship, l_orderkey AS hash, max(1 - l_discount) AS c FROM lineitem JOIN m ON l_partkey = p_partkey GROUP BY ALL)
-  SELECT source, target, relationship, count(*) AS evidence, round(avg(c), 6) AS confidence FROM x GROUP BY ALL""")
+@query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS rep FROM part), l AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_discount) AS b, l_returnflag AS relationship, l_orderkey AS hash, 1 - l_discount AS c FROM lineitem),
+  x AS (SELECT s.rep AS source, t.rep AS target, relationship, hash, max(c) AS c FROM l JOIN m s ON a = s.p_partkey JOIN m t ON b = t.p_partkey GROUP BY ALL)
+  SELECT source, target, relationship, count(*) AS evidence, round(avg(c), 6) AS confidence, source <> target AS active FROM x GROUP BY ALL""")
 def e5_relation_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations re-pointed to merged parts; equal ones join their evidence."""
-    part = table(spark, sf_dir, "part")
-    least = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("target"))
-    to = part.join(least, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("l_partkey"), "target")
-    rows = table(spark, sf_dir, "lineitem").join(to, "l_partkey")
-    return op.relation_upsert(rows.select(F.col("l_suppkey").alias("source"), "target", F.col("l_returnflag").alias("relationship"), F.lit(None).cast("int").alias("span"), F.col("l_orderkey").alias("hash"), (1 - F.col("l_discount")).alias("confidence")))
+    """Relations of parts that follow each other in an order, re-pointed to merged parts."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    least = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("to"))
+    merged = part.join(least, ["p_brand", "p_type"]).select(F.col("p_partkey").alias("id"), "to")
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_discount"))
+    relations = lines.select(F.col("l_partkey").alias("source"), following.alias("target"), F.col("l_returnflag").alias("relationship"), F.lit(None).cast("int").alias("span"), F.col("l_orderkey").alias("hash"), (1 - F.col("l_discount")).alias("confidence"))
+    return op.reconcile(relations.filter("target is not null"), merged)
 
 
 @query("SELECT p_brand AS entity, array_to_string(list_sort(list(DISTINCT p_type)), '|') AS aliases, count(*) AS n FROM part GROUP BY p_brand")
@@ -89,15 +102,21 @@ def e8_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.superseded(sides)
 
 
-@query("SELECT event_id, greatest(0.0, least(1.0, value / 50))::DOUBLE AS confidence FROM events")
+@query("""WITH l AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS support, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_returnflag <> 'R') AS known, list(l_partkey) FILTER (WHERE l_linestatus = 'O' AND l_quantity > 45) AS open, avg(l_quantity) / 40 AS c FROM lineitem GROUP BY 1)
+  SELECT id, round(greatest(0.0, least(1.0, c)), 6)::DOUBLE AS confidence, array_to_string(list_filter(list_filter(support, lambda x, i: list_position(support, x) = i), lambda x: list_contains(coalesce(known, []), x)), ',') AS support, coalesce(list_has_any(list_filter(support, lambda x: list_contains(coalesce(known, []), x)), open), false) AS flagged FROM l""")
 def e9_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confidence, _ = op.belief(F.col("value") / 50, F.array(), F.array())
-    return table(spark, sf_dir, "events").select("event_id", confidence.alias("confidence"))
+    """Beliefs of orders: their parts as support, those not returned known, large open lines unresolved."""
+    at = lambda rule: F.sort_array(F.collect_list(F.when(rule, F.struct("l_linenumber", "l_partkey"))))["l_partkey"]
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.avg("l_quantity") / 40).alias("c"), at(F.lit(True)).alias("support"), at(F.col("l_returnflag") != "R").alias("known"), at((F.col("l_linestatus") == "O") & (F.col("l_quantity") > 45)).alias("open"))
+    confidence, support, flagged = op.belief(F.col("c"), F.col("support"), F.col("known"), F.col("open"))
+    return rows.select("id", F.round(confidence, 6).alias("confidence"), F.array_join(support, ",").alias("support"), flagged.alias("flagged"))
 
 
-@query("SELECT conv_id, turn, substr(trim(regexp_replace(text, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')), 1, 500) AS prompt FROM conversations")
+@query("SELECT conv_id, turn, substr(trim(regexp_replace(text, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')), 1, 500) AS prompt FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 20")
 def e10_prompt_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(collapse(F.col("text")), 1, 500).alias("prompt"))
+    """The first 20 prompts of a thread, white space collapsed, 500 characters at most."""
+    first = top_of(table(spark, sf_dir, "conversations"), ["conv_id"], [F.asc("turn")], 20)
+    return first.select("conv_id", "turn", F.substring(collapse(F.col("text")), 1, 500).alias("prompt"))
 
 
 @query("SELECT event_id, CASE WHEN value < 20 THEN 'neutral' WHEN event_type = 'click' THEN 'supports' WHEN event_type = 'error' THEN 'contradicts' ELSE 'neutral' END AS verdict FROM events")
@@ -107,15 +126,28 @@ def e11_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS k FROM lineitem), ok AS (SELECT e FROM m GROUP BY e HAVING count(*) >= 2), x AS (SELECT a.e AS entity_id, b.e AS other, count(*) AS n FROM m a JOIN m b ON a.k = b.k AND a.e <> b.e WHERE a.e % 20 = 0 AND b.e IN (FROM ok) GROUP BY a.e, b.e)
-  SELECT entity_id, other, n FROM x QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, other) <= 3""")
+  SELECT entity_id, other, n FROM x QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, other) <= 8""")
 def e13_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = members(spark, sf_dir).select("entity_id", "memory_id").distinct()
     eligible = m.groupBy(F.col("entity_id").alias("other")).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
     pairs = graph.comention(m, m.filter("entity_id % 20 = 0")).join(eligible, "other", "left_semi")
-    return top_of(pairs.withColumnRenamed("shared", "n"), ["entity_id"], [F.desc("n"), F.asc("other")], 3).drop("rank")
+    return top_of(pairs.withColumnRenamed("shared", "n"), ["entity_id"], [F.desc("n"), F.asc("other")], 8).drop("rank")
 
 
 @query("SELECT p_brand AS article, sha256(p_brand || '|' || string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR)) AS content_key FROM part GROUP BY p_brand")
 def e14_article_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array_join(F.sort_array(F.collect_list(F.col("p_partkey").cast("string"))), ",")
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("article")).agg(F.sha2(F.concat("p_brand", F.lit("|"), ids), 256).alias("content_key"))
+
+
+@query("SELECT event_id, event_type = 'click' AND value / 60 >= 0.85 AS merge FROM events")
+def e15_adjudication_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict of sameness merges only with enough confidence."""
+    return table(spark, sf_dir, "events").select("event_id", op.merges(F.col("event_type") == "click", F.col("value") / 60).alias("merge"))
+
+
+@query("""SELECT sha256(text) AS content_hash, max(doc_id) AS id, count(*)::BIGINT AS revision, array_to_string(list_sort(list(doc_id)), ',') AS history FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
+def r11_merge_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies merged without a model's decision: the newest stays and keeps the ids it replaced."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("id"))
+    return op.merged(docs, "content_hash").filter("revision > 1").withColumn("history", F.array_join("history", ","))

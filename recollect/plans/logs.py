@@ -43,10 +43,14 @@ def t4_session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return started.select("session", (F.col("started") + F.expr("interval 20 days") >= now).alias("active"))
 
 
-@query("SELECT user_id AS session, event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+@query("""SELECT user_id AS session, event_type AS key, arg_max(value, event_id) AS value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING min(ts) + INTERVAL 25 DAY >= (SELECT max(ts) FROM events)) GROUP BY ALL""")
 def t5_working_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    writes = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), "value", F.col("event_id").alias("sequence"))
-    return op.working_memory(writes)
+    """The last write of each key, hidden once its session is past its end."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).scalar()
+    alive = events.groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("started")).filter(F.col("started") + F.expr("interval 25 days") >= now)
+    writes = events.select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), "value", F.col("event_id").alias("sequence"))
+    return op.working_memory(writes).join(alive, "session", "left_semi")
 
 
 @query("SELECT sha256(user_id || chr(0) || event_type) AS id, count(*) AS copies, count(DISTINCT props) > 1 AS conflict FROM events GROUP BY 1")
@@ -59,10 +63,12 @@ def t7_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rate_windows(table(spark, sf_dir, "events"), 2)
 
 
-@query("SELECT '/' || event_type AS path, floor(epoch(ts) / 300)::BIGINT AS bucket, count(*) AS n FROM events GROUP BY ALL")
+@query("""WITH p AS (SELECT '/api/' || event_type || CASE WHEN value > 20 THEN '/' || user_id ELSE 's' END AS path, ts FROM events)
+  SELECT path, floor(epoch(ts) / 300)::BIGINT AS bucket, count(*) AS n FROM p WHERE path = '/api/click' OR starts_with(path, '/api/click/') OR path = '/api/view' OR starts_with(path, '/api/view/') GROUP BY ALL""")
 def t8_probe_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/"), "event_type", F.lit("?user="), F.col("user_id").cast("string"))
-    return op.probe_rollup(table(spark, sf_dir, "events"), path)
+    """Requests under two prefixes, which end where a segment of the path does: "/api/clicks" is under none."""
+    path = F.concat(F.lit("/api/"), "event_type", F.when(F.col("value") > 20, F.concat(F.lit("/"), "user_id")).otherwise("s"), F.lit("?id="), "event_id")
+    return op.probe_rollup(table(spark, sf_dir, "events"), path, prefixes=["/api/click", "/api/view"])
 
 
 @query("""WITH c AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS k FROM events GROUP BY ALL), o AS (SELECT user_id, day, (sum(k) OVER w)::BIGINT AS new, (sum(k) OVER w)::BIGINT - k AS old FROM c WINDOW w AS (PARTITION BY user_id ORDER BY day))
@@ -73,10 +79,13 @@ def t10_checkpoint_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.crossings(days.withColumn("new", new).withColumn("old", F.col("new") - F.col("k")).drop("k"))
 
 
-@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
+@query("SELECT user_id, event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
 def t12_store_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("n", n).filter("n <= 20").select("user_id", "event_id")
+    """The jobs of a store that stay: within their time to live, and of those the newest 20 an owner."""
+    events = table(spark, sf_dir, "events")
+    live = events.filter(F.col("ts") >= events.agg(F.max("ts") - F.expr("interval 10 days")).scalar())
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return live.withColumn("n", n).filter("n <= 20").select("user_id", "event_id")
 
 
 @query("""WITH t AS (SELECT *, floor(epoch(ts))::BIGINT AS at_s FROM events), g AS (SELECT *, CASE WHEN at_s - lag(at_s) OVER (PARTITION BY user_id ORDER BY at_s, event_id) >= 7200 THEN 1 ELSE 0 END AS new FROM t),
@@ -198,3 +207,48 @@ def a1_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s6_type_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1)
     return table(spark, sf_dir, "pages").select("page_id", F.when(suffix == "com", "site").when(suffix.isin("pdf", "html"), suffix).otherwise("unknown").alias("format"))
+
+
+@query("""SELECT item_id AS id, sha256(text) AS content_hash, 'note' AS type, 0.5::DOUBLE AS importance, 'active' AS status, 1 AS revision FROM benchmark WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)
+  UNION ALL SELECT doc_id, sha256(text), lang, 0.5, 'active', 1 FROM documents""")
+def s19_memory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes (benchmark items) appended to memories (documents): hashed, with defaults, as revision 1; known contents aren't."""
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("type"))
+    new = table(spark, sf_dir, "benchmark").filter("text is not null").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
+    return versions.append_memories(versions.with_defaults(held), new)
+
+
+@query("""SELECT 'document' AS kind, o_orderkey::BIGINT AS id, 'pending' AS status, o_custkey::BIGINT AS parent FROM orders UNION ALL SELECT 'page', l_orderkey * 10 + l_linenumber, 'pending', l_orderkey FROM lineitem
+  UNION ALL SELECT 'dataset', p_partkey, 'ready', NULL FROM part UNION ALL SELECT 'job', c_custkey, 'queued', NULL FROM customer""")
+def s22_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are inserted for documents, pages, datasets and jobs, each with its kind's first status."""
+    rows = {"document": ("orders", "o_orderkey", "o_custkey", "pending"), "page": ("lineitem", "l_orderkey * 10 + l_linenumber", "l_orderkey", "pending"), "dataset": ("part", "p_partkey", "null", "ready"), "job": ("customer", "c_custkey", "null", "queued")}
+    out = None
+    for kind, (name, key, parent, status) in rows.items():
+        new = table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.expr(key).cast("long").alias("id"), F.lit(status).alias("status"), F.expr(parent).cast("long").alias("parent"))
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
+@query("""WITH e AS (SELECT url AS source_path, arg_max(sha256(html), page_id) AS content_hash, count(*) AS versions FROM pages GROUP BY url), d AS (SELECT sha256(text) AS content_hash, min(doc_id) AS document_id FROM documents GROUP BY 1)
+  SELECT source_path, content_hash, versions, document_id FROM e LEFT JOIN d USING (content_hash)""")
+def s23_vfs_register_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries registered by path, the last content counting, and linked to the document of that content."""
+    seen = table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), F.sha2("html", 256).alias("content_hash"), F.col("page_id").alias("sequence"))
+    entries = seen.groupBy("source_path").agg(F.max_by("content_hash", "sequence").alias("content_hash"), F.count(F.lit(1)).alias("versions"))
+    documents = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("document_id"))
+    return entries.join(documents, "content_hash", "left")
+
+
+@query("""SELECT url AS source_path, sha256(html) AS content_hash, 'text/html' AS content_type, octet_length(encode(html))::BIGINT AS size_bytes, 'blobs/' || sha256(html) AS blob_key, '{"page":' || page_id || '}' AS metadata FROM pages""")
+def s7_connector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a connector's poll gives of each file: the columns of its contract."""
+    digest = F.sha2("html", 256)
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), digest.alias("content_hash"), F.lit("text/html").alias("content_type"), F.octet_length("html").cast("long").alias("size_bytes"), F.concat(F.lit("blobs/"), digest).alias("blob_key"), F.concat(F.lit('{"page":'), "page_id", F.lit("}")).alias("metadata"))
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[\\w\\s\\-.]+') AS is_identifier, CASE WHEN regexp_full_match(p_name, '[\\w\\s\\-.]+') THEN '\"' || p_name || '\"' END AS quoted FROM part")
+def d5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that may stand in a statement, quoted."""
+    good = F.col("p_name").rlike(r"^[\w\s\-.]+$")
+    return table(spark, sf_dir, "part").select("p_partkey", good.alias("is_identifier"), F.when(good, F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("quoted"))

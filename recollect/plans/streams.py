@@ -28,3 +28,8 @@ def t7_rate_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t8_probe_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "event_type", F.lit("?id="), F.col("event_id").cast("string"))
     return streams.settle(streams.probe_rollup(streams.events(spark, sf_dir), path), ["path", "start"])
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def t9_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.audit(streams.events(spark, sf_dir).select("event_id", "user_id", "event_type"))

@@ -30,11 +30,17 @@ def k7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories(spark, sf_dir).filter("importance <= 0.3").select("workspace", "id", "content_hash", F.floor((n - 1) / 100).alias("graph_no"))
 
 
-@query(M + " SELECT id, workspace, CASE WHEN importance <= 0.3 THEN 'cold' ELSE 'hot' END AS tier FROM memories WHERE id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1)")
+@query(M + """, r AS (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1) SELECT id, workspace, CASE WHEN importance <= 0.3 AND id NOT IN (SELECT doc_id FROM r) THEN 'cold' ELSE 'hot' END AS tier,
+  importance <= 0.3 AND id IN (SELECT doc_id FROM r) AS needs_embedding FROM memories""")
 def k8_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir)
-    gone = table(spark, sf_dir, "labels").filter("quality = 0 and toxic = 1").select(F.col("doc_id").alias("id"))
-    return m.join(gone, "id", "left_anti").select("id", "workspace", F.when(F.col("importance") <= 0.3, "cold").otherwise("hot").alias("tier"))
+    """Cold rows that are asked back leave the cold tier and join the hot one, to be embedded again."""
+    m = memories(spark, sf_dir).select("id", "workspace", "importance")
+    asked = table(spark, sf_dir, "labels").filter("quality = 0 and toxic = 1").select(F.col("doc_id").alias("id"))
+    cold = m.filter("importance <= 0.3")
+    stays = cold.join(asked, "id", "left_anti").select("id", "workspace", F.lit("cold").alias("tier"), F.lit(False).alias("needs_embedding"))
+    back = cold.join(asked, "id", "left_semi").select("id", "workspace", F.lit("hot").alias("tier"), F.lit(True).alias("needs_embedding"))
+    hot = m.filter("importance > 0.3").select("id", "workspace", F.lit("hot").alias("tier"), F.lit(False).alias("needs_embedding"))
+    return hot.unionByName(back).unionByName(stays)
 
 
 @query(M + """ SELECT workspace, count(*) FILTER (WHERE importance > 0.3) AS hot, count(*) FILTER (WHERE importance <= 0.3) AS cold, coalesce(sum(length(content)) FILTER (WHERE importance > 0.3), 0)::BIGINT AS hot_chars,

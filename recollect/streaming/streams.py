@@ -49,6 +49,25 @@ def probe_rollup(stream: DataFrame, path: Column, width: str = "300 seconds", la
     return counts.select("path", F.unix_timestamp("window.start").alias("start"), "n")
 
 
+def audit(stream: DataFrame, every: str | None = None) -> DataFrame:
+    """What an audit log holds after all of the stream that is there now is flushed to it.
+
+    Each micro-batch is one flush, to a folder of its number: a batch that fails is run again and
+    replaces what it wrote, so no event is lost or there twice. ``every`` flushes by processing
+    time, as a log that stays open does; else all that is there is flushed and the stream ends.
+    """
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    writer = stream.writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")).option("checkpointLocation", f"{at}/state")
+    if every:
+        running = writer.trigger(processingTime=every).start()
+        running.processAllAvailable()
+        running.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
+
+
 def settle(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What the stream gives over all that its source holds now.
 
