@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.shared import saved
+
 TOKEN = "[a-z0-9]+"
 
 
@@ -21,13 +23,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     Only the queries' terms are counted beyond a document's length, so postings of other terms
     are dropped where they arise. A query's repeated term counts once.
     """
-    asked = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = asked.select("term").distinct()
+    asked = saved(queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "bm25-asked")
     found = docs.select("id", terms(F.col("text")).alias("ts")).select("id", F.size("ts").alias("length"), "ts")
-    stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    tf = found.select("id", "length", F.explode("ts").alias("term")).join(words, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = found.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))).scalar()
+    tf = found.select("id", "length", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = saved(tf, "bm25-postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = tf.join(df, "term").withColumn("n", stats.select("n").scalar()).withColumn("mean", stats.select("mean").scalar())
+    weighted = tf.join(df, "term").withColumn("stats", stats).select("*", "stats.n", "stats.mean")
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return weighted.select("term", "id", part.alias("part")).join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score")).filter("score > 0")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators import recall as op
+from recollect.operators.vectors import search
 from recollect.plans.registry import query
 from recollect.sources.tables import WITH, memories, table
 
@@ -34,17 +35,17 @@ def r2_searchable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(" "), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("searchable"))
 
 
-FUSED = BM25 + """, im AS (SELECT b.query_id, b.id, row_number() OVER (PARTITION BY b.query_id ORDER BY d.n_chars, b.id) AS rank FROM b JOIN documents d ON d.doc_id = b.id),
+FUSED = BM25 + """, im AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT query_id FROM q) AND q.vec_id <> v.vec_id),
   f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM im WHERE rank <= 50) GROUP BY ALL)
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 20"""
 
 
 @query(FUSED)
 def r3_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best by keyword fused with the shortest among the found."""
-    scores = _bm25(spark, sf_dir)
-    lengths = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (-F.col("n_chars")).alias("short"))
-    return op.fuse([op.ranked(scores, 50), op.ranked(scores.join(lengths, "id"), 50, "short")], 20)
+    """The best by keyword fused with the nearest by vector; an item's and a document's vector are those of their ids."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("id"))
+    return op.fuse([op.ranked(_bm25(spark, sf_dir), 50), search(v, v.join(asked, "id", "left_semi"), 50)], 20)
 
 
 TIERS = M + """, hot AS (SELECT workspace, id, importance, 0 AS tier FROM memories WHERE status = 'active' AND importance >= 0.5), cold AS (SELECT workspace, id, importance, 1 AS tier FROM memories WHERE importance <= 0.5),

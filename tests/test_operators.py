@@ -201,3 +201,8 @@ def test_near_links_connect_what_all_pairs_do(spark):
         assert links.count() < 60 * 60 // 4
         sizes = graph.components(links).groupBy("root").count().collect()
         assert sorted(r["count"] for r in sizes) == [10] * 6
+
+
+def test_histogram_leaves_nan_out(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("nan"),), (None,)], "v double")
+    assert sum(r.n for r in datasets.histogram(df, "v", 5).collect()) == 10
