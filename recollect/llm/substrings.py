@@ -141,9 +141,13 @@ def refine(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int
     return ids[starts]
 
 
-def pack(start: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """start (47 bits), size (8) and shift (8) as one bigint."""
-    return (start.astype(np.int64) << 16) | (size.astype(np.int64) << 8) | shift.astype(np.int64)
+def pack(tag: np.ndarray, start: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """tag (7 bits), start (40), size (8) and shift (8) as one bigint."""
+    return (tag.astype(np.int64) << 56) | (start.astype(np.int64) << 16) | (size.astype(np.int64) << 8) | shift.astype(np.int64)
+
+
+def begin_of(pos):
+    return pos >> 16 & 0xFFFFFFFFFF
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -154,8 +158,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         r = runs(_texts(b.column(2)))
         row = r["row"].astype(np.int64)
-        columns = [b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], pack(r["start"], r["size"], r["shift"]), r["anchor"].view(np.int64), r["name"].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "pos", "anchor", "name"])
+        columns = [b.column(0).to_numpy()[row], pack(b.column(1).to_numpy()[row], r["start"], r["size"], r["shift"]), r["anchor"].view(np.int64), r["name"].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "pos", "anchor", "name"])
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +167,29 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         squeeze = zstandard.ZstdCompressor(level=3)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t) for t in _texts(b.column(2))], pa.binary())], names=["k1", "k2", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t) for t in _texts(b.column(2))], pa.binary())], names=["k", "tag", "z"])
 
 
-def _runs_to_refine(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, dict]]:
+def _runs_to_refine(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, dict]]:
     import zstandard
 
-    for k1, k2, z, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+    for k, z, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
         text = zstandard.ZstdDecompressor().decompress(z.as_py())
         for r in found:
-            yield k1, k2, text, r
+            yield k, text, r
 
 
-STRETCH = pa.schema([("anchor", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64()), ("data", pa.binary())])
-STRING = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64())])
+STRETCH = pa.schema([("anchor", pa.int64()), ("k", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64()), ("data", pa.binary())])
+STRING = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("k", pa.int64()), ("pos", pa.int64()), ("weight", pa.int64())])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each run to refine."""
     for b in batches:
         out: list[tuple] = []
-        for k1, k2, text, r in _runs_to_refine(b):
-            start, size = r["pos"] >> 16, r["pos"] >> 8 & 0xFF
-            out.append((r["anchor"], k1, k2, r["pos"], r["weight"], text[start : start + size + LENGTH - 1]))
+        for k, text, r in _runs_to_refine(b):
+            start, size = begin_of(r["pos"]), r["pos"] >> 8 & 0xFF
+            out.append((r["anchor"], k, r["pos"], r["weight"], text[start : start + size + LENGTH - 1]))
             if len(out) >= 4000:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(STRETCH)], schema=STRETCH)
                 out = []
@@ -195,19 +199,19 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each string of each run of a large group, with the identifier of its bucket of LENGTH bytes."""
     for b in batches:
-        for k1, k2, text, r in _runs_to_refine(b):
-            start, size = r["pos"] >> 16, r["pos"] >> 8 & 0xFF
+        for k, text, r in _runs_to_refine(b):
+            start, size = begin_of(r["pos"]), r["pos"] >> 8 & 0xFF
             names = buckets(np.frombuffer(text, np.uint8, size + LENGTH - 1, start))[1].view(np.int64)
-            fixed = [np.full(size, x, np.int64) for x in (r["anchor"], k1, k2, r["weight"])]
-            pos = pack(start + np.arange(size), np.ones(size, np.int64), np.zeros(size, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fixed[0], names, fixed[1], fixed[2], pos, fixed[3])], schema=STRING)
+            fixed = [np.full(size, x, np.int64) for x in (r["anchor"], k, r["weight"], r["pos"] >> 56)]
+            pos = pack(fixed[3], start + np.arange(size), np.ones(size, np.int64), np.zeros(size, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fixed[0], names, fixed[1], pos, fixed[2])], schema=STRING)
 
 
 def _repeated(rows: pa.Table) -> pa.RecordBatch:
-    """(k1, k2, pos) of the parts of runs that another run of ``rows``, all of whole groups, holds too."""
-    out: list[tuple[int, int, int]] = []
+    """(k, pos) of the parts of runs that another run of ``rows``, all of whole groups, holds too."""
+    out: list[tuple[int, int]] = []
     if rows.num_rows > 1:
-        k1, k2, positions, weights = (rows.column(c).to_numpy() for c in ("k1", "k2", "pos", "weight"))
+        ks, positions, weights = (rows.column(c).to_numpy() for c in ("k", "pos", "weight"))
         data = rows.column("data").to_pylist()
         sizes = np.array([len(d) for d in data])
         counts = sizes - LENGTH + 1
@@ -218,8 +222,8 @@ def _repeated(rows: pa.Table) -> pa.RecordBatch:
             hit = np.flatnonzero(twice[first[i] : first[i] + counts[i]])
             cuts = np.flatnonzero(np.diff(hit) > 1)
             begin, end = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
-            out += [(k1[i], k2[i], p) for p in pack((positions[i] >> 16) + begin, end - begin + 1, np.zeros(len(begin))).tolist()]
-    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["k1", "k2", "pos"])
+            out += [(ks[i], p) for p in pack(positions[i] >> 56, begin_of(positions[i]) + begin, end - begin + 1, np.zeros(len(begin))).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["k", "pos"])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +251,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = zstandard.ZstdDecompressor().decompress(z.as_py())
             kept, at, removed, n = [], 0, 0, 0
             end = -1
-            for begin, size in sorted((p >> 16, p >> 8 & 0xFF) for p in found or ()):
+            for begin, size in sorted((begin_of(p), p >> 8 & 0xFF) for p in found or ()):
                 stop = begin + size - 1 + LENGTH
                 if begin > end:  # not even touching
                     kept.append(text[at:begin])
@@ -261,7 +265,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept)
             out.append((len(text), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if n else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds))], names=["k", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 #: Runs of a group up to which one task refines it; a larger one is counted by Spark.
@@ -276,7 +280,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     anything goes, without bytes of characters that were cut in two; null where nothing goes.
 
     Null text counts as empty; texts under LENGTH bytes keep all, very long ones are read in
-    pieces. A text is told by 128 bits of hash, whatever its rows' doc_ids: rows of one doc_id,
+    pieces. A text is told by 71 bits of hash, whatever its rows' doc_ids
+    (of a billion different texts two are taken for one with a chance of 1 in 4,000): rows of one doc_id,
     or of none, each get a result, and copies of a row are repeated text, refined and cut once.
     An empty table gives an empty result; other columns are ignored.
 
@@ -287,33 +292,35 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     shuffled once, compressed, copies collapsed before.
     """
     for_python(docs.sparkSession)
-    key = ["k1", "k2"]
+    key = ["k", "tag"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
-    found = source.select(*key, "text").mapInArrow(_find_runs, "k1 long, k2 long, pos long, anchor long, name long")
-    packed = source.select(*key, "text").mapInArrow(_compress, "k1 long, k2 long, z binary").groupBy(*key).agg(F.first("z").alias("z"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(127)).alias("tag"), text.alias("text"))
+    found = source.select(*key, "text").mapInArrow(_find_runs, "k long, pos long, anchor long, name long")
+    packed = source.select(*key, "text").mapInArrow(_compress, "k long, tag long, z binary").groupBy(*key).agg(F.first("z").alias("z"))
+    tagged = F.shiftright("pos", 56).alias("tag")
 
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).filter("n > 1")
     anchors = saved(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "substrings-anchors")  # read back, so that Spark can split the join's large keys
-    near = saved(found.join(anchors, "anchor"), "substrings-near")
+    near = saved(found.join(anchors.hint("merge"), "anchor"), "substrings-near")  # anchors grow with the corpus: not broadcast at any size
     # Any run of a class can stand for it: what it says of its class is the same.
-    classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in (*key, "pos")))
+    classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"))
     classes = saved(classes, "substrings-classes")
-    again = near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name"), ["anchor", "name"]).select(*key, "pos")
-    whole = near.filter("not mixed").select(*key, "pos").union(saved(again, "substrings-again"))  # a join alone, which Spark can split
+    again = near.filter("mixed").join(classes.filter("weight > 1").select("anchor", "name").hint("merge"), ["anchor", "name"]).select("k", "pos")
+    whole = near.filter("not mixed").select("k", "pos").union(saved(again, "substrings-again"))  # a join alone, which Spark can split
     large = saved(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("anchor"), "substrings-large")
+    any_large = not large.isEmpty()
 
     def of_texts(runs_: DataFrame) -> DataFrame:
-        todo = runs_.groupBy(*key).agg(F.collect_list(F.struct("anchor", "pos", "weight")).alias("runs"))  # one text's
-        return packed.join(todo.hint("shuffle_hash"), key).select(*key, "z", "runs")
+        todo = runs_.groupBy("k", tagged).agg(F.collect_list(F.struct("anchor", "pos", "weight")).alias("runs"))  # one text's
+        return packed.join(todo.hint("shuffle_hash"), key).select("k", "z", "runs")
 
-    small = of_texts(classes.join(large, "anchor", "left_anti")).mapInArrow(_stretches, "anchor long, k1 long, k2 long, pos long, weight long, data binary")
-    parts = whole.union(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refine, "k1 long, k2 long, pos long"))
-    if not large.isEmpty():
-        strings = saved(of_texts(classes.join(large, "anchor", "left_semi")).mapInArrow(_strings, "anchor long, name long, k1 long, k2 long, pos long, weight long"), "substrings-strings")
+    small = of_texts(classes.join(large, "anchor", "left_anti") if any_large else classes).mapInArrow(_stretches, "anchor long, k long, pos long, weight long, data binary")
+    parts = whole.union(small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_refine, "k long, pos long"))
+    if any_large:
+        strings = saved(of_texts(classes.join(large, "anchor", "left_semi")).mapInArrow(_strings, "anchor long, name long, k long, pos long, weight long"), "substrings-strings")
         twice = strings.groupBy("anchor", "name").agg(F.sum("weight").alias("n")).filter("n > 1").select("anchor", "name")
-        parts = parts.union(saved(strings.filter("weight = 1").join(saved(twice, "substrings-twice"), ["anchor", "name"]).select(*key, "pos"), "substrings-found"))
-    spans = parts.groupBy(*key).agg(F.collect_set("pos").alias("spans"))  # one text's: copies have equal places
+        parts = parts.union(saved(strings.filter("weight = 1").join(saved(twice, "substrings-twice"), ["anchor", "name"]).select("k", "pos"), "substrings-found"))
+    spans = parts.groupBy("k", tagged).agg(F.collect_set("pos").alias("spans"))  # one text's: copies have equal places
     done = packed.join(spans.hint("shuffle_hash"), key, "left").select(*key, "z", "spans")
-    done = done.mapInArrow(_cut, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    done = done.mapInArrow(_cut, "k long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return source.select("doc_id", *key).join(done, key).drop(*key)
