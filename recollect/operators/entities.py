@@ -98,3 +98,12 @@ def reconcile(relations: DataFrame, merged: DataFrame) -> DataFrame:
         to = merged.select(F.col("id").alias(end), F.col("to").alias(f"{end}_to"))
         moved = moved.join(to, end, "left").withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
     return relation_upsert(moved).withColumn("active", F.col("source") != F.col("target"))
+
+
+def lookup(entities: DataFrame, kind: str) -> DataFrame:
+    """name, alias, exact_id, any_id: of each name the least id of ``kind``, the least of any kind, persons first, and its least alias.
+
+    ``entities`` has id, name, kind and alias.
+    """
+    first = F.struct(F.col("kind") != "person", F.col("id"))
+    return entities.groupBy("name").agg(F.min("alias").alias("alias"), F.min(F.when(F.col("kind") == kind, F.col("id"))).alias("exact_id"), F.min_by("id", first).alias("any_id"))

@@ -148,3 +148,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         if now == state:
             return roots
         state = now
+
+
+def both_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """source_id, target_id, source_layer, target_layer of the edges whose ends both are vertices (id, layer)."""
+    out = edges.select("source_id", "target_id")
+    for end in ("source", "target"):
+        out = out.join(vertices.select(F.col("id").alias(f"{end}_id"), F.col("layer").alias(f"{end}_layer")), f"{end}_id")
+    return out

@@ -54,3 +54,10 @@ def merge_tiers(hot: DataFrame, cold: DataFrame, by: list[str], k: int) -> DataF
     one = both.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "id").orderBy("tier"))).filter("_n = 1").drop("_n")
     order = Window.partitionBy(*by).orderBy(F.desc("importance"), "id")
     return one.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+
+def fill(hot: DataFrame, cold: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Of each group the ``k`` first: hot rows by importance, then cold ones that aren't hot, with rank."""
+    both = hot.withColumn("tier", F.lit(0)).unionByName(cold.join(hot.select("id"), "id", "left_anti").withColumn("tier", F.lit(1)))
+    order = Window.partitionBy(*by).orderBy("tier", F.desc("importance"), "id")
+    return both.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).drop("tier")

@@ -14,9 +14,14 @@ from recollect.plans.registry import query
 from recollect.sources.tables import members, table
 
 
-@query("SELECT lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, min(p_partkey) AS entity_id, count(*) AS n FROM part GROUP BY 1")
+@query("""WITH p AS (SELECT p_partkey AS id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, CASE WHEN p_type LIKE '%BRASS%' THEN 'person' ELSE 'thing' END AS kind, lower(p_brand) AS alias FROM part WHERE p_size > 3)
+  SELECT name, min(id) FILTER (WHERE kind = 'thing') AS exact_id, arg_min(id, (kind <> 'person')::INT * 1000000000 + id) AS any_id, (SELECT count(DISTINCT a.id) FROM p a WHERE a.alias = min(p.alias)) AS by_alias FROM p GROUP BY name""")
 def e1_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(entity_name(F.col("p_name")).alias("name")).agg(F.min("p_partkey").alias("entity_id"), F.count(F.lit(1)).alias("n"))
+    """Active entities of each name: of one type, of any type with persons first, and how many have its alias."""
+    kind = F.when(F.col("p_type").contains("BRASS"), "person").otherwise("thing")
+    p = table(spark, sf_dir, "part").filter("p_size > 3").select(F.col("p_partkey").alias("id"), entity_name(F.col("p_name")).alias("name"), kind.alias("kind"), F.lower("p_brand").alias("alias"))
+    aliases = p.groupBy("alias").agg(F.count_distinct("id").alias("by_alias"))
+    return op.lookup(p, "thing").join(aliases, "alias").select("name", "exact_id", "any_id", "by_alias")
 
 
 @query("""WITH k AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey < 3 THEN (SELECT min(p_name) FROM part) WHEN s_suppkey < 5 THEN (SELECT upper(min(p_brand)) FROM part) ELSE s_name END AS name FROM supplier), n AS (SELECT id, name, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key FROM k),

@@ -91,10 +91,18 @@ def g8_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.traversal(edges(spark, sf_dir), start, 3).withColumn("path", F.concat_ws(" ", "path"))
 
 
-@query("SELECT l_partkey AS entity_id, l_orderkey AS memory_id, min(l_returnflag) AS role FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' GROUP BY ALL")
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS k, l_returnflag AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O'), m AS (SELECT e, k, min(r) AS role FROM a GROUP BY e, k),
+  x AS (SELECT p.e, q.e AS other, count(*) AS n FROM m p JOIN m q ON p.k = q.k AND p.e <> q.e WHERE p.e % 20 = 0 GROUP BY ALL)
+  SELECT e AS entity_id, 'memory' AS kind, k AS id, role AS note FROM m WHERE e % 20 = 0 QUALIFY row_number() OVER (PARTITION BY e ORDER BY k) <= 100
+  UNION ALL (SELECT e, 'entity', other, n::VARCHAR FROM x QUALIFY row_number() OVER (PARTITION BY e ORDER BY n DESC, other) <= 50)""")
 def g9_entity_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active memories of each asked entity, the lowest role winning, and the entities mentioned with it there."""
     active = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("memory_id"))
-    return members(spark, sf_dir).join(active, "memory_id", "left_semi").groupBy("entity_id", "memory_id").agg(F.min("role").alias("role"))
+    m = members(spark, sf_dir).join(active, "memory_id", "left_semi").groupBy("entity_id", "memory_id").agg(F.min("role").alias("role"))
+    asked = m.filter("entity_id % 20 = 0")
+    memories_ = top_of(asked, ["entity_id"], [F.asc("memory_id")], 100).select("entity_id", F.lit("memory").alias("kind"), F.col("memory_id").alias("id"), F.col("role").alias("note"))
+    others = top_of(op.comention(m, asked), ["entity_id"], [F.desc("shared"), F.asc("other")], 50)
+    return memories_.unionByName(others.select("entity_id", F.lit("entity").alias("kind"), F.col("other").alias("id"), F.col("shared").cast("string").alias("note")))
 
 
 @query("""WITH m AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS k FROM lineitem) SELECT a.e AS entity_id, b.e AS other, count(*) AS shared FROM m a JOIN m b ON a.k = b.k AND a.e <> b.e WHERE a.e % 20 = 0 GROUP BY a.e, b.e
@@ -123,10 +131,14 @@ def g15_workspace_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("workspace")).agg(F.count(F.lit(1)).alias("memories"), F.max("doc_id").alias("latest"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT l_orderkey AS memory_id, sha256(string_agg(l_partkey || ':' || l_returnflag, ',' ORDER BY l_partkey || ':' || l_returnflag)) AS token FROM lineitem GROUP BY l_orderkey")
+@query("""SELECT l_orderkey AS memory_id, count(*) || ':' || strftime(max(l_shipdate), '%Y-%m-%dT%H:%M:%S') || ':' || substr(sha256('[' || string_agg('[' || l_partkey || ',"' || l_returnflag || '"]', ',' ORDER BY l_partkey, l_returnflag) || ']'), 1, 16) AS token FROM lineitem GROUP BY l_orderkey""")
 def g16_member_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pair = F.concat_ws(":", F.col("entity_id").cast("string"), "role")
-    return members(spark, sf_dir).groupBy("memory_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(pair)), ","), 256).alias("token"))
+    """Count, last time and a digest of the sorted members of each memory: equal tokens mean no change."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.struct("l_partkey", "l_returnflag").alias("m"), F.col("l_shipdate").alias("at"))
+    one = lambda m: F.concat(F.lit("["), m["l_partkey"], F.lit(',"'), m["l_returnflag"], F.lit('"]'))
+    held = rows.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.sort_array(F.collect_list("m")).alias("ms"))
+    digest = F.substring(F.sha2(F.concat(F.lit("["), F.array_join(F.transform("ms", one), ","), F.lit("]")), 256), 1, 16)
+    return held.select("memory_id", F.concat_ws(":", F.col("n").cast("string"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), digest).alias("token"))
 
 
 @query("""SELECT l_suppkey, l_partkey, count(*) FILTER (WHERE l_linestatus = 'O') AS active, round(avg(1 - l_discount) FILTER (WHERE l_linestatus = 'O'), 6) AS confidence, CASE WHEN count(*) FILTER (WHERE l_linestatus = 'O') > 0 THEN 'active' ELSE 'inactive' END AS status

@@ -9,6 +9,7 @@ from recollect.operators import sessions as op
 from recollect.operators import versions
 from recollect.operators.graph import descendants
 from recollect.plans.registry import query
+from recollect.sources import formats
 from recollect.sources.tables import operations, table
 
 
@@ -182,11 +183,17 @@ def s16_incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polled.groupBy(F.col("source").alias("workspace")).agg(F.sum("n").alias("discovered"), F.count_if(F.col("known").isNull()).alias("synced"))
 
 
-@query("SELECT vec_id // 5 AS memory_id, vec_id % 5 AS token_index, round(e, 6) AS first FROM (SELECT vec_id, embedding[1]::DOUBLE AS e FROM embeddings)")
+@query("""WITH t AS (SELECT vec_id // 5 AS memory_id, vec_id % 5 AS token_index, embedding::DOUBLE[] AS e FROM embeddings), g AS (SELECT DISTINCT doc_id AS memory_id FROM labels WHERE quality = 1)
+  SELECT memory_id, token_index, len(e) AS size, round(CASE WHEN memory_id IN (FROM g) THEN -1 ELSE 1 END * list_sum(e), 5) + 0.0 AS total FROM t""")
 def s20_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 5).alias("memory_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("x"))
-    rows = grouped.select("memory_id", F.posexplode("x").alias("token_index", "t"))
-    return rows.select("memory_id", F.col("token_index").cast("long").alias("token_index"), F.round(F.col("t.embedding")[0].cast("double"), 6).alias("first"))
+    """A token index after new vectors of some memories (the old ones reversed) took the place of the held ones: one row a token."""
+    vectors = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 5).alias("memory_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))["embedding"].alias("vectors"))
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("memory_id"))
+    new = vectors.join(wanted, "memory_id", "left_semi").withColumn("vectors", F.transform("vectors", lambda v: F.transform(v, lambda x: -x)))
+    flat = lambda rows: rows.select("memory_id", F.posexplode("vectors").alias("token_index", "e"))
+    index = versions.upsert(flat(vectors), flat(new), ["memory_id", "token_index"])
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return index.select("memory_id", F.col("token_index").cast("long").alias("token_index"), F.size("e").cast("long").alias("size"), (F.round(total, 5) + 0.0).alias("total"))
 
 
 @query("SELECT conv_id, turn, coalesce(m, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message_index, replace(text, chr(0), '') AS text FROM conversations LEFT JOIN (SELECT user_id, count(*) AS m FROM events GROUP BY 1) ON user_id = conv_id")
@@ -203,10 +210,12 @@ def a1_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("memories"))
 
 
-@query("SELECT page_id, CASE regexp_extract(lower(url), '[.]([a-z0-9]+)$', 1) WHEN 'com' THEN 'site' WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html' ELSE 'unknown' END AS format FROM pages")
+@query("SELECT p_partkey, (['pdf', 'markdown', 'markdown', 'text', 'text', 'html', 'html', 'docx', 'pptx', NULL])[p_size % 10 + 1] AS type FROM part")
 def s6_type_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suffix = F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.when(suffix == "com", "site").when(suffix.isin("pdf", "html"), suffix).otherwise("unknown").alias("format"))
+    """The document type that a file's name tells, null if none."""
+    suffixes = F.array(*map(F.lit, ["pdf", "MD", "markdown", "txt", "text", "html", "Htm", "docx", "PPTX", "exe"]))
+    name = F.concat(F.lit("report."), "p_partkey", F.lit("."), F.element_at(suffixes, (F.col("p_size") % 10 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", formats.kind(name, formats.DOCUMENTS).alias("type"))
 
 
 @query("""SELECT item_id AS id, sha256(text) AS content_hash, 'note' AS type, 0.5::DOUBLE AS importance, 'active' AS status, 1 AS revision FROM benchmark WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL)

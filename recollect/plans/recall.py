@@ -62,15 +62,13 @@ def r5_hot_cold_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.merge_tiers(*_tiers(spark, sf_dir), ["workspace"], 20)
 
 
-@query(TIERS + " SELECT workspace, id, importance, row_number() OVER (PARTITION BY workspace ORDER BY tier, importance DESC, id) AS rank FROM o QUALIFY rank <= 15")
+@query(TIERS + """, e AS (SELECT DISTINCT workspace, workspace NOT IN (SELECT source FROM documents WHERE lang = 'es' GROUP BY source HAVING count(*) < 5) AS enabled FROM memories), u AS (SELECT o.* FROM o JOIN e USING (workspace) WHERE tier = 0 OR enabled)
+  SELECT workspace, id, importance, row_number() OVER (PARTITION BY workspace ORDER BY tier, importance DESC, id) AS rank FROM u QUALIFY rank <= 15""")
 def r4_tiered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hot first; the cold tier fills what hot leaves of the limit."""
-    from pyspark.sql import Window
-
+    """Hot first; the cold tier, where it is enabled, fills what hot leaves of the limit."""
     hot, cold = _tiers(spark, sf_dir)
-    both = hot.withColumn("tier", F.lit(0)).union(cold.join(hot.select("id"), "id", "left_anti").select("workspace", "id", "importance").withColumn("tier", F.lit(1)))
-    order = Window.partitionBy("workspace").orderBy("tier", F.desc("importance"), "id")
-    return both.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 15").drop("tier")
+    off = table(spark, sf_dir, "documents").filter("lang = 'es' and source is not null").groupBy(F.col("source").alias("workspace")).agg(F.count(F.lit(1)).alias("n")).filter("n < 5")
+    return op.fill(hot, cold.join(off, "workspace", "left_anti"), ["workspace"], 15)
 
 
 @query(M + " SELECT workspace, id, importance AS score FROM memories WHERE status = 'archived' QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY importance DESC, id) <= 5")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollect.operators import datasets, listing
+from recollect.operators import datasets, graph, listing
 from recollect.operators.vectors import search
 from recollect.plans.registry import query
 from recollect.sources import formats
@@ -15,11 +15,19 @@ from recollect.sources.shared import shared_dir
 from recollect.sources.tables import WITH, edges, memories, table
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '[.](csv|tsv|parquet|pq|jsonl|ndjson)$') THEN 'dataset' WHEN regexp_matches(lower(url), '[.](html?)$') THEN 'html' ELSE 'other' END AS kind FROM pages")
+NAMES = ["csv", "TSV", "parquet", "pq", "jsonl", "NDJSON", "json", "xlsx", "XLS", "bin"]
+
+
+def _file(suffixes: list[str]):
+    """A file name for each part; its size says with which suffix."""
+    return F.concat(F.lit("data.v1-"), "p_partkey", F.lit("."), F.element_at(F.array(*map(F.lit, suffixes)), (F.col("p_size") % len(suffixes) + 1).cast("int")))
+
+
+@query(f"""SELECT p_partkey, (['csv', 'csv', 'parquet', 'parquet', 'json', 'json', 'json', 'excel', 'excel', NULL])[p_size % 10 + 1] AS format, p_size % 10 = 9 AS is_error FROM part""".replace("['csv', 'csv'", "['csv', 'tsv'"))
 def s1_format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    found = F.when(formats.kind(url, formats.DATASETS).isNotNull(), "dataset").when(formats.kind(url, formats.DOCUMENTS) == "html", "html").otherwise("other")
-    return table(spark, sf_dir, "pages").select("page_id", found.alias("kind"))
+    """The format that a file's name tells, in any case of letters; no format is an error."""
+    found = formats.kind(_file(NAMES), formats.DATASETS | {"xlsx": "excel", "xls": "excel"})
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("format"), found.isNull().alias("is_error"))
 
 
 def _round_trip(spark: SparkSession, df: DataFrame, suffix: str, schema: str | None = None) -> DataFrame:
@@ -65,9 +73,14 @@ def s16_catalog_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.new_files(rows, known).select("content_hash", "source_path")
 
 
-@query("SELECT source AS collection, lang, count(*) AS articles, max(doc_id) AS newest FROM documents GROUP BY source, lang")
+@query("""WITH c AS (SELECT source, count(*) AS total FROM documents GROUP BY source) SELECT d.source AS collection, doc_id AS article, lang, substr(text, 1, 80) AS title, total FROM documents d JOIN c ON c.source IS NOT DISTINCT FROM d.source
+  QUALIFY row_number() OVER (PARTITION BY d.source ORDER BY doc_id DESC) <= 20""")
 def f23_kb_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("collection"), "lang").agg(F.count(F.lit(1)).alias("articles"), F.max("doc_id").alias("newest"))
+    """The newest articles of each collection, and how many it has."""
+    docs = table(spark, sf_dir, "documents")
+    totals = docs.groupBy(F.col("source").alias("collection")).agg(F.count(F.lit(1)).alias("total"))
+    page = listing.top_of(docs.select(F.col("source").alias("collection"), F.col("doc_id").alias("article"), "lang", F.substring("text", 1, 80).alias("title")), ["collection"], [F.desc("article")], 20).drop("rank")
+    return page.join(totals, page["collection"].eqNullSafe(totals["collection"])).drop(totals["collection"])
 
 
 @query("SELECT p_brand AS scope, p_name AS name, min(p_partkey) AS id FROM part WHERE p_size > 40 OR p_type LIKE '%STEEL%' OR p_retailprice < 950 GROUP BY p_brand, p_name")
@@ -82,24 +95,33 @@ def d16_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.types(table(spark, sf_dir, "lineitem"))
 
 
-@query("SELECT string_agg(line, chr(10) ORDER BY line) AS prompt FROM (SELECT 'o_custkey: ' || count(DISTINCT o_custkey) || ' distinct, ' || (count(*) - count(o_custkey)) || ' null' AS line FROM orders UNION ALL SELECT 'o_orderstatus: ' || count(DISTINCT o_orderstatus) || ' distinct, ' || (count(*) - count(o_orderstatus)) || ' null' FROM orders)")
+ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+
+
+@query("SELECT string_agg(line, chr(10) ORDER BY line) AS prompt FROM (" + " UNION ALL ".join(f"SELECT '{c}: ' || count(DISTINCT {c}) || ' distinct, ' || (count(*) - count({c})) || ' null' AS line FROM orders" for c in ORDERS) + ")")
 def d18_profile_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = datasets.null_profile(table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"))
+    """One line for each column."""
+    profile = datasets.null_profile(table(spark, sf_dir, "orders").select(*ORDERS))
     lines = profile.select(F.format_string("%s: %d distinct, %d null", "column", "n_unique", "nulls").alias("line"))
     return lines.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("prompt"))  # a line a column
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10")
+@query("SELECT 'o_orderkey,o_custkey,o_orderstatus' || chr(10) || string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS sample FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
 def d19_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), [F.asc("o_orderkey")], 10)
+    """The first rows as CSV text."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    first = listing.page(table(spark, sf_dir, "orders").select(*columns), [F.asc("o_orderkey")], 10)
+    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat_ws(",", *columns).alias("line"))))["line"]
+    return first.agg(F.concat(F.lit(",".join(columns) + "\n"), F.array_join(rows, "\n")).alias("sample"))
 
 
-@query("""SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings q, embeddings v
-  WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND v.label < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, v.vec_id) <= 8""")
+@query("""WITH e AS (SELECT label FROM embeddings GROUP BY label HAVING min(vec_id) < 5), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings q, embeddings v
+  WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND v.label IN (FROM e)) SELECT query_id, id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 8""")
 def v10_collection_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest enabled collections: those of the first five labels."""
+    """The nearest enabled collections: those of the labels that an early row has."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return search(v.filter("label < 5"), v.filter("id % 20 = 0"), 8).drop("rank")
+    enabled = v.groupBy("label").agg(F.min("id").alias("first")).filter("first < 5").select("label")
+    return search(v.join(enabled, "label", "left_semi"), v.filter("id % 20 = 0"), 8).drop("rank")
 
 
 @query("""WITH c AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings q, embeddings v JOIN labels l ON l.doc_id = v.vec_id AND l.quality = 0 WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
@@ -111,11 +133,16 @@ def r6_cold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(v.join(cold, "id", "left_semi"), v.filter("id % 20 = 0"), 5).filter("similarity >= 0.1").drop("rank")
 
 
-@query("WITH " + WITH["edges"] + ", v AS (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges) SELECT substr(id, 1, 1) AS layer, count(*) AS vertices FROM v GROUP BY 1")
+@query("WITH " + WITH["edges"] + """, v AS (SELECT 'n' || n_nationkey AS id, 'nation' AS layer FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 'r' || r_regionkey, 'region' FROM region UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier)
+  SELECT source_id, target_id, a.layer AS source_layer, b.layer AS target_layer FROM edges JOIN v a ON a.id = source_id JOIN v b ON b.id = target_id""")
 def g13_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    ids = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
-    return ids.groupBy(F.substring("id", 1, 1).alias("layer")).agg(F.count(F.lit(1)).alias("vertices"))
+    """Layers rebuilt: a scope (nations from 20 on, customers) is deleted, what is there is merged, edges without both ends are dropped."""
+    layers = {"nation": ("n", "n_nationkey"), "region": ("r", "r_regionkey"), "supplier": ("s", "s_suppkey"), "customer": ("c", "c_custkey")}
+    held = None
+    for layer, (mark, key) in layers.items():
+        rows = table(spark, sf_dir, layer).select(F.concat(F.lit(mark), key).alias("id"), F.lit(layer).alias("layer"), F.col(key).cast("long").alias("key"))
+        held = rows if held is None else held.unionByName(rows)
+    return graph.both_ends(edges(spark, sf_dir), held.filter("not (layer = 'customer' or layer = 'nation' and key >= 20)"))
 
 
 @query("WITH t AS (SELECT source AS workspace, count(*) AS n, max(doc_id) AS latest FROM documents GROUP BY source), s AS (SELECT source AS workspace, count(*) AS n, max(doc_id) AS latest FROM documents WHERE lang <> 'es' GROUP BY source) SELECT workspace, (t.n = s.n AND t.latest = s.latest) IS TRUE AS skip FROM t LEFT JOIN s USING (workspace)")
@@ -148,12 +175,15 @@ def p8_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("id"), ((F.col("o_orderstatus") != "P") | stale).alias("claimed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount + l_tax <= 0.1 AND l_quantity <= 45 THEN round(l_discount, 2) || ',' || round(l_discount + l_tax, 2) END AS box, sha2 FROM (SELECT *, sha256(l_partkey::VARCHAR) AS sha2 FROM lineitem)")
+@query("""WITH bad AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) >= 50)
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_discount + l_tax <= 0.1 AND l_quantity <= 45 THEN round(l_discount, 2) || ',' || round(l_discount + l_tax, 2) END AS box, sha256(l_partkey::VARCHAR) AS hash FROM lineitem WHERE l_orderkey NOT IN (FROM bad)""")
 def p17_layout_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A box that leaves the page becomes null; the region stays."""
+    """A box that leaves the page becomes null and its region stays; a layout (order) with a bad region is rejected whole."""
+    lines = table(spark, sf_dir, "lineitem")
+    bad = lines.groupBy("l_orderkey").agg(F.max("l_quantity").alias("most")).filter("most >= 50")
     ok = (F.col("l_discount") + F.col("l_tax") <= 0.1) & (F.col("l_quantity") <= 45)
     box = F.when(ok, F.concat_ws(",", F.round("l_discount", 2).cast("string"), F.round(F.col("l_discount") + F.col("l_tax"), 2).cast("string")))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box.alias("box"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("sha2"))
+    return lines.join(bad, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber", box.alias("box"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("hash"))
 
 
 @query("WITH " + WITH["memories"] + " SELECT (SELECT count(*) FROM memories) AS memories, (SELECT count(DISTINCT workspace) FROM memories) AS workspaces, (SELECT count(DISTINCT conv_id) FROM conversations) AS threads, (SELECT count(*) FROM pages) AS pages")

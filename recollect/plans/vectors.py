@@ -21,14 +21,17 @@ def _queries(rows: DataFrame) -> DataFrame:
 
 SIM = """WITH s AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id AS id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS similarity
   FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"""
-TOP = SIM + " , t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10) "
 
 
-@query(TOP + "SELECT query_id, id, similarity, rank FROM t WHERE similarity >= 0.3")
+@query("""WITH r AS (SELECT v.* FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE d.lang IN ('en', 'fr', 'de') AND d.source <> 'src0' AND d.n_chars BETWEEN 20 AND 20000),
+  s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings q, r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 12) SELECT query_id, id, similarity, rank FROM t WHERE rank > 2 AND similarity >= 0.2""")
 def v1_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit comes before the threshold, so fewer than k may be left."""
+    """Among memories of some types, subtypes and a range, an offset skipped; the limit comes before the threshold, so fewer than k may be left."""
     v = _vectors(spark, sf_dir)
-    return op.search(v, _queries(v), 10).filter("similarity >= 0.3").withColumn("rank", F.col("rank").cast("long"))
+    kept = table(spark, sf_dir, "documents").filter("lang in ('en', 'fr', 'de') and source <> 'src0' and n_chars between 20 and 20000").select(F.col("doc_id").alias("id"))
+    found = op.search(v.join(kept, "id", "left_semi"), _queries(v), 12)
+    return found.filter("rank > 2 and similarity >= 0.2").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(SIM + " SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE label IN (1, 3) QUALIFY rank <= 5")
