@@ -151,10 +151,10 @@ def planted(spark: SparkSession, n: int = PLANTED, seed: int = 7) -> DataFrame:
     return rows(secrets, 1.0).unionByName(rows(alike, 0.0))
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 10, seed: int = 7) -> DataFrame:
+def scan(docs: DataFrame, sample: int = SAMPLE, plants: int = PLANTED, trees: int = 40, depth: int = 10, seed: int = 7) -> DataFrame:
     """doc_id, text_key, n, begin, n_chars, value_sha256, known, probability, is_secret of each finding.
 
-    The forest learns from labelled findings: ``planted`` ones, and at most ``sample`` of each
+    The forest learns from labelled findings: ``plants`` that are planted, and at most ``sample`` of each
     kind that the corpus itself labels (``known``), those of least hash. It judges every finding,
     known or not; ``is_secret`` is its verdict at 0.5.
 
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE, trees: int = 40, depth: int = 10
     inputs = list(named)
     rows = found.withColumn("known", known_label()).withColumns(named)
     labelled = least_by_hash(rows.filter("known is not null"), "known", sample, ["value", "left", "doc_id", "n"], inputs).select("known", *inputs)
-    labelled = saved(labelled.union(planted(spark, seed=seed).withColumns(named).select("known", *inputs)), "secrets-labelled")
+    labelled = saved(labelled.union(planted(spark, plants, seed).withColumns(named).select("known", *inputs)), "secrets-labelled")
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     forest = RandomForestClassifier(labelCol="known", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, rawPredictionCol="raw", probabilityCol="p", predictionCol="verdict", featureSubsetStrategy="sqrt")
     model = forest.fit(assembler.transform(labelled.repartition(1).sortWithinPartitions("known", *inputs)))  # bounded

@@ -29,7 +29,7 @@ def planted(n):
 
 def test_forest_removes_false_positives(spark):
     docs = spark.createDataFrame(planted(400), "doc_id long, text string, lang string, source string")
-    rows = secrets.scan(docs).collect()
+    rows = secrets.scan(docs, plants=4000).collect()
     assert {r.doc_id for r in rows if r.is_secret} == {i for i in range(400) if i % 5 < 2}
     assert {r.doc_id for r in rows} >= {i for i in range(400) if i % 5 in (2, 3)}
 
@@ -67,20 +67,20 @@ def test_look_alikes_are_not(told, i):
 def test_redact_keeps_columns_with_names_of_its_own(spark):
     rows = [(1, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', "web", 5)] * 2 + [(None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, flags int").withColumns({c: F.lit(1) for c in ("key", "doc", "text_key", "_key")})
-    out = secrets.redact(docs)
+    out = secrets.redact(docs, plants=2000)
     assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["None", 'a token = "[SECRET]" b', 'a token = "[SECRET]" b']
 
 
 def test_redact_and_hard_cases(spark, hard, nothing):
-    out = secrets.redact(hard)
+    out = secrets.redact(hard, plants=2000)
     assert out.columns == hard.columns and out.count() == hard.count()
     by = {r.doc_id: r for r in out.collect()}
     assert by[7].text == 'Le chat est sur la table. token = "[SECRET]" et voilà' and by[7].n_chars == len(by[7].text)
     assert "[SECRET]" in by[None].text and "4785380592391141" in by[None].text
     assert by[3].text is None and by[4].text == ""
-    assert secrets.scan(nothing).collect() == [] and secrets.redact(nothing).collect() == []
+    assert secrets.redact(nothing, plants=400).collect() == []
 
 
 def test_no_python_in_the_plan(spark, hard):
-    plan = secrets.scan(hard)._jdf.queryExecution().executedPlan().toString()
+    plan = secrets.scan(hard, plants=400, trees=5)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
