@@ -42,3 +42,10 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = streams.events(spark, str(tmp_path), files_per_batch=1)
     got = streams.settle(streams.rate_windows(stream, 5, late="1 day"), ["user_id", "start"])
     assert sorted(r.n for r in got.collect()) == [1, 1, 1]
+
+
+def test_audit_holds_each_event_once_over_flushes(spark, small, tmp_path):
+    whole = split_events(spark, small, tmp_path, 4)
+    for every in (None, "1 second"):
+        got = streams.audit(streams.events(spark, str(tmp_path), files_per_batch=1).select("event_id", "user_id"), every)
+        assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in whole.collect())
