@@ -122,35 +122,52 @@ def forest(a: np.ndarray, b: np.ndarray, segment: int) -> list[tuple[int, int]]:
     return out
 
 
+def longer(fp: Column, key: Column) -> Column:
+    """array<int>: what two linked fingerprints of one key share in at least one place, further along the chain.
+
+    The first three segments differ in at most 2 bits, the first and half of the second in none:
+    so of the other half and the two halves of the third, 8 bits each, one is equal.
+    """
+    turn, half = F.floor(F.pmod(key, F.lit(2 * SEGMENTS)) / 2).cast("int") * BITS, F.pmod(key, F.lit(2))
+    turned = F.when(turn == 0, fp).otherwise(F.call_function("shiftleft", fp, turn).bitwiseOR(F.call_function("shiftrightunsigned", fp, 64 - turn)))
+    byte = lambda n: F.shiftrightunsigned(turned, n).bitwiseAND(F.lit(0xFF))
+    return F.array(F.when(half == 0, byte(32)).otherwise(byte(40)), byte(24) + 256, byte(16) + 512).cast("array<int>")
+
+
 def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """src < dst of distinct fingerprints (column fp) whose links connect all that is linked.
 
-    A bucket is the fingerprints with one key. One of over ``chunk`` members is cut into
-    chunks, and each pair of chunks is a task's work of its own, so that a large bucket is
-    spread and nothing is left out.
+    A bucket is the fingerprints with one key. One of over ``chunk`` members is dealt anew by the
+    chain's next bits; what is still larger is cut into chunks, and each pair of chunks is a
+    task's work of its own, so that a large bucket is spread and nothing is left out.
     """
-    keyed = fps.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+
+    def sized(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        return rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1), by)
+
+    held = sized(fps.select("fp", F.explode(keys(F.col("fp"))).alias("key")), ["key"], "n")
+    more = F.when(F.col("n") > chunk, longer(F.col("fp"), F.col("key"))).otherwise(F.array(F.lit(-1)))
+    held = sized(held.select("fp", "key", F.explode(more).alias("more")), ["key", "more"], "m")
+    held = held.withColumn("parts", F.ceil(F.col("m") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     held = held.withColumn("mine", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = held.select("fp", "key", "mine", other.alias("other"))
-    dealt = dealt.select("fp", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = held.select("fp", "key", "more", "mine", other.alias("other"))
+    dealt = dealt.select("fp", "key", "more", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    dealt = dealt.repartition("key", "more", "i", "j").sortWithinPartitions("key", "more", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(part: np.ndarray) -> list[tuple[int, int]]:
             fp, segment = part[:, 0].view(np.uint64), int(part[0, 1] % (2 * SEGMENTS)) // 2
-            if part[0, 2] == part[0, 3]:
+            if part[0, 3] == part[0, 4]:
                 return forest(fp, fp, segment)
-            low = part[:, 4] == part[0, 2]
+            low = part[:, 5] == part[0, 3]
             return forest(fp[low], fp[~low], segment)
 
-        carried = np.empty((0, 5), np.int64)
+        carried = np.empty((0, 6), np.int64)
         for b in batches:
             rows = np.concatenate([carried, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)])
-            new = np.flatnonzero((rows[1:, 1:4] != rows[:-1, 1:4]).any(1)) + 1
+            new = np.flatnonzero((rows[1:, 1:5] != rows[:-1, 1:5]).any(1)) + 1
             found = []
             for s, e in zip([0, *new.tolist()], new.tolist(), strict=False):
                 found += pairs(rows[s:e])
