@@ -17,16 +17,22 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def stem(term: Column) -> Column:
+    """A term without its English inflection, where at least three letters stay. The endings."""
+    return F.regexp_replace(term, "^([a-z]{3,}?)(?:ings?|edly|ed|ies|es|s)$", "$1")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """query_id, id, score of each document with a term of a query; both have id and text.
 
     Only the queries' terms are counted beyond a document's length, so postings of other terms
-    are dropped where they arise. A query's repeated term counts once.
+    are dropped where they arise. Terms are stemmed; a query's repeated term counts once, and a
+    query without terms finds nothing.
     """
-    asked = saved(queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "bm25-asked")
+    asked = saved(queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).withColumn("term", stem(F.col("term"))).distinct(), "bm25-asked")
     found = docs.select("id", terms(F.col("text")).alias("ts")).select("id", F.size("ts").alias("length"), "ts")
     stats = found.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))).scalar()
-    tf = found.select("id", "length", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = found.select("id", "length", F.explode("ts").alias("term")).withColumn("term", stem(F.col("term"))).join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = saved(tf, "bm25-postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(df, "term").withColumn("stats", stats).select("*", "stats.n", "stats.mean")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +48,37 @@ def with_defaults(rows: DataFrame, kind: str = "note", importance: float = 0.5)
 def append_memories(held: DataFrame, new: DataFrame) -> DataFrame:
     """``held`` with the memories of ``new`` whose content isn't there yet."""
     return held.unionByName(with_defaults(new).join(held.select("content_hash"), "content_hash", "left_anti"))
+
+
+def mutate(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """key, order, op, revision, etag of each accepted mutation of a resource.
+
+    ``log`` has key, order, op (create, update, delete), idem (an idempotency key, null for none),
+    expected (the revision that the writer saw, null for any) and content. A key that was used
+    before is a replay and does nothing. A create counts where nothing lives; an update or
+    delete where something does, and only at the expected revision: compare and set. Each
+    accepted one raises the revision, which a new life goes on from.
+
+    A resource's log is read in order, with its revision as the only state; replays are told
+    before. A resource is one task's work, whose memory doesn't grow with its log.
+    """
+    first = F.row_number().over(Window.partitionBy(key, "idem").orderBy(order)) == 1
+    rows = log.withColumn("fresh", F.col("idem").isNull() | first)
+    rows = rows.select(F.col(key).cast("long"), F.col(order).cast("long"), "op", F.col("expected").cast("long"), "fresh", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resource, revision, lives = None, 0, False
+        for b in batches:
+            out = []
+            for own, at, op, expected, fresh, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != resource:
+                    resource, revision, lives = own, 0, False
+                if not fresh or lives != (op != "create") or (lives and expected is not None and expected != revision):
+                    continue
+                revision, lives = revision + 1, op != "delete"
+                out.append((own, at, op, revision, content))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names=[key, order, "op", "revision", "content"])
+
+    sorted_ = rows.repartition(key).sortWithinPartitions(key, order)
+    done = sorted_.mapInArrow(run, f"{key} long, {order} long, op string, revision long, content string")
+    return done.select(key, order, "op", "revision", etag(F.col("revision"), F.col("content")).alias("etag"))

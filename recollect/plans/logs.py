@@ -261,3 +261,30 @@ def d5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that may stand in a statement, quoted."""
     good = F.col("p_name").rlike(r"^[\w\s\-.]+$")
     return table(spark, sf_dir, "part").select("p_partkey", good.alias("is_identifier"), F.when(good, F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("quoted"))
+
+
+def _mutations(log: str) -> str:
+    """SQL of ``versions.mutate`` over a CTE log (r, s, op, idem, expected, content)."""
+    return f"""WITH RECURSIVE log AS ({log}), l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s) AS n, idem IS NULL OR row_number() OVER (PARTITION BY r, idem ORDER BY s) = 1 AS fresh FROM log),
+  f AS (SELECT r, 0::BIGINT AS n, NULL::BIGINT AS s, NULL::VARCHAR AS op, NULL::VARCHAR AS content, 0::BIGINT AS revision, false AS lives, false AS ok FROM (SELECT DISTINCT r FROM l)
+    UNION ALL SELECT r, n, s, op, content, revision + ok::INT, CASE WHEN ok THEN op <> 'delete' ELSE lives END, ok FROM (
+      SELECT l.r, l.n, l.s, l.op, l.content, f.revision, f.lives, fresh AND CASE WHEN l.op = 'create' THEN NOT f.lives ELSE f.lives AND (expected IS NULL OR expected = f.revision) END AS ok FROM f JOIN l ON l.r = f.r AND l.n = f.n + 1))
+  SELECT r AS resource_id, s AS sequence, op, revision, 'vr-' || revision || '-' || substr(sha256(content), 1, 16) AS etag FROM f WHERE ok"""
+
+
+@query(_mutations("""SELECT user_id AS r, event_id AS s, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, json_extract_string(props, '$.k') AS idem,
+  CASE WHEN value >= 30 THEN (value::BIGINT % 4) END AS expected, event_type || event_id AS content FROM events"""))
+def m1_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as mutations of one memory, with idempotency keys and expected revisions."""
+    op_ = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
+    expected = F.when(F.col("value") >= 30, F.round("value").cast("long") % 4)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("resource_id"), F.col("event_id").alias("sequence"), op_.alias("op"), F.get_json_object("props", "$.k").alias("idem"), expected.alias("expected"), F.concat("event_type", "event_id").alias("content"))
+    return versions.mutate(log)
+
+
+@query(_mutations("""SELECT o_custkey AS r, o_orderkey AS s, CASE o_orderstatus WHEN 'O' THEN 'create' WHEN 'P' THEN 'delete' ELSE 'update' END AS op, o_orderpriority AS idem, NULL::BIGINT AS expected, o_orderkey::VARCHAR AS content FROM orders"""))
+def m4_skill_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same contract for skills: customers' orders, replayed by priority."""
+    op_ = F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "P", "delete").otherwise("update")
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("resource_id"), F.col("o_orderkey").alias("sequence"), op_.alias("op"), F.col("o_orderpriority").alias("idem"), F.lit(None).cast("long").alias("expected"), F.col("o_orderkey").cast("string").alias("content"))
+    return versions.mutate(log)

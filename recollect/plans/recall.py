@@ -11,16 +11,18 @@ from recollect.plans.registry import query
 from recollect.sources.tables import WITH, memories, table
 
 M = "WITH " + WITH["memories"]
-BM25 = """WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
-  w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM w),
-  p AS (SELECT id, len(ts) AS length, unnest(ts) AS term FROM w), tf AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+STEM = "regexp_replace({}, '^([a-z]{{3,}}?)(?:ings?|edly|ed|ies|es|s)$', '\\1')"
+BM25 = f"""WITH q AS (SELECT DISTINCT query_id, {STEM.format("t")} AS term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark WHERE item_id % 20 = 0)),
+  w AS (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', text, source)), '[a-z0-9]+') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM w),
+  p AS (SELECT id, length, {STEM.format("t")} AS term FROM (SELECT id, len(ts) AS length, unnest(ts) AS t FROM w)), tf AS (SELECT id, length, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
     FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL HAVING score > 0),
   bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    """The searchable text is the content and its aliases, here the source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", "source").alias("text"))
     asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("id"), "text")
     return op.bm25(docs, asked)
 

@@ -23,11 +23,14 @@ def k3_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count_distinct("l_partkey").alias("degree"))
 
 
-@query(M + " SELECT workspace, id, content_hash, (row_number() OVER (PARTITION BY workspace ORDER BY id) - 1) // 100 AS graph_no FROM memories WHERE importance <= 0.3")
+@query(M + """ SELECT workspace, id, content_hash, 'cold' AS tier, (row_number() OVER (PARTITION BY workspace ORDER BY id) - 1) // 10000 AS graph_no FROM memories WHERE importance <= 0.3
+  UNION ALL SELECT workspace, id, content_hash, 'hot', NULL FROM memories WHERE importance > 0.3""")
 def k7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the cold tier gets: the least important, in graphs of at most 100 nodes a workspace."""
+    """The least important memories move to the cold tier, in graphs of at most 10,000 nodes of a workspace."""
+    m = memories(spark, sf_dir).select("workspace", "id", "content_hash", "importance")
     n = F.row_number().over(Window.partitionBy("workspace").orderBy("id"))
-    return memories(spark, sf_dir).filter("importance <= 0.3").select("workspace", "id", "content_hash", F.floor((n - 1) / 100).alias("graph_no"))
+    cold = m.filter("importance <= 0.3").select("workspace", "id", "content_hash", F.lit("cold").alias("tier"), F.floor((n - 1) / 10_000).alias("graph_no"))
+    return cold.unionByName(m.filter("importance > 0.3").select("workspace", "id", "content_hash", F.lit("hot").alias("tier"), F.lit(None).cast("long").alias("graph_no")))
 
 
 @query(M + """, r AS (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1) SELECT id, workspace, CASE WHEN importance <= 0.3 AND id NOT IN (SELECT doc_id FROM r) THEN 'cold' ELSE 'hot' END AS tier,
