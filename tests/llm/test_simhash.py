@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import xxhash
 
 from recollect.llm import simhash
 
@@ -23,6 +25,46 @@ def brute(fps):
     return {f: root(f) for f in fps}
 
 
+def plain_fingerprint(text):
+    """A SimHash bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+TEXTS = [None, "", " \t", "One", "one two", "One two THREE", "ÉCOLE École école ü", "a b c a b c a b c", "x " * 500, "the cat\u00a0sat on\x0bthe mat again and again " * 40]
+
+
+def test_fingerprints_bit_by_bit():
+    for text in TEXTS:
+        assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(9)
+    texts = list(TEXTS)
+    for _ in range(8):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(90)) for _ in range(400)]
+        for _ in range(4):
+            texts.append(" ".join(base))
+            base = list(base)
+            base[rng.randrange(400)] = "new"
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    fps = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    up = dict.fromkeys(fps)
+    for i in fps:
+        up[i] = i
+    for i in fps:
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                low, high = sorted((up[i], up[j]))
+                up = {k: low if v == high else v for k, v in up.items()}
+    assert {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in rows} == {(i, fps[i], up[i]) for i in fps}
+
+
 def test_links_and_components_against_all_pairs(spark):
     rng = random.Random(5)
     fps = {0}
