@@ -20,13 +20,14 @@ KEYS = r"(?:token|secret|passw(?:or)?d|passwd|passphrase|pwd|api[_\-]?key|access
 #: format; the value that is
 #: assigned to a name of a secret, of 8 or more characters of any kind; an unbroken run of the
 #: characters that keys, hashes, numbers, addresses and paths are made of, of 12 or more, with a
-#: digit, or of 20 or more in changing case. Closing punctuation isn't part of one.
+#: digit, or of 20 or more in changing case. Closing punctuation isn't part of one. What is cheap
+#: to see is looked at first.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s\"'<>]{3,}[^\s\"'<>.,;:!?)\]]"
-    r"|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,})(?![A-Za-z0-9])"
-    rf"|(?:(?<=(?i:bearer)\s{{1,2}})|(?<=(?i:{KEYS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?))(?!(?i:bearer)\s)[^\s\"'<>:=]?[^\s\"'<>]{{6,}}[^\s\"'<>.,;:)\]]"
-    rf"|(?<![A-Za-z0-9+/_.@\-])(?![A-Za-z0-9_.\-]{{0,40}}(?i:{KEYS})[\"']?\s{{0,2}}[:=])(?=[A-Za-z0-9+/_.@:\-]{{12}})(?=[A-Za-z+/_.@:\-]*[0-9]|(?=[A-Za-z+/]{{20}})[A-Z]*[a-z]+[A-Z]+[a-z]+[A-Z])[A-Za-z0-9+/_\-]+(?:[.@:][A-Za-z0-9+/_\-]+)*={{0,2}}"
+    r"(?<![A-Za-z0-9])(?=\S)(?:-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?<![+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s\"'<>]{3,}[^\s\"'<>.,;:!?)\]]"
+    r"|(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,})(?![A-Za-z0-9])"
+    rf"|(?<=[\s:=\"'])(?=[^\s\"'<>])(?:(?<=[rR]\s{{1,2}})(?<=(?i:bearer)\s{{1,2}})|(?<=[:=]\s{{0,2}}[\"']?)(?<=(?i:{KEYS})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?))(?!(?i:bearer)\s)[^\s\"'<>:=]?[^\s\"'<>]{{6,}}[^\s\"'<>.,;:)\]]"
+    rf"|(?<![+/_.@\-])(?=[A-Za-z0-9+/_.@:\-]{{12}})(?=[A-Za-z+/_.@:\-]*[0-9]|(?=[A-Za-z+/]{{20}})[A-Z]*[a-z]+[A-Z]+[a-z]+[A-Z])(?![A-Za-z0-9_.\-]{{0,40}}(?i:{KEYS})[\"']?\s{{0,2}}[:=])[A-Za-z0-9+/_\-]+(?:[.@:][A-Za-z0-9+/_\-]+)*={{0,2}})"
 )
 #: Code points on either side of a candidate that its neighbouring words are taken from.
 AROUND = 48
