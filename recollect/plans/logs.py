@@ -44,12 +44,12 @@ def t4_session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return started.select("session", (F.col("started") + F.expr("interval 20 days") >= now).alias("active"))
 
 
-@query("""SELECT user_id AS session, event_type AS key, arg_max(value, event_id) AS value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING min(ts) + INTERVAL 25 DAY >= (SELECT max(ts) FROM events)) GROUP BY ALL""")
+@query("""SELECT user_id AS session, event_type AS key, arg_max(value, event_id) AS value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 1 DAY >= (SELECT max(ts) FROM events)) GROUP BY ALL""")
 def t5_working_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last write of each key, hidden once its session is past its end."""
+    """The last write of each key, hidden once its session is past its end, a day after its last write."""
     events = table(spark, sf_dir, "events")
     now = events.agg(F.max("ts")).scalar()
-    alive = events.groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("started")).filter(F.col("started") + F.expr("interval 25 days") >= now)
+    alive = events.groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("last")).filter(F.col("last") + F.expr("interval 1 day") >= now)
     writes = events.select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), "value", F.col("event_id").alias("sequence"))
     return op.working_memory(writes).join(alive, "session", "left_semi")
 
@@ -273,11 +273,11 @@ def _mutations(log: str) -> str:
 
 
 @query(_mutations("""SELECT user_id AS r, event_id AS s, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, json_extract_string(props, '$.k') AS idem,
-  CASE WHEN value >= 30 THEN (value::BIGINT % 4) END AS expected, event_type || event_id AS content FROM events"""))
+  CASE WHEN value >= 30 THEN floor(value)::BIGINT % 4 END AS expected, event_type || event_id AS content FROM events"""))
 def m1_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as mutations of one memory, with idempotency keys and expected revisions."""
     op_ = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
-    expected = F.when(F.col("value") >= 30, F.round("value").cast("long") % 4)
+    expected = F.when(F.col("value") >= 30, F.floor("value") % 4)
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("resource_id"), F.col("event_id").alias("sequence"), op_.alias("op"), F.get_json_object("props", "$.k").alias("idem"), expected.alias("expected"), F.concat("event_type", "event_id").alias("content"))
     return versions.mutate(log)
 
