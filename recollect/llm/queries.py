@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat, decontaminate, fingerprint, html, language, mixing, secrets, simhash, substrings, tokens
+from recollect.llm import align, centroids, chat, decontaminate, fingerprint, html, language, mixing, secrets, simhash, substrings, tokens
 from recollect.llm.common import table
 
 
@@ -55,7 +55,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))[0]
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_language, op3_mixing, op4_substrings, op5_token_counts, op6_chat, op7_fingerprints, op8_decontamination, op9_simhash, op10_secrets)
+    for f in (op1_main_text, op2_language, op3_mixing, op4_substrings, op5_token_counts, op6_chat, op7_fingerprints, op8_decontamination, op9_simhash, op10_secrets, op11_alignment, op12_centroids)
 }

@@ -83,4 +83,35 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op3_mixing": OP3, "op4_substrings": OP4, "op6_chat": OP6}
+
+
+def _round(n: int) -> str:
+    """Assignment ``a{n}`` to centroids ``c{n}``, and the next ones."""
+    return f"""
+), p{n} AS (
+  SELECT v.r, v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n} c
+), a{n} AS (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(c, [d, c]) AS c, min(d) AS d FROM p{n} GROUP BY r
+), m{n} AS (
+  SELECT c, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS y, unnest(range(64)) AS i FROM a{n}) GROUP BY c, i
+), c{n + 1} AS (
+  SELECT c{n}.c, coalesce(any_value(m.x), any_value(c{n}.x)) AS x FROM c{n} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{n} GROUP BY c) m ON m.c = c{n}.c GROUP BY c{n}.c"""
+
+
+OP12 = (
+    r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM v ORDER BY c LIMIT 16"""
+    + "".join(map(_round, range(4)))
+    + r"""
+)
+SELECT vec_id, a.c::INTEGER AS "cluster", d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 ON c3.c = a.c
+"""
+)
+
+SQL: dict[str, str] = {"op3_mixing": OP3, "op4_substrings": OP4, "op6_chat": OP6, "op12_centroids": OP12}

@@ -10,7 +10,7 @@ from recollect.llm.sql import SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, small, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
@@ -22,4 +22,4 @@ def test_same_rows(spark, small, name):
 
 
 def test_every_dealt_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
