@@ -122,8 +122,8 @@ class Aligner:
         """
         ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
         whole = np.array([b"".join(map(self.b.bytes.__getitem__, y)) == t.encode() == b"".join(map(self.a.bytes.__getitem__, x)) if -1 not in y else False for t, x, y in zip(texts, ids_a, ids_b, strict=True)], bool)
-        n_a = np.where(whole, [len(x) for x in ids_a], 0)
-        n_b = np.where(whole, [len(x) for x in ids_b], 0)
+        n_a = np.where(whole, np.array([len(x) for x in ids_a], np.int64), 0)
+        n_b = np.where(whole, np.array([len(x) for x in ids_b], np.int64), 0)
         flat = lambda ids: np.array([i for x, w in zip(ids, whole, strict=True) if w for i in x], np.int64)
         a, b = flat(ids_a), flat(ids_b)
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
