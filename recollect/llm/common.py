@@ -46,6 +46,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """``saved`` in ``n`` buckets of ``key``: joins of such tables by it shuffle neither of them.
+
+    The session's catalog holds the table only until its files are found.
+    """
+    spark = df.sparkSession
+    title = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{title}").saveAsTable(title)
+    out = spark.table(title)
+    out.schema  # noqa: B018 - resolves the files
+    spark.sql(f"DROP TABLE {title}")
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be none of ``df``'s columns."""
     held = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import align, centroids, chat, decontaminate, fingerprint, html, language, mixing, secrets, simhash, substrings, tokens
+from recollect.llm import align, brown, centroids, chat, decontaminate, fingerprint, html, language, mixing, secrets, simhash, substrings, tokens
 from recollect.llm.common import table
 
 
@@ -63,7 +63,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op13_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_main_text, op2_language, op3_mixing, op4_substrings, op5_token_counts, op6_chat, op7_fingerprints, op8_decontamination, op9_simhash, op10_secrets, op11_alignment, op12_centroids)
+    for f in (op1_main_text, op2_language, op3_mixing, op4_substrings, op5_token_counts, op6_chat, op7_fingerprints, op8_decontamination, op9_simhash, op10_secrets, op11_alignment, op12_centroids, op13_scores)
 }
