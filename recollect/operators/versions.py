@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.shared import saved
+
 
 def fold(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
     """Each accepted operation with its revision, and the revision it replaced.
@@ -50,35 +49,124 @@ def append_memories(held: DataFrame, new: DataFrame) -> DataFrame:
     return held.unionByName(with_defaults(new).join(held.select("content_hash"), "content_hash", "left_anti"))
 
 
-def mutate(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
-    """key, order, op, revision, etag of each accepted mutation of a resource.
+#: Columns of a log of mutations, after its key and order.
+MUTATION = ("operation_id", "request_hash", "action", "expected", "content", "logical_key", "owner")
 
-    ``log`` has key, order, op (create, update, delete), idem (an idempotency key, null for none),
-    expected (the revision that the writer saw, null for any) and content. A key that was used
-    before is a replay and does nothing. A create counts where nothing lives; an update or
-    delete where something does, and only at the expected revision: compare and set. Each
-    accepted one raises the revision, which a new life goes on from.
 
-    A resource's log is read in order, with its revision as the only state; replays are told
-    before. A resource is one task's work, whose memory doesn't grow with its log.
+def last_before(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with the last non-null ``value`` of an earlier row of their key, as ``name``.
+
+    Rows are cut into ranges of key and order, so that one key's rows are many tasks' work;
+    what a key's earlier ranges end with is a row for each range that shares a key with
+    another, twice the number of ranges at most.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = saved(rows.withColumn(name, value).repartitionByRange(ranges, key, order).withColumn("_range", F.spark_partition_id()), "versions-ranges")
+    inside = Window.partitionBy("_range", key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(key, "_range").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("_end")).withColumn("_shared", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.filter("_shared > 1").select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    out = cut.withColumn(name, F.last(name, ignorenulls=True).over(inside))
+    out = out.join(F.broadcast(carried), (out[key] == carried["_key"]) & (out["_range"] == carried["_of"]), "left")  # two rows a range at most
+    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_range", "_key", "_of", "_carried")
+
+
+def _followers(ops: DataFrame, key: str, order: str) -> DataFrame:
+    """key, from, to: for each operation, were it accepted, the next one that would be.
+
+    An operation's ETag is known from the one it expects, so what can follow it is the first
+    later one that expects that ETag, on a resource in the state, of the key and owner that it
+    leaves. Both kinds meet in windows of that ETag, so a resource's log is spread by its ETags.
+    """
+    gives = ops.select(key, F.col("etag").alias("_tag"), (F.col("action") == "delete").alias("_dead"), "logical_key", "owner", order, F.lit(None).cast("long").alias("_to"))
+    takes = ops.filter("action <> 'create'").select(key, F.col("expected").alias("_tag"), (F.col("action") == "restore").alias("_dead"), "logical_key", "owner", order, F.col(order).alias("_to"))
+    later = Window.partitionBy(key, "_tag", "_dead", "logical_key", "owner").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    met = gives.unionByName(takes).withColumn("_next", F.last("_to", ignorenulls=True).over(later))
+    return met.filter("_to is null and _next is not null").select(key, F.col(order).alias("from"), F.col("_next").alias("to"))
+
+
+def _reached(first: DataFrame, arcs: DataFrame, key: str) -> DataFrame:
+    """key, to: all that arcs lead to from ``first``, each step doubling the arcs' length."""
+    found, step = saved(first, "versions-reached"), saved(arcs, "versions-arcs")
+    while True:
+        new = saved(found.join(step.withColumnRenamed("to", "_on"), (found[key] == step[key]) & (found["to"] == step["from"])).select(found[key], F.col("_on").alias("to")), "versions-new")
+        if new.isEmpty():
+            return found
+        found = saved(found.unionByName(new), "versions-reached")
+        a, b = step.alias("a"), step.alias("b")
+        step = saved(a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.to") == F.col("b.from"))).select(f"a.{key}", "a.from", "b.to"), "versions-arcs")
+
+
+def accepted(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """key, order, MUTATION, revision, etag of each mutation that a log leads to; see ``mutate``."""
+    expected = F.regexp_extract("expected", r"^vr-(\d{1,18})-", 1)
+    revision = F.when(F.col("action") == "create", F.when(F.col("expected") == "*", F.lit(1))).when(expected != "", expected.cast("long") + 1)
+    ops = log.select(key, order, *MUTATION).withColumn("revision", revision.cast("long")).filter("revision is not null and action in ('create', 'replace', 'delete', 'restore')")
+    ops = saved(ops.withColumn("etag", etag(F.col("revision"), F.col("content"))), "versions-log")
+    first = ops.filter("action = 'create'").groupBy(key).agg(F.min(order).alias("to"))
+    while True:
+        # a creation after the first finds the resource there
+        live = ops.join(first, key, "left").filter((F.col("action") != "create") | (F.col(order) == F.col("to"))).drop("to")
+        chain = _reached(first, _followers(live, key, order), key)
+        done = saved(ops.join(chain.withColumnRenamed("to", order), [key, order], "left_semi"), "versions-done")
+        again = F.row_number().over(Window.partitionBy(key, "operation_id").orderBy(order)) > 1
+        repeated = done.filter("operation_id is not null").withColumn("_again", again).filter("_again").groupBy(key).agg(F.min(order).alias(order))
+        repeated = saved(repeated, "versions-repeated")
+        if repeated.isEmpty():
+            return done
+        # what used an accepted operation's id with another request can't stand; what follows is found anew
+        ops = saved(ops.join(repeated, [key, order], "left_anti"), "versions-log")
+
+
+def mutate(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """key, order, outcome, revision, etag: the answer to each mutation of a log.
+
+    ``log`` has key, order (different for each of a key's rows) and MUTATION: operation_id is the
+    idempotency key, null for none; action is create, replace, delete or restore; expected is the
+    ETag that the writer saw, ``*`` for a creation; content is the state it leaves. The rules, in
+    this order:
+
+    - ``replayed``: the id was used by an accepted mutation of the resource with the same
+      request_hash; the answer is that one's revision and ETag. ``conflict`` if the hash differs.
+      A refused mutation doesn't use up its id.
+    - A creation needs ``*`` (else ``precondition``) and that no revision is there, deleted or not
+      (else ``conflict``).
+    - Others need a resource (``not_found``), at the ETag they expect (``precondition``); a
+      restoration needs a deleted one (``conflict``), the rest a living one (``not_found``);
+      logical_key and owner never change (``conflict``).
+    - Whatever else is ``accepted`` as the next revision, whose ETag tells number and content.
+
+    Nothing is folded row by row: which mutation can follow which is found by their ETags, chains
+    are followed by doubling, and a resource's log is never one task's work. An action of any
+    other name is ``invalid``. A null request_hash equals only a null one.
     """
-    first = F.row_number().over(Window.partitionBy(key, "idem").orderBy(order)) == 1
-    rows = log.withColumn("fresh", F.col("idem").isNull() | first)
-    rows = rows.select(F.col(key).cast("long"), F.col(order).cast("long"), "op", F.col("expected").cast("long"), "fresh", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resource, revision, lives = None, 0, False
-        for b in batches:
-            out = []
-            for own, at, op, expected, fresh, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if own != resource:
-                    resource, revision, lives = own, 0, False
-                if not fresh or lives != (op != "create") or (lives and expected is not None and expected != revision):
-                    continue
-                revision, lives = revision + 1, op != "delete"
-                out.append((own, at, op, revision, content))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))], names=[key, order, "op", "revision", "content"])
-
-    sorted_ = rows.repartition(key).sortWithinPartitions(key, order)
-    done = sorted_.mapInArrow(run, f"{key} long, {order} long, op string, revision long, content string")
-    return done.select(key, order, "op", "revision", etag(F.col("revision"), F.col("content")).alias("etag"))
+    done = accepted(log, key, order)
+    by_id = done.filter("operation_id is not null").select(F.col(key).alias("_key"), F.col("operation_id").alias("_id"), F.col(order).alias("_at"), F.col("request_hash").alias("_hash"), F.col("revision").alias("_revision"), F.col("etag").alias("_etag"))
+    state = done.select(F.col(key).alias("_of"), F.col(order).alias("_own"), F.struct("revision", "etag", (F.col("action") == "delete").alias("deleted"), "logical_key", "owner").alias("_state"))
+    rows = log.select(key, order, *MUTATION)
+    rows = rows.join(state, (rows[key] == state["_of"]) & (rows[order] == state["_own"]), "left").drop("_of", "_own")
+    rows = rows.withColumn("_mine", F.col("_state"))
+    rows = last_before(rows, key, order, F.col("_state"), "_head")
+    rows = rows.join(by_id, (rows[key] == by_id["_key"]) & (rows["operation_id"] == by_id["_id"]) & (by_id["_at"] < rows[order]), "left")
+    head, create = F.col("_head"), F.col("action") == "create"
+    replayed = F.col("_at").isNotNull() & F.col("_hash").eqNullSafe(F.col("request_hash"))
+    outcome = (
+        F.when(replayed, "replayed").when(F.col("_at").isNotNull(), "conflict").when(F.col("_mine").isNotNull(), "accepted")
+        .when(~F.coalesce(F.col("action").isin("create", "replace", "delete", "restore"), F.lit(False)), "invalid")
+        .when(create & ~F.coalesce(F.col("expected") == "*", F.lit(False)), "precondition").when(create, "conflict")
+        .when(head.isNull(), "not_found").when(~F.coalesce(F.col("expected") == head["etag"], F.lit(False)), "precondition")
+        .when(F.col("action") == "restore", "conflict").when(head["deleted"], "not_found").otherwise("conflict")
+    )
+    mine = lambda field, replay: F.when(F.col("outcome") == "replayed", F.col(replay)).when(F.col("outcome") == "accepted", F.col("_mine")[field])
+    return rows.withColumn("outcome", outcome).select(key, order, "outcome", mine("revision", "_revision").alias("revision"), mine("etag", "_etag").alias("etag"))
+
+
+def snapshots(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """key, revision, action, etag, content, logical_key, owner, deleted of every revision that a log leads to."""
+    return accepted(log, key, order).select(key, "revision", "action", "etag", "content", "logical_key", "owner", (F.col("action") == "delete").alias("deleted"))
+
+
+def without_evidence(evidence: DataFrame, log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """``evidence`` with ``active``: false for what a replaced or deleted resource stood for."""
+    changed = accepted(log, key, order).filter("action in ('replace', 'delete')").select(key).distinct().withColumn("_changed", F.lit(True))
+    return evidence.join(changed, key, "left").withColumn("active", F.col("_changed").isNull()).drop("_changed")

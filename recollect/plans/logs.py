@@ -263,28 +263,78 @@ def d5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", good.alias("is_identifier"), F.when(good, F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("quoted"))
 
 
-def _mutations(log: str) -> str:
-    """SQL of ``versions.mutate`` over a CTE log (r, s, op, idem, expected, content)."""
-    return f"""WITH RECURSIVE log AS ({log}), l AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s) AS n, idem IS NULL OR row_number() OVER (PARTITION BY r, idem ORDER BY s) = 1 AS fresh FROM log),
-  f AS (SELECT r, 0::BIGINT AS n, NULL::BIGINT AS s, NULL::VARCHAR AS op, NULL::VARCHAR AS content, 0::BIGINT AS revision, false AS lives, false AS ok FROM (SELECT DISTINCT r FROM l)
-    UNION ALL SELECT r, n, s, op, content, revision + ok::INT, CASE WHEN ok THEN op <> 'delete' ELSE lives END, ok FROM (
-      SELECT l.r, l.n, l.s, l.op, l.content, f.revision, f.lives, fresh AND CASE WHEN l.op = 'create' THEN NOT f.lives ELSE f.lives AND (expected IS NULL OR expected = f.revision) END AS ok FROM f JOIN l ON l.r = f.r AND l.n = f.n + 1))
-  SELECT r AS resource_id, s AS sequence, op, revision, 'vr-' || revision || '-' || substr(sha256(content), 1, 16) AS etag FROM f WHERE ok"""
+def _mutations(events: str) -> str:
+    """SQL of ``versions.mutate`` over ``_writers`` of ``events`` (r, s, kind, x), one row after the other."""
+    return f"""WITH RECURSIVE e AS ({events}), w AS (
+    SELECT *, sum(CASE WHEN kind <> 'again' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s) AS n FROM e
+  ), good AS (
+    SELECT r, n, s, kind, lag(kind) OVER (PARTITION BY r ORDER BY s) AS before, lag(kind || ':' || s) OVER (PARTITION BY r ORDER BY s) AS seen, lag(kind || ':' || s, 2) OVER (PARTITION BY r ORDER BY s) AS stale FROM w WHERE kind <> 'again'
+  ), log AS (
+    SELECT w.r, w.s, 'op-' || coalesce(g.s, w.s) AS id, CASE WHEN w.kind = 'again' AND w.x >= 40 THEN 'other' ELSE 'h' || coalesce(g.s, w.s) END AS hash,
+      CASE WHEN w.n <= 1 THEN 'create' WHEN w.x >= 50 AND w.kind <> 'again' THEN 'replace' WHEN g.before = 'drop' THEN 'restore' WHEN g.kind = 'drop' THEN 'delete' ELSE 'replace' END AS action,
+      CASE WHEN w.n <= 1 THEN CASE WHEN w.x < 90 THEN '*' END WHEN w.x >= 60 AND w.n > 2 THEN 'vr-' || (w.n - 2)::BIGINT || '-' || substr(sha256(stale), 1, 16) ELSE 'vr-' || (w.n - 1)::BIGINT || '-' || substr(sha256(seen), 1, 16) END AS expected,
+      coalesce(g.kind, w.kind) || ':' || coalesce(g.s, w.s) AS content, CASE WHEN w.x BETWEEN 45 AND 46 THEN 'moved' ELSE 'key' END AS k
+    FROM w LEFT JOIN good g ON g.r = w.r AND g.n = w.n
+  ), l AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY s) AS i FROM log
+  ), f AS (
+    SELECT r, 0::BIGINT AS i, 0::BIGINT AS s, ''::VARCHAR AS outcome, 0::BIGINT AS revision, NULL::VARCHAR AS etag, 0::BIGINT AS rev, NULL::VARCHAR AS tag, false AS dead, NULL::VARCHAR AS key, MAP {{}}::MAP(VARCHAR, VARCHAR[]) AS ids FROM (SELECT DISTINCT r FROM l)
+    UNION ALL
+    SELECT r, i, s, outcome, CASE outcome WHEN 'accepted' THEN rev + 1 WHEN 'replayed' THEN ids[id][2]::BIGINT END, CASE outcome WHEN 'accepted' THEN made WHEN 'replayed' THEN ids[id][3] END,
+      CASE WHEN outcome = 'accepted' THEN rev + 1 ELSE rev END, CASE WHEN outcome = 'accepted' THEN made ELSE tag END, CASE WHEN outcome = 'accepted' THEN action = 'delete' ELSE dead END, CASE WHEN outcome = 'accepted' THEN k ELSE key END,
+      CASE WHEN outcome = 'accepted' THEN map_concat(ids, MAP {{id: [hash, (rev + 1)::VARCHAR, made]}}) ELSE ids END
+    FROM (SELECT l.r, l.i, l.s, l.id, l.hash, l.action, l.k, f.rev, f.tag, f.dead, f.key, f.ids, 'vr-' || (f.rev + 1) || '-' || substr(sha256(l.content), 1, 16) AS made,
+      CASE WHEN map_contains(f.ids, l.id) THEN CASE WHEN f.ids[l.id][1] = l.hash THEN 'replayed' ELSE 'conflict' END
+        WHEN l.action = 'create' THEN CASE WHEN l.expected IS DISTINCT FROM '*' THEN 'precondition' WHEN f.rev > 0 THEN 'conflict' ELSE 'accepted' END
+        WHEN f.rev = 0 THEN 'not_found' WHEN l.expected IS DISTINCT FROM f.tag THEN 'precondition'
+        WHEN l.action = 'restore' AND NOT f.dead THEN 'conflict' WHEN l.action <> 'restore' AND f.dead THEN 'not_found' WHEN l.k <> f.key THEN 'conflict' ELSE 'accepted' END AS outcome
+      FROM f JOIN l ON l.r = f.r AND l.i = f.i + 1)
+  )"""
+
+
+def _writers(events: DataFrame) -> DataFrame:
+    """A log of mutations by writers of all sorts, from rows r, s, kind, x.
+
+    Kinds other than ``again`` write, each having seen the write before; from some x on they have
+    seen an older one, change what never changes, or are out of turn. ``again`` repeats the last
+    write, or uses its id for something else.
+    """
+    own = Window.partitionBy("r").orderBy("s")
+    w = events.withColumn("n", F.sum(F.when(F.col("kind") != "again", 1).otherwise(0)).over(own))
+    told = F.concat_ws(":", "kind", F.col("s").cast("string"))
+    good = w.filter("kind <> 'again'").select("r", "n", F.col("s").alias("g_s"), F.col("kind").alias("g_kind"), F.lag("kind").over(own).alias("before"), F.lag(told).over(own).alias("seen"), F.lag(told, 2).over(own).alias("stale"))
+    rows = w.join(good, ["r", "n"], "left")
+    at, again, n, x = F.coalesce("g_s", "s").cast("string"), F.col("kind") == "again", F.col("n"), F.col("x")
+    action = F.when(n <= 1, "create").when((x >= 50) & ~again, "replace").when(F.col("before") == "drop", "restore").when(F.col("g_kind") == "drop", "delete").otherwise("replace")
+    expected = F.when(n <= 1, F.when(x < 90, "*")).when((x >= 60) & (n > 2), versions.etag(n - 2, F.col("stale"))).otherwise(versions.etag(n - 1, F.col("seen")))
+    return rows.select(
+        F.col("r").alias("resource_id"), F.col("s").alias("sequence"), F.concat(F.lit("op-"), at).alias("operation_id"), F.when(again & (x >= 40), "other").otherwise(F.concat(F.lit("h"), at)).alias("request_hash"),
+        action.alias("action"), expected.alias("expected"), F.concat(F.coalesce("g_kind", "kind"), F.lit(":"), at).alias("content"), F.when(x.between(45, 46), "moved").otherwise("key").alias("logical_key"), F.lit("one").alias("owner"),
+    )
+
+
+EVENT_WRITERS = "SELECT user_id AS r, event_id AS s, CASE event_type WHEN 'click' THEN 'again' WHEN 'error' THEN 'drop' ELSE event_type END AS kind, value AS x FROM events"
+
+
+def _event_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "again").when(F.col("event_type") == "error", "drop").otherwise(F.col("event_type"))
+    return _writers(table(spark, sf_dir, "events").select(F.col("user_id").alias("r"), F.col("event_id").alias("s"), kind.alias("kind"), F.col("value").alias("x")))
+
+
+@query(_mutations(EVENT_WRITERS) + " SELECT r AS resource_id, s AS sequence, outcome, revision, etag FROM f WHERE i > 0")
+def m1_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as mutations of one memory: ETags compared, operations answered again."""
+    return versions.mutate(_event_writers(spark, sf_dir))
 
 
-@query(_mutations("""SELECT user_id AS r, event_id AS s, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, json_extract_string(props, '$.k') AS idem,
-  CASE WHEN value >= 30 THEN floor(value)::BIGINT % 4 END AS expected, event_type || event_id AS content FROM events"""))
-def m1_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as mutations of one memory, with idempotency keys and expected revisions."""
-    op_ = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "delete").otherwise("update")
-    expected = F.when(F.col("value") >= 30, F.floor("value") % 4)
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("resource_id"), F.col("event_id").alias("sequence"), op_.alias("op"), F.get_json_object("props", "$.k").alias("idem"), expected.alias("expected"), F.concat("event_type", "event_id").alias("content"))
-    return versions.mutate(log)
+@query(_mutations(EVENT_WRITERS) + " SELECT r AS resource_id, revision, action, etag, content, dead AS deleted FROM f JOIN (SELECT r AS lr, s AS ls, action, content FROM l) ON lr = r AND ls = s WHERE outcome = 'accepted'")
+def m1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revision of those memories."""
+    return versions.snapshots(_event_writers(spark, sf_dir)).drop("logical_key", "owner")
 
 
-@query(_mutations("""SELECT o_custkey AS r, o_orderkey AS s, CASE o_orderstatus WHEN 'O' THEN 'create' WHEN 'P' THEN 'delete' ELSE 'update' END AS op, o_orderpriority AS idem, NULL::BIGINT AS expected, o_orderkey::VARCHAR AS content FROM orders"""))
+@query(_mutations("SELECT o_custkey AS r, o_orderkey AS s, CASE o_orderpriority WHEN '5-LOW' THEN 'again' WHEN '4-NOT SPECIFIED' THEN 'drop' ELSE o_orderpriority END AS kind, o_totalprice / 6000 AS x FROM orders") + " SELECT r AS resource_id, s AS sequence, outcome, revision, etag FROM f WHERE i > 0")
 def m4_skill_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same contract for skills: customers' orders, replayed by priority."""
-    op_ = F.when(F.col("o_orderstatus") == "O", "create").when(F.col("o_orderstatus") == "P", "delete").otherwise("update")
-    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("resource_id"), F.col("o_orderkey").alias("sequence"), op_.alias("op"), F.col("o_orderpriority").alias("idem"), F.lit(None).cast("long").alias("expected"), F.col("o_orderkey").cast("string").alias("content"))
-    return versions.mutate(log)
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", "again").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "drop").otherwise(F.col("o_orderpriority"))
+    return versions.mutate(_writers(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("r"), F.col("o_orderkey").alias("s"), kind.alias("kind"), (F.col("o_totalprice") / 6000).alias("x"))))
