@@ -1,9 +1,10 @@
 """Vector search: a stated set of queries against all rows, in blocks.
 
-Queries and rows are packed into blocks of bounded size, each one row of a table with a matrix
-in it. Every block of rows meets every block of queries in a join on the block's number, and a
-task multiplies the two; nothing passes through the driver. Of a block of rows only the best of
-each query goes on, and Spark cuts those down again before it shuffles them.
+Queries are packed into blocks of bounded size, each one row of a table with a matrix in it. If
+all of them are small, by their measured size, they are sent to every task, and rows stay where
+they are. Otherwise rows are packed into large blocks as well and shuffled once, and every one of
+them is sent the query blocks, which its task takes one after the other. Of a block of rows only
+the best of each query goes on, and Spark cuts those down again before it shuffles them.
 """
 
 from __future__ import annotations
@@ -16,21 +17,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.vectors import cosine
-from recollect.sources.shared import saved
+from recollect.sources.shared import saved, ship
 
-#: Queries, and rows, in a block: their product in 8 byte numbers is what a task holds at once.
+#: Queries, and rows, that are multiplied at once: their product in 8 byte numbers is what a task holds.
 QUERIES, ROWS = 2048, 4096
+#: Bytes of all queries up to which they are sent to every task, and of a block of rows beyond that.
+BROADCAST, BLOCK = 32 << 20, 16 << 20
 #: Stands for no group.
 NONE = -(2**63)
+FIELDS = ("id", "group", "first", "matrix", "n", "wide")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
     norms = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
@@ -39,29 +44,56 @@ def _signs(m: np.ndarray) -> np.ndarray:
     return np.where(m > 0, 1.0, -1.0)
 
 
-FIELDS = ("id", "group", "first", "matrix", "n")
+def _records(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """id, group, first and matrix: where each record's vectors begin in the matrix of all of them."""
+    counts = np.array([len(x) for x in batch.column(2)])
+    return batch.column(0).to_numpy(), batch.column(1).fill_null(NONE).to_numpy(), np.cumsum(counts) - counts, _matrix(batch.column(2).flatten())
 
 
-def packed(rows: DataFrame, size: int, prefix: str, prepare: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Blocks of at most ``size`` records: id, group, first and matrix as bytes, and n, after ``prefix``.
+def _source(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size("embeddings") > 0).select(F.col("id").cast("long"), F.col("group").cast("long"), "embeddings")
 
-    ``rows`` has id, group (a bigint, may be null) and embeddings, the record's vectors.
-    ``first`` is where each record's vectors begin in the matrix, of n rows. Records without
-    vectors go.
+
+def packed(rows: DataFrame, size: int, most: int = BLOCK) -> DataFrame:
+    """Blocks of at most ``size`` records, or some ``most`` bytes: FIELDS, as ``_records`` gives them, in bytes.
+
+    ``rows`` has id, group (a bigint, may be null) and embeddings, the record's vectors, of n
+    rows in the matrix and of floats or, if ``wide``, doubles. Records without vectors go.
     """
-    names = [prefix + c for c in FIELDS]
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        *fields, matrix = _records(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([*(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (*fields, matrix)), pa.array([len(matrix)], pa.int64()), pa.array([matrix.dtype == np.float64])], names=list(FIELDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, bytes_ = [], 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                counts = np.array([len(x) for x in part.column(2)])
-                matrix = prepare(_matrix(part.column(2).flatten()))
-                fields = (part.column(0).to_numpy(), part.column(1).fill_null(NONE).to_numpy(), np.cumsum(counts) - counts, matrix)
-                yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in fields), pa.array([len(matrix)], pa.int64())], names=names)
+            while b.num_rows:
+                part = b.slice(0, size - n)
+                held.append(part)
+                n, bytes_, b = n + part.num_rows, bytes_ + part.nbytes, b.slice(part.num_rows)
+                if n >= size or bytes_ >= most:
+                    yield block(held)
+                    held, n, bytes_ = [], 0, 0
+        if held:
+            yield block(held)
+
+    return _source(rows).mapInArrow(run, "id binary, group binary, first binary, matrix binary, n long, wide boolean")
 
-    source = rows.filter(F.size("embeddings") > 0).select(F.col("id").cast("long"), F.col("group").cast("long"), "embeddings")
-    return source.mapInArrow(run, ", ".join(f"{n} binary" for n in names[:-1]) + f", {names[-1]} long")
+
+def _unpacked(row: dict, prepare: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+    matrix = np.frombuffer(row["matrix"], np.float64 if row["wide"] else np.float32).reshape(row["n"], -1)
+    return (*(np.frombuffer(row[c], np.int64) for c in ("id", "group", "first")), prepare(matrix))
+
+
+def _cut(ids: np.ndarray, group: np.ndarray, first: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """A block of rows in parts of about ROWS vectors, none of a record in two parts."""
+    begin = 0
+    while begin < len(ids):
+        end = max(begin + 1, int(np.searchsorted(first, first[begin] + ROWS, side="right")) - 1) if first[-1] >= first[begin] + ROWS else len(ids)
+        last = first[end] if end < len(ids) else len(matrix)
+        yield ids[begin:end], group[begin:end], first[begin:end] - first[begin], matrix[first[begin] : last]
+        begin = end
 
 
 def meet(rows: DataFrame, queries: DataFrame, found: Callable[..., list[np.ndarray]], schema: str, prepare: Callable[[np.ndarray], np.ndarray] = _unit, block: int = QUERIES) -> DataFrame:
@@ -69,22 +101,44 @@ def meet(rows: DataFrame, queries: DataFrame, found: Callable[..., list[np.ndarr
 
     ``found`` takes id, group, first and matrix of the queries, then those of the rows.
     """
-    asked = saved(packed(queries, block, "q_", prepare).withColumn("block", F.monotonically_increasing_id()), "vector-queries")
-    every = asked.agg(F.collect_list("block")).scalar()  # a number a block
-    pairs = packed(rows, ROWS, "r_", prepare).withColumn("block", F.explode(every)).join(asked, "block")
+    spark = ship(rows.sparkSession)
     columns = [c.split()[0] for c in schema.split(", ")]
+    asked = saved(packed(queries, block), "vector-queries").select(*FIELDS)
+    size = asked.agg(F.coalesce(F.sum(F.length("matrix") + 3 * F.length("id")), F.lit(0))).first()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in parts], names=columns)
+
+    if size <= BROADCAST:
+        sent = spark.sparkContext.broadcast([r.asDict() for r in asked.collect()])  # BROADCAST bytes at most
+
+        def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = [_unpacked(q, prepare) for q in sent.value]
+            for b in batches:
+                if b.num_rows:
+                    *fields, matrix = _records(b)
+                    for part in _cut(*fields, prepare(matrix)):
+                        yield from (out(found(*q, *part)) for q in ready)
+
+        return _source(rows).mapInArrow(stay, schema)
+
+    blocks = saved(packed(rows, BLOCK // 64).withColumn("block", F.monotonically_increasing_id()), "vector-rows").withColumn("asks", F.lit(False))
+    every = blocks.agg(F.collect_list("block")).scalar()  # a number a block
+    both = blocks.unionByName(asked.withColumns({"block": F.explode(every), "asks": F.lit(True)}))
+    ordered = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "asks")
+
+    def come(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
         for b in batches:
             for i in range(b.num_rows):
-                parts = []
-                for side in (0, len(FIELDS)):
-                    ids, group, first, matrix = (b.column(side + k)[i].as_buffer() for k in range(4))
-                    parts += [np.frombuffer(x, np.int64) for x in (ids, group, first)]
-                    parts.append(np.frombuffer(matrix, np.float64).reshape(b.column(side + 4)[i].as_py(), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(*parts)], names=columns)
+                row = b.slice(i, 1).to_pylist()[0]
+                if not row["asks"]:
+                    parts = list(_cut(*_unpacked(row, prepare)))
+                else:
+                    q = _unpacked(row, prepare)
+                    yield from (out(found(*q, *part)) for part in parts)
 
-    return pairs.select(*(p + c for p in ("q_", "r_") for c in FIELDS)).mapInArrow(run, schema)
+    return ordered.select(*FIELDS, "asks").mapInArrow(come, schema)
 
 
 def _single(rows: DataFrame, group: str | None) -> DataFrame:
@@ -111,17 +165,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, skip
     """
 
     def found(qs: np.ndarray, mine: np.ndarray, _: np.ndarray, m: np.ndarray, ids: np.ndarray, theirs: np.ndarray, __: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        sims = m @ own.T
-        sims = (sims / m.shape[1] if signs else np.round(sims, digits)) + 0.0
-        if skip_self:
-            sims[qs[:, None] == ids[None, :]] = -np.inf
-        if same:
-            sims[mine[:, None] != theirs[None, :]] = -np.inf
-        out = []
-        for value in np.unique(theirs) if each else [NONE]:
-            rows = np.flatnonzero(theirs == value) if each else np.arange(len(ids))
-            i, j = _best(ids[rows], sims[:, rows], k)
-            out.append((qs[i], ids[rows[j]], sims[i, rows[j]], np.full(len(i), value)))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        for value in np.intersect1d(mine, theirs) if same else np.unique(theirs) if each else [NONE]:
+            asks = np.flatnonzero(mine == value) if same else slice(None)
+            rows = np.flatnonzero(theirs == value) if same or each else slice(None)
+            sims = m[asks] @ own[rows].T
+            sims = (sims / m.shape[1] if signs else np.round(sims, digits)) + 0.0
+            if skip_self:
+                sims[qs[asks][:, None] == ids[rows][None, :]] = -np.inf
+            i, j = _best(ids[rows], sims, k)
+            out.append((qs[asks][i], ids[rows][j], sims[i, j], np.full(len(i), value)))
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     group = same or each
@@ -150,6 +203,8 @@ def near_links(vectors: DataFrame, least: float, digits: int = 6, block: int = Q
     """
 
     def found(qs, _, __, m, ids, *rest) -> list[np.ndarray]:
+        if qs.min() >= ids.max():  # each pair is linked from its smaller id
+            return [np.empty(0, np.int64)] * 2
         near = np.round(m @ rest[-1].T, digits) >= least
         own = {int(x): int(x) for x in (*qs, *ids)}
 
@@ -203,6 +258,7 @@ def maxsim(tokens: DataFrame, queries: DataFrame, distinct_tokens: bool = False,
 
 def maxsim_of(pairs: DataFrame, tokens: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
     """query_id, group_id, score of the given pairs (query_id, group_id) alone; as ``maxsim``."""
+    ship(pairs.sparkSession)
     rows = pairs.join(tokens.select("group_id", F.col("embeddings").alias("own")), "group_id").join(queries.select(F.col("id").alias("query_id"), F.col("embeddings").alias("asked")), "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
