@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python
+from recollect.llm.common import for_python, small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Control strings of the template. All begin with "<|", which a text never shows unescaped.
@@ -110,7 +110,7 @@ def format_conversations(rows: DataFrame, path: str = TOKENIZER, role: str = "as
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
-        for b in batches:
+        for b in small(batches):
             out: dict[str, list] = {k: [] for k in schema.names}
             for conv, roles, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 formatted, spans = render(list(zip(roles, texts, strict=True)))
@@ -129,7 +129,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for b in batches:
+        for b in small(batches):
             out = []
             for conv, text, *loss in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 turns = parse(text)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recollect.sources.shared import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,24 +89,13 @@ def least_by_hash(rows: DataFrame, kind: str, n: int, hash_of: list[str], order:
     return near.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n", "_count", "_h")
 
 
-_shipped: set[str] = set()
-
+def for_python(spark: SparkSession) -> None:
+    """Readies a session for Python tasks: the executors get this package, all of it, once an application."""
+    ship(spark)
 
-def for_python(spark: SparkSession, rows: int = 500) -> None:
-    """Readies a session for Python tasks of this package.
 
-    Bounds the rows of an Arrow batch, so that long texts fit a Python worker, and sends the
-    package to the executors, once an application, so that they need no install of it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="recollect-")) / "recollect.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for source in (package / "__init__.py", *sorted((package / "llm").glob("*.py"))):
-                z.write(source, source.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
-        _shipped.add(app)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what a task makes of long texts fits its memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python
+from recollect.llm.common import for_python, small
 
 #: Edits allowed, as a share of an item's characters.
 RATE = 0.08
@@ -153,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate)
-            for b in batches:
+            for b in small(batches):
                 rows = [(d, i, x) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for i, x in matcher.matches(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "distance"])
 
@@ -175,7 +175,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shipped.value, rate)
-            for b in batches:
+            for b in small(batches):
                 yield b.filter(pa.array([not matcher.matches(t.as_py(), first=True) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import saved, for_python
+from recollect.llm.common import for_python, saved, small
 
 #: A token must be on this share of a host's pages, and on this many, to be a class's.
 SUPPORT, PAGES, TOKENS = 0.5, 3, 3
@@ -251,7 +251,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
     schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("n_pages", pa.int64()), ("total", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64()), ("pos", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sums: dict[tuple[str, int], list] = {}
             for page_id, url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 tokens, of = Page(source.as_py()).tokens, host(url)
@@ -307,17 +307,17 @@ def main_text(pages: DataFrame) -> DataFrame:
         shipped = spark.sparkContext.broadcast({r.host: r.classes for r in found.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in small(batches):
                 yield batch(b, [extract(h.as_py(), shipped.value.get(host(u), [])) for u, h in zip(b.column(1).to_pylist(), b.column(2), strict=True)])
 
         return rows.mapInArrow(run, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield batch(b, [extract(h.as_py(), c.as_py() or []) for h, c in zip(b.column(2), b.column(3), strict=True)])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([host(u) for u in b.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
 
     hosted = rows.mapInArrow(placed, "page_id long, url string, html string, host string")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recollect.llm.common import for_python, fresh, least_by_hash, saved
+from recollect.llm.common import for_python, fresh, least_by_hash, saved, small
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, round
     known = vocabulary(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             seen: Counter = Counter()
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.update((lang, p) for w in words(text) for p in parts(w))
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = 2000, round
 
         def uses(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
             tables: dict = {}
-            for b in batches:
+            for b in small(batches):
                 total: Counter = Counter()
                 words_of: dict[str, dict[str, int]] = {}
                 for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -268,7 +268,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         scores = Scores(m)
-        for b in batches:
+        for b in small(batches):
             texts = [words(t.as_py()) for t in b.column(b.num_columns - 1)]
             logs = scores.of(texts) if m["langs"] else texts
             got = [verdict(x, len(t), m["langs"]) for x, t in zip(logs, texts, strict=True)]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python, fresh, saved
+from recollect.llm.common import for_python, fresh, saved, small
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -165,7 +165,7 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
             return forest(fp[low], fp[~low], segment)
 
         carried = np.empty((0, 6), np.int64)
-        for b in batches:
+        for b in small(batches):
             rows = np.concatenate([carried, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)])
             new = np.flatnonzero((rows[1:, 1:5] != rows[:-1, 1:5]).any(1)) + 1
             found = []
@@ -278,7 +278,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     for_python(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             sets = [shingles(t.as_py(), words) for t in b.column(2)]
             nodes = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets]
             lists = ([wide(s) for s in sets], [bands(s) if len(s) else [] for s in sets])
@@ -296,7 +296,7 @@ def sets_of(asked: DataFrame, known: DataFrame, docs: DataFrame, words: int) ->
     texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text")).join(wanted, "t").select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
 
     return saved(texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, s array<long>"), "similar-sets")

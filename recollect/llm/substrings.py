@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python, saved
+from recollect.llm.common import for_python, saved, small
 
 #: Bytes of a repeated string; of an anchor; places of an anchor in a string.
 LENGTH, ANCHOR = 200, 32
@@ -155,7 +155,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         r = runs(_texts(b.column(2)))
         row = r["row"].astype(np.int64)
         columns = [b.column(0).to_numpy()[row], pack(b.column(1).to_numpy()[row], r["start"], r["size"], r["shift"]), r["anchor"].view(np.int64), r["name"].view(np.int64)]
@@ -165,7 +165,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    for b in batches:
+    for b in small(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze.compress(t) for t in _texts(b.column(2))], pa.binary())], names=["k", "tag", "z"])
 
@@ -185,7 +185,7 @@ STRING = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("k", pa.int64
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each run to refine."""
-    for b in batches:
+    for b in small(batches):
         out: list[tuple] = []
         for k, text, r in _runs_to_refine(b):
             start, size = begin_of(r["pos"]), r["pos"] >> 8 & 0xFF
@@ -198,7 +198,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each string of each run of a large group, with the identifier of its bucket of LENGTH bytes."""
-    for b in batches:
+    for b in small(batches):
         for k, text, r in _runs_to_refine(b):
             start, size = begin_of(r["pos"]), r["pos"] >> 8 & 0xFF
             names = buckets(np.frombuffer(text, np.uint8, size + LENGTH - 1, start))[1].view(np.int64)
@@ -229,7 +229,7 @@ def _repeated(rows: pa.Table) -> pa.RecordBatch:
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Goes through rows sorted by anchor, refining the groups that are complete."""
     held: pa.Table | None = None
-    for b in batches:
+    for b in small(batches):
         rows = pa.Table.from_batches([b])
         rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
         anchor = rows.column("anchor").to_numpy()
@@ -245,7 +245,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes what the spans cover."""
     import zstandard
 
-    for b in batches:
+    for b in small(batches):
         out = []
         for z, found in zip(b.column(2), b.column(3).to_pylist(), strict=True):
             text = zstandard.ZstdDecompressor().decompress(z.as_py())

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python
+from recollect.llm.common import for_python, small
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shipped.value)
         of = trie.__getitem__
-        for b in batches:
+        for b in small(batches):
             found = [(t.as_py() or "").split() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, found), pa.int64()), pa.array((sum(map(of, x)) for x in found), pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
