@@ -6,7 +6,8 @@ import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.predicates import condition, with_total
@@ -22,7 +23,8 @@ def slice_rows(data: DataFrame, columns: list[str] | None = None, filters: list[
     """
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be 1 to 10000")
-    for name in [*(columns or []), *([order_by] if order_by else [])]:
+    for name in [*(columns or []), *(f[0] for f in filters), *([order_by] if order_by else [])]:
+        identifier(name)
         if name not in data.columns:
             raise ValueError(f"no column {name!r}")
     rows = data.filter(reduce(lambda a, b: a & b, [condition(data, *f) for f in filters], F.lit(True)))
@@ -36,37 +38,85 @@ def total_matching(data: DataFrame, filters: list[tuple[str, str, object]]) -> D
     return data.filter(reduce(lambda a, b: a & b, [condition(data, *f) for f in filters], F.lit(True))).agg(F.count(F.lit(1)).alias("total_matching"))
 
 
-#: Nodes of a parsed statement that only read, and functions that call anything.
-READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Limit Offset UnresolvedRelation UnresolvedWith CTE SubqueryAlias UnresolvedSubqueryColumnAliases Union Distinct Join UnresolvedHaving WithWindowDefinition Except Intersect OneRowRelation Pivot UnresolvedPivot Unpivot UnresolvedOrderBy UnresolvedInlineTable".split())
-CALLING = re.compile(r"(?i)(?<!\w)(?:reflect|java_method|try_reflect)\(")
+#: Nodes of a resolved statement that only read, those that bring rows of their own, and functions that call anything.
+READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset SubqueryAlias Union Distinct Deduplicate Join LateralJoin Window Except Intersect Expand Generate Sample Pivot Unpivot WithCTE CTERelationDef UnionLoop".split())
+OWN_ROWS = frozenset("OneRowRelation LocalRelation ResolvedInlineTable CTERelationRef UnionLoopRef".split())
+CALLING = frozenset("CallMethodViaReflection TryReflect ApplyFunctionExpression Invoke StaticInvoke".split())
+#: Words that no statement for a dataset may hold, by the rule for stored requests.
+CHANGING = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE")
+NAME = r"^[\w\s\-.]+$"
 
 
-def guarded(data: DataFrame, statement: str) -> None:
-    """Raises unless a statement is a query of ``data`` alone; it is parsed, nothing runs.
+def _all(seq) -> list:  # noqa: ANN001 - a Scala sequence
+    return [seq.apply(i) for i in range(seq.size())]
 
-    The parsed tree may hold only nodes that read, only the relation ``data`` and the
-    statement's own common table expressions, and no call of a Java method.
+
+def _calls(expression) -> None:  # noqa: ANN001 - a Catalyst expression
+    if expression.getClass().getSimpleName() in CALLING:
+        raise ValueError("no calls of methods")
+    for below in _all(expression.children()):
+        _calls(below)
+
+
+def _reads_only(plan, view: str) -> None:  # noqa: ANN001 - a Catalyst plan
+    """Raises unless a resolved plan reads nothing but ``view``, whose name nobody can know."""
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind == "SubqueryAlias" and plan.identifier().name() == view:
+        return
+    below = _all(plan.children())
+    if kind not in (READING if below else OWN_ROWS):
+        raise ValueError(f"not allowed in a slice: {kind}" if below else "only data may be read")
+    for expression in _all(plan.expressions()):
+        _calls(expression)
+    for child in below:
+        _reads_only(child, view)
+
+
+def _composed(statement: str, view: str) -> str:
+    rest = re.sub(r"(?is)^\s*with\b(?!\s+recursive\b)", ",", statement, count=1)
+    return f"WITH data AS (SELECT * FROM {view}){rest if rest != statement else ' ' + statement}"
+
+
+def guarded(data: DataFrame, statement: str, view: str) -> None:
+    """Raises unless a statement over ``view`` is a query of it alone; it is resolved, nothing runs.
+
+    The resolved plan, with all its subqueries, may hold only nodes that read, and every relation
+    in it must be ``view`` or rows that the statement writes out itself. So what a name stands
+    for is Spark's own answer: a common table expression that hides another table, or a text or
+    alias that looks like a name, changes nothing.
     """
-    if not re.match(r"\s*(select|with)\b", statement, re.I) or ";" in statement:
+    if not re.match(r"\s*(select|with)\b", statement, re.I):
         raise ValueError("only one SELECT is allowed")
-    parsed = data.sparkSession._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    tree = parsed.treeString(True, False, 2**31 - 1, False, False)
-    nodes = set(re.findall(r"(?m)^[\s:+\-]*'?([A-Za-z]+)", tree))
-    if not nodes <= READING:
-        raise ValueError(f"not allowed in a slice: {', '.join(sorted(nodes - READING))}")
-    own = {"data"} | {n.strip() for names in re.findall(r"CTE \[([^\]]*)\]", tree) for n in names.split(",")}
-    read = set(re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree))
-    if not {n.lower() for n in read} <= {n.lower() for n in own}:
-        raise ValueError("only data may be read")
-    if CALLING.search(tree):
-        raise ValueError("no calls of Java methods")
+    session = data.sparkSession
+    state = session._jsparkSession.sessionState()
+    try:
+        parsed = state.sqlParser().parsePlan(_composed(statement, view))
+        resolved = state.executePlan(parsed, session._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).analyzed()
+    except (AnalysisException, ParseException) as wrong:
+        raise ValueError(f"not a query of data: {wrong}") from wrong
+    for plan in (resolved, *_all(resolved.subqueriesAll())):
+        _reads_only(plan, view)
 
 
 def identifier(name: str) -> str:
-    """A column or table name for use in SQL: letters, digits and underscores; anything else is an error."""
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+    """A column's name for use in SQL, quoted; an error if it isn't letters, digits, underscores, blanks, hyphens and points."""
+    if not re.match(NAME, name):
         raise ValueError(f"not a name: {name!r}")
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
+
+
+def identifiers(name: Column) -> tuple[Column, Column]:
+    """``identifier`` of a column of names: whether each is one, and it in double quotes, else null."""
+    good = F.coalesce(name.rlike(NAME), F.lit(False))
+    return good, F.when(good, F.concat(F.lit('"'), F.regexp_replace(name, '"', '""'), F.lit('"')))
+
+
+def statements(sql: Column) -> tuple[Column, Column]:
+    """For a column of statements: the word for which each is refused (``SELECT``: it isn't one), else null, and it without blanks and closing semicolons."""
+    stripped = F.regexp_replace(F.trim(sql), ";+$", "")
+    upper = F.upper(stripped)
+    refused = F.coalesce(*(F.when(upper.rlike(rf"\b{word}\b"), word) for word in CHANGING), F.when(~upper.startswith("SELECT"), "SELECT"))
+    return refused, F.when(refused.isNull(), stripped)
 
 
 def slice_sql(data: DataFrame, statement: str) -> DataFrame:
@@ -75,12 +125,12 @@ def slice_sql(data: DataFrame, statement: str) -> DataFrame:
     The statement sees ``data`` as a common table expression over a view of a name of its own,
     so callers in one session don't meet.
     """
-    guarded(data, statement)
+    statement = re.sub(r"[;\s]+$", "", statement)
     view = f"slice_{uuid.uuid4().hex}"
     data.createOrReplaceTempView(view)
     try:
-        rest = re.sub(r"(?is)^\s*with\b(?!\s+recursive\b)", ",", statement, count=1)
-        return data.sparkSession.sql(f"WITH data AS (SELECT * FROM {view}){rest if rest != statement else ' ' + statement}")
+        guarded(data, statement, view)
+        return data.sparkSession.sql(_composed(statement, view))
     finally:
         data.sparkSession.catalog.dropTempView(view)
 
@@ -178,3 +228,44 @@ def types(data: DataFrame) -> DataFrame:
     kinds = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "float", "double": "float", "boolean": "boolean", "date": "datetime", "timestamp": "datetime", "timestamp_ntz": "datetime", "string": "string"}
     rows = [(c, "float" if t.startswith("decimal") else kinds.get(t, "unknown")) for c, t in data.dtypes]
     return data.sparkSession.createDataFrame(rows, "column string, type string")
+
+
+def summaries(data: DataFrame, name: str) -> DataFrame:
+    """column, summary: a sentence or more on each numeric, temporal or string column, over all rows.
+
+    Nulls and their share, different values, then for numbers range, mean, median, deviation and
+    quartiles, for times their span, for strings of few kinds the five most frequent, for other
+    strings their lengths. Booleans and columns of unknown type have none.
+    """
+    kind = {r["column"]: r["type"] for r in types(data).collect()}  # a row a column
+    of = lambda *kinds: [c for c in data.columns if kind[c] in kinds]
+    spark, numbers, times, strings = data.sparkSession, of("integer", "float"), of("datetime"), of("string")
+    if not numbers + times + strings:
+        return spark.createDataFrame([], "column string, summary string")
+    heads = spark.createDataFrame([(c, f"In dataset '{name}', column '{c}' ({kind[c]} type):") for c in numbers + times + strings], "column string, head string")
+    rows = heads.join(null_profile(data.select(*numbers, *times, *strings)), "column")
+    parts = [F.col("head"), F.when(F.col("nulls") > 0, F.format_string("Contains %d null values (%.1f%% of rows).", "nulls", "percent"))]
+    parts.append(F.format_string("Has %d unique values.", "n_unique"))
+    if numbers:
+        at = quantiles(data, numbers, [0.25, 0.5, 0.75]).groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
+        rows = rows.join(numeric_profile(data, numbers).join(at, "column"), "column", "left")
+        text = "Range: %.2f to %.2f. Mean: %.2f, Median: %.2f, Std: %.2f. 25th percentile: %.2f, 75th percentile: %.2f."
+        parts.append(F.when(F.col("min").isNotNull(), F.format_string(text, "min", "max", "mean", F.col("`0.5`"), "std", F.col("`0.25`"), F.col("`0.75`"))))
+    if times:
+        stamp = lambda f, c: F.date_format(f(c), "yyyy-MM-dd HH:mm:ss")
+        spans = data.agg(F.array(*(F.struct(F.lit(c).alias("column"), stamp(F.min, c).alias("first"), stamp(F.max, c).alias("last")) for c in times)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+        rows = rows.join(spans, "column", "left")
+        parts.append(F.when(F.col("first").isNotNull(), F.format_string("Temporal column spanning %s to %s.", "first", "last")))
+    if strings:
+        shown = F.format_string("'%s' (%d, %.1f%%)", "value", "n", "percent")
+        few = top_values(data, strings, 5).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value", shown.alias("t")))), lambda x: x["t"]).alias("top"))  # five a column
+        rows = rows.join(few, "column", "left").join(string_lengths(data, strings), "column", "left")
+        lengths = F.format_string("String lengths: min=%d, max=%d, avg=%.1f.", "shortest", "longest", "mean_length")
+        parts.append(F.when(F.col("top").isNotNull(), F.concat(F.lit("Top values: "), F.array_join("top", ", "), F.lit("."))).when(F.col("shortest").isNotNull(), lengths))
+    return rows.select("column", F.concat_ws(" ", *parts).alias("summary"))
+
+
+def csv_line(columns: list[str]) -> Column:
+    """A row as a line of CSV: nulls are empty, values with commas, quotes or line ends stand in quotes."""
+    quoted = [F.when(F.col(c).cast("string").rlike('[",\r\n]'), F.concat(F.lit('"'), F.regexp_replace(F.col(c).cast("string"), '"', '""'), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    return F.concat_ws(",", *quoted)

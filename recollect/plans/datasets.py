@@ -117,9 +117,28 @@ def d15_dates_in_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.dates_in_strings(rows, ["day", "o_orderpriority"])
 
 
-@query(_each(NUMBERS[:3], "SELECT '{c}' AS \"column\", 'column {c}: ' || count({c}) || ' values from ' || min({c})::BIGINT || ' to ' || ceil(max({c}))::BIGINT AS summary FROM lineitem WHERE {c} >= 1"))
+SUMMED = ["l_orderkey", *NUMBERS]
+SUMMARIES = _each(
+    SUMMED,
+    """SELECT '{c}' AS "column", format('In dataset ''lineitem'', column ''{c}'' ({{}} type): Has {{}} unique values. Range: {{:.2f}} to {{:.2f}}. Mean: {{:.2f}}, Median: {{:.2f}}, Std: {{:.2f}}. 25th percentile: {{:.2f}}, 75th percentile: {{:.2f}}.',
+  CASE WHEN any_value(typeof({c})) IN ('DOUBLE', 'FLOAT') THEN 'float' ELSE 'integer' END, count(DISTINCT {c}), min({c})::DOUBLE, max({c})::DOUBLE, round(avg({c}), 6), list_sort(list({c}::DOUBLE))[floor((count({c}) - 1) * 0.5 + 0.5)::BIGINT + 1], round(stddev_samp({c}), 6),
+  list_sort(list({c}::DOUBLE))[floor((count({c}) - 1) * 0.25 + 0.5)::BIGINT + 1], list_sort(list({c}::DOUBLE))[floor((count({c}) - 1) * 0.75 + 0.5)::BIGINT + 1]) AS summary FROM lineitem""",
+) + """ UNION ALL SELECT 'l_shipdate', 'In dataset ''lineitem'', column ''l_shipdate'' (datetime type): Has ' || count(DISTINCT l_shipdate) || ' unique values. Temporal column spanning ' || strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') || '.' FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 'In dataset ''lineitem'', column ''l_returnflag'' (string type): Has ' || count(*) || ' unique values. Top values: ' || string_agg(t, ', ' ORDER BY n DESC, l_returnflag) || '.' FROM (SELECT l_returnflag, count(*) AS n, format('''{}'' ({}, {:.1f}%)', l_returnflag, count(*), round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM lineitem), 2)) AS t FROM lineitem GROUP BY l_returnflag)"""
+
+
+@query(SUMMARIES)
 def d17_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = op._long(table(spark, sf_dir, "lineitem"), NUMBERS[:3], "double").filter("value >= 1")
-    facts = long.groupBy("column").agg(F.count("value").alias("n"), F.round(F.min("value")).cast("long").alias("low"), F.ceil(F.max("value")).alias("high"))
-    names = spark.createDataFrame([(c,) for c in NUMBERS[:3]], "column string").join(facts, "column", "left")
-    return names.select("column", F.when(F.col("n").isNotNull(), F.format_string("column %s: %d values from %d to %d", "column", "n", "low", "high")).alias("summary"))
+    """What a profile says of each column, all rows counted."""
+    return op.summaries(table(spark, sf_dir, "lineitem").select(*SUMMED, "l_shipdate", "l_returnflag"), "lineitem")
+
+
+ASKED = "CASE user_id % 4 WHEN 0 THEN 'select ' WHEN 1 THEN ' SELECT ' WHEN 2 THEN 'EXPLAIN SELECT ' ELSE 'with x as ' END || event_type || ' from data where k = ' || props || CASE event_type WHEN 'error' THEN '; drop table data' WHEN 'click' THEN ' -- update' ELSE ';' END"
+REFUSED = " ".join(f"WHEN regexp_matches(upper(t), '\\b{w}\\b') THEN '{w}'" for w in op.CHANGING)
+
+
+@query("WITH s AS (SELECT event_id, " + ASKED + " AS s FROM events), t AS (SELECT event_id, regexp_replace(trim(s), ';+$', '') AS t FROM s), r AS (SELECT *, CASE " + REFUSED + " WHEN NOT starts_with(upper(t), 'SELECT') THEN 'SELECT' END AS refused FROM t) SELECT event_id, refused, CASE WHEN refused IS NULL THEN t END AS statement FROM r")
+def d4_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many requests a dataset would be asked with, and why the others are refused."""
+    refused, statement = op.statements(F.expr(ASKED))
+    return table(spark, sf_dir, "events").select("event_id", refused.alias("refused"), statement.alias("statement"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.operators import sessions as op
-from recollect.operators import versions
+from recollect.operators import datasets, versions
 from recollect.operators.graph import descendants
 from recollect.plans.registry import query
 from recollect.sources import formats
@@ -259,8 +259,8 @@ def s7_connector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, regexp_full_match(p_name, '[\\w\\s\\-.]+') AS is_identifier, CASE WHEN regexp_full_match(p_name, '[\\w\\s\\-.]+') THEN '\"' || p_name || '\"' END AS quoted FROM part")
 def d5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that may stand in a statement, quoted."""
-    good = F.col("p_name").rlike(r"^[\w\s\-.]+$")
-    return table(spark, sf_dir, "part").select("p_partkey", good.alias("is_identifier"), F.when(good, F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("quoted"))
+    good, quoted = datasets.identifiers(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", good.alias("is_identifier"), quoted.alias("quoted"))
 
 
 def _mutations(events: str) -> str:

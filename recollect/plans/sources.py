@@ -106,13 +106,18 @@ def d18_profile_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("prompt"))  # a line a column
 
 
-@query("SELECT 'o_orderkey,o_custkey,o_orderstatus' || chr(10) || string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS sample FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10)")
+SAMPLED = ["doc_id", "lang", "source", "n_chars", "head"]
+QUOTED = ", ".join(f"CASE WHEN regexp_matches({c}::VARCHAR, '[\",\\r\\n]') THEN '\"' || replace({c}::VARCHAR, '\"', '\"\"') || '\"' ELSE coalesce({c}::VARCHAR, '') END" for c in SAMPLED)
+
+
+@query("WITH d AS (SELECT doc_id, nullif(lang, 'en') AS lang, source, n_chars, text || CASE WHEN doc_id % 3 = 0 THEN ', \"quoted\"' ELSE '' END AS head FROM documents ORDER BY doc_id LIMIT 10) SELECT '" + ",".join(SAMPLED) + "' || chr(10) || string_agg(concat_ws(',', " + QUOTED + "), chr(10) ORDER BY doc_id) AS sample FROM d")
 def d19_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows as CSV text."""
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
-    first = listing.page(table(spark, sf_dir, "orders").select(*columns), [F.asc("o_orderkey")], 10)
-    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", F.concat_ws(",", *columns).alias("line"))))["line"]
-    return first.agg(F.concat(F.lit(",".join(columns) + "\n"), F.array_join(rows, "\n")).alias("sample"))
+    """The first rows as CSV text, whole texts, nulls and quotes among them."""
+    head = F.concat("text", F.when(F.col("doc_id") % 3 == 0, ', "quoted"').otherwise(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"), "source", "n_chars", head.alias("head"))
+    first = listing.page(rows, [F.asc("doc_id")], 10)
+    lines = F.sort_array(F.collect_list(F.struct("doc_id", datasets.csv_line(SAMPLED).alias("line"))))["line"]
+    return first.agg(F.concat(F.lit(",".join(SAMPLED) + "\n"), F.array_join(lines, "\n")).alias("sample"))
 
 
 @query("""WITH e AS (SELECT label FROM embeddings GROUP BY label HAVING min(vec_id) < 5), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS similarity FROM embeddings q, embeddings v

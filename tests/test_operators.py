@@ -168,6 +168,9 @@ def test_formats(spark, tmp_path):
 @pytest.mark.parametrize("statement", [
     "WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '/tmp/slice-out' USING parquet SELECT * FROM x", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method('java.lang.System', 'getProperty', 'user.dir') FROM data",
     "SELECT * FROM hidden", "SELECT a FROM data WHERE a IN (SELECT a FROM hidden)", "WITH x AS (SELECT * FROM hidden) SELECT * FROM x", "SELECT * FROM data; SELECT 1", "DROP VIEW data", "SELECT * FROM range(10)", "SELECT * FROM parquet.`/tmp/x`",
+    "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden", "SELECT max(a) FROM hidden WHERE 'CTE [hidden]' <> ''", "SELECT 'x' AS `CTE [hidden]`, a FROM hidden", "SELECT a FROM data WHERE EXISTS (SELECT 1 FROM hidden h WHERE h.a = data.a)",
+    "SELECT (SELECT max(a) FROM hidden) AS m FROM data", "WITH data AS (SELECT * FROM hidden) SELECT * FROM data", "SELECT * FROM data) SELECT * FROM hidden --", "EXPLAIN SELECT * FROM data", "SELECT TRANSFORM(a) USING 'cat' FROM data", "SELECT * FROM global_temp.hidden", "TABLE hidden",
+    "SELECT * FROM data UNION ALL SELECT * FROM hidden", "SELECT * FROM data, LATERAL (SELECT * FROM hidden) x", "SELECT array(1, (SELECT max(a) FROM hidden)) AS m FROM data GROUP BY a HAVING a IN (SELECT a FROM hidden)",
 ])
 def test_slice_refuses_before_anything_runs(spark, statement):
     spark.range(3).toDF("a").createOrReplaceTempView("hidden")
@@ -176,6 +179,24 @@ def test_slice_refuses_before_anything_runs(spark, statement):
     spark.catalog.dropTempView("hidden")
 
 
+@pytest.mark.parametrize(("statement", "n"), [
+    ("SELECT a FROM data WHERE 'a;b' <> 'c' AND 'hidden' = 'hidden'", 5), ("SELECT a FROM data;  ", 5), ("SELECT * FROM data TABLESAMPLE (100 PERCENT)", 5), ("SELECT a, x FROM data LATERAL VIEW explode(array(1, 2)) t AS x", 10), ("WITH x AS (SELECT a FROM data), y AS (SELECT a FROM x WHERE a > 1) SELECT * FROM y JOIN x USING (a)", 3),
+    ("SELECT * FROM data WHERE a IN (SELECT max(a) FROM data)", 1), ("SELECT a, count(*) OVER () AS n FROM data", 5), ("SELECT * FROM VALUES (1), (2) AS v(a) JOIN data USING (a)", 2), ("SELECT a FROM data EXCEPT SELECT 1", 4), ("select upper('insert') as u from data", 5),
+])
+def test_slice_allows_every_query_of_its_data(spark, statement, n):
+    spark.range(3).toDF("a").createOrReplaceTempView("hidden")
+    assert datasets.slice_sql(spark.range(5).toDF("a"), statement).count() == n
+    spark.catalog.dropTempView("hidden")
+
+
+def test_csv_lines_and_summaries(spark):
+    df = spark.createDataFrame([(1, None, "a,b"), (2, 'say "hi"', None), (3, "", "x\ny")], "k int, a string, b string")
+    assert [r.line for r in df.select(datasets.csv_line(["k", "a", "b"]).alias("line")).orderBy("line").collect()] == ['1,,"a,b"', '2,"say ""hi""",', '3,,"x\ny"']
+    found = {r["column"]: r.summary for r in datasets.summaries(df.selectExpr("k", "a", "k > 1 as flag", "cast(null as double) as none", "if(k < 3, k / 10, null) as share"), "t").collect()}
+    assert found["share"].startswith("In dataset 't', column 'share' (float type): Contains 1 null values (33.3% of rows). Has 3 unique values. Range: 0.10 to 0.20. Mean: 0.15")
+    assert "flag" not in found and found["none"].endswith("Has 1 unique values.") and "String lengths: min=0, max=8" in found["a"]
+
+
 def test_slices_of_two_callers_dont_meet(spark):
     one, two = (spark.range(n).toDF("a") for n in (3, 5))
     first = datasets.slice_sql(one, "SELECT count(*) AS n, max(a) AS m FROM data")
@@ -185,8 +206,8 @@ def test_slices_of_two_callers_dont_meet(spark):
 
 
 def test_identifiers():
-    assert datasets.identifier("a_1") == "`a_1`"
-    for bad in ("a b", "a`", "1a", "", "a;b"):
+    assert [datasets.identifier(n) for n in ("a_1", "1a", "a b-c.d")] == ["`a_1`", "`1a`", "`a b-c.d`"]
+    for bad in ("a`", "", "a;b", 'a"', "a'b"):
         with pytest.raises(ValueError):
             datasets.identifier(bad)
 
