@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions.predicates import collapse
 from recollect.operators import documents as op
 from recollect.plans.registry import query
 from recollect.sources.tables import table
@@ -103,19 +104,87 @@ def p13_abandoned_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.garbage(uploads, used, "upload_id", now, "60 days").orderBy("mtime", "upload_id").limit(50).select("upload_id")
 
 
-REGIONS = r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>[^<]*')) AS r, generate_subscripts(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>[^<]*'), 1) AS n FROM pages),
-  x AS (SELECT page_id, n - 1 AS pos, lower(regexp_extract(r, '^<(\w+)', 1)) AS label, trim(regexp_replace(r, '(?s)^<[^>]*>', '')) AS text FROM r)"""
+#: Grounded markup made of a page's HTML: titles, texts, notes (no label), figures, page numbers, headers, and a marker cut off.
+MARKUP = [
+    (r"(?i)<h[1-3]\b[^>]*>", "<|ref|>title<|/ref|> <|det|>[[10, 20, 900, 80]]<|/det|>"), (r"(?i)<p\b[^>]*>", "<|det|>text [10, 100, 900, 300]<|/det|>"), (r"(?i)<li\b[^>]*>", "<|ref|>A note <|/ref|><|det|>[5, 6, 7]<|/det|>"),
+    (r"(?i)<(nav|img)\b[^>]*>", "<|ref|>Figure<|/ref|><|det|>[[1, 2, 3, 4]]<|/det|>"), (r"(?i)<footer\b[^>]*>", "<|det|>page_number [400, 950, 600, 990]<|/det|>"), (r"(?i)<header\b[^>]*>", "<|det|>header<|/det|><|end|>"), (r"(?i)<ul\b[^>]*>", "<|ref|>"), (r"(?i)</?[a-z!][^>]*>", " "),
+]
+_SQL_MARKUP = "html"
+for _pattern, _to in MARKUP:
+    _SQL_MARKUP = f"regexp_replace({_SQL_MARKUP}, '{_pattern}', '{_to}', 'g')"
 
 
-@query(REGIONS + " SELECT page_id, pos, label, text FROM x")
+def _cleaned(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{op.RESIDUE}', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))".replace("\n]", "\\n]")
+
+
+def _named(x: str) -> str:
+    return f"replace(lower({_cleaned(x)}), ' ', '_')"
+
+
+def _box(x: str) -> str:
+    return f"CASE WHEN len(regexp_extract_all({x}, '-?[0-9]+')) >= 4 THEN list_transform(regexp_extract_all({x}, '-?[0-9]+')[1:4], lambda x: x::INT) END"
+
+
+REGIONS = f"""WITH m AS (SELECT page_id, {_SQL_MARKUP} AS raw FROM pages),
+  s AS (SELECT page_id, string_split(regexp_replace(raw, '(?s){op.REFERRED}', chr(1) || 'R\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1)) AS l FROM m),
+  t AS (SELECT page_id, unnest(l) AS seg, generate_subscripts(l, 1) AS i FROM s),
+  u AS (SELECT page_id, i, i > 1 AS referred, CASE WHEN i > 1 THEN substr(split_part(split_part(seg, chr(3), 1), chr(2), 1), 2) END AS name, CASE WHEN i > 1 THEN split_part(split_part(seg, chr(3), 1), chr(2), 2) END AS ref_box,
+    CASE WHEN i > 1 THEN substr(seg, strpos(seg, chr(3)) + 1) ELSE seg END AS rest FROM t),
+  v AS (SELECT *, string_split(regexp_replace(regexp_replace(rest, '{op.DETECTED}', chr(1) || 'D\\1' || chr(2) || '\\2' || chr(3), 'g'), '{op.MARKER}', chr(1) || 'P<|\\1|>', 'g'), chr(1)) AS l FROM u),
+  w AS (SELECT page_id, i, referred, name, ref_box, unnest(l) AS part, generate_subscripts(l, 1) AS j FROM v),
+  k AS (SELECT *, referred AND {_named("name")} IN ({", ".join(f"'{x}'" for x in op.LABELS)}) AS known FROM w),
+  r AS (
+    SELECT page_id, i, 0 AS j, 'text' AS label, {_box("ref_box")} AS box, {_cleaned("name")} AS content FROM k WHERE referred AND NOT known AND j = 1 AND {_cleaned("name")} <> ''
+    UNION ALL SELECT page_id, i, j, replace({_named("name")}, 'figure', 'image'), {_box("ref_box")}, {_cleaned("part")} FROM k WHERE known AND j = 1 AND {_named("name")} <> 'figure_title'
+    UNION ALL SELECT page_id, i, j, {_named("name")}, {_box("ref_box")}, {_cleaned("part")} FROM k WHERE known AND j = 1 AND {_named("name")} = 'figure_title'
+    UNION ALL SELECT page_id, i, j, 'text', NULL, {_cleaned("part")} FROM k WHERE NOT known AND j = 1 AND {_cleaned("part")} <> ''
+    UNION ALL SELECT page_id, i, j, coalesce(nullif({_named("substr(split_part(part, chr(2), 1), 2)")}, ''), 'text'), {_box("split_part(split_part(part, chr(3), 1), chr(2), 2)")}, {_cleaned("substr(part, strpos(part, chr(3)) + 1)")} FROM k WHERE j > 1 AND starts_with(part, 'D')
+    UNION ALL SELECT page_id, i, j, 'text', NULL, {_cleaned("substr(part, 2)")} FROM k WHERE j > 1 AND starts_with(part, 'P') AND {_cleaned("substr(part, 2)")} <> ''
+  ), x AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS pos, label, box, content FROM r)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, found: the regions of each page's markup."""
+    raw = F.col("html")
+    for pattern, to in MARKUP:
+        raw = F.regexp_replace(raw, pattern, to.replace("$", "\\$"))
+    return table(spark, sf_dir, "pages").select("page_id", op.grounded(raw).alias("found"))
+
+
+@query(REGIONS + " SELECT page_id, pos, label, box, content FROM x")
 def p14_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(op.regions(F.col("html"))).alias("pos", "r"))
-    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "r.label", "r.text")
+    """Each page's regions, from grounded markup with labels, boxes, unknown labels and a marker cut off."""
+    rows = _pages(spark, sf_dir).select("page_id", F.posexplode("found").alias("pos", "r"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "r.label", "r.box", "r.content")
+
+
+RENDERED = """, y AS (SELECT *, sum((label = 'image')::INT) OVER (PARTITION BY page_id ORDER BY pos) AS fig FROM x WHERE label NOT IN ('header', 'page_number')),
+  z AS (SELECT page_id, pos, CASE WHEN label = 'image' THEN '[figure ' || fig || ']' || CASE WHEN content <> '' THEN chr(10) || chr(10) || content ELSE '' END WHEN content = '' THEN NULL WHEN label = 'title' THEN '## ' || content ELSE content END AS b FROM y),
+  tr AS (SELECT page_id, string_agg(b, chr(10) || chr(10) ORDER BY pos) AS text FROM z GROUP BY page_id)"""
 
 
-@query(REGIONS + " SELECT page_id, sha256(string_agg(CASE WHEN label LIKE 'h%' THEN '## ' WHEN label = 'li' THEN '- ' ELSE '' END || text, chr(10) ORDER BY pos)) AS transcript_hash FROM x WHERE text <> '' GROUP BY page_id")
+@query(REGIONS + RENDERED + " SELECT page_id, sha256(coalesce(text, '')) AS transcript_hash FROM pages LEFT JOIN tr USING (page_id)")
 def p15_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(op.transcript(op.regions(F.col("html"))), 256).alias("transcript_hash"))
+    """Transcripts: headings marked, figures numbered, headers and page numbers left out."""
+    return _pages(spark, sf_dir).select("page_id", F.sha2(op.rendered(F.col("found")), 256).alias("transcript_hash"))
+
+
+WORDS = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+
+
+@query(REGIONS + f""", c AS (SELECT page_id, pos, box, {WORDS} AS t FROM x WHERE {WORDS} <> ''), o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, lead(t) OVER (PARTITION BY page_id ORDER BY pos) AS following, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM c),
+  q AS (SELECT page_id, n, regexp_extract(t, '\\S+ \\S+$|^\\S+$') || ' ' || regexp_extract(following, '^\\S+') AS quote FROM o WHERE following IS NOT NULL), j AS (SELECT page_id, string_agg(t, ' ' ORDER BY pos) AS page FROM c GROUP BY page_id),
+  f AS (SELECT q.page_id, q.n, quote, strpos(page, quote) - 1 AS at, strpos(page, quote) > 0 AND strpos(substr(page, strpos(page, quote) + 1), quote) = 0 AS once FROM q JOIN j USING (page_id)),
+  h AS (SELECT f.page_id, f.n, bool_or(o.box IS NULL) AS unboxed, list(o.pos::INT ORDER BY o.pos) AS regions FROM f JOIN o ON o.page_id = f.page_id AND o.s < f.at + length(quote) AND o.s + length(o.t) > f.at WHERE once GROUP BY ALL)
+  SELECT f.page_id, f.n::INT AS n, CASE WHEN once AND NOT unboxed THEN h.regions ELSE [] END AS regions FROM f LEFT JOIN h USING (page_id, n)""")
+def p16_page_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that run from the end of each block of a page into the next: the regions they stand in, if nowhere else."""
+    blocks = F.filter(F.transform("found", lambda r: collapse(r["content"])), lambda t: t != "")
+    pages = _pages(spark, sf_dir).withColumn("blocks", blocks)
+    asked = pages.select("page_id", "found", F.array_join("blocks", " ").alias("page"), "blocks", F.explode(F.sequence(F.lit(1), F.greatest(F.size("blocks") - 1, F.lit(1)))).alias("n")).filter("n < size(blocks)")
+    quote = F.concat_ws(" ", F.regexp_extract(F.col("blocks")[F.col("n") - 1], r"\S+ \S+$|^\S+$", 0), F.regexp_extract(F.col("blocks")[F.col("n")], r"^\S+", 0))
+    return op.quoted_regions(asked, quote, F.col("page"), F.col("found")).select("page_id", "n", "regions")
 
 
 @query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark),
