@@ -5,11 +5,12 @@ Only DataFrame functions: no Python runs on the executors.
 A text is cut into paragraphs, and those into pieces: at a line end, at a sentence's end or a cell
 bar and a space, and, where none comes for 16 characters, after the next word that ends in one of
 a few letters, so that the cuts follow the content; where no such word comes for 160 characters,
-there. Each piece keeps its separator, so the pieces joined are the text. A piece is
-hashed to a wide vector, and a text's fingerprint is the sum of its pieces' vectors, each lane
-modulo a power of two. So it doesn't depend on the pieces' order, equal multisets have equal
-fingerprints, and a piece is put in or taken out by adding or subtracting its vector
-(``insert``, ``delete``).
+there. Paragraphs are what blank lines part, and are cut one by one; blanks around a piece don't
+count, and a piece of blanks alone is none. A piece is hashed to a wide vector, and a text's
+fingerprint is the sum of its pieces' vectors, each lane modulo a power of two. So it doesn't
+depend on the order of paragraphs, equal multisets have equal fingerprints, and a paragraph is
+put in or taken out by adding or subtracting its vectors (``insert``, ``delete``), wherever it
+stands.
 
 Lanes: one counts pieces (mod 2^32); 4 dense lanes of 32 bits hold sums of hashes and tell
 different multisets apart; LEVELS of 32 sparse lanes of 15 bits serve likeness: a piece
@@ -51,7 +52,9 @@ BLOCK = 50_000
 
 
 def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    """The pieces of each paragraph; no piece reaches over a blank line."""
+    cut = F.flatten(F.transform(F.split(text, r"\n[ \t\r]*\n\s*"), lambda p: F.regexp_extract_all(p, F.lit(PIECE), F.lit(0))))
+    return F.filter(F.transform(cut, lambda p: F.trim(p, F.lit(" \t\r\n"))), lambda p: p != "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,7 +88,8 @@ def levels(hashes: Column, level: int = 0) -> Column:
     if level == LEVELS - 1:
         return own
     above = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 40 + 2 * level).bitwiseAND(F.lit(3)) == 0)
-    return F.concat(own, let(above, lambda h: levels(h, level + 1)))
+    zeros = F.array_repeat(F.lit(0).cast("long"), SPARSE * (LEVELS - 1 - level))
+    return F.concat(own, let(above, lambda h: F.when(F.size(h) == 0, zeros).otherwise(levels(h, level + 1))))
 
 
 def lanes(text: Column) -> Column:
