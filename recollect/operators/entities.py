@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.predicates import entity_name
+from recollect.operators.graph import components
 from recollect.operators.vectors import search
 
 
@@ -107,3 +108,28 @@ def lookup(entities: DataFrame, kind: str) -> DataFrame:
     """
     first = F.struct(F.col("kind") != "person", F.col("id"))
     return entities.groupBy("name").agg(F.min("alias").alias("alias"), F.min(F.when(F.col("kind") == kind, F.col("id"))).alias("exact_id"), F.min_by("id", first).alias("any_id"))
+
+
+def by_alias(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id, entity_id of each name (columns id, name) that is an active entity's alias: persons before others, then the least entity.
+
+    ``entities`` has entity_id and kind, active ones only; ``aliases`` entity_id and alias.
+    """
+    order = F.struct((F.col("kind") != "person").cast("int"), "entity_id")
+    best = aliases.join(entities, "entity_id").groupBy(entity_name(F.col("alias")).alias("key")).agg(F.min_by("entity_id", order).alias("entity_id"))
+    return names.select("id", entity_name(F.col("name")).alias("key")).join(best, "key").select("id", "entity_id")
+
+
+def merged_near(memories: DataFrame, links: DataFrame) -> DataFrame:
+    """id, revision, content_hash, importance, history of each memory that stays after near-duplicates merge.
+
+    ``memories`` has id, content_hash and importance, ``links`` src and dst of near-duplicates,
+    which merge along chains of links. In the order of ids each replaces the content before it:
+    the last one's stays, with the greatest importance. ``history`` says of each step before
+    which id and content it replaced. A memory without links stays as it is, at revision 1.
+    """
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    rows = memories.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    steps = F.sort_array(F.collect_list(F.struct("id", "content_hash")))  # what became one memory
+    out = rows.groupBy("root").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("revision"), F.max_by("content_hash", "id").alias("content_hash"), F.max("importance").alias("importance"), steps.alias("s"))
+    return out.select("id", "revision", "content_hash", "importance", F.slice("s", 1, F.size("s") - 1).alias("history"))

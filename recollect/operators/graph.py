@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.sources.shared import saved
 
+#: What an id, a type of relation and a number of hops may be before they enter a query.
+ID, RELATION, MOST_HOPS = "^[A-Za-z0-9_-]{1,256}$", "^[A-Za-z0-9_-]{1,128}$", 6
+
+
+def refused(id_: Column, relationship: Column | None = None, hops: Column | None = None) -> Column:
+    """Why a request isn't let through: ``id``, ``relationship`` or ``hops``; null if it is."""
+    bad = lambda c, pattern: ~F.coalesce(c.rlike(pattern), F.lit(False))
+    out = F.lit(None).cast("string") if hops is None else F.when(~F.coalesce(hops.between(1, MOST_HOPS), F.lit(False)), "hops")
+    if relationship is not None:
+        out = F.when(bad(relationship, RELATION), "relationship").otherwise(out)
+    return F.when(bad(id_, ID), "id").otherwise(out)
+
 
 def admitted(edges: DataFrame, relationships: list[str] | None = None) -> DataFrame:
     return edges.filter(F.col("relationship").isin(relationships)) if relationships else edges
@@ -31,8 +43,8 @@ def k_hop(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both
     A frontier holds only nodes not reached before, so a hub is expanded once a root. With
     ``limit`` a root keeps itself and the least others.
     """
-    if not 1 <= depth <= 6:
-        raise ValueError("depth must be 1 to 6")
+    if not 1 <= depth <= MOST_HOPS:
+        raise ValueError(f"depth must be 1 to {MOST_HOPS}")
     step = saved(steps(edges, direction).distinct(), "graph-steps")
     seen = frontier = saved(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "graph-frontier")
     for d in range(1, depth + 1):
@@ -47,6 +59,23 @@ def k_hop(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both
     return seen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
+def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both", limit: int = 50, relationships: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """root, node, depth, truncated of the nodes that each root keeps, and root, source_id, target_id, relationship, strength of the edges among them.
+
+    A root keeps itself and the least others up to ``limit``; it is truncated if there were more.
+    Steps and edges are of the ``relationships`` alone, if any are named.
+    """
+    own = admitted(edges, relationships)
+    near = saved(k_hop(own, roots, depth, direction), "graph-near")
+    counts = near.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", (F.col("n") > limit).alias("truncated"))
+    order = Window.partitionBy("root").orderBy((F.col("node") != F.col("root")).cast("int"), "node")
+    kept = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n").join(counts, "root")
+    kept = saved(kept.select("root", "node", "depth", "truncated"), "graph-kept")
+    ends = kept.select("root", "node")
+    among = ends.join(own, ends["node"] == own["source_id"]).drop("node")
+    return kept, among.join(ends.withColumnRenamed("node", "target_id"), ["root", "target_id"], "left_semi").select("root", "source_id", "target_id", "relationship", "strength")
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (column node)."""
     n = nodes.select("node").distinct()

@@ -11,7 +11,7 @@ from recollect.operators import graph
 from recollect.operators.listing import top_of
 from recollect.operators.vectors import near_links
 from recollect.plans.registry import query
-from recollect.sources.tables import members, table
+from recollect.sources.tables import members, memories, table
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, CASE WHEN p_type LIKE '%BRASS%' THEN 'person' ELSE 'thing' END AS kind, lower(p_brand) AS alias FROM part WHERE p_size > 3)
@@ -156,3 +156,30 @@ def r11_merge_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies merged without a model's decision: the newest stays and keeps the ids it replaced."""
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("id"))
     return op.merged(docs, "content_hash").filter("revision > 1").withColumn("history", F.array_join("history", ","))
+
+
+@query("""WITH p AS (SELECT p_partkey AS e, CASE WHEN p_type LIKE '%BRASS%' THEN 'person' ELSE 'thing' END AS kind, lower(trim(regexp_replace(p_brand, '\\s+', ' ', 'g'))) AS key FROM part WHERE p_size > 3), b AS (SELECT key, arg_min(e, (kind <> 'person')::INT * 1000000000 + e) AS entity_id FROM p GROUP BY key)
+  SELECT s_suppkey AS id, entity_id FROM supplier JOIN b ON b.key = 'brand#' || (s_suppkey % 70)""")
+def e1_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active entities by alias: brands stand for aliases, asked for in other letters and with other blanks."""
+    kind = F.when(F.col("p_type").contains("BRASS"), "person").otherwise("thing")
+    part = table(spark, sf_dir, "part").filter("p_size > 3")
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("  BRAND#"), F.col("s_suppkey") % 70, F.lit("  ")).alias("name"))
+    return op.by_alias(names, part.select(F.col("p_partkey").alias("entity_id"), kind.alias("kind")), part.select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("alias")))
+
+
+NEAR = """WITH RECURSIVE s AS (SELECT q.vec_id AS a, v.vec_id AS b FROM embeddings q, embeddings v WHERE q.vec_id < v.vec_id AND round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) >= 0.4), u AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
+  r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), k AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+  m AS (SELECT d.doc_id AS id, sha256(d.text) AS content_hash, CASE l.quality WHEN 1 THEN 0.75 WHEN 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS importance FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL AND d.doc_id IN (SELECT vec_id FROM embeddings)),
+  g AS (SELECT m.*, coalesce(k.root, m.id) AS root FROM m LEFT JOIN k ON k.node = m.id)
+  SELECT max(id) AS id, count(*) AS revision, arg_max(content_hash, id) AS content_hash, max(importance) AS importance, array_to_string(list(id || ':' || content_hash ORDER BY id)[1:-2], ',') AS history FROM g GROUP BY root"""
+
+
+@query(NEAR)
+def r11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories whose vectors are near, along chains, become one that keeps what it replaced."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    m = memories(spark, sf_dir).filter("content is not null").join(vectors.select("id"), "id", "left_semi").select("id", "content_hash", "importance")
+    links = near_links(vectors, 0.4)
+    told = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["id"].cast("string"), h["content_hash"])), ",")
+    return op.merged_near(m, links).withColumn("history", told)

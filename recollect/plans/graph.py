@@ -36,6 +36,30 @@ def g2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.k_hop(edges(spark, sf_dir), _suppliers(spark, sf_dir), 2, limit=50)
 
 
+TRUNCATED = HOPS + """, kept AS (SELECT root, node, count(*) OVER (PARTITION BY root) > 65 AS truncated FROM hops QUALIFY row_number() OVER (PARTITION BY root ORDER BY node <> root, node) <= 65)"""
+
+
+@query(TRUNCATED + " SELECT a.root, source_id, target_id, relationship FROM edges e JOIN kept a ON a.node = e.source_id JOIN kept b ON b.node = e.target_id AND a.root = b.root")
+def g2_induced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges among the nodes that each supplier's neighbourhood keeps."""
+    return op.neighbourhood(edges(spark, sf_dir), _suppliers(spark, sf_dir), 2, limit=65)[1].drop("strength")
+
+
+@query(TRUNCATED + " SELECT root, count(*) AS nodes, any_value(truncated) AS truncated FROM kept GROUP BY root")
+def g2_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = op.neighbourhood(edges(spark, sf_dir), _suppliers(spark, sf_dir), 2, limit=65)[0]
+    return kept.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.bool_or("truncated").alias("truncated"))
+
+
+@query("""SELECT event_id, CASE WHEN NOT regexp_matches(CASE WHEN event_id % 7 = 0 THEN props ELSE 'u' || user_id END, '^[A-Za-z0-9_-]{1,256}$') THEN 'id' WHEN NOT regexp_matches(CASE WHEN event_id % 11 = 0 THEN event_type || ' x' ELSE event_type END, '^[A-Za-z0-9_-]{1,128}$') THEN 'relationship'
+  WHEN NOT coalesce(floor(value / 10)::BIGINT BETWEEN 1 AND 6, false) THEN 'hops' END AS refused FROM events""")
+def g20_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many requests for a traversal are refused, and for what."""
+    id_ = F.when(F.col("event_id") % 7 == 0, F.col("props")).otherwise(F.concat(F.lit("u"), "user_id"))
+    relation = F.when(F.col("event_id") % 11 == 0, F.concat("event_type", F.lit(" x"))).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", op.refused(id_, relation, F.floor(F.col("value") / 10)).alias("refused"))
+
+
 @query(HOPS + " , k AS (SELECT DISTINCT node FROM hops) SELECT source_id, target_id, relationship FROM edges WHERE source_id IN (FROM k) AND target_id IN (FROM k)")
 def g3_k_hop_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
