@@ -9,7 +9,7 @@ from recollect.operators import sessions as op
 from recollect.operators import datasets, versions
 from recollect.operators.graph import descendants
 from recollect.plans.registry import query
-from recollect.sources import formats
+from recollect.sources import connector, formats
 from recollect.sources.tables import operations, table
 
 
@@ -256,6 +256,12 @@ def s7_connector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), digest.alias("content_hash"), F.lit("text/html").alias("content_type"), F.octet_length("html").cast("long").alias("size_bytes"), F.concat(F.lit("blobs/"), digest).alias("blob_key"), F.concat(F.lit('{"page":'), "page_id", F.lit("}")).alias("metadata"))
 
 
+@query("""SELECT url AS source_path, sha256(html) AS content_hash, 'text/html' AS content_type, octet_length(encode(html))::BIGINT AS size_bytes, 'blobs/' || sha256(html) AS blob_key, '{"page":' || page_id || '}' AS metadata FROM pages""")
+def s7_connector_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the connector as a data source, which polls the folder itself."""
+    return connector.register(spark).read.format("page_connector").load(f"{sf_dir}/pages.parquet")
+
+
 @query("SELECT p_partkey, regexp_full_match(p_name, '[\\w\\s\\-.]+') AS is_identifier, CASE WHEN regexp_full_match(p_name, '[\\w\\s\\-.]+') THEN '\"' || p_name || '\"' END AS quoted FROM part")
 def d5_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that may stand in a statement, quoted."""
