@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+@contextmanager
+def leaving_no_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind: whoever needs it reads the written table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, and read again.
 
@@ -44,18 +57,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with leaving_no_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """``saved`` in ``n`` buckets of ``key``: joins of such tables by it shuffle neither of them.
+def bucketed(df: DataFrame, name: str, key: str | list[str], n: int) -> DataFrame:
+    """``saved`` in ``n`` buckets of ``key``: joins of such tables by all of it shuffle neither of them.
 
     The session's catalog holds the table only until its files are found.
     """
     spark = df.sparkSession
     title = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{title}").saveAsTable(title)
+    with leaving_no_shuffles(spark):
+        df.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{title}").saveAsTable(title)
     out = spark.table(title)
     out.schema  # noqa: B018 - resolves the files
     spark.sql(f"DROP TABLE {title}")
