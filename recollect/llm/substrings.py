@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import for_python, saved, small
+from recollect.llm.common import bucketed, for_python, saved, small
 
 #: Bytes of a repeated string; of an anchor; places of an anchor in a string.
 LENGTH, ANCHOR = 200, 32
@@ -297,11 +297,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(127)).alias("tag"), text.alias("text"))
     found = source.select(*key, "text").mapInArrow(_find_runs, "k long, pos long, anchor long, name long")
     packed = source.select(*key, "text").mapInArrow(_compress, "k long, tag long, z binary").groupBy(*key).agg(F.first("z").alias("z"))
+    packed = bucketed(packed, "substrings-texts", key, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # both joins below find it in its buckets
     tagged = F.shiftright("pos", 56).alias("tag")
 
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).filter("n > 1")
     anchors = saved(anchors.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "substrings-anchors")  # read back, so that Spark can split the join's large keys
-    near = saved(found.join(anchors.hint("merge"), "anchor"), "substrings-near")  # anchors grow with the corpus: not broadcast at any size
+    told = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)  # noqa: E731 - the rest are whole runs, of which only places count from here on
+    near = saved(found.join(anchors.hint("merge"), "anchor").select("k", "pos", told("anchor"), told("name"), "mixed"), "substrings-near")  # anchors grow with the corpus: not broadcast at any size
     # Any run of a class can stand for it: what it says of its class is the same.
     classes = near.filter("mixed").groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("weight"), F.first("k").alias("k"), F.first("pos").alias("pos"))
     classes = saved(classes, "substrings-classes")
