@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.plans.registry import query
+from recollect.sources.tables import table
 from recollect.streaming import streams
 
 
@@ -33,3 +34,9 @@ def t8_probe_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def t9_audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.audit(streams.events(spark, sf_dir).select("event_id", "user_id", "event_type"))
+
+
+@query("SELECT user_id, event_id, ((n - 1) // 50)::INT AS flush, CASE WHEN (n - 1) // 50 < c // 50 THEN 'size' ELSE 'close' END AS trigger FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events)")
+def t9_audit_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's audit buffer, flushed at 50 events, and at the end."""
+    return streams.flushed(streams.events(spark, sf_dir), table(spark, sf_dir, "events"))

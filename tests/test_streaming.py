@@ -49,3 +49,38 @@ def test_audit_holds_each_event_once_over_flushes(spark, small, tmp_path):
     for every in (None, "1 second"):
         got = streams.audit(streams.events(spark, str(tmp_path), files_per_batch=1).select("event_id", "user_id"), every)
         assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in whole.collect())
+
+
+def test_buffers_flush_at_their_size_over_micro_batches(spark, small, tmp_path):
+    whole = split_events(spark, small, tmp_path, 3)
+    stream = streams.events(spark, str(tmp_path), files_per_batch=1)
+    rows = [tuple(r) for r in streams.flushed(stream, whole, size=4, seconds=600).select("user_id", "event_id", "flush", "trigger").collect()]
+    assert sorted(r[1] for r in rows) == sorted(r.event_id for r in whole.collect())
+    flushes = {}
+    for user, event, n, why in rows:
+        flushes.setdefault((user, n), []).append(why)
+    assert all(set(f) in ({"size"}, {"close"}) and (len(f) == 4) == (f[0] == "size") or len(f) < 4 for f in flushes.values())
+    assert {"size", "close"} == {f[0] for f in flushes.values()}
+
+
+def test_buffers_flush_after_their_time(spark, small, tmp_path):
+    whole = split_events(spark, small, tmp_path, 1)
+    users = whole.select("user_id").distinct().count()
+    began = time.time()
+    got = streams.audit(streams.buffers(streams.events(spark, str(tmp_path)), size=10_000, seconds=2), every="1 second", until=lambda: time.time() - began > 20).collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in whole.collect())
+    assert {r.trigger for r in got} == {"time"} and len({(r.user_id, r.flush) for r in got}) == users
+
+
+def test_a_failed_flush_is_buffered_again(spark, small, tmp_path):
+    whole = split_events(spark, small, tmp_path, 3)
+    failed = []
+
+    def put(rows, folder):
+        if len(failed) < 2 and not folder.endswith("batch=0"):
+            failed.append(folder)
+            raise OSError("the log is away")
+        rows.write.mode("overwrite").parquet(folder)
+
+    got = streams.audit(streams.buffers(streams.events(spark, str(tmp_path), files_per_batch=1), size=1, seconds=600), write=put)
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in whole.collect()) and len(failed) == 2
