@@ -225,6 +225,18 @@ def near_links(vectors: DataFrame, least: float, digits: int = 6, block: int = Q
     return meet(_single(vectors, None), _single(vectors, None), found, "src long, dst long", block=block)
 
 
+def score_candidates(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, id, similarity, rank: of each query's ``candidates`` (query_id, id) the ``k`` of greatest cosine, exactly.
+
+    Candidates without a vector go; one named twice counts once; a vector of zeros scores 0.
+    """
+    pairs = candidates.select("query_id", "id").distinct().join(vectors.select("id", "embedding"), "id")
+    pairs = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
+    scored = pairs.select("query_id", "id", (F.round(cosine(F.col("embedding"), F.col("asked")), digits) + 0.0).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+
+
 def _score(m: np.ndarray, first: np.ndarray, own: np.ndarray, begins: np.ndarray, digits: int) -> np.ndarray:
     """[query, group]: for each token of a query the greatest cosine to the group's tokens, summed."""
     most = np.maximum.reduceat(m @ own.T, begins, axis=1)

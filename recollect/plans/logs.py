@@ -164,6 +164,17 @@ def s10_web_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("url").alias("source_path"), F.sha2("html", 256).alias("content_hash"), F.lit("text/html").alias("content_type"), F.octet_length("html").cast("long").alias("size_bytes"))
 
 
+FETCHED = "SELECT url, CASE WHEN page_id % 10 = 0 THEN 404 WHEN page_id % 10 = 7 THEN 204 ELSE 200 END AS status, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' application/xhtml+xml ;q=1' END AS content_type, CASE WHEN page_id % 20 <> 11 THEN html END AS body FROM {}"
+
+
+@query("SELECT url AS source_path, sha256(body) AS content_hash, trim(split_part(coalesce(content_type, 'text/html'), ';', 1)) AS content_type, octet_length(encode(body)) AS size_bytes, '{\"status_code\":' || status || ',\"url\":\"' || url || '\"}' AS metadata FROM (" + FETCHED.format("pages") + ") WHERE status BETWEEN 200 AND 299 AND body IS NOT NULL")
+def s10_fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages as entries: failed ones left out, the charset taken off the type."""
+    fields = FETCHED.removeprefix("SELECT ").removesuffix(" FROM {}")
+    status, kind, body = (fields[fields.index(a) : fields.index(b) + len(b)] for a, b in (("CASE WHEN page_id % 10", "AS status"), ("CASE page_id", "AS content_type"), ("CASE WHEN page_id % 20", "AS body")))
+    return formats.scraped(table(spark, sf_dir, "pages").selectExpr("url", status, kind, body))
+
+
 @query("""SELECT conv_id, sha256(max(CASE WHEN turn = t0 THEN text END) || CASE WHEN count(*) > 1 THEN chr(10) || chr(10) || '--- Thread Replies ---' || chr(10) || string_agg(CASE WHEN turn > t0 THEN text END, chr(10) ORDER BY turn) ELSE '' END) AS content_hash
   FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations) GROUP BY conv_id""")
 def s11_threads_as_content(spark: SparkSession, sf_dir: str) -> DataFrame:

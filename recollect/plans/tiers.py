@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.listing import top_of
+from recollect.operators import tiers
 from recollect.plans.registry import query
 from recollect.sources.tables import WITH, memories, table
 
@@ -63,3 +64,25 @@ def k11_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dry run of the archival sweep: a batch of each workspace that isn't switched off."""
     rows = memories(spark, sf_dir).filter("importance <= 0.5 and workspace not in ('src0', 'src1')").select("workspace", "id", "importance")
     return top_of(rows, ["workspace"], [F.asc("importance"), F.asc("id")], 10).drop("rank")
+
+
+OVERRIDES = M + """, o AS (SELECT 'src' || (s_suppkey - 1) AS workspace, CASE s_suppkey % 4 WHEN 1 THEN false WHEN 2 THEN true END AS enabled, CASE s_suppkey % 5 WHEN 0 THEN 0.3 WHEN 3 THEN 1.7 END::DOUBLE AS threshold FROM supplier),
+  k AS (SELECT workspace, coalesce(enabled, true) AS enabled, coalesce(threshold, 0.5) AS own FROM (SELECT DISTINCT workspace FROM memories) LEFT JOIN o USING (workspace)), c AS (SELECT workspace, id, importance FROM memories JOIN k USING (workspace) WHERE enabled AND own BETWEEN 0 AND 1 AND status = 'active' AND importance <= own)"""
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = F.col("s_suppkey")
+    overrides = table(spark, sf_dir, "supplier").select(F.concat(F.lit("src"), n - 1).alias("workspace"), F.when(n % 4 == 1, False).when(n % 4 == 2, True).alias("enabled"), F.when(n % 5 == 0, 0.3).when(n % 5 == 3, 1.7).alias("threshold"))
+    return tiers.sweep(memories(spark, sf_dir), overrides)
+
+
+@query(OVERRIDES + " SELECT workspace, id, importance FROM c QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY importance, id) <= 10")
+def k11_sweep_with_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sweep would archive, by the workspaces' own rules (suppliers stand for these)."""
+    return _sweep(spark, sf_dir)[0]
+
+
+@query(OVERRIDES + ", n AS (SELECT workspace, count(*) AS n FROM c GROUP BY workspace) SELECT workspace, coalesce(n, 0) AS candidates, least(coalesce(n, 0), 10) AS archived, CASE WHEN enabled AND NOT own BETWEEN 0 AND 1 THEN format('threshold {:.2f} is not from 0 to 1', own) END AS error FROM k LEFT JOIN n USING (workspace) WHERE workspace IS NOT NULL")
+def k11_sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each workspace fared, its error if its rule is none."""
+    return _sweep(spark, sf_dir)[1].filter("workspace is not null")

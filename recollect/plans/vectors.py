@@ -140,3 +140,12 @@ def v13_inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k1_knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return op.search(v, _queries(v), 32).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(SIM + " SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s WHERE id BETWEEN query_id - 50 AND query_id + 50 QUALIFY rank <= 10")
+def k5_score_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that something cheap names (here ids near the query's), some without a vector, scored exactly."""
+    v = _vectors(spark, sf_dir)
+    asked = _queries(v)
+    near = asked.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.col("id") - 50, F.col("id") + 50)).alias("id")).filter("id <> query_id")
+    return op.score_candidates(near, v, asked, 10)

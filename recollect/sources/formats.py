@@ -57,3 +57,15 @@ def new_files(polled: DataFrame, catalog: DataFrame, full: bool = False) -> Data
         return polled
     once = polled.groupBy("content_hash").agg(F.min_by(F.struct(*[c for c in polled.columns if c != "content_hash"]), "source_path").alias("f"))
     return once.select("content_hash", "f.*").join(catalog.select("content_hash"), "content_hash", "left_anti")
+
+
+def scraped(responses: DataFrame) -> DataFrame:
+    """source_path, content_hash, content_type, size_bytes, metadata of the pages that could be fetched.
+
+    ``responses`` has url, status, content_type (a header, null for none) and body. A response
+    that failed, or without a body, is no entry; of the header what stands before a semicolon counts.
+    """
+    good = responses.filter("status between 200 and 299 and body is not null")
+    kind = F.trim(F.substring_index(F.coalesce("content_type", F.lit("text/html")), ";", 1))
+    told = F.to_json(F.struct(F.col("status").alias("status_code"), "url"))
+    return good.select(F.col("url").alias("source_path"), F.sha2("body", 256).alias("content_hash"), kind.alias("content_type"), F.octet_length("body").cast("long").alias("size_bytes"), told.alias("metadata"))
