@@ -22,13 +22,13 @@ def t5_working_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS start, count(*) AS n, least(count(*), 2) AS allowed FROM events GROUP BY 1, 2")
 def t7_rate_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.settle(streams.rate_windows(streams.events(spark, sf_dir), 2), ["user_id", "start"])
+    return streams.settle(streams.rate_windows(streams.events(spark, sf_dir), 2, late=streams.span(spark, sf_dir)), ["user_id", "start"])
 
 
 @query("SELECT '/' || event_type AS path, (floor(epoch(ts) / 300) * 300)::BIGINT AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def t8_probe_rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/"), "event_type", F.lit("?id="), F.col("event_id").cast("string"))
-    return streams.settle(streams.probe_rollup(streams.events(spark, sf_dir), path), ["path", "start"])
+    return streams.settle(streams.probe_rollup(streams.events(spark, sf_dir), path, late=streams.span(spark, sf_dir)), ["path", "start"])
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

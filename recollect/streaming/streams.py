@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from recollect.sources.shared import shared_dir
 
-#: How late an event may come and still count.
+#: How late an event of a live stream may come and still count.
 LATE = "30 days"
 
 
@@ -35,6 +35,13 @@ def events(spark: SparkSession, sf_dir: str, name: str = "events", files_per_bat
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def span(spark: SparkSession, sf_dir: str, name: str = "events") -> str:
+    """The days that a table's times span, as a watermark's delay: a replay in which no row is late, whatever its files' order."""
+    ends = spark.read.parquet(f"{sf_dir}/{name}.parquet").agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
+    days = ends.select(F.coalesce(F.datediff("b", "a"), F.lit(0))).first()[0]
+    return f"{days + 2} days"
+
+
 def change_log(stream: DataFrame, kinds: list[str]) -> DataFrame:
     """The changes that are kept, to be appended."""
     return stream.filter(F.col("event_type").isin(kinds)).select(F.col("event_id").alias("sequence"), "user_id", "event_type")

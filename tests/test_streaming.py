@@ -42,6 +42,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = streams.events(spark, str(tmp_path), files_per_batch=1)
     got = streams.settle(streams.rate_windows(stream, 5, late="1 day"), ["user_id", "start"])
     assert sorted(r.n for r in got.collect()) == [1, 1, 1]
+    replay = streams.settle(streams.rate_windows(stream, 5, late=streams.span(spark, str(tmp_path))), ["user_id", "start"])
+    assert sorted(r.n for r in replay.collect()) == [1, 1, 2]
 
 
 def test_audit_holds_each_event_once_over_flushes(spark, small, tmp_path):
