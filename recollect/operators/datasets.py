@@ -41,7 +41,7 @@ def total_matching(data: DataFrame, filters: list[tuple[str, str, object]]) -> D
 #: Nodes of a resolved statement that only read, those that bring rows of their own, and functions that call anything.
 READING = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset SubqueryAlias Union Distinct Deduplicate Join LateralJoin Window Except Intersect Expand Generate Sample Pivot Unpivot WithCTE CTERelationDef UnionLoop".split())
 OWN_ROWS = frozenset("OneRowRelation LocalRelation ResolvedInlineTable CTERelationRef UnionLoopRef".split())
-CALLING = frozenset("CallMethodViaReflection TryReflect ApplyFunctionExpression Invoke StaticInvoke".split())
+CALLING = frozenset("CallMethodViaReflection TryReflect".split())
 #: Words that no statement for a dataset may hold, by the rule for stored requests.
 CHANGING = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE")
 NAME = r"^[\w\s\-.]+$"

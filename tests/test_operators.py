@@ -181,7 +181,7 @@ def test_slice_refuses_before_anything_runs(spark, statement):
 
 @pytest.mark.parametrize(("statement", "n"), [
     ("SELECT a FROM data WHERE 'a;b' <> 'c' AND 'hidden' = 'hidden'", 5), ("SELECT a FROM data;  ", 5), ("SELECT * FROM data TABLESAMPLE (100 PERCENT)", 5), ("SELECT a, x FROM data LATERAL VIEW explode(array(1, 2)) t AS x", 10), ("WITH x AS (SELECT a FROM data), y AS (SELECT a FROM x WHERE a > 1) SELECT * FROM y JOIN x USING (a)", 3),
-    ("SELECT * FROM data WHERE a IN (SELECT max(a) FROM data)", 1), ("SELECT a, count(*) OVER () AS n FROM data", 5), ("SELECT * FROM VALUES (1), (2) AS v(a) JOIN data USING (a)", 2), ("SELECT a FROM data EXCEPT SELECT 1", 4), ("select upper('insert') as u from data", 5),
+    ("SELECT * FROM data WHERE a IN (SELECT max(a) FROM data)", 1), ("SELECT a, count(*) OVER () AS n FROM data", 5), ("SELECT * FROM VALUES (1), (2) AS v(a) JOIN data USING (a)", 2), ("SELECT a FROM data EXCEPT SELECT 1", 4), ("select upper('insert') as u from data", 5), ("SELECT to_json(struct(a)) AS j, encode(string(a), 'utf-8') AS e, regexp_count(string(a), '1') AS n FROM data", 5),
 ])
 def test_slice_allows_every_query_of_its_data(spark, statement, n):
     spark.range(3).toDF("a").createOrReplaceTempView("hidden")
