@@ -288,7 +288,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page, from its whole html.
 
     Character references are decoded; white space in a block becomes one space. Null or empty
-    html gives empty text. A page whose host isn't known, or has few pages, has no template.
+    html gives empty text; a very long page is read whole, by one task. A page whose host isn't known, or has few pages, has no template.
     Repeated rows give repeated results; an empty table gives an empty result; other columns
     are ignored. Templates are broadcast only up to BROADCAST_TOKENS; beyond that, pages and
     templates are joined, each host dealt to SALTS parts.

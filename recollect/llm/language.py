@@ -287,8 +287,10 @@ def held_out(doc_id: Column) -> Column:
 def identify(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, learned from those not held out.
 
-    A null doc_id isn't held out. Rows with one text are learned from once a language. Repeated rows give repeated results; an empty table an
-    empty result; other columns are ignored.
+    A null doc_id isn't held out. Rows with one text are learned from once a language. Null texts
+    and those without letters are ``und``, with score 0, and aren't learned from; very long ones
+    are read whole. Of equally likely languages the first by name is taken. Repeated rows give
+    repeated results; an empty table an empty result; other columns are ignored.
     """
     model = fit(docs.filter(~held_out(F.col("doc_id"))), path)
     return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

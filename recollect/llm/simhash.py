@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Rows whose fingerprints differ in at most 3 bits are linked. Equal fingerprints are made
     one before the search, so a group of copies of any size is one node of it. Null and blank
-    texts have fingerprint zero and are linked like any other. Null doc_ids are kept, and
+    texts have fingerprint zero and are linked like any other; a very long text is read whole, all
+    its shingles counted. Null doc_ids are kept, and
     count for component_id only if no other id is reachable. Repeated rows are repeated in
     the result. An empty table gives an empty result; other columns are ignored.
     """
