@@ -15,13 +15,13 @@ GAPS = """WITH g AS (SELECT l_orderkey AS document_id, count(*) AS pages, count(
   d AS (SELECT *, CASE WHEN not_rendered > 0 THEN 'rendered' WHEN not_transcribed > 0 THEN 'transcribed' WHEN not_embedded > 0 THEN 'embedded' WHEN not_stored > 0 THEN 'stored' END AS first_gap FROM g)"""
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), (F.col("l_quantity") > 2).alias("rendered"), (F.col("l_tax") < 0.08).alias("transcribed"), (F.col("l_discount") < 0.1).alias("embedded"), (F.col("l_linestatus") == "F").alias("stored"))
 
 
 @query(GAPS + " SELECT *, first_gap IS NULL AS is_complete FROM d")
 def p1_gap_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.gaps(_pages(spark, sf_dir))
+    return op.gaps(_order_pages(spark, sf_dir))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN 'off' END, json_extract_string(props, '$.mode'), CASE WHEN value > 50 THEN 'fast' END, 'default') AS mode FROM events")
@@ -45,14 +45,14 @@ def p4_enrichment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GAPS + " SELECT document_id, CASE WHEN first_gap IS NULL THEN 'completed' WHEN pages - not_stored > 0 THEN 'partial' ELSE 'failed' END AS status FROM d")
 def p5_final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = op.gaps(_pages(spark, sf_dir))
+    g = op.gaps(_order_pages(spark, sf_dir))
     return g.select("document_id", op.final_status(F.col("is_complete"), F.col("pages") - F.col("not_stored")).alias("status"))
 
 
 @query(GAPS + """ SELECT o_custkey AS job_id, count(*) AS requested, count(d.document_id) AS known, coalesce(sum(pages), 0)::BIGINT AS pages, bool_and(coalesce(first_gap IS NULL AND d.document_id IS NOT NULL, false)) AS all_complete
   FROM orders LEFT JOIN d ON document_id = o_orderkey GROUP BY o_custkey""")
 def p6_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = op.gaps(_pages(spark, sf_dir))
+    g = op.gaps(_order_pages(spark, sf_dir))
     asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("document_id"))
     both = asked.join(g, "document_id", "left")
     return both.groupBy("job_id").agg(F.count(F.lit(1)).alias("requested"), F.count("pages").alias("known"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.bool_and(F.coalesce("is_complete", F.lit(False))).alias("all_complete"))
@@ -211,7 +211,7 @@ def p19_cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GAPS + """ SELECT o_orderkey AS id, CASE WHEN d.document_id IS NULL THEN 'fresh' WHEN o_orderstatus = 'P' AND epoch(o_orderdate)::BIGINT > (SELECT max(epoch(o_orderdate))::BIGINT FROM orders) - 864000 THEN 'in_flight' WHEN o_orderstatus = 'F' THEN 'complete'
   ELSE 'resume:' || coalesce(first_gap, 'render') END AS decision FROM orders LEFT JOIN d ON d.document_id = o_orderkey""")
 def p20_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = op.gaps(_pages(spark, sf_dir)).select(F.col("document_id").alias("o_orderkey"), "first_gap", "pages")
+    g = op.gaps(_order_pages(spark, sf_dir)).select(F.col("document_id").alias("o_orderkey"), "first_gap", "pages")
     status = F.when(F.col("pages").isNull(), F.lit(None)).when(F.col("o_orderstatus") == "P", "processing").when(F.col("o_orderstatus") == "F", "completed").otherwise("partial")
     orders = table(spark, sf_dir, "orders").withColumn("started", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
     found = orders.join(g, "o_orderkey", "left").select(F.col("o_orderkey").alias("id"), status.alias("status"), "started", "first_gap")

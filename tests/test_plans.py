@@ -1,9 +1,13 @@
 """Shapes of plans that matter at scale: what is read, what is shuffled, what never happens."""
 
+import ast
 import re
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
+import recollect.plans
 from recollect.plans.all import QUERIES
 
 
@@ -37,3 +41,10 @@ def test_pages_are_top_k_not_sorts(spark, small, name):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.endswith("_stream")))
 def test_no_product_of_tables(spark, small, name):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(QUERIES[name](spark, small)))
+
+
+def test_no_name_is_defined_twice():
+    """A second helper of one name takes the first one's place in every query above it."""
+    for file in Path(recollect.plans.__path__[0]).glob("*.py"):
+        names = Counter(x.name for x in ast.parse(file.read_text()).body if isinstance(x, ast.FunctionDef))
+        assert [n for n, times in names.items() if times > 1] == [], file.name
