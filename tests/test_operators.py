@@ -33,6 +33,80 @@ def test_shortest_path_is_least_of_ties(spark):
     assert got == {("a", "d"): (2, ["a", "b", "d"]), ("a", "a"): (0, ["a"])}
 
 
+def saved_rows(monkeypatch):
+    """How many rows each table that a graph operator writes has."""
+    counts, write = [], graph.saved
+
+    def counted(df, name):
+        out = write(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "saved", counted)
+    return counts
+
+
+STAR = [(f"s{i:03}", "hub", "x", 1.0) for i in range(150)] + [("hub", "top", "x", 1.0), ("top", "hub2", "x", 1.0), ("z", "hub2", "x", 1.0), ("z2", "hub2", "x", 1.0)]
+
+
+def test_limited_neighbourhoods_of_a_hub_stay_small(spark, monkeypatch):
+    counts = saved_rows(monkeypatch)
+    e, roots = edges(spark, STAR), spark.createDataFrame([(f"s{i:03}",) for i in range(150)], "node string")
+    got = {(r.root, r.node): r.depth for r in graph.k_hop(e, roots, 2, limit=3).collect()}
+    assert len(got) == 450 and [got["s149", n] for n in ("s149", "hub", "s000")] == [0, 1, 2]
+    kept, among = graph.neighbourhood(e, roots, 2, limit=3)
+    assert kept.filter("truncated").count() == 450
+    assert {(r.source_id, r.target_id) for r in among.filter("root = 's149'").collect()} == {("s149", "hub"), ("s000", "hub")}
+    assert max(counts) <= 150 * 4  # 150 x 150 were written, a row a root and neighbour
+
+
+def test_reached_nodes_are_written_once(spark, monkeypatch):
+    counts = saved_rows(monkeypatch)
+    roots = spark.createDataFrame([(f"s{i:03}",) for i in range(150)], "node string")
+    assert {r.node for r in graph.within_hops(edges(spark, STAR), roots, 2).collect()} == {"hub", "top"} | {f"s{i:03}" for i in range(150)}
+    assert max(counts) <= 150
+
+
+def test_paths_between_leaves_of_hubs_stay_small(spark, monkeypatch):
+    counts = saved_rows(monkeypatch)
+    pairs = spark.createDataFrame([(f"s{i:03}", "z") for i in range(150)] + [("s000", "s001"), ("s000", "hub"), ("hub", "z2"), ("top", "top")], "source string, target string")
+    got = {(r.source, r.target): (r.hops, r.path) for r in graph.shortest_paths(edges(spark, STAR), pairs, 4).collect()}
+    assert len(got) == 154 and got["s007", "z"] == (4, ["s007", "hub", "top", "hub2", "z"])
+    assert [got[p][0] for p in (("s000", "s001"), ("s000", "hub"), ("hub", "z2"), ("top", "top"))] == [2, 1, 3, 0]
+    assert max(counts) <= 320  # the steps themselves; 150 x 150 were written
+    assert ("s007", "z") not in {(r.source, r.target) for r in graph.shortest_paths(edges(spark, STAR), pairs, 3).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbourhoods_and_paths_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    arcs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 24, (24, 2))]
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    nodes = sorted({n for arc in arcs for n in arc})
+    e, roots = edges(spark, [(a, b, "x", 1.0) for a, b in arcs]), spark.createDataFrame([(n,) for n in nodes], "node string")
+    paths, level = {(n, n): [n] for n in nodes}, {(n, n): [n] for n in nodes}
+    for _ in range(4):
+        longer = {}
+        for (a, b), path in level.items():
+            for c in near[b]:
+                if (a, c) not in paths:
+                    longer[a, c] = min(longer.get((a, c), [*path, c]), [*path, c])
+        paths |= longer
+        level = longer
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "source string, target string")
+    assert {(r.source, r.target): r.path for r in graph.shortest_paths(e, pairs, 4).collect()} == paths
+    for limit in (2, 5):
+        around = {a: [a, *sorted(b for x, b in paths if x == a and b != a and len(paths[x, b]) <= 4)] for a in nodes}
+        want = {(a, b): len(paths[a, b]) - 1 for a in nodes for b in around[a][:limit]}
+        assert {(r.root, r.node): r.depth for r in graph.k_hop(e, roots, 3, limit=limit).collect()} == want
+        kept, among = graph.neighbourhood(e, roots, 3, limit=limit)
+        assert {(r.root, r.node): r.truncated for r in kept.collect()} == {(a, b): len(around[a]) > limit for a, b in want}
+        assert sorted(tuple(r)[:3] for r in among.select("root", "source_id", "target_id").collect()) == sorted((n, a, b) for n in nodes for a, b in arcs if (n, a) in want and (n, b) in want)
+
+
 def test_traversal_keeps_paths_apart_and_ends_on_cycles(spark):
     e = edges(spark, [("a", "b", "x", 0.1), ("b", "a", "x", 0.2), ("b", "c", "x", 0.3)])
     rows = graph.traversal(e, spark.createDataFrame([("a",)], "node string"), 5).collect()
