@@ -147,11 +147,17 @@ def _single(rows: DataFrame, group: str | None) -> DataFrame:
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) places of the ``k`` greatest of each query's ``sims``, equal ones by id; those of -inf don't count."""
-    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-    which = np.repeat(np.arange(len(sims)), order.shape[1])
-    keep = sims[which, order.ravel()] > -np.inf
-    return which[keep], order.ravel()[keep]
+    """(query, row) places of the ``k`` greatest of each query's ``sims``, equal ones by id; those of -inf don't count.
+
+    Only what reaches a query's k-th greatest is sorted.
+    """
+    n, width = sims.shape
+    least = np.partition(sims, width - k, axis=1)[:, width - k, None] if k < width else np.full((n, 1), -np.inf)
+    which, row = np.nonzero((sims >= least) & (sims > -np.inf))
+    order = np.lexsort((ids[row], -sims[which, row], which))
+    which, row = which[order], row[order]
+    keep = np.arange(len(which)) - np.searchsorted(which, which) < k
+    return which[keep], row[keep]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, skip_self: bool = True, same: str | None = None, each: str | None = None, signs: bool = False, block: int = QUERIES) -> DataFrame:
@@ -290,7 +296,7 @@ class InvertedLists:
     """
 
     def __init__(self, vectors: DataFrame, lists: int = 16, sample: int = 20_000, rounds: int = 10):
-        rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()["embedding"].tolist()
+        rows = vectors.filter("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()["embedding"].tolist()
         points = _unit(np.array(rows, np.float64))
         centres = points[np.linspace(0, len(points) - 1, min(lists, len(points))).astype(int)]
         for _ in range(rounds):
@@ -301,7 +307,7 @@ class InvertedLists:
 
     def assign(self, vectors: DataFrame, probes: int) -> DataFrame:
         """The rows with ``list``: one row for each of the ``probes`` nearest centres."""
-        shipped = vectors.sparkSession.sparkContext.broadcast(self.centres)
+        shipped = ship(vectors.sparkSession).sparkContext.broadcast(self.centres)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -309,12 +315,9 @@ class InvertedLists:
                 take = np.repeat(np.arange(b.num_rows), near.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(near.ravel().astype(np.int32))], names=["id", "embedding", "list"])
 
-        return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(place, "id long, embedding array<float>, list int")
+        return vectors.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(place, "id long, embedding array<float>, list int")
 
     def search(self, queries: DataFrame, k: int, probes: int = 12, digits: int = 6) -> DataFrame:
-        """query_id, id, similarity, rank among the rows of each query's ``probes`` nearest lists."""
-        asked = self.assign(queries, probes).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), "list")
-        pairs = self.rows.join(asked, "list").filter("id <> query_id")
-        pairs = pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("similarity"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        """query_id, id, similarity, rank among the rows of each query's ``probes`` nearest lists, by products of blocks."""
+        listed = lambda rows: rows.select("id", "embedding", F.col("list").cast("long").alias("list"))
+        return search(listed(self.rows), listed(self.assign(queries, probes)), k, digits, same="list")

@@ -148,6 +148,27 @@ def test_recall_of_inverted_lists(spark, small):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_inverted_lists_multiply_blocks_and_skip_nulls(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [(200, None)] + [(201 + i, [1.0] * 8) for i in range(30)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = v.filter("id % 20 = 0")
+    exact = [tuple(r) for r in search.search(v, asked, 7).orderBy("query_id", "rank").collect()]
+    found = search.InvertedLists(v, lists=4).search(asked, 7, probes=4)  # all lists: exact
+    assert [tuple(r) for r in found.orderBy("query_id", "rank").collect()] == exact
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # no row for each pair
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_of_ties_and_of_what_does_not_count(k):
+    rng = np.random.default_rng(1)
+    ids, sims = rng.permutation(40), rng.integers(0, 5, (6, 40)).astype(float)
+    sims[sims == 4] = -np.inf
+    which, row = search._best(ids, sims, k)
+    want = [(q, i) for q in range(6) for i in sorted((j for j in range(40) if sims[q, j] > -np.inf), key=lambda j: (-sims[q, j], ids[j]))[:k]]
+    assert list(zip(which.tolist(), row.tolist(), strict=True)) == want
+
+
 def test_cosine_of_zero_and_of_other_lengths(spark):
     one = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert one.select(vectors.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
