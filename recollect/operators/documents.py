@@ -141,22 +141,39 @@ def _located(found: Column) -> Column:
     return F.when(F.exists(found, lambda r: r["box"].isNull()), F.array().cast("array<int>")).otherwise(F.transform(found, lambda r: r["id"]))
 
 
+def placed(found: Column) -> Column:
+    """struct<joined, pieces>: a page's regions joined, white space aside, and each one's number (from 0), box, begin and end in that."""
+    numbered = F.transform(found, lambda r, i: F.struct(i.alias("id"), r["box"].alias("box"), _plain(r["content"]).alias("t")))
+    none = F.array().cast("array<struct<id: int, box: array<int>, s: int, e: int>>")
+    start = F.struct(none.alias("pieces"), F.lit(0).alias("at"))
+
+    def add(seen: Column, r: Column) -> Column:
+        end = seen["at"] + F.length(r["t"])
+        one = F.struct(r["id"].alias("id"), r["box"].alias("box"), seen["at"].alias("s"), end.alias("e"))
+        return F.struct(F.array_append(seen["pieces"], one).alias("pieces"), (end + 1).alias("at"))
+
+    kept = F.filter(numbered, lambda r: r["t"] != "")
+    return F.transform(F.array(kept), lambda ps: F.struct(F.array_join(F.transform(ps, lambda r: r["t"]), " ").alias("joined"), F.aggregate(ps, start, add, lambda seen: seen["pieces"]).alias("pieces")))[0]
+
+
+def quoted_in(rows: DataFrame, quote: Column, page: Column, places: Column, name: str = "regions") -> DataFrame:
+    """As ``quoted_regions``, of a ``page`` whose white space is collapsed and the ``places`` that ``placed`` gives of its regions."""
+    out = rows.withColumns({"_needle": _plain(quote), "_page": page, "_joined": places["joined"], "_pieces": places["pieces"]})
+    out = out.withColumn("_at", F.position("_needle", "_joined") - 1)
+    touched = F.filter("_pieces", lambda x: (x["s"] < F.col("_at") + F.length("_needle")) & (x["e"] > F.col("_at")))
+    times = (F.length("_page") - F.length(F.replace("_page", "_needle", F.lit("")))) / F.length("_needle")
+    once = (F.col("_needle") != "") & (times == 1) & (F.col("_at") >= 0) & (F.position("_needle", "_joined", F.col("_at") + 2) == 0)
+    out = out.withColumn(name, F.when(once, _located(touched)).otherwise(F.array().cast("array<int>")))
+    return out.drop("_needle", "_page", "_joined", "_pieces", "_at")
+
+
 def quoted_regions(rows: DataFrame, quote: Column, text: Column, found: Column, name: str = "regions") -> DataFrame:
     """``rows`` with ``name``: numbers (from 0) of the regions that a quote stands in, white space aside, across neighbouring ones.
 
     None unless the quote is once in the page's ``text`` and once in its regions joined, and all
     regions it touches have a box.
     """
-    numbered = F.transform(found, lambda r, i: F.struct(i.alias("id"), r["box"].alias("box"), _plain(r["content"]).alias("t")))
-    out = rows.withColumns({"_needle": _plain(quote), "_page": _plain(text), "_pieces": F.filter(numbered, lambda r: r["t"] != "")})
-    sizes = F.transform("_pieces", lambda r: F.length(r["t"]) + 1)
-    out = out.withColumns({"_joined": F.array_join(F.transform("_pieces", lambda r: r["t"]), " "), "_sizes": sizes})
-    out = out.withColumns({"_at": F.position("_needle", "_joined") - 1, "_starts": F.transform("_sizes", lambda x, i: F.aggregate(F.slice("_sizes", 1, i), F.lit(0), lambda s, y: s + y))})
-    touched = F.filter(F.zip_with("_pieces", "_starts", lambda p, s: F.struct(p["id"].alias("id"), p["box"].alias("box"), s.alias("s"), (s + F.length(p["t"])).alias("e"))), lambda x: (x["s"] < F.col("_at") + F.length("_needle")) & (x["e"] > F.col("_at")))
-    times = (F.length("_page") - F.length(F.replace("_page", "_needle", F.lit("")))) / F.length("_needle")
-    once = (F.col("_needle") != "") & (times == 1) & (F.col("_at") >= 0) & (F.position("_needle", "_joined", F.col("_at") + 2) == 0)
-    out = out.withColumn("_touched", touched).withColumn(name, F.when(once, _located(F.col("_touched"))).otherwise(F.array().cast("array<int>")))
-    return out.drop("_needle", "_page", "_pieces", "_joined", "_sizes", "_at", "_starts", "_touched")
+    return quoted_in(rows, quote, _plain(text), placed(found), name)
 
 
 def table_rows(html: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions.predicates import collapse
 from recollect.operators import documents as op
 from recollect.plans.registry import query
+from recollect.sources.shared import saved
 from recollect.sources.tables import table
 
 GAPS = """WITH g AS (SELECT l_orderkey AS document_id, count(*) AS pages, count(*) FILTER (WHERE NOT l_quantity > 2) AS not_rendered, count(*) FILTER (WHERE NOT l_tax < 0.08) AS not_transcribed,
@@ -145,11 +146,12 @@ REGIONS = f"""WITH m AS (SELECT page_id, {_SQL_MARKUP} AS raw FROM pages),
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, found: the regions of each page's markup."""
+    """page_id, found: the regions of each page's markup; pages are dealt anew, as few large row groups would be few tasks."""
     raw = F.col("html")
     for pattern, to in MARKUP:
         raw = F.regexp_replace(raw, pattern, to.replace("$", "\\$"))
-    return table(spark, sf_dir, "pages").select("page_id", op.grounded(raw).alias("found"))
+    dealt = table(spark, sf_dir, "pages").select("page_id", "html").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
+    return dealt.select("page_id", op.grounded(raw).alias("found"))
 
 
 @query(REGIONS + " SELECT page_id, pos, label, box, content FROM x")
@@ -181,10 +183,13 @@ WORDS = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
 def p16_page_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes that run from the end of each block of a page into the next: the regions they stand in, if nowhere else."""
     blocks = F.filter(F.transform("found", lambda r: collapse(r["content"])), lambda t: t != "")
-    pages = _pages(spark, sf_dir).withColumn("blocks", blocks)
-    asked = pages.select("page_id", "found", F.array_join("blocks", " ").alias("page"), "blocks", F.explode(F.sequence(F.lit(1), F.greatest(F.size("blocks") - 1, F.lit(1)))).alias("n")).filter("n < size(blocks)")
-    quote = F.concat_ws(" ", F.regexp_extract(F.col("blocks")[F.col("n") - 1], r"\S+ \S+$|^\S+$", 0), F.regexp_extract(F.col("blocks")[F.col("n")], r"^\S+", 0))
-    return op.quoted_regions(asked, quote, F.col("page"), F.col("found")).select("page_id", "n", "regions")
+    pages = saved(_pages(spark, sf_dir), "page-regions")  # each page is read once, not once for each use of its regions
+    pages = saved(pages.select("page_id", blocks.alias("blocks"), op.placed(F.col("found")).alias("places")), "page-blocks")
+    pages = pages.withColumn("page", collapse(F.array_join("blocks", " ")))
+    ends = F.transform("blocks", lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"), F.get("blocks", i + 1).alias("following")))
+    asked = pages.select("page_id", "page", "places", F.explode(F.filter(ends, lambda x: x["following"].isNotNull())).alias("x"))
+    quote = F.concat_ws(" ", F.regexp_extract("x.t", r"\S+ \S+$|^\S+$", 0), F.regexp_extract("x.following", r"^\S+", 0))
+    return op.quoted_in(asked, quote, F.col("page"), F.col("places")).select("page_id", "x.n", "regions")
 
 
 @query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark),

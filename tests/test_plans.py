@@ -48,3 +48,9 @@ def test_no_name_is_defined_twice():
     for file in Path(recollect.plans.__path__[0]).glob("*.py"):
         names = Counter(x.name for x in ast.parse(file.read_text()).body if isinstance(x, ast.FunctionDef))
         assert [n for n, times in names.items() if times > 1] == [], file.name
+
+
+def test_quotes_are_located_in_regions_found_once(spark, small):
+    """The pages' HTML is read and parsed before quotes are made of it, not again for each use of its regions."""
+    text = plan(QUERIES["p16_page_quotes"](spark, small))
+    assert "html" not in text and "page-blocks" in text
