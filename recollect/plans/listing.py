@@ -49,9 +49,9 @@ def f3_pages_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey AS source_id, o_orderstatus AS source_status, l_linenumber AS child, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS pos
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'O'""")
 def f4_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The live rows of every source, in order of (created_at, id), each with its parent."""
+    """The live rows of every source, in order of (created_at, id), each with its parent; rows of one id by part, supplier and quantity, which the SQL leaves open."""
     live = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")).cast("long")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long")
     parents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("source_status"))
     return live.withColumn("pos", pos).join(parents, "l_orderkey").select(F.col("l_orderkey").alias("source_id"), "source_status", F.col("l_linenumber").alias("child"), "l_partkey", "pos")
 

@@ -54,3 +54,12 @@ def test_quotes_are_located_in_regions_found_once(spark, small):
     """The pages' HTML is read and parsed before quotes are made of it, not again for each use of its regions."""
     text = plan(QUERIES["p16_page_quotes"](spark, small))
     assert "html" not in text and "page-blocks" in text
+
+
+def test_children_of_one_time_and_id_have_one_order(spark, small, tmp_path):
+    """What the order of (created_at, id) leaves open is settled by the part, so runs agree."""
+    spark.read.parquet(f"{small}/orders.parquet").limit(1).selectExpr("1L as o_orderkey", "o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [(1, part, 7, 1, 1.0, "O", "1998-01-01") for part in (9, 3, 5)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_linestatus string, l_shipdate string")
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [r.l_partkey for r in QUERIES["f4_children"](spark, str(tmp_path)).orderBy("pos").collect()] == [3, 5, 9]
