@@ -39,11 +39,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75,
     tf = saved(found.join(forms, "term").groupBy("id", *context, "length", "stem").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
     stats = tf.filter("stem = ''").agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))).scalar()
     tf = tf.filter("stem <> ''")
-    df = tf.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    weighted = tf.join(df, "stem").withColumn("stats", stats).select("*", "stats.n", "stats.mean")
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return weighted.select("stem", "id", *context, part.alias("part")).join(asked, ["stem", *context]).groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score")).filter("score > 0")
+    df = tf.groupBy("stem").agg(F.count(F.lit(1)).alias("df")).withColumn("stats", stats)
+    idf = F.log(F.lit(1.0) + (F.col("stats.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = saved(df.select("stem", idf.alias("idf"), F.col("stats.mean").alias("mean")).join(asked, "stem"), "bm25-weights")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    # a document's postings meet in one task: its scores are summed there, and of these only what a query keeps is shuffled
+    pairs = tf.repartition("id").join(weights, ["stem", *context])
+    return pairs.groupBy("id", "query_id").agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0").select("query_id", "id", "score")
 
 
 def ranked(scores: DataFrame, k: int, by: str = "score", offset: int = 0) -> DataFrame:

@@ -63,3 +63,9 @@ def test_children_of_one_time_and_id_have_one_order(spark, small, tmp_path):
     lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_linestatus string, l_shipdate string")
     lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [r.l_partkey for r in QUERIES["f4_children"](spark, str(tmp_path)).orderBy("pos").collect()] == [3, 5, 9]
+
+
+def test_scores_of_documents_are_summed_where_their_postings_are(spark, small):
+    """A row for each query and document that share a term is not shuffled, only what each query keeps."""
+    text = plan(QUERIES["r1_bm25"](spark, small))
+    assert not re.search(r"hashpartitioning\((query_id#\w+, id#|id#\w+, query_id#)", text)
