@@ -72,52 +72,66 @@ def last_before(rows: DataFrame, key: str, order: str, value: Column, name: str)
 
 
 def _followers(ops: DataFrame, key: str, order: str) -> DataFrame:
-    """key, from, to: for each operation, were it accepted, the next one that would be.
+    """key, from, to, operation_id: for each operation, were it accepted, the next one that would be, and that one's id.
 
     An operation's ETag is known from the one it expects, so what can follow it is the first
     later one that expects that ETag, on a resource in the state, of the key and owner that it
     leaves. Both kinds meet in windows of that ETag, so a resource's log is spread by its ETags.
     """
-    gives = ops.select(key, F.col("etag").alias("_tag"), (F.col("action") == "delete").alias("_dead"), "logical_key", "owner", order, F.lit(None).cast("long").alias("_to"))
-    takes = ops.filter("action <> 'create'").select(key, F.col("expected").alias("_tag"), (F.col("action") == "restore").alias("_dead"), "logical_key", "owner", order, F.col(order).alias("_to"))
+    to = F.struct(F.col(order).alias("to"), "operation_id")
+    gives = ops.select(key, F.col("etag").alias("_tag"), (F.col("action") == "delete").alias("_dead"), "logical_key", "owner", order, F.when(F.lit(False), to).alias("_to"))
+    takes = ops.filter("action <> 'create'").select(key, F.col("expected").alias("_tag"), (F.col("action") == "restore").alias("_dead"), "logical_key", "owner", order, to.alias("_to"))
     later = Window.partitionBy(key, "_tag", "_dead", "logical_key", "owner").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     met = gives.unionByName(takes).withColumn("_next", F.last("_to", ignorenulls=True).over(later))
-    return met.filter("_to is null and _next is not null").select(key, F.col(order).alias("from"), F.col("_next").alias("to"))
+    return met.filter("_to is null and _next is not null").select(key, F.col(order).alias("from"), "_next.to", "_next.operation_id")
 
 
 def _reached(first: DataFrame, arcs: DataFrame, key: str) -> DataFrame:
-    """key, to: all that arcs lead to from ``first``, each step doubling the arcs' length."""
+    """key, to, operation_id: all that arcs lead to from ``first``, each step doubling the arcs' length."""
     found, step = saved(first, "versions-reached"), saved(arcs, "versions-arcs")
     while True:
-        new = saved(found.join(step.withColumnRenamed("to", "_on"), (found[key] == step[key]) & (found["to"] == step["from"])).select(found[key], F.col("_on").alias("to")), "versions-new")
+        at, b = found.alias("at"), step.alias("b")
+        new = saved(at.join(b, (F.col(f"at.{key}") == F.col(f"b.{key}")) & (F.col("at.to") == F.col("b.from"))).select(f"at.{key}", "b.to", "b.operation_id"), "versions-new")
         if new.isEmpty():
             return found
         found = saved(found.unionByName(new), "versions-reached")
-        a, b = step.alias("a"), step.alias("b")
-        step = saved(a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.to") == F.col("b.from"))).select(f"a.{key}", "a.from", "b.to"), "versions-arcs")
+        a = step.alias("a")
+        step = saved(a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.to") == F.col("b.from"))).select(f"a.{key}", "a.from", "b.to", "b.operation_id"), "versions-arcs")
 
 
-def accepted(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
-    """key, order, MUTATION, revision, etag of each mutation that a log leads to; see ``mutate``."""
+def _numbered(log: DataFrame) -> DataFrame:
+    """``log`` with the revision and etag that each mutation would have, were it accepted; null for what can't be."""
     expected = F.regexp_extract("expected", r"^vr-(\d{1,18})-", 1)
-    revision = F.when(F.col("action") == "create", F.when(F.col("expected") == "*", F.lit(1))).when(expected != "", expected.cast("long") + 1)
-    ops = log.select(key, order, *MUTATION).withColumn("revision", revision.cast("long")).filter("revision is not null and action in ('create', 'replace', 'delete', 'restore')")
-    ops = saved(ops.withColumn("etag", etag(F.col("revision"), F.col("content"))), "versions-log")
-    first = ops.filter("action = 'create'").groupBy(key).agg(F.min(order).alias("to"))
+    revision = F.when(F.col("action") == "create", F.when(F.col("expected") == "*", F.lit(1))).when(F.col("action").isin("replace", "delete", "restore") & (expected != ""), expected.cast("long") + 1)
+    return log.withColumn("revision", revision.cast("long")).withColumn("etag", etag(F.col("revision"), F.col("content")))
+
+
+def _chains(ops: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order, operation_id of each mutation among ``ops`` (see ``_numbered``) that is accepted.
+
+    Only a first creation starts a chain and no arc leads to a creation, so later ones, which find
+    the resource there, are never reached.
+    """
+    ops = ops.filter("revision is not null")
+    start = F.min(F.struct(F.col(order).alias("to"), "operation_id")).alias("_first")
+    first = ops.filter("action = 'create'").groupBy(key).agg(start).select(key, "_first.to", "_first.operation_id")
     while True:
-        # a creation after the first finds the resource there
-        live = ops.join(first, key, "left").filter((F.col("action") != "create") | (F.col(order) == F.col("to"))).drop("to")
-        chain = _reached(first, _followers(live, key, order), key)
-        done = saved(ops.join(chain.withColumnRenamed("to", order), [key, order], "left_semi"), "versions-done")
+        chain = _reached(first, _followers(ops, key, order), key).withColumnRenamed("to", order)
         again = F.row_number().over(Window.partitionBy(key, "operation_id").orderBy(order)) > 1
-        repeated = done.filter("operation_id is not null").withColumn("_again", again).filter("_again").groupBy(key).agg(F.min(order).alias(order))
+        repeated = chain.filter("operation_id is not null").withColumn("_again", again).filter("_again").groupBy(key).agg(F.min(order).alias(order))
         repeated = saved(repeated, "versions-repeated")
         if repeated.isEmpty():
-            return done
+            return chain
         # what used an accepted operation's id with another request can't stand; what follows is found anew
         ops = saved(ops.join(repeated, [key, order], "left_anti"), "versions-log")
 
 
+def accepted(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
+    """key, order, MUTATION, revision, etag of each mutation that a log leads to; see ``mutate``."""
+    ops = saved(_numbered(log.select(key, order, *MUTATION)).filter("revision is not null"), "versions-log")
+    return ops.join(_chains(ops, key, order), [key, order], "left_semi")
+
+
 def mutate(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:
     """key, order, outcome, revision, etag: the answer to each mutation of a log.
 
@@ -139,26 +153,36 @@ def mutate(log: DataFrame, key: str = "resource_id", order: str = "sequence") ->
     Nothing is folded row by row: which mutation can follow which is found by their ETags, chains
     are followed by doubling, and a resource's log is never one task's work. An action of any
     other name is ``invalid``. A null request_hash equals only a null one.
+
+    The log is numbered and written once. Then its rows are shuffled to those of their id, where
+    the accepted mutations join them, and without what is settled there into ranges, see
+    ``last_before``.
     """
-    done = accepted(log, key, order)
-    by_id = done.filter("operation_id is not null").select(F.col(key).alias("_key"), F.col("operation_id").alias("_id"), F.col(order).alias("_at"), F.col("request_hash").alias("_hash"), F.col("revision").alias("_revision"), F.col("etag").alias("_etag"))
-    state = done.select(F.col(key).alias("_of"), F.col(order).alias("_own"), F.struct("revision", "etag", (F.col("action") == "delete").alias("deleted"), "logical_key", "owner").alias("_state"))
-    rows = log.select(key, order, *MUTATION)
-    rows = rows.join(state, (rows[key] == state["_of"]) & (rows[order] == state["_own"]), "left").drop("_of", "_own")
-    rows = rows.withColumn("_mine", F.col("_state"))
-    rows = last_before(rows, key, order, F.col("_state"), "_head")
-    rows = rows.join(by_id, (rows[key] == by_id["_key"]) & (rows["operation_id"] == by_id["_id"]) & (by_id["_at"] < rows[order]), "left")
-    head, create = F.col("_head"), F.col("action") == "create"
-    replayed = F.col("_at").isNotNull() & F.col("_hash").eqNullSafe(F.col("request_hash"))
-    outcome = (
-        F.when(replayed, "replayed").when(F.col("_at").isNotNull(), "conflict").when(F.col("_mine").isNotNull(), "accepted")
+    rows = saved(_numbered(log.select(key, order, *MUTATION)).drop("content"), "versions-log")
+    chain = _chains(rows, key, order)
+    mine = rows.select(key, order, "operation_id", "request_hash", "action", "expected", "revision", "etag", F.lit(False).alias("_hit"))
+    met = mine.unionByName(chain.withColumn("_hit", F.lit(True)), allowMissingColumns=True)
+    met = met.withColumn("_alone", F.when(F.col("operation_id").isNull(), F.col(order)))  # a column, or each window would shuffle by an expression of its own
+    same_id = Window.partitionBy(key, "operation_id", "_alone").orderBy(order, F.desc("_hit"))
+    met = met.withColumn("_mine", ~F.col("_hit") & F.coalesce(F.lag("_hit").over(same_id), F.lit(False)))  # a hit comes right before its own row
+    answer = F.when(F.col("_mine"), F.struct("request_hash", "revision", "etag"))
+    met = met.withColumn("_by_id", F.last(answer, ignorenulls=True).over(same_id.rowsBetween(Window.unboundedPreceding, -1))).filter("not _hit")
+    by_id, create = F.col("_by_id"), F.col("action") == "create"
+    settled = (
+        F.when(by_id.isNotNull() & by_id["request_hash"].eqNullSafe(F.col("request_hash")), "replayed").when(by_id.isNotNull(), "conflict").when(F.col("_mine"), "accepted")
         .when(~F.coalesce(F.col("action").isin("create", "replace", "delete", "restore"), F.lit(False)), "invalid")
         .when(create & ~F.coalesce(F.col("expected") == "*", F.lit(False)), "precondition").when(create, "conflict")
-        .when(head.isNull(), "not_found").when(~F.coalesce(F.col("expected") == head["etag"], F.lit(False)), "precondition")
-        .when(F.col("action") == "restore", "conflict").when(head["deleted"], "not_found").otherwise("conflict")
     )
-    mine = lambda field, replay: F.when(F.col("outcome") == "replayed", F.col(replay)).when(F.col("outcome") == "accepted", F.col("_mine")[field])
-    return rows.withColumn("outcome", outcome).select(key, order, "outcome", mine("revision", "_revision").alias("revision"), mine("etag", "_etag").alias("etag"))
+    told = lambda field: F.when(F.col("outcome") == "replayed", by_id[field]).when(F.col("outcome") == "accepted", F.col(field)).alias(field)
+    open_ = lambda c: F.when(F.col("outcome").isNull(), c)
+    met = met.withColumn("outcome", settled).select(key, order, "outcome", told("revision"), told("etag"), open_(F.col("expected")).alias("_expected"), open_(F.col("action") == "restore").alias("_restore"), F.when(F.col("outcome") == "accepted", F.col("action") == "delete").alias("_dead"))
+    met = last_before(met, key, order, F.when(F.col("outcome") == "accepted", F.struct("etag", F.col("_dead").alias("deleted"))), "_head")
+    head = F.col("_head")
+    refused = (
+        F.when(head.isNull(), "not_found").when(~F.coalesce(F.col("_expected") == head["etag"], F.lit(False)), "precondition")
+        .when(F.col("_restore"), "conflict").when(head["deleted"], "not_found").otherwise("conflict")
+    )
+    return met.select(key, order, F.coalesce("outcome", refused).alias("outcome"), "revision", "etag")
 
 
 def snapshots(log: DataFrame, key: str = "resource_id", order: str = "sequence") -> DataFrame:

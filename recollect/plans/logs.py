@@ -317,10 +317,13 @@ def _writers(events: DataFrame) -> DataFrame:
     write, or uses its id for something else.
     """
     own = Window.partitionBy("r").orderBy("s")
-    w = events.withColumn("n", F.sum(F.when(F.col("kind") != "again", 1).otherwise(0)).over(own))
-    told = F.concat_ws(":", "kind", F.col("s").cast("string"))
-    good = w.filter("kind <> 'again'").select("r", "n", F.col("s").alias("g_s"), F.col("kind").alias("g_kind"), F.lag("kind").over(own).alias("before"), F.lag(told).over(own).alias("seen"), F.lag(told, 2).over(own).alias("stale"))
-    rows = w.join(good, ["r", "n"], "left")
+    before, so_far = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    write = F.coalesce(F.col("kind") != "again", F.lit(False))
+    w = events.withColumn("n", F.sum(write.cast("int")).over(own))
+    w = w.withColumn("last", F.last(F.when(write, F.struct("kind", F.concat_ws(":", "kind", F.col("s").cast("string")).alias("told"))), ignorenulls=True).over(before))
+    w = w.withColumn("stale", F.last(F.when(write, F.col("last.told")), ignorenulls=True).over(before))
+    good = F.struct(F.col("s").alias("g_s"), F.col("kind").alias("g_kind"), F.col("last.kind").alias("before"), F.col("last.told").alias("seen"), "stale")
+    rows = w.withColumn("good", F.last(F.when(write, good), ignorenulls=True).over(so_far)).select("r", "s", "kind", "x", "n", "good.*")
     at, again, n, x = F.coalesce("g_s", "s").cast("string"), F.col("kind") == "again", F.col("n"), F.col("x")
     action = F.when(n <= 1, "create").when((x >= 50) & ~again, "replace").when(F.col("before") == "drop", "restore").when(F.col("g_kind") == "drop", "delete").otherwise("replace")
     expected = F.when(n <= 1, F.when(x < 90, "*")).when((x >= 60) & (n > 2), versions.etag(n - 2, F.col("stale"))).otherwise(versions.etag(n - 1, F.col("seen")))

@@ -111,3 +111,16 @@ def test_one_resources_log_is_many_tasks_work(spark):
 def test_nothing(spark):
     assert versions.mutate(spark.createDataFrame([], SCHEMA)).collect() == []
     assert list(MUTATION) == SCHEMA.replace(" string", "").replace(" long", "").split(", ")[2:]
+
+
+def test_a_log_is_shuffled_few_times(spark, small, monkeypatch):
+    """The writers' log is one shuffle, and of the log's own joins and windows none is done twice."""
+    from recollect.plans import all as plans
+
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    planned, save = [], versions.saved
+    monkeypatch.setattr(versions, "saved", lambda df, name: planned.append((name, shuffles(df))) or save(df, name))
+    found = plans.QUERIES["m4_skill_mutations"](spark, small)
+    steps = [n for name, n in planned if name in ("versions-log", "versions-done", "versions-ranges")] + [shuffles(found)]
+    assert dict(planned)["versions-log"] == 1
+    assert sum(steps) == 7  # the log 1, its rows by id 1, by range 1; within ranges, and the ends of ranges 3, broadcast
