@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recollect.functions import predicates, vectors
 from recollect.operators import datasets, documents, entities, graph, listing, recall, sessions, versions
 from recollect.operators import vectors as search
+from recollect.sources import shared
 
 
 def edges(spark, rows):
@@ -126,6 +127,16 @@ def test_last_write_wins_in_simple_graph(spark):
     assert [tuple(r) for r in graph.simple_graph(e).collect()] == [("a", "b", "a", 0.2)]
 
 
+def test_simple_graph_takes_more_tasks_for_more_edges(spark, monkeypatch):
+    """One shuffle, of as many partitions as the edges need; of one relation the greatest strength."""
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    e = edges(spark, [(f"p{i % 40}", f"s{i % 40}", "xy"[i % 80 // 40], i / 200) for i in range(200)])
+    found = graph.simple_graph(e)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(a#" in plan and ", 20), REPARTITION_BY_NUM" in plan
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"p{i}", f"s{i}", "y", (i + 120) / 200) for i in range(40))
+
+
 def test_search_against_brute_force_and_blocks(spark):
     rng = np.random.default_rng(42)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, [0.0] * 8), (61, None)]
