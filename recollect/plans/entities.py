@@ -11,6 +11,7 @@ from recollect.operators import graph
 from recollect.operators.listing import top_of
 from recollect.operators.vectors import near_links
 from recollect.plans.registry import query
+from recollect.sources.shared import spread
 from recollect.sources.tables import members, memories, table
 
 
@@ -133,9 +134,10 @@ def e11_nli(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT DISTINCT l_partkey AS e, l_orderkey AS k FROM lineitem), ok AS (SELECT e FROM m GROUP BY e HAVING count(*) >= 2), x AS (SELECT a.e AS entity_id, b.e AS other, count(*) AS n FROM m a JOIN m b ON a.k = b.k AND a.e <> b.e WHERE a.e % 20 = 0 AND b.e IN (FROM ok) GROUP BY a.e, b.e)
   SELECT entity_id, other, n FROM x QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, other) <= 8""")
 def e13_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir).select("entity_id", "memory_id").distinct()
+    every = members(spark, sf_dir)
+    m = spread(every, every.count(), "memory_id").select("entity_id", "memory_id").distinct()
     eligible = m.groupBy(F.col("entity_id").alias("other")).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
-    pairs = graph.comention(m, m.filter("entity_id % 20 = 0")).join(eligible, "other", "left_semi")
+    pairs = graph.comention(m, F.col("entity_id") % 20 == 0).join(eligible, "other", "left_semi")
     return top_of(pairs.withColumnRenamed("shared", "n"), ["entity_id"], [F.desc("n"), F.asc("other")], 8).drop("rank")
 
 

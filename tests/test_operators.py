@@ -333,3 +333,18 @@ def test_near_links_connect_what_all_pairs_do(spark):
 def test_histogram_leaves_nan_out(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("nan"),), (None,)], "v double")
     assert sum(r.n for r in datasets.histogram(df, "v", 5).collect()) == 10
+
+
+def test_comention_takes_more_tasks_for_more_members(spark, small, monkeypatch):
+    """The steps by memory keep to one partitioning, of as many partitions as the members need; seeds are rows or a condition."""
+    from recollect.plans import all as plans
+
+    m = spark.createDataFrame([(e, k) for k in range(30) for e in range(k % 5, k % 5 + 4)], "entity_id long, memory_id long")
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    found = graph.comention(m, F.col("entity_id") % 3 == 0, m.count())
+    by_rows = graph.comention(m, m.filter("entity_id % 3 = 0"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_rows.collect())) != []
+    tasks = -(-spark.read.parquet(f"{small}/lineitem.parquet").count() // 10)
+    for name in ("g9_entity_neighbourhood", "g10_comention", "e13_related"):
+        plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan, name
