@@ -61,6 +61,35 @@ def test_limited_neighbourhoods_of_a_hub_stay_small(spark, monkeypatch):
     assert max(counts) <= 150 * 4  # 150 x 150 were written, a row a root and neighbour
 
 
+def test_whole_neighbourhoods_of_a_hub_are_not_written_a_root_each(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AROUND", 40)
+    counts = saved_rows(monkeypatch)
+    roots = spark.createDataFrame([(f"s{i:03}",) for i in range(150)] + [("top",), ("s000",), (None,), ("alone",)], "node string")
+    rows = [(r.root, r.node, r.depth) for r in graph.k_hop(edges(spark, STAR), roots, 2).collect()]
+    leaves = [f"s{i:03}" for i in range(150)]
+    want = {(a, b): 0 if a == b else 2 for a in leaves for b in [*leaves, "top"]} | {(a, "hub"): 1 for a in leaves} | {(None, None): 0, ("alone", "alone"): 0}
+    want |= {("top", b): d for d, nodes in ((0, ["top"]), (1, ["hub", "hub2"]), (2, [*leaves, "z", "z2"])) for b in nodes}
+    assert len(rows) == len(want) and {(a, b): d for a, b, d in rows} == want
+    assert max(counts) <= 2 * len(STAR)  # the steps themselves; 150 x 150 were written
+
+
+@pytest.mark.parametrize("direction", ["outgoing", "incoming", "both"])
+def test_whole_neighbourhoods_against_brute_force(spark, direction):
+    rng = np.random.default_rng(7)
+    arcs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 30, (26, 2))]
+    ways = {"outgoing": arcs, "incoming": [(b, a) for a, b in arcs], "both": arcs + [(b, a) for a, b in arcs]}[direction]
+    nodes = sorted({n for arc in arcs for n in arc})
+    e, roots = edges(spark, [(a, b, "x", 1.0) for a, b in arcs]), spark.createDataFrame([(n,) for n in nodes], "node string")
+    for depth in (1, 3):
+        want = {(n, n): 0 for n in nodes}
+        for d in range(1, depth + 1):
+            for root, node in [k for k, v in want.items() if v == d - 1]:
+                for b in {y for x, y in ways if x == node}:
+                    want.setdefault((root, b), d)
+        rows = graph.k_hop(e, roots, depth, direction).collect()
+        assert len(rows) == len(want) and {(r.root, r.node): r.depth for r in rows} == want
+
+
 def test_reached_nodes_are_written_once(spark, monkeypatch):
     counts = saved_rows(monkeypatch)
     roots = spark.createDataFrame([(f"s{i:03}",) for i in range(150)], "node string")

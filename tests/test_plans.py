@@ -65,6 +65,20 @@ def test_children_of_one_time_and_id_have_one_order(spark, small, tmp_path):
     assert [r.l_partkey for r in QUERIES["f4_children"](spark, str(tmp_path)).orderBy("pos").collect()] == [3, 5, 9]
 
 
+def test_neighbours_are_all_within_two_steps(spark, small, tmp_path):
+    """A supplier has more than 50 neighbours where its nation has as many customers."""
+    for name, schema, rows in (
+        ("region", "r_regionkey int, r_name string", [(0, "R")]),
+        ("nation", "n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]),
+        ("supplier", "s_suppkey long, s_nationkey int", [(1, 0), (2, 0)]),
+        ("customer", "c_custkey long, c_nationkey int", [(i, 0) for i in range(60)]),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = QUERIES["g2_neighbours"](spark, str(tmp_path)).collect()
+    near = {"n0": 1, "r0": 2} | {f"c{i}": 2 for i in range(60)}
+    assert len(rows) == 128 and {(r.root, r.node): r.depth for r in rows} == {(s, n): d for s, other in (("s1", "s2"), ("s2", "s1")) for n, d in (near | {s: 0, other: 2}).items()}
+
+
 def test_scores_of_documents_are_summed_where_their_postings_are(spark, small):
     """A row for each query and document that share a term is not shuffled, only what each query keeps."""
     text = plan(QUERIES["r1_bm25"](spark, small))
