@@ -136,6 +136,24 @@ def test_chunks_batches_and_partitions_change_nothing(spark, small, monkeypatch)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_more_tasks_and_chunks_change_nothing(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").filter("doc_id < 80")
+    key = lambda df: sorted((r.doc_id, round(r.score, 9), round(r.base_score, 9)) for r in df.collect())
+    one = key(brown.score(spark, docs))
+    monkeypatch.setattr(brown, "WORDS", 40)
+    monkeypatch.setattr(brown, "DOCUMENTS", 9)
+    assert key(brown.score(spark, docs)) == one
+
+
+def test_all_words_but_those_met_once_are_clustered(spark):
+    """In a corpus of any size: the words met 2 and 4 times are under a millionth of 4.2 million tokens."""
+    texts = ["w " * 4_200_000, "seldom x seldom y", *["rare w"] * 4]
+    ids = [i for i in range(40) if not out(i)][: len(texts)]
+    model = brown.fit(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+    found = classes_of(model)
+    assert set(found) == {"w", "seldom", "rare"} and min(found.values()) >= brown.FIRST and (model["once"], model["twice"]) == (2, 1)
+
+
 @pytest.mark.parametrize("least", [1, 3])
 def test_hard_cases(spark, hard, nothing, least):
     rows = [(r.doc_id, r.text) for r in hard.collect()]
